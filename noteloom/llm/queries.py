@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noteloom.llm import minhash, quality_rules, sentencepieces
+from noteloom.llm import minhash, mixing, pii, quality_rules, sentencepieces
 from noteloom.llm.common import table
 
+#: Key of the surrogates; a deployment passes its own from a secret store.
+SURROGATE_KEY = "noteloom-demo-key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,13 +34,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(*quality_rules.CONTRACT)
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY, entities="n_entities")
+    return out.select("doc_id", "text", "n_entities")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return out.select("doc_id", "source", "lang", "text", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op7_pii_surrogates": op7_pii_surrogates,
+        "op9_source_mixing": op9_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql()}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.oracle_sql()}
