@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import minhash, mixing, pii, quality_rules, sentencepieces
-from noteloom.llm.common import table
+from noteloom.llm import minhash, mixing, pii, quality_rules, rollup, sentencepieces, shards
+from noteloom.llm.common import new_dir, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
 SURROGATE_KEY = "noteloom-demo-key"
 
+SHARD_KEY = 20_240_601
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,11 +36,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(*quality_rules.CONTRACT)
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's inserts as one batch, committed twice (the second time without effect), and the totals."""
+    store = rollup.TokenRollup(spark, new_dir(spark, "rollup"))
+    changes = rollup.inserts(rollup.count_tokens(table(spark, sf_dir, "documents"), piece_model(), "piece_bpe_32k"))
+    store.commit("documents-1", changes)
+    store.commit("documents-1", changes)
+    return store.totals()
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY, entities="n_entities")
     return out.select("doc_id", "text", "n_entities")
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.write_shards(table(spark, sf_dir, "documents"), piece_model(), new_dir(spark, "shards"), key=SHARD_KEY)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return out.select("doc_id", "source", "lang", "text", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
@@ -49,7 +64,9 @@ def queries() -> dict[str, Query]:
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op6_token_rollup": op6_token_rollup,
         "op7_pii_surrogates": op7_pii_surrogates,
+        "op8_token_shards": op8_token_shards,
         "op9_source_mixing": op9_source_mixing,
     }
 

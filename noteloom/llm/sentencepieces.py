@@ -10,6 +10,7 @@ property for the model at hand and refuses models that lack it.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -70,24 +71,29 @@ def split_chunks(text: str) -> list[str]:
 
 
 class ChunkTable:
-    """Ids of distinct chunks for one model."""
+    """Packed ids of distinct chunks for one model; ``code`` is the array code of an id."""
 
     def __init__(self, path: str, limit: int = TABLE_ROWS):
         self.model, self.limit = load_model(path), limit
-        self.lone = [self.model.piece_to_id(MARK)]
-        self.ids: dict[str, list[int]] = {}
+        self.code = "H" if self.model.get_piece_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.lone = array(self.code, [self.model.piece_to_id(MARK)]).tobytes()
+        self.packed: dict[str, bytes] = {}
 
     def add(self, chunks: set[str]) -> None:
-        missing = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(missing) > self.limit:
-            self.ids.clear()
+        missing = [c for c in chunks if c not in self.packed]
+        if len(self.packed) + len(missing) > self.limit:
+            self.packed.clear()
             missing = list(chunks)
-        self.ids.update(zip(missing, self.model.encode(missing, num_threads=1), strict=True))
+        for lo in range(0, len(missing), 4096):
+            part = missing[lo : lo + 4096]
+            for c, ids in zip(part, self.model.encode(part, num_threads=1), strict=True):
+                self.packed[c] = array(self.code, ids).tobytes()
         if "" in chunks:
-            self.ids[""] = self.lone
+            self.packed[""] = self.lone
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Ids of each text, exactly the library's ``encode``; null counts as empty."""
+    def split(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
+        """Chunks of the texts in groups of bounded size; the table then holds them all."""
         at = 0
         while at < len(texts):
             group, chars = [], 0
@@ -96,9 +102,18 @@ class ChunkTable:
                 chars += len(texts[at] or "")
                 at += 1
             self.add(set(chain.from_iterable(group)))
-            of = self.ids.__getitem__
+            yield group
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text, exactly the library's ``encode``; null counts as empty."""
+        for group in self.split(texts):
+            of = self.packed.__getitem__
             for chunks in group:
-                yield list(chain.from_iterable(map(of, chunks)))
+                yield b"".join(map(of, chunks))
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        return [len(ids) // self.width for ids in self.encode(texts)]
 
 
 def _output(ids: bool) -> str:
@@ -125,10 +140,11 @@ def encode_decode(docs: DataFrame, model_path: str, with_outputs: bool = True) -
             for lo in range(0, len(texts), 512):
                 part = texts[lo : lo + 512]
                 count, id_sums, text_sums, all_ids, all_texts = [], [], [], [], []
-                for ids in table.encode(part):
+                for packed in table.encode(part):
+                    ids = array(table.code, packed).tolist()
                     decoded = table.model.decode(ids) if ids else ""
                     count.append(len(ids))
-                    id_sums.append(sha(",".join(map(_decimal, ids)).encode()).hexdigest())
+                    id_sums.append(sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                     text_sums.append(sha(decoded.encode()).hexdigest())
                     if with_outputs:
                         all_ids.append(ids)
@@ -141,12 +157,3 @@ def encode_decode(docs: DataFrame, model_path: str, with_outputs: bool = True) -
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _output(with_outputs))
-
-
-_names: list[str] = []
-
-
-def _decimal(i: int) -> str:
-    while i >= len(_names):
-        _names.append(str(len(_names)))
-    return _names[i]
