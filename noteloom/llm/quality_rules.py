@@ -36,8 +36,8 @@ SPREAD = 4
 METRICS = {
     "symbols": ("(1000 * n_symbols) div n_words", 100),
     "word_length": ("(100 * word_chars) div n_words", 60),
-    "repeats": ("(1000 * n_repeat_words) div n_words", 150),
-    "dup_lines": ("(1000 * n_dup_lines) div n_words", 40),
+    "repeats": ("(1000 * n_repeat_words) div n_words", 300),
+    "dup_lines": ("(1000 * n_dup_lines) div n_words", 80),
 }
 #: Metrics that also have a lower fence.
 TWO_SIDED = ("word_length",)

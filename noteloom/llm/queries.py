@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import minhash, mixing, pii, quality_rules, rollup, sentencepieces, shards
+from noteloom.llm import minhash, mixing, pii, quality_gam, quality_rules, rollup, sentencepieces, shards
 from noteloom.llm.common import new_dir, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
@@ -32,6 +32,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), with_outputs=False)
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(*quality_rules.CONTRACT)
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_quality_gam": op4_quality_gam,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_rollup": op6_token_rollup,
         "op7_pii_surrogates": op7_pii_surrogates,
