@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import minhash, mixing, pii, quality_gam, quality_rules, rollup, sentencepieces, shards
+from noteloom.llm import html_extract, minhash, mixing, pii, quality_gam, quality_rules, rollup, sentencepieces, shards
 from noteloom.llm.common import new_dir, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
@@ -24,6 +24,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_gam": op4_quality_gam,
