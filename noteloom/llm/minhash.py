@@ -11,8 +11,9 @@
    each node checks its ``TRIES`` most similar leaders. The shingle sets decide: similarity of
    0.8 or more is a link.
 4. Components of these links are nearly the classes. Where a bucket still holds several
-   components, all pairs across components are compared by signature in blocks, and those that could
-   reach the threshold are checked by their shingle sets too, without a cap. So every pair that shares a
+   components, all pairs across components are compared by signature in blocks of bounded size, and those
+   that could reach the threshold are checked by their shingle sets in the same block, without a cap;
+   only links leave the block. So every pair that shares a
    bucket is either linked, in one class already, or refuted.
 
 Nothing is collected: nodes, links and labels stay in tables in the shared folder.
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,29 +224,76 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket that lie in different components and are not refuted."""
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if right.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    sa = np.frombuffer(b"".join(left.sig), np.uint8).reshape(len(left), -1)
-    sb = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
-    na, nb = left.nid.to_numpy(), right.nid.to_numpy()
-    ca, cb = left.comp.to_numpy(), right.comp.to_numpy()
-    za, zb = left["size"].to_numpy(), right["size"].to_numpy()
-    out_a, out_b = [], []
-    for i in range(len(left)):
-        near = (cb != ca[i]) & (nb > na[i]) & (np.minimum(zb, za[i]) >= THRESHOLD * np.maximum(zb, za[i]))
-        j = np.flatnonzero(near)
-        j = j[(sb[j] == sa[i]).mean(axis=1) >= DOUBT]
-        out_a.append(np.full(len(j), na[i]))
-        out_b.append(nb[j])
-    return pd.DataFrame({"a": np.concatenate(out_a) if out_a else [], "b": np.concatenate(out_b) if out_b else []}).astype("int64")
-
-
-def _links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links between nodes (nid, bands, sig, elements, size) that make up the classes."""
-    spread = nodes.select("nid", F.explode("bands").alias("key"))
+def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links across components in one cell of a bucket; after the first between two components, the
+    others between these two add nothing and are not looked for."""
+    nid, comp, size, side = (cell[k] for k in ("nid", "comp", "size", "side"))
+    sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(len(nid), -1)
+    sets = cell["elements"]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    a_out, b_out = [], []
+    lefts = np.flatnonzero(side <= 0)
+    rights = np.flatnonzero(side != 0) if (side > 0).any() else lefts
+    if not len(rights):
+        return a_out, b_out
+    rsig, rcomp, rsize, rnid = sig[rights], comp[rights], size[rights], nid[rights]
+    for i in lefts:
+        near = np.flatnonzero((rcomp != comp[i]) & (rnid > nid[i]) & (np.minimum(rsize, size[i]) >= THRESHOLD * np.maximum(rsize, size[i])))
+        if not len(near):
+            continue
+        est = (rsig[near] == sig[i]).mean(axis=1)
+        near, est = near[est >= DOUBT], est[est >= DOUBT]
+        for j in near[np.argsort(-est)]:
+            x, y = find(int(comp[i])), find(int(rcomp[j]))
+            if x != y and set_similarity(sets[i], sets[rights[j]]) >= THRESHOLD:
+                root[max(x, y)] = min(x, y)
+                a_out.append(int(nid[i]))
+                b_out.append(int(rnid[j]))
+    return a_out, b_out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_block_links`` of each cell; rows come sorted by cell, and a cell may go on in the next batch."""
+    names = ["key", "i", "j", "side", "nid", "comp", "size", "sig", "elements"]
+    rest: pa.Table | None = None
+
+    def links(part: pa.Table) -> pa.RecordBatch:
+        key = np.stack([part.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        cols = {k: part.column(k).to_numpy() for k in ("nid", "comp", "size", "side")} | {k: np.array(part.column(k).to_pylist() + [None], object)[:-1] for k in ("sig", "elements")}
+        a_all, b_all = [], []
+        for lo, hi in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
+            if hi - lo > 1:
+                a, b = _block_links({k: v[lo:hi] for k, v in cols.items()})
+                a_all += a
+                b_all += b
+        return pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        got = pa.Table.from_batches([batch]).select(names)
+        rest = pa.concat_tables([rest, got]) if rest is not None else got
+        last = [rest.column(k)[-1].as_py() for k in ("key", "i", "j")] if rest.num_rows else None
+        if last is None:
+            continue
+        same = np.logical_and.reduce([rest.column(k).to_numpy() == v for k, v in zip(("key", "i", "j"), last, strict=True)])
+        begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if begin:
+            yield links(rest.slice(0, begin))
+            rest = rest.slice(begin).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield links(rest)
+
+
+def _links(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes ``ids`` (nid) of ``table`` that make up the classes."""
+    banded = checkpointed(table.where("bands IS NOT NULL").select(F.col("__uid").alias("nid"), "bands").join(ids, "nid", "left_semi"))
+    spread = banded.select("nid", F.explode("bands").alias("key"))
     masks = [F.xxhash64(F.col("key"), F.lit(s)) for s in (11, 12)]
     leaders = checkpointed(
         spread.groupBy("key")
@@ -255,37 +302,31 @@ def _links(nodes: DataFrame) -> DataFrame:
         .select("key", *[F.col(f"m{i}").bitwiseXOR(m).alias(f"l{i}") for i, m in enumerate(masks)])
     )
     inside = staged(spread.join(leaders, "key"), "buckets")
-    pairs = (
-        inside.select("nid", F.explode(F.array("l0", "l1")).alias("lead"))
-        .where("nid <> lead")
-        .select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b"), "nid")
-        .distinct()
+    payload = staged(
+        table.select(F.col("__uid").alias("nid"), "sig", "elements", (F.length("elements") / 4).cast("long").alias("size")).join(
+            inside.select("nid").distinct(), "nid", "left_semi"
+        ),
+        "payload",
     )
-    sigs = nodes.select("nid", "sig")
-    sets = nodes.select("nid", "elements")
-    tried = _estimate(checkpointed(pairs.select("a", "b").distinct()), sigs)
-    tried = checkpointed(tried)
-    one_way = tried.select(F.col("a").alias("me"), "a", "b", "est").union(tried.select(F.col("b").alias("me"), "a", "b", "est"))
-    seats = inside.select("nid", F.explode(F.array("l0", "l1")).alias("lead")).where("nid <> lead").distinct()
-    mine = one_way.join(seats, (F.col("me") == F.col("nid")) & (F.col("lead") == F.col("a") + F.col("b") - F.col("me")))
-    best = mine.groupBy("me").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "a", "b")), asc=False), 1, TRIES).alias("top"))
-    first = checkpointed(best.select(F.explode("top").alias("p")).select("p.a", "p.b").distinct())
-    links = checkpointed(_verified(first, sets))
-    comps = components(links)
-
-    member = checkpointed(inside.select("nid", "key").join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")))
-    mixed = checkpointed(
-        member.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    )
-    size = nodes.select("nid", "sig", "size")
-    open_ = member.join(mixed, "key").join(size, "nid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine_ = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-    cells = open_.withColumn("blocks", blocks).withColumn("mine", mine_)
-    left = cells.select("key", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "nid", "comp", "size", "sig")
-    right = cells.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "nid", "comp", "size", "sig")
-    more = left.union(right).groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct()
-    return links.union(_verified(checkpointed(more), sets))
+    seats = checkpointed(inside.select(F.col("nid").alias("a"), F.explode(F.array("l0", "l1")).alias("b")).where("a <> b").distinct())
+    best = _estimate(seats, payload).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), asc=False), 1, TRIES).alias("top"))
+    tried = best.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = checkpointed(_verified(checkpointed(tried), payload))
+    comps = components(links).withColumnRenamed("node", "nid")
+
+    member = checkpointed(inside.select("nid", "key").join(comps, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")))
+    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    seen = checkpointed(member.join(checkpointed(mixed), "key"))
+    full = seen.join(payload, "nid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    rest = ["nid", "comp", "size", "sig", "elements"]
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    alone = full.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *rest)
+    left = full.where("blocks > 1").select("key", F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"), *rest)
+    right = full.where("blocks > 1").select("key", every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), *rest)
+    # the work follows the pairs, not the bytes, so the partitions aren't merged by size
+    width = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = alone.union(left).union(right).repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.union(cells.mapInArrow(_across, "a long, b long"))
 
 
 def classes(docs: DataFrame, carried: list[str], weighting: str = "set") -> DataFrame:
@@ -299,14 +340,7 @@ def classes(docs: DataFrame, carried: list[str], weighting: str = "set") -> Data
             F.min("__uid").alias("nid"), F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__uid").alias("uid"))).alias("head")
         )
     )
-    ids = exact.select(F.col("nid").alias("__uid"))
-    nodes = staged(
-        table.where("bands is not null")
-        .join(ids, "__uid", "left_semi")
-        .select(F.col("__uid").alias("nid"), "bands", "sig", "elements", (F.length("elements") / 4).cast("long").alias("size")),
-        "nodes",
-    )
-    comps = components(_links(nodes))
+    comps = components(_links(table, exact.select("nid")))
     placed = checkpointed(exact.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("f1", "f2", F.coalesce("comp", "nid").alias("comp"), "head"))
     heads = checkpointed(placed.groupBy("comp").agg(F.min("head").alias("best")))
     known = checkpointed(placed.join(heads, "comp").select("f1", "f2", F.col("best.id").alias("__class"), F.col("best.uid").alias("__stays")))
