@@ -1,17 +1,341 @@
-"""Registered queries of the note and memory operators, each with its SQL oracle."""
+"""Registered queries of the note and memory operators over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteloom.functions import dynamic, parsing, text
+from noteloom.operators import deltas, digest, evals, graph, memory, notes as note_views, properties, suggest, tasks, templates
+from noteloom.operators.budget import greedy, pack
+from noteloom.operators.postings import token_counts
+from noteloom.operators.search import SearchIndex, dense_top_k
+from noteloom.plans import oracles
+from noteloom.plans.oracles import MARKDOWN, QUERY
+from noteloom.sources import log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes: id docs/<doc_id>, the first two words as title, language and source as tags."""
+    d = table(spark, sf_dir, "documents")
+    title = F.regexp_extract("text", r"^([^ \t\n]+[ \t\n]+[^ \t\n]+)", 1)
+    return d.select(
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.array("lang", "source").alias("tags"),
+        parsing.links("text").alias("links"),
+    )
+
+
+def place_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations as linked notes; a nation links to its region and to the next
+    nation, by name only; nations from 20 on link to nothing."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    following = n.select((F.col("n_nationkey") - 1).alias("k"), F.col("n_name").alias("next"))
+    nations = n.join(r, n.n_regionkey == r.r_regionkey).join(following, F.col("n_nationkey") == F.col("k"), "left")
+    text_of = F.concat_ws(" ", F.concat(F.lit("[[regions/"), "r_name", F.lit("|in]]")), F.concat(F.lit("[["), F.lower("next"), F.lit("#top]]")))
+    made = nations.select(F.concat(F.lit("nations/"), "n_name", F.lit(".md")).alias("path"), F.when(F.col("n_nationkey") < 20, text_of).alias("raw"))
+    return parsing.parse_notes(made.union(r.select(F.concat(F.lit("regions/"), "r_name", F.lit(".md")), F.concat(F.lit("# "), "r_name"))))
+
+
+def markdown_notes(spark: SparkSession) -> DataFrame:
+    return parsing.parse_notes(spark.createDataFrame(MARKDOWN, "path string, raw string"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return SearchIndex(document_notes(spark, sf_dir))
+
+
+def conversation_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "project").otherwise("reference")
+    author = F.when(F.col("role") == "user", "human").otherwise("agent")
+    rows = c.select(
+        kind.alias("type"), F.col("text").alias("content"), F.array("role").alias("tags"), F.concat_ws("|", F.col("conv_id").cast("string"), "role").alias("key"),
+        F.struct(F.concat(F.lit("turn/"), F.col("turn").cast("string")).alias("origin"), author.alias("author"), F.lit("2024-01-01T00:00:00Z").alias("timestamp")).alias("source"),
+        F.lit(None).cast("long").alias("ttl"),
+    )
+    return memory.with_ids(rows).dropDuplicates(["id"])
+
+
+def tokenize_counts(s: SparkSession, d: str) -> DataFrame:
+    return token_counts(table(s, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def token_estimate(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
+
+
+def stable_ids(s: SparkSession, d: str) -> DataFrame:
+    return conversation_memories(s, d).select("id", "type", "key", F.col("source.origin").alias("origin"))
+
+
+def search_lexical(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).lexical(QUERY).select(F.col("id").alias("note_id"), F.col("lex").cast("long").alias("score"))
+
+
+def search_semantic(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).ranked(QUERY, "semantic").select(F.col("id").alias("note_id"), "score")
+
+
+def search_hybrid(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).ranked(QUERY, "hybrid").select(F.col("id").alias("note_id"), "score")
+
+
+def search_topk_budget(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).search(QUERY, "hybrid", token_budget=400, top_k=20)
+
+
+def snippets(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", text.snippet(F.lit(QUERY), "text").alias("snippet"))
+
+
+def fnv_features(s: SparkSession, d: str) -> DataFrame:
+    words = token_counts(table(s, d, "benchmark"), "item_id", "text").select("token").distinct()
+    return words.select("token", F.explode(text.features("token")).alias("feature")).distinct().select("token", "feature", text.fnv1a("feature").alias("hash"), text.bucket("feature").cast("long").alias("bucket"))
+
+
+def recall_budget(s: SparkSession, d: str) -> DataFrame:
+    items, _ = memory.recall(conversation_memories(s, d), QUERY, "user", 900)
+    return items.select("id", "content", F.col("score").cast("long").alias("score"), "token_count")
+
+
+def recall_conflicts(s: SparkSession, d: str) -> DataFrame:
+    _, found = memory.recall(conversation_memories(s, d), QUERY)
+    return found.select("key", F.array_join("memory_ids", ",").alias("memory_ids"))
+
+
+def memory_errors(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations")
+    code = memory.error_code(
+        F.when(F.col("turn") % 5 != 0, "user").otherwise(F.col("role")), F.when(F.col("turn") % 3 == 0, "robot").otherwise("agent"), F.when(F.col("turn") % 7 == 0, " ").otherwise(F.col("text")),
+        F.when(F.col("turn") % 4 == 0, "").otherwise("chat"), F.col("role") != "system",
+    )
+    return c.select("conv_id", "turn", "role", code.alias("code"))
+
+
+def _event_notes(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select(F.concat(F.lit("events/"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("title"), F.try_parse_json("props").alias("frontmatter"))
+
+
+def props_filter(s: SparkSession, d: str) -> DataFrame:
+    f = [dynamic.Filter("k", "gte", 10), dynamic.Filter("k", "lt", 40), dynamic.Filter("k", "ne", 17), dynamic.Filter("zz", "not_exists")]
+    return properties.properties_query(_event_notes(s, d), f, ["k"], limit=200, token_budget=1500).select("note_id", "title", "token_count")
+
+
+def props_sort_desc(s: SparkSession, d: str) -> DataFrame:
+    return properties.properties_query(_event_notes(s, d), [dynamic.Filter("k", "exists")], ["k"], "k", True, 75).select("note_id", "title", "properties")
+
+
+def dense_topk(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return dense_top_k(e, e.orderBy("vec_id").limit(1), 25).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def graph_links(s: SparkSession, d: str) -> DataFrame:
+    return graph.edges(place_notes(s, d)).select("src", "dst", F.col("pos").cast("long").alias("pos"))
+
+
+def graph_backlinks(s: SparkSession, d: str) -> DataFrame:
+    return graph.graph_query(place_notes(s, d), "regions/ASIA", "backlinks")
+
+
+def graph_bfs(s: SparkSession, d: str) -> DataFrame:
+    return graph.neighbors(graph.edges(place_notes(s, d)), "nations/NATION_7", 3).select("note_id", F.col("depth").cast("long").alias("depth"))
+
+
+def graph_orphans(s: SparkSession, d: str) -> DataFrame:
+    return graph.orphans(place_notes(s, d))
+
+
+def suggest_links(s: SparkSession, d: str) -> DataFrame:
+    found = suggest.suggest_links(document_notes(s, d), "docs/1", top_k=15, min_score=0.2, token_budget=600)
+    return found.select("note_id", "title", "score", F.array_join("reasons", ",").alias("reasons"), "snippet", "token_count")
+
+
+def _retrieved(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("doc_id", "lang", "text")
+    hits = memory.lexical_scores(docs, QUERY, "doc_id", "text").where("score >= 5").withColumnRenamed("id", "doc_id")
+    return docs.join(hits, "doc_id").select("lang", F.col("doc_id").alias("id"), text.estimate_tokens("text").alias("token_count"))
+
+
+def _relevant(s: SparkSession, d: str) -> DataFrame:
+    good = table(s, d, "labels").where("quality = 1").select("doc_id")
+    return table(s, d, "documents").join(good, "doc_id", "left_semi").select("lang", F.col("doc_id").alias("id"))
+
+
+def eval_prf1(s: SparkSession, d: str) -> DataFrame:
+    return evals.prf(_retrieved(s, d), _relevant(s, d), ["lang"])
+
+
+def token_efficiency(s: SparkSession, d: str) -> DataFrame:
+    return evals.token_efficiency(_retrieved(s, d), _relevant(s, d), ["lang"])
+
+
+def eval_averages(s: SparkSession, d: str) -> DataFrame:
+    rounded = evals.averages(evals.prf(_retrieved(s, d), _relevant(s, d), ["lang"]), ["precision", "recall", "f1"])
+    return rounded.select(*[F.round(c, 9).alias(c) for c in rounded.columns])
+
+
+def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item's best document by lexical score, ties by doc_id: many queries at once."""
+    asked = token_counts(table(s, d, "benchmark"), "item_id", "text").select(F.col("id").alias("item_id"), "token", F.col("n").alias("q"))
+    held = token_counts(table(s, d, "documents"), "doc_id", "text")
+    scores = held.join(asked, "token").groupBy("item_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("q") * F.col("n")).alias("score"))
+    best = scores.groupBy("item_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("b"))
+    return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.col("b.score").alias("score"))
+
+
+def scan_delta(s: SparkSession, d: str) -> DataFrame:
+    keyed = table(s, d, "documents").select(F.concat(F.lit("n:"), F.col("doc_id").cast("string")).alias("key"), F.sha2("text", 256).alias("hash"), "doc_id")
+    shadow = keyed.where("doc_id % 2 = 0").select("key", F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("hash")).alias("hash"))
+    gone = shadow.where(F.substring("key", -1, 1) == "4").select(F.concat("key", F.lit("-gone")).alias("key"), "hash")
+    return deltas.scan_delta(keyed.select("key", "hash"), shadow.union(gone))
+
+
+def _log_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("props").alias("body"))
+
+
+def log_resume(s: SparkSession, d: str) -> DataFrame:
+    rows = _log_rows(s, d)
+    return log.fresh_rows(rows.union(rows.where("seq % 3 = 0")), 150).select("seq", "body")
+
+
+def log_compact(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    folded = e.where("event_id <= 500").groupBy("user_id").agg(F.max("event_id").alias("seq")).select("seq", F.lit("snapshot").alias("body"))
+    return log.compacted(folded, _log_rows(s, d).select("seq", "body"), 500)
+
+
+def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").where("event_id < 400")
+    parts = e.select((F.col("event_id").cast("long") - F.col("event_id") % 4).alias("upto"), (F.col("event_id") % 4).alias("idx"), F.lit(4).cast("long").alias("of")).where("upto % 16 <> 8 OR idx <> 2")
+    return log.complete_snapshots(parts.union(parts))
+
+
+def _presence_rows(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_type") == "error").alias("gone"), F.col("event_id").alias("seq"), F.col("event_type").alias("note_id"))
+
+
+def presence_lww(s: SparkSession, d: str) -> DataFrame:
+    return deltas.presence_state(_presence_rows(s, d)).select("device", "ts", "note_id", "seq")
+
+
+def presence_ttl(s: SparkSession, d: str) -> DataFrame:
+    rows = _presence_rows(s, d)
+    now = rows.agg(F.max("ts")).first()[0] or 0
+    return deltas.presence_alive(deltas.presence_state(rows), now, 86_400_000).select("device", "ts")
+
+
+def presence_sessions(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    grouped = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return grouped.select("user_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "n")
+
+
+def _entitlement_events(s: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "trialing").when(F.col("event_type") == "purchase", "past_due").otherwise("canceled")
+    kind = F.when(F.col("event_type") == "error", "subscription.deleted").otherwise("subscription.updated")
+    return table(s, d, "events").select(
+        F.col("user_id").alias("vault"), "event_id", kind.alias("type"), status.alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created"), (F.col("event_id") * 1000).alias("quota_bytes")
+    )
+
+
+def entitlement_fold(s: SparkSession, d: str) -> DataFrame:
+    return deltas.entitlement_fold(_entitlement_events(s, d)).select("vault", "event_id", "status", "quota_bytes")
+
+
+def quota_join(s: SparkSession, d: str) -> DataFrame:
+    usage = table(s, d, "events").groupBy(F.col("user_id").alias("vault")).agg(F.sum(F.length("props") * 1_000_000).cast("long").alias("used"))
+    granted = table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("long").alias("vault"), (F.col("c_custkey") * 1_000_000).cast("long").alias("quota_bytes"))
+    return deltas.quota_check(usage, granted)
+
+
+def audit_recent(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select("event_id", "event_type", "user_id").orderBy(F.desc("event_id")).limit(50)
+
+
+def version_diff(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("note_id"), F.col("o_orderstatus").alias("raw"), F.col("o_orderkey").alias("k"))
+    before = o.where("k % 3 <> 0").select("note_id", "raw")
+    after = o.where("k % 5 <> 0").select("note_id", F.concat(F.lit("x"), "raw").alias("raw"))
+    return deltas.version_diff(before, after)
+
+
+def status_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+def state_vector(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return deltas.state_vector(e.select((F.col("user_id") % 50).alias("item"), F.col("event_type").alias("client"), F.col("event_id").alias("clock")))
+
+
+def tombstones(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select((F.col("user_id") % 50).alias("item"), F.col("event_type").alias("client"), F.col("event_id").alias("clock"))
+    docs = deltas.state_vector(e.where("clock % 2 = 0"))
+    return deltas.covered(docs, deltas.state_vector(e.where("item % 3 <> 0")))
+
+
+def pack_parts(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "benchmark").select("item_id", F.octet_length("text").alias("size"))
+    return pack(rows, 1000, "size", [F.asc("item_id")]).select("item_id", F.col("part").cast("long").alias("part"))
+
+
+def budget_by_language(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("lang", "doc_id", text.estimate_tokens("text").alias("cost"))
+    return greedy(docs.where("doc_id % 40 = 0"), 2500, "cost", [F.desc("cost"), F.asc("doc_id")], ["lang"]).select("lang", "doc_id", "cost")
+
+
+def note_parse(s: SparkSession, d: str) -> DataFrame:
+    n = markdown_notes(s)
+    heads = F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h.level.cast("string"), h.text, h.slug)), ";")
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("|", x.target, F.coalesce(x.heading, F.lit("-")), F.coalesce(x.block, F.lit("-")), F.coalesce(x["alias"], F.lit("-")))), ";")
+    return n.select("id", "title", heads.alias("headings"), links.alias("links"), F.array_join("tags", ",").alias("tags"), F.length("content").cast("long").alias("length"))
+
+
+def task_extract(s: SparkSession, d: str) -> DataFrame:
+    found = tasks.list_tasks(markdown_notes(s), limit=1000)
+    return found.select("note_id", F.col("line").cast("long").alias("line"), "text", "done", "due", F.array_join("tags", ",").alias("tags"), "token_count")
+
+
+def note_outline(s: SparkSession, d: str) -> DataFrame:
+    return note_views.get_notes(markdown_notes(s), "outline", 6)
+
+
+def template_schema(s: SparkSession, d: str) -> DataFrame:
+    return templates.templates(markdown_notes(s).select(F.col("id").alias("name"), "raw")).select("name", F.array_join("vars", ",").alias("vars"))
+
+
+def vault_digest(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    audit = e.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("action"), F.format_string("v_%08d", "event_id").alias("version_id"))
+    return digest.digest(markdown_notes(s), audit, "2026-07-30", "2026-08-15")
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    found = [
+        tokenize_counts, token_estimate, stable_ids, search_lexical, search_semantic, search_hybrid, search_topk_budget, snippets, fnv_features, recall_budget, recall_conflicts, memory_errors,
+        props_filter, props_sort_desc, dense_topk, graph_links, graph_backlinks, graph_bfs, graph_orphans, suggest_links, eval_prf1, token_efficiency, eval_averages, benchmark_recall, scan_delta,
+        log_resume, log_compact, snapshot_complete, presence_lww, presence_ttl, presence_sessions, entitlement_fold, quota_join, audit_recent, version_diff, status_counts, state_vector, tombstones,
+        pack_parts, budget_by_language, note_parse, task_extract, note_outline, template_schema, vault_digest,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: a hybrid search with top-k and token budget."""
+    return search_topk_budget(spark, sf_dir)
