@@ -36,28 +36,38 @@ FEMALE_GIVEN_CYRILLIC = ["Анна", "Белла", "Вера", "Галина", "
 SYLLABLES = ["ba", "del", "for", "gan", "hol", "ker", "lin", "mor", "nal", "per", "ros", "sel", "tan", "ver", "wil", "zan"]
 SYLLABLES_CYRILLIC = ["ба", "дел", "фор", "ган", "хол", "кер", "лин", "мор", "нал", "пер", "рос", "сел", "тан", "вер", "вил", "зан"]
 
-_EMAIL = r"(?<![\w.%+-])[\w%+-][\w.%+-]*+@[\w-]++(?:\.[\w-]++)*\.[A-Za-z]{2,}+"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
+# Each alternative begins with a cheap look at one character, so most places fail at once.
+_L, _W = r"\p{L}", r"[\p{L}\p{N}_]"
+_EMAIL = rf"(?<![\p{{L}}\p{{N}}_.%+-])[\p{{L}}\p{{N}}_%+-][\p{{L}}\p{{N}}_.%+-]*+@[\p{{L}}\p{{N}}_-]++(?:\.[\p{{L}}\p{{N}}_-]++)*\.[A-Za-z]{{2,}}+"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.]){_OCTET}(?:\.{_OCTET}){{3}}(?!{_W}|\.[0-9])"
+_KEYWORD = r"(?i:token|secret|password|passwd|api[_-]?key)"
 _SECRET = (
-    r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])"
-    r"|(?<=(?i:token|secret|password|passwd|api[_-]?key)[ ]{0,1}[=:][ ]{0,1}[\"']{0,1})[^\s\"',;]{6,128}"
+    r"(?=[0-9A-Fa-f])(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
+    r"|(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])"
+    rf"|(?<=[=:]|[=:][ \"']|[=:] [\"'])(?<={_KEYWORD}[ ]{{0,1}}[=:][ ]{{0,1}}[\"']{{0,1}})[^\s\"',;]{{6,128}}"
 )
-_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+_SSN = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}_-])"
 _PHONE = (
-    r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
-    r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    rf"(?=\+)(?<!{_W})\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{2,4}}(?!{_W})"
+    rf"|(?=[(0-9])(?<!{_W})(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?!{_W})"
 )
-_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?!\w)"
-_CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"
-_TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
-_NAME = rf"(?<!\w)(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
-_HAN_NAME = r"\p{IsHan}{2,3}(?=先生|女士|小姐)"
+_IBAN = rf"(?=[A-Z])(?<!{_W})[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,6}}(?: ?[0-9]{{1,3}})?(?!{_W})"
+_CARD = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.])[0-9](?:[ -]?[0-9]){{12,18}}(?!{_W})"
+_TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
+_TITLE = "|".join(_TITLES)
+_FIRST = "".join(sorted({t[0] for t in _TITLES}))
+_NAME = rf"(?=[{_FIRST}])(?<!{_W})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+_HAN_NAME = r"(?=\p{IsHan})\p{IsHan}{2,3}(?=先生|女士|小姐)"
 #: The pattern of all mentions.
-PATTERN = "(?U)" + "|".join([_EMAIL, _SECRET, _IP, _SSN, _PHONE, _IBAN, _CARD, _NAME, _HAN_NAME])
-#: Texts that lack all of these hold no mention; a cheaper scan than the pattern.
-_HINT = rf"[0-9@]|先生|女士|小姐|(?:{_TITLE})\.? |(?i:token|secret|password|passwd|api[_-]?key) ?[=:]"
+PATTERN = "|".join([_IP, _SECRET, _SSN, _PHONE, _IBAN, _CARD, _NAME, _HAN_NAME, _EMAIL])
+_TITLED = rf"[{_FIRST}](?<=(?<!{_W})[{_FIRST}])(?:{'|'.join(t[1:] for t in _TITLES)})\.? \p{{Lu}}"
+
+
+def may_hold_mentions(text: Column) -> Column:
+    """A cheaper scan than the pattern: texts that fail it hold no mention."""
+    assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    return text.rlike("[0-9@]") | (assigned & text.rlike(_KEYWORD)) | text.rlike(_TITLED) | text.rlike("[先女小][生士姐]")
 
 
 def _quote(pattern: str) -> str:
@@ -81,7 +91,7 @@ def parts_sql(m: str) -> str:
       WHEN contains({m}, '@') THEN array(
         {part("''", "'email'", f"lower({m})", f"substring_index({m}, '@', 1)")},
         {part("'@'", "'domain'", f"lower(substring_index({m}, '@', -1))", f"substring_index({m}, '@', -1)")})
-      WHEN {m} RLIKE {_quote("^" + _IP.replace(r"(?<![\w.])", "").replace(r"(?!\w|\.\d)", "") + "$")} THEN array({part("''", "'ip'", m, m)})
+      WHEN {m} RLIKE {_quote(rf"^{_OCTET}([.]{_OCTET}){{3}}$")} THEN array({part("''", "'ip'", m, m)})
       WHEN {m} RLIKE {_quote(r"^([0-9a-f]{32,}|[0-9A-F]{32,})$")} THEN array({part("''", "'hex'", f"lower({m})", m)})
       WHEN {m} RLIKE {_quote(r"^[A-Z]{2}\d{2}[ \d]+$")} THEN array({part(f"substring({m}, 1, 2)", "'iban'", digits, f"substring({m}, 3)")})
       WHEN {m} RLIKE {_quote(r"^\d{3}-\d{2}-\d{4}$")} THEN array({part("''", "'ssn'", digits, m)})
@@ -187,7 +197,7 @@ def pseudonymise(docs: DataFrame, key: str, entities: str | None = None) -> Data
     """
     struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     text = F.col("text").cast("string")
-    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(may_hold_mentions(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(struct, text.alias("__text"), found.alias("__found"))
     clean = rows.where("coalesce(size(__found), 0) <= 0").select("__row", F.lit(0).cast("long").alias("__n"))
     hits = staged(rows.where("size(__found) > 0").withColumn("__uid", F.monotonically_increasing_id()), "mentions")
