@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import html_extract, minhash, mixing, pii, quality_gam, quality_rules, rollup, sentencepieces, shards
+from noteloom.llm import html_extract, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards
 from noteloom.llm.common import new_dir, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
@@ -68,6 +68,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "text", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
 
 
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50, whole, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked, k=10)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -79,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_token_shards": op8_token_shards,
         "op9_source_mixing": op9_source_mixing,
+        "op10_bm25_search": op10_bm25_search,
     }
 
 
