@@ -1,0 +1,114 @@
+"""Mixing, surrogates and search against brute force."""
+
+import collections
+import math
+import re
+
+import duckdb
+import pytest
+
+from noteloom.llm import mixing, pii, search
+
+
+def test_mixing_equals_oracle(spark, tmp_path):
+    rows = [(i, f"t{i}", "en", "big" if i % 3 else f"s{i % 5}") for i in range(400)] + [(None, "x", None, None), (7, "other", "en", "s2"), (7, "other", "en", "s2x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"file://{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    cur = con.execute(mixing.oracle_sql())
+    names = [d[0] for d in cur.description]
+    out = mixing.replicate(df).withColumnRenamed("__copy", "copy").withColumnRenamed("__order", "shuffle_key")
+    assert sorted(map(tuple, out.select(*names).collect()), key=str) == sorted(cur.fetchall(), key=str)
+
+
+def test_mixing_meets_targets(spark):
+    df = spark.createDataFrame([(i, "t", "a" if i < 9000 else "b", "keep") for i in range(10_000)], "doc_id long, text string, source string, __n string")
+    out = mixing.mix(df, {"a": 1.0, "b": 3.0}, rows=20_000)
+    assert out.columns == df.columns
+    n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["a"] - 5000) < 300 and abs(n["b"] - 15_000) < 500
+    per = [r["count"] for r in out.where("source = 'b'").groupBy("doc_id").count().collect()]
+    mean = sum(per) / 1000
+    assert abs(sum(x * x for x in per) / 1000 - mean**2 - 15) < 3  # a Poisson variable's variance is its mean
+    assert out.where("source = 'c'").count() == 0 and mixing.mix(df.where("false")).count() == 0
+    assert mixing.mix(df.limit(3), {"zz": 1.0}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": -1.0})
+
+
+def test_large_means_come_in_pieces(spark):
+    df = spark.createDataFrame([(i, "t", "a") for i in range(30)], "doc_id long, text string, source string")
+    n = mixing.mix(df, {"a": 1.0}, rows=30 * 900).count()
+    assert abs(n - 27_000) < 700
+
+
+SAMPLES = [
+    "Mail und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM!! call +1 (017) 555-7713 now", "again und.34@mail7.example.com and +1 (017) 555-7713.", "ip 97.51.17.173%%% card 9807915762804490, 4917-4842-9999-1234",
+    'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" SSN 123-45-6789', "Mr. John Smith met Mrs Anna Smith; Г-жа Анна Иванова. 王小明先生 hi", "password: hunter2secret!", "IBAN DE89370400440532013000.",
+]
+PRIVATE = ["und.34", "mail7", "UND.34", "555-7713", "97.51.17.173", "9807915762804490", "4917-4842", "9b0b3c6a", "123-45-6789", "John", "Smith", "Анна", "Иванова", "王小明", "hunter2", "89370400"]
+
+
+def scrub(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.text for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def test_surrogates(spark):
+    clean = ["no data 2024 in v3.1.2, 12 of 14", "", None, "a: b = c, Herr der Ringe", "tel 12345", "x@y no mail"]
+    out = scrub(spark, SAMPLES + clean)
+    assert out[len(SAMPLES) :] == clean
+    joined = "\n".join(out[: len(SAMPLES)])
+    assert not [p for p in PRIVATE if p in joined]
+    mail = re.search(r"Mail (\S+) or (\S+)!!", out[0])
+    assert mail[2] == mail[1].upper() and mail[1] in out[1]  # one entity, its case kept
+    phone = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", out[0])[0]
+    assert phone in out[1]
+    assert re.search(r'token = "[0-9a-f]{40}" SSN \d{3}-\d\d-\d{4}', out[3]) and re.search(r"card \d{16}, \d{4}-\d{4}-\d{4}-\d{4}", out[2])
+    m = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+); Г-жа ([А-я]+) ([А-я]+)\. (\w+)先生 hi", out[4])
+    assert m[2] == m[4] and m[1] in pii.MALE_GIVEN and m[3] in pii.FEMALE_GIVEN and m[5] in pii.FEMALE_GIVEN_CYRILLIC
+    assert scrub(spark, SAMPLES) == out[: len(SAMPLES)] != scrub(spark, SAMPLES, "other")
+
+
+def test_distinct_entities_stay_distinct(spark):
+    texts = [f"Mr. {a}{b} Jones" for a in "ABCDEFGHIJ" for b in ("lan", "ron", "tim", "bert", "mund")] + [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = scrub(spark, texts)
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
+def test_surrogates_keep_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.org", "x"), (1, "a@b.org", "x"), (None, None, None), (2, "long " * 50_000 + "a@b.org", "y")], "doc_id int, text string, __row string")
+    out = pii.pseudonymise(df, "k", entities="n")
+    rows = out.orderBy("doc_id").collect()
+    assert out.columns == ["doc_id", "text", "__row", "n"] and [r.n for r in rows] == [0, 1, 1, 1] and rows[1].text == rows[2].text and len(rows[3].text) > 200_000
+    assert pii.pseudonymise(df.where("false"), "k").count() == 0
+
+
+def test_search_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(900, None), (901, ""), (902, "unseen zzzz"), (903, "unseen zzzz"), (None, "unseen zzzz"), (50, "unseen")], "doc_id long, text string")
+    docs = docs.union(extra)
+    queries = docs.where("doc_id % 50 = 0 OR doc_id > 899").selectExpr("doc_id query_id", "text", "1 score")
+    got = collections.defaultdict(list)
+    for r in search.top_k(docs, queries, k=7, shard_docs=32).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.doc_id, r.score))
+    word = re.compile("[a-z0-9\u0080-\U0010ffff]+")
+    rows = [(r.doc_id, collections.Counter(word.findall((r.text or "").lower()))) for r in docs.collect()]
+    mean = sum(sum(c.values()) for _, c in rows) / len(rows)
+    df = collections.Counter(w for _, c in rows for w in c)
+    asked = collections.defaultdict(collections.Counter)
+    for r in queries.collect():
+        asked[r.query_id].update(word.findall((r.text or "").lower()))
+    assert {q for q, c in asked.items() if c} == set(got)
+    for q, hits in got.items():
+        scored = []
+        for d, c in rows:
+            n = sum(c.values())
+            s = sum(m * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w, m in asked[q].items() if c[w])
+            if s > 0:
+                scored.append((round(s, 6), d))
+        best = sorted((s for s, _ in scored), reverse=True)[:7]
+        assert [round(s, 6) for _, s in hits] == pytest.approx(best, abs=2e-6)
+        assert hits == sorted(hits, key=lambda h: (-h[1], h[0] is None, h[0]))
+    assert search.top_k(docs.where("false"), queries).count() == 0 and search.top_k(docs, queries.where("false")).count() == 0
