@@ -14,7 +14,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,10 @@ def count_tokens(docs: DataFrame, model_path: str, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                cols = [batch.column(i).slice(lo, len(part)) for i in range(3)]
-                cols += [pa.array([tokenizer] * len(part)), pa.array(table.count(part), pa.int64()), pa.array([len(t or "") for t in part], pa.int64())]
+            chars = pc.fill_null(pc.utf8_length(batch.column(3)), 0).cast(pa.int64())
+            for lo, hi, _, at in table.encode_column(batch.column(3)):
+                cols = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
+                cols += [pa.array([tokenizer] * (hi - lo)), pa.array(np.diff(at)), chars.slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))

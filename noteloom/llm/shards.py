@@ -6,10 +6,9 @@ slot: a balanced Feistel network on the next even number of bits, walked until i
 holds the slots k * per_shard and on, each ``length`` ids of ``width`` bytes, so a reader
 finds slot i by one division and resumes from any slot.
 
-Two passes over the texts: the first counts ids for each partition (a row a partition is all that the
-driver sees), which fixes N and each partition's place in the stream; the second makes the sequences.
-Tokenising twice costs less disk than keeping the ids, and the second pass proves that it saw the same
-partitions: counts and checksums must agree, or the job fails.
+The ids are made once and staged, compressed, as runs of consecutive ids; the driver sees a row for each
+partition of them, which fixes N and every run's place in the stream. Then each run is cut at the sequence
+boundaries, and the pieces go to the range partition of their slot.
 
 A shard is written under a name of its own attempt and renamed, so a repeated task replaces the
 file by an equal one.
@@ -19,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import staged
 from noteloom.llm.sentencepieces import ChunkTable, check_model
 
 LENGTH = 2048
@@ -58,77 +57,50 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], table: ChunkTable) -> Iterator[list[bytes]]:
-    end = array(table.code, [table.model.eos_id()]).tobytes()
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo in range(0, len(texts), 512):
-            yield [ids + end for ids in table.encode(texts[lo : lo + 512])]
-
-
-def _counts(docs: DataFrame, model_path: str) -> list[tuple[int, int, int]]:
-    """(partition, ids, checksum) of each partition of the documents."""
+def token_runs(docs: DataFrame, model_path: str) -> DataFrame:
+    """(part, before, n, ids): compressed runs of ids, end ids included, and the ids of their partition before each."""
+    check_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, check = ChunkTable(model_path), 0, 0
-        for texts in _streams(batches, table):
-            for ids in texts:
-                n += len(ids) // table.width
-                check = zlib.crc32(len(ids).to_bytes(8, "little"), check)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([check], pa.int64())], names=["p", "n", "c"])
+        table, before, part = ChunkTable(model_path), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for lo, hi, flat, at in table.encode_column(batch.column(0)):
+                n = hi - lo
+                out = np.empty(len(flat) + n, table.kind)
+                ends = at[1:] + np.arange(n)
+                body = np.ones(len(out), bool)
+                body[ends] = False
+                out[ends], out[body] = table.eos, flat
+                packed = pa.Codec("zstd", compression_level=6).compress(out.tobytes(), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([packed], pa.binary())], names=["part", "before", "n", "ids"])
+                before += len(out)
 
-    return sorted(tuple(r) for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "p int, n long, c long").collect())
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, before long, n long, ids binary")
 
 
 def sequences(docs: DataFrame, model_path: str, key: int, length: int = LENGTH) -> tuple[DataFrame, int]:
     """(fragments, N): rows (slot, seq, pos, ids) of compressed pieces; a sequence has one or, where it
-    crosses partitions, more of them, in the order of pos."""
-    check_model(model_path)
-    counts = _counts(docs, model_path)
-    begin, at = {}, 0
-    for p, n, c in counts:
-        begin[p] = (at, n, c)
-        at += n
+    crosses runs, more of them, in the order of pos."""
+    runs = staged(token_runs(docs, model_path), "token-runs")
+    base, at = {}, 0
+    for r in runs.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        base[r.part] = at
+        at += r.n
     total = -(-at // length)
+    width = ChunkTable(model_path, 1).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
-        table, n, check = ChunkTable(model_path), 0, 0
-        start, expected, expected_check = begin.get(p, (0, 0, 0))
-        rest, place = b"", start
-
-        def cut(data: bytes, place: int, last: bool):
-            seqs, poss, parts, used = [], [], [], 0
-            while used < len(data):
-                here = place + used // table.width
-                room = (length - here % length) * table.width
-                if len(data) - used < room and not last:
-                    break
-                piece = data[used : used + room]
-                seqs.append(here // length)
-                poss.append(here % length)
-                parts.append(zlib.compress(piece, 1))
-                used += len(piece)
-            slot = feistel(np.array(seqs, np.int64), total, key)
-            out = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(seqs, pa.int64()), pa.array(poss, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "seq", "pos", "ids"])
-            return out, used
-
-        for texts in _streams(batches, table):
-            for ids in texts:
-                n += len(ids) // table.width
-                check = zlib.crc32(len(ids).to_bytes(8, "little"), check)
-            rest += b"".join(texts)
-            out, used = cut(rest, place, False)
-            place += used // table.width
-            rest = rest[used:]
-            if out.num_rows:
-                yield out
-        if rest:
-            yield cut(rest, place, True)[0]
-        if (n, check) != (expected, expected_check):
-            raise RuntimeError(f"partition {p} changed between the passes; write the documents as a table first")
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long, seq long, pos int, ids binary"), total
+        for batch in batches:
+            for part, before, n, ids in zip(*(batch.column(k).to_pylist() for k in ("part", "before", "n", "ids")), strict=True):
+                data = pa.Codec("zstd").decompress(ids, decompressed_size=n * width, asbytes=True)
+                start = base[part] + before
+                cuts = np.unique(np.concatenate([[start], np.arange(-(-start // length) * length, start + n, length), [start + n]]))
+                seq = cuts[:-1] // length
+                pieces = [zlib.compress(data[(a - start) * width : (b - start) * width], 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                cols = [pa.array(feistel(seq, total, key)), pa.array(seq), pa.array((cuts[:-1] % length).astype(np.int32)), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["slot", "seq", "pos", "ids"])
+
+    return runs.mapInArrow(run, "slot long, seq long, pos int, ids binary"), total
 
 
 def write_shards(docs: DataFrame, model_path: str, out_dir: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -148,7 +120,7 @@ def write_shards(docs: DataFrame, model_path: str, out_dir: str, key: int, lengt
 
         store, base = fs.FileSystem.from_uri(out_dir)
         table = ChunkTable(model_path, 1)
-        width, end = table.width, array(table.code, [table.model.eos_id()]).tobytes()
+        width, end = table.width, np.array([table.eos], table.kind).tobytes()
         attempt = TaskContext.get().taskAttemptId()
         sink = name = None
         open_slot, rows = None, []
