@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,34 @@ OWN_DIR = ".noteloom"
 _PATHS_PER_READ = 20_000
 
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _binary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    empty = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    out = empty
-    for lo in range(0, len(paths), _PATHS_PER_READ):
-        out = out.unionByName(spark.read.format("binaryFile").load(paths[lo : lo + _PATHS_PER_READ]))
+    """(path, modificationTime, length, content) of files; those that Spark's reader hides are read by Arrow."""
+    hidden = [p for p in paths if p.rsplit("/", 1)[-1].startswith(("_", "."))]
+    plain = sorted(set(paths) - set(hidden))
+    out = spark.createDataFrame([], _FILES)
+    for lo in range(0, len(plain), _PATHS_PER_READ):
+        out = out.unionByName(spark.read.format("binaryFile").load(plain[lo : lo + _PATHS_PER_READ]))
+    if hidden:
+        out = out.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(_read_hidden, _FILES))
     return out
 
 
+def _read_hidden(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in frames:
+        rows = []
+        for path in pdf["path"]:
+            store, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path)
+            info = store.get_file_info(place)
+            with store.open_input_stream(place) as f:
+                rows.append((path, pd.Timestamp(info.mtime), info.size, f.read()))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+
+
 def scan(spark: SparkSession, root: str, own_dir: str = OWN_DIR, lossy: bool = False) -> DataFrame:
     """(path, raw, mtime_ms, size) of all notes below ``root``, paths relative to it.
 
