@@ -86,6 +86,25 @@ class SequencedLog:
                 self.files.delete(name)
         self._drop_covered(upto)
 
+    def stage_part(self, upto: int, idx: int, blob: bytes) -> None:
+        """Take one part of a snapshot that comes in chunks; parts come in order, part 0 starts anew."""
+        if len(blob) > PART_BYTES:
+            raise EngineError("INVALID_INPUT", "A snapshot part is too large.", "Cut it into smaller parts.")
+        if idx == 0:
+            self.files.delete(f"staged-{upto:020d}")
+        have = len(self.files.names(f"staged-{upto:020d}"))
+        if idx != have:
+            raise EngineError("INVALID_INPUT", f"Part {idx} came where part {have} was due.", "Send the parts in order.")
+        self.spark.createDataFrame([(idx, bytearray(blob))], "idx int, blob binary").coalesce(1).write.parquet(f"{self.root}/staged-{upto:020d}/part-{idx:08d}")
+
+    def commit_staged(self, upto: int, of: int) -> None:
+        """Compact with the staged parts if all of them are there; otherwise nothing changes."""
+        names = self.files.names(f"staged-{upto:020d}")
+        if len(names) != of or not of:
+            raise EngineError("INVALID_INPUT", f"{len(names)} of {of} parts are there.", "Send the missing parts first.")
+        self.compact(upto, self.spark.read.schema("idx int, blob binary").parquet(*[f"{self.root}/staged-{upto:020d}/{n}" for n in names]))
+        self.files.delete(f"staged-{upto:020d}")
+
     def _drop_covered(self, upto: int) -> None:
         for name in self.files.names():
             if name.startswith("batch-"):

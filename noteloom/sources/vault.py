@@ -59,7 +59,7 @@ def scan(spark: SparkSession, root: str, own_dir: str = OWN_DIR, lossy: bool = F
     """
     base = root.rstrip("/")
     files = list(Files(spark, base).walk(".md", own_dir))
-    text = F.decode("content", F.lit("UTF-8")) if lossy else F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.make_valid_utf8(F.col("content").cast("string")) if lossy else F.try_validate_utf8(F.col("content").cast("string"))
     rows = _binary(spark, files).select("path", text.alias("raw"), (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"))
     plain = base.split(":", 1)[-1].lstrip("/") if ":" in base else base.lstrip("/")
     relative = F.regexp_replace(F.expr(f"substring(path, locate({_lit(plain + '/')}, path) + {len(plain) + 1})"), "%20", " ")

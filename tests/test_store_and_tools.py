@@ -95,6 +95,7 @@ def test_vault_and_tools(spark, tmp_path):
     (v / "bad.md").write_bytes(b"\xff\xfe")
     assert sorted(r.path for r in vault.scan(spark, f"file://{v}").collect()) == [".hidden/_b.md", "a.md", "sub/b.md"]
     assert vault.scan(spark, f"file://{tmp_path}/none").count() == 0
+    assert "bad.md" in {r.path for r in vault.scan(spark, f"file://{v}", lossy=True).collect()}
     assert [r.content for r in vault.memories(spark, f"file://{v}").collect()] == ["likes tea"]
 
     e = Engine(spark, f"file://{tmp_path}/engine")
@@ -147,6 +148,12 @@ def test_sequenced_log(spark, tmp_path):
     snap, tail = log.resume(1)
     assert snap.count() == 1 and [r.seq for r in tail.collect()] == [4, 5]
     assert log.resume(4)[0] is None and log.append(rows(9)) == 14 and code(log.append, rows(1)) == "IO_ERROR"
+    log.stage_part(12, 0, b"old")
+    log.stage_part(12, 0, b"p0")
+    assert code(log.stage_part, 12, 2, b"x") == "INVALID_INPUT" == code(log.commit_staged, 12, 2) and log.snapshot_seq() == 3
+    log.stage_part(12, 1, b"p1")
+    log.commit_staged(12, 2)
+    assert [bytes(r.blob) for r in log.resume(0)[0].collect()] == [b"p0", b"p1"] and [r.seq for r in log.resume(0)[1].collect()] == [13, 14]
     sets = spark.createDataFrame([(7, 0, 2), (7, 1, 2), (7, 1, 2), (8, 0, 2), (9, 2, 2), (9, 1, 2)], "upto long, idx int, of int")
     assert [r.upto for r in complete_snapshots(sets).collect()] == [7]
 
