@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FALLBACK: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +49,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
+def new_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path under the shared folder, removed when the driver ends, or by ``release`` unless ``keep``."""
     path = f"{shared_dir(spark)}/noteloom/{label}-{uuid.uuid4().hex}"
     atexit.register(_quietly_remove, spark, path)
+    if not keep:
+        _SCRATCH.append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what operators have staged so far; their results must have been written elsewhere by then."""
+    while _SCRATCH:
+        remove(spark, _SCRATCH.pop())
+
+
 def _quietly_remove(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -59,18 +71,65 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a place that outlives any executor, and the written columns can be
     pruned by later readers, which a checkpointed RDD cannot.
     """
     spark = df.sparkSession
-    path = new_dir(spark, label)
-    df.write.parquet(path)
+    path = new_dir(spark, label, keep)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Staged partitions whose kept rows share one side file.
+_SIDE_BITS = 4
+
+
+def rows_kept(table: DataFrame, uids: DataFrame, columns: list[Column], then: Callable | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of a staged ``table`` whose __uid (monotonically_increasing_id) is in ``uids`` (__uid), without a shuffle of the table.
+
+    The ids are written in the shared folder by the partition that their upper bits name; a task reads the
+    side files of its own rows only. ``then`` maps record batches of the kept rows (columns, without __uid) to batches
+    of ``schema``.
+    """
+    side = new_dir(table.sparkSession, "side")
+    group = F.shiftright("__uid", 33 + _SIDE_BITS).alias("g")
+    uids.select("__uid", group).repartition("g").sortWithinPartitions("g", "__uid").write.partitionBy("g").parquet(side)
+    rows = table.select("__uid", *columns)
+    out = T.StructType(rows.schema.fields[1:]) if schema is None else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(side)
+        known: dict[int, np.ndarray] = {}
+
+        def ids_of(g: int) -> np.ndarray:
+            if g not in known:
+                known.clear()
+                files = store.get_file_info(fs.FileSelector(f"{base}/g={g}", allow_not_found=True))
+                parts = [pq.read_table(store.open_input_file(f.path), columns=["__uid"]).column(0).to_numpy() for f in files if f.path.endswith(".parquet")]
+                known[g] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            return known[g]
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                uid = batch.column(0).to_numpy()
+                keep = np.zeros(len(uid), bool)
+                for g in np.unique(uid >> (33 + _SIDE_BITS)):
+                    mine = uid >> (33 + _SIDE_BITS) == g
+                    keep[mine] = np.isin(uid[mine], ids_of(int(g)))
+                if keep.any():
+                    yield batch.filter(pa.array(keep)).select(range(1, batch.num_columns))
+
+        yield from then(kept()) if then else kept()
+
+    return rows.mapInArrow(run, out)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` with the shared folder set; Spark removes it when it is no longer used."""
     shared_dir(df.sparkSession)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm.common import checkpointed, row_slices, staged, text_buffers
+from noteloom.llm.common import checkpointed, row_slices, rows_kept, staged, text_buffers
 from noteloom.llm.graph import components
 from noteloom.llm.textvec import mix64, row_hash, sequence_hash, shingles, span_hash, word_spans
 
@@ -137,10 +137,9 @@ def _weigh(h: np.ndarray, row: np.ndarray, weighting: str) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, carried: list[str], weighting: str = "set", bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """The ``carried`` columns with f1, f2 (hash of the word sequence), bands, sig (a byte for each
-    coordinate) and elements (32-bit shingle hashes, sorted, with repeats if weighting is 'count').
+    """The ``carried`` columns with f1, f2 (hash of the word sequence), bands and sig (a byte for each coordinate).
 
-    Texts without words have null bands, sig and elements.
+    Texts without words have null bands and sig.
     """
     src = docs.select(F.col("text").cast("string").alias("__text"), *carried)
     k = bands * rows
@@ -159,10 +158,6 @@ def signatures(docs: DataFrame, carried: list[str], weighting: str = "set", band
                 sig = dart_signature(eh, erow, weight, n, k)
                 keys = band_keys(sig, bands, rows)
                 empty = np.bincount(erow, minlength=n) == 0
-                low = (eh if weighting == "set" else np.repeat(eh, weight.astype(np.int64))).astype(np.uint32)
-                lrow = erow if weighting == "set" else np.repeat(erow, weight.astype(np.int64))
-                both = np.sort((lrow.astype(np.uint64) << np.uint64(32)) | low)
-                sets, cut = both.astype(np.uint32), np.searchsorted(both >> np.uint64(32), np.arange(n + 1))
                 small = (mix64(sig) >> np.uint64(56)).astype(np.uint8)
                 cols = [batch.column(i + 1).slice(lo, n) for i in range(len(carried))]
                 cols += [
@@ -170,14 +165,39 @@ def signatures(docs: DataFrame, carried: list[str], weighting: str = "set", band
                     pa.array(f2.view(np.int64)),
                     pa.array([None if e else x for e, x in zip(empty, keys, strict=True)], pa.list_(pa.int64())),
                     pa.array([None if e else x.tobytes() for e, x in zip(empty, small, strict=True)], pa.binary()),
-                    pa.array([None if e else sets[a:b].tobytes() for e, a, b in zip(empty, cut[:-1], cut[1:], strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=[*carried, "f1", "f2", "bands", "sig", "elements"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*carried, "f1", "f2", "bands", "sig"])
 
-    own = [T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("elements", T.BinaryType())]
+    own = [T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     return src.mapInArrow(run, T.StructType([*src.schema.fields[1:], *own]))
 
 
+def _with_elements(weighting: str, shingle: int = SHINGLE):
+    """Batches (nid, sig, text) to (nid, sig, elements, size): 32-bit shingle hashes, sorted, repeated if they count."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(2))
+            for lo, hi in row_slices(offs):
+                n = hi - lo
+                part, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                starts, ends, row = word_spans(part, at)
+                h, owner = shingles(span_hash(part, starts, ends), row, n, shingle)
+                eh, erow, weight = _weigh(h, owner, weighting)
+                times = weight.astype(np.int64)
+                both = np.sort((np.repeat(erow, times).astype(np.uint64) << np.uint64(32)) | np.repeat(eh, times).astype(np.uint32))
+                cut = np.searchsorted(both >> np.uint64(32), np.arange(n + 1))
+                sets = both.astype(np.uint32)
+                packed = [sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                cols = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(packed, pa.binary()), pa.array(np.diff(cut))]
+                yield pa.RecordBatch.from_arrays(cols, names=["nid", "sig", "elements", "size"])
+
+    return then
+
+
+_PAYLOAD = T.StructType([T.StructField("nid", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("elements", T.BinaryType()), T.StructField("size", T.LongType())])
+
+
 def set_similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sorted multisets of 32-bit hashes."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
@@ -290,8 +310,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(rest)
 
 
-def _links(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes ``ids`` (nid) of ``table`` that make up the classes."""
+def _links(table: DataFrame, ids: DataFrame, weighting: str) -> DataFrame:
+    """(a, b): links between the nodes ``ids`` (nid) of ``table`` that make up the classes.
+
+    Only nodes that share a bucket get their shingle sets made, from the texts in the staged table.
+    """
     banded = checkpointed(table.where("bands IS NOT NULL").select(F.col("__uid").alias("nid"), "bands").join(ids, "nid", "left_semi"))
     spread = banded.select("nid", F.explode("bands").alias("key"))
     masks = [F.xxhash64(F.col("key"), F.lit(s)) for s in (11, 12)]
@@ -302,12 +325,8 @@ def _links(table: DataFrame, ids: DataFrame) -> DataFrame:
         .select("key", *[F.col(f"m{i}").bitwiseXOR(m).alias(f"l{i}") for i, m in enumerate(masks)])
     )
     inside = staged(spread.join(leaders, "key"), "buckets")
-    payload = staged(
-        table.select(F.col("__uid").alias("nid"), "sig", "elements", (F.length("elements") / 4).cast("long").alias("size")).join(
-            inside.select("nid").distinct(), "nid", "left_semi"
-        ),
-        "payload",
-    )
+    shared = inside.select(F.col("nid").alias("__uid")).distinct()
+    payload = staged(rows_kept(table, shared, [F.col("__uid").alias("nid"), F.col("sig"), F.col("__row.text").cast("string").alias("text")], _with_elements(weighting), _PAYLOAD), "payload")
     seats = checkpointed(inside.select(F.col("nid").alias("a"), F.explode(F.array("l0", "l1")).alias("b")).where("a <> b").distinct())
     best = _estimate(seats, payload).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), asc=False), 1, TRIES).alias("top"))
     tried = best.select("a", F.explode("top.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -329,22 +348,25 @@ def _links(table: DataFrame, ids: DataFrame) -> DataFrame:
     return links.union(cells.mapInArrow(_across, "a long, b long"))
 
 
-def classes(docs: DataFrame, carried: list[str], weighting: str = "set") -> DataFrame:
-    """Each row's ``carried`` columns with __class (doc_id of its class) and __first (stays).
+def _classed(docs: DataFrame, weighting: str) -> tuple[DataFrame, DataFrame]:
+    """(table, rows): the staged documents (__row, __uid, ...) and for each __uid its class.
 
-    ``carried`` must hold doc_id or a struct __row of the whole row, see the callers.
+    ``rows`` has __uid, doc_id, class_id and kept; the texts stay in the table.
     """
-    table = staged(signatures(docs, carried, weighting).withColumn("__uid", F.monotonically_increasing_id()), "signatures")
+    struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    src = docs.select(struct, F.col("text"), F.col("doc_id").cast("long").alias("__id"))
+    table = staged(signatures(src, ["__row", "__id"], weighting).withColumn("__uid", F.monotonically_increasing_id()), "signatures")
     exact = checkpointed(
         table.groupBy("f1", "f2").agg(
             F.min("__uid").alias("nid"), F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__uid").alias("uid"))).alias("head")
         )
     )
-    comps = components(_links(table, exact.select("nid")))
+    comps = components(_links(table, exact.select("nid"), weighting))
     placed = checkpointed(exact.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("f1", "f2", F.coalesce("comp", "nid").alias("comp"), "head"))
     heads = checkpointed(placed.groupBy("comp").agg(F.min("head").alias("best")))
-    known = checkpointed(placed.join(heads, "comp").select("f1", "f2", F.col("best.id").alias("__class"), F.col("best.uid").alias("__stays")))
-    return table.select(*carried, "f1", "f2", "__uid").join(known, ["f1", "f2"]).select(*carried, "__class", (F.col("__uid") == F.col("__stays")).alias("__first"))
+    known = checkpointed(placed.join(heads, "comp").select("f1", "f2", F.col("best.id").alias("class_id"), F.col("best.uid").alias("stays")))
+    rows = table.select("__uid", F.col("__id").alias("doc_id"), "f1", "f2").join(known, ["f1", "f2"])
+    return table, rows.select("__uid", "doc_id", "class_id", (F.col("__uid") == F.col("stays")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, weighting: str = "set") -> DataFrame:
@@ -357,13 +379,11 @@ def near_duplicates(docs: DataFrame, weighting: str = "set") -> DataFrame:
     null ids has a null class_id and still keeps one row. weighting 'count' weighs shingles by
     how often they occur, 'set' counts each once.
     """
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("__id"))
-    out = classes(rows, ["__id"], weighting)
-    return out.select(F.col("__id").alias("doc_id"), F.col("__class").alias("class_id"), F.col("__first").alias("kept"))
+    _, rows = _classed(docs.select("doc_id", "text"), weighting)
+    return rows.select("doc_id", "class_id", "kept")
 
 
 def deduplicate(docs: DataFrame, weighting: str = "set") -> DataFrame:
     """One row of each class of ``near_duplicates``, all columns of ``docs`` unchanged."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select("text", row.alias("__row"), F.col("doc_id").cast("long").alias("__id"))
-    return classes(rows, ["__row", "__id"], weighting).where("__first").select("__row.*")
+    table, rows = _classed(docs, weighting)
+    return rows_kept(table, rows.where("kept").select("__uid"), [F.col("__row")]).select("__row.*")
