@@ -6,6 +6,9 @@ for every occurrence; ``operators.postings`` uses them that way.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,24 @@ def bucket(feature: Column | str) -> Column:
     return (fnv1a(feature) % DIMENSIONS).cast("int")
 
 
+def query_tokens(query: str) -> Counter[str]:
+    """Token counts of one query text, on the driver; the meaning of ``tokenize``."""
+    return Counter(re.findall("[a-z0-9]+", query.lower()))
+
+
+def query_buckets(tokens: Counter[str]) -> Counter[int]:
+    """Bucket counts of a query's tokens, on the driver; the meaning of ``features`` and ``bucket``."""
+    out: Counter[int] = Counter()
+    for token, n in tokens.items():
+        padded = f"#{token}#"
+        for f in [f"w:{token}", *[f"t:{padded[i : i + 3]}" for i in range(len(token))]]:
+            h = FNV_OFFSET
+            for b in f.encode():
+                h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
+            out[h % DIMENSIONS] += n
+    return out
+
+
 def collapse(text: Column | str) -> Column:
     """Runs of white space made one space, ends trimmed."""
     return F.btrim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?U)\s+", " "), F.lit(" "))

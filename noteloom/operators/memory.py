@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom.errors import EngineError
-from noteloom.functions.text import estimate_tokens, memory_seed, stable_id, tokenize
+from noteloom.functions.text import estimate_tokens, memory_seed, query_tokens, stable_id, tokenize
 from noteloom.operators.budget import greedy
-from noteloom.operators.postings import query_counts
+from noteloom.operators.postings import literal_counts
 
 TYPES = ("user", "feedback", "project", "reference")
 AUTHORS = ("human", "agent")
@@ -90,7 +90,7 @@ def forget(stored: DataFrame, memory_id: str) -> DataFrame:
 
 def lexical_scores(texts: DataFrame, query: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, score) of texts that hold a query token; each token counts as often as the query repeats it."""
-    q = query_counts(texts.sparkSession.range(1).select(F.lit(query).alias("query")))
+    q = literal_counts(texts.sparkSession, query_tokens(query), "token", "q")
     words = texts.select(F.col(id_col).alias("id"), F.explode(tokenize(text_col)).alias("token"))
     return words.join(F.broadcast(q), "token").groupBy("id").agg(F.sum("q").alias("score"))
 

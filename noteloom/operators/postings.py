@@ -6,14 +6,16 @@ each occurrence, and joined back: the vocabulary grows far slower than the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import bucket, features, tokenize
 
 
 def token_counts(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, token, n) of a table of texts."""
+    """(id, token, n) of a table of texts, in the texts' partitioning if that is by id."""
     return texts.select(F.col(id_col).alias("id"), F.explode(tokenize(text_col)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
@@ -33,6 +35,10 @@ def norms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("squared"))
 
 
-def query_counts(df: DataFrame, query_col: str = "query") -> DataFrame:
-    """(token, q) counts of one-row query tables; repeated query tokens count."""
-    return df.select(F.explode(tokenize(query_col)).alias("token")).groupBy("token").agg(F.count("*").alias("q"))
+def literal_counts(spark: SparkSession, counts: Counter, key: str, value: str) -> DataFrame:
+    """(key, value) rows of a query's own counts, as literals of the plan."""
+    kind = "int" if key == "bucket" else "string"
+    if not counts:
+        return spark.range(0).select(F.lit(None).cast(kind).alias(key), F.col("id").alias(value))
+    pairs = [F.struct(F.lit(k).alias(key), F.lit(int(n)).cast("long").alias(value)) for k, n in sorted(counts.items())]
+    return spark.range(1).select(F.explode(F.array(*pairs)).alias("x")).select("x.*")

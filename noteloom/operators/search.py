@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import estimate_tokens, snippet
+from noteloom.functions.text import estimate_tokens, query_buckets, query_tokens, snippet, tokenize
 from noteloom.operators.budget import greedy
-from noteloom.operators.postings import bucket_postings, norms, query_counts, token_counts
+from noteloom.operators.postings import bucket_postings, literal_counts, token_counts
 
 MODES = ("hybrid", "lexical", "semantic")
 MIN_SIMILARITY = 0.15
@@ -21,40 +21,47 @@ def mode_of(name: str | None) -> str:
 class SearchIndex:
     """Postings of a table of notes (id, title, content); build once, query often.
 
-    Scored text is the title, a space and the content. ``persist`` keeps the postings in Spark's storage.
+    Scored text is the title, a space and the content. Texts are dealt by id once, so the counts of tokens, of
+    buckets and of notes need no further shuffle where the vocabulary is small enough to be broadcast. ``persist`` keeps the
+    postings in Spark's storage.
     """
 
     def __init__(self, notes: DataFrame, persist: bool = False):
         self.notes = notes.select("id", "title", "content")
-        texts = self.notes.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
-        self.counts = token_counts(texts)
+        self.texts = self.notes.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
+        self.counts = token_counts(self.texts.repartition("id"))
+        self.persisted = persist
         if persist:
             self.counts = self.counts.persist()
         self.vectors = bucket_postings(self.counts)
         if persist:
             self.vectors = self.vectors.persist()
-        self.norms = norms(self.vectors)
 
     def lexical(self, query: str) -> DataFrame:
         """(id, lex): sum over query tokens, repeats included, of their counts; only rows above 0.
 
-        The query's tokens are a literal table, so only their postings are read.
+        The query's tokens are literals. Without kept postings, other tokens are dropped before anything is shuffled.
         """
-        q = query_counts(self._query(query))
-        return self.counts.join(F.broadcast(q), "token").groupBy("id").agg(F.sum(F.col("q") * F.col("n")).alias("lex"))
+        q = F.broadcast(literal_counts(self.notes.sparkSession, query_tokens(query), "token", "q"))
+        if self.persisted:
+            return self.counts.join(q, "token").groupBy("id").agg(F.sum(F.col("q") * F.col("n")).alias("lex"))
+        words = self.texts.select("id", F.explode(tokenize("text")).alias("token"))
+        return words.join(q, "token").groupBy("id").agg(F.sum("q").alias("lex"))
 
     def semantic(self, query: str) -> DataFrame:
         """(id, sim): cosine of the hashed vectors, from integer sums and one division; only rows above 0."""
-        counts = query_counts(self._query(query)).select(F.lit(0).alias("id"), "token", F.col("q").alias("n"))
-        q = bucket_postings(counts).select("bucket", F.col("tf").alias("qtf"))
-        length = q.agg(F.sum(F.col("qtf") * F.col("qtf")).alias("q2"))
-        # at most DIMENSIONS rows, and one row
-        dots = self.vectors.join(F.broadcast(q), "bucket").groupBy("id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-        both = dots.join(self.norms, "id").join(F.broadcast(length), F.lit(True))
-        return both.select("id", (F.col("dot") / (F.sqrt(F.col("q2").cast("double")) * F.sqrt(F.col("squared").cast("double")))).alias("sim"))
-
-    def _query(self, query: str) -> DataFrame:
-        return self.notes.sparkSession.range(1).select(F.lit(query).alias("query"))
+        return self.similar(literal_counts(self.notes.sparkSession, query_buckets(query_tokens(query)), "bucket", "qtf"))
+
+    def similar(self, vector: DataFrame) -> DataFrame:
+        """(id, sim) for one sparse vector (bucket, qtf): at most DIMENSIONS rows, which bounds the broadcast.
+
+        Dot product and length of a note come from one pass over its buckets.
+        """
+        length = vector.agg(F.sum(F.col("qtf") * F.col("qtf")).alias("q2"))
+        both = self.vectors.join(F.broadcast(vector), "bucket", "left").groupBy("id")
+        sums = both.agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("squared")).where("dot > 0")
+        cosine = F.col("dot") / (F.sqrt(F.col("q2").cast("double")) * F.sqrt(F.col("squared").cast("double")))
+        return sums.join(F.broadcast(length), F.lit(True)).select("id", cosine.alias("sim"))
 
     def ranked(self, query: str, mode: str = "hybrid") -> DataFrame:
         """(id, score) of all hits."""

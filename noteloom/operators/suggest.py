@@ -63,9 +63,4 @@ def suggest_links(
 
 def _similar(index: SearchIndex, note_id: str) -> DataFrame:
     """(id, sim) of all notes that share a feature with one, from the index's own vectors."""
-    one = index.vectors.where(F.col("id") == note_id).select("bucket", F.col("tf").alias("qtf"))
-    length = index.norms.where(F.col("id") == note_id).select(F.col("squared").alias("q2"))
-    dots = index.vectors.join(F.broadcast(one), "bucket").groupBy("id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    return dots.join(index.norms, "id").join(F.broadcast(length), F.lit(True)).select(
-        "id", (F.col("dot") / (F.sqrt(F.col("q2").cast("double")) * F.sqrt(F.col("squared").cast("double")))).alias("sim")
-    )
+    return index.similar(index.vectors.where(F.col("id") == note_id).select("bucket", F.col("tf").alias("qtf")))
