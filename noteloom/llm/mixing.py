@@ -21,7 +21,7 @@ SEED = 20_240_601
 #: Largest mean that one inverted distribution covers.
 PIECE = 32.0
 #: Leading bits of the shuffle key that choose a partition.
-DEAL_BITS = 16
+DEAL_BITS = 24
 
 
 def _unit_sql(text: str) -> str:
