@@ -74,7 +74,7 @@ def test_tasks(spark):
         ("plans", 2, "old", True, None, []), ("today", 1, "done", True, None, []), ("today", 2, "undated", False, None, []),
     ]
     assert list_tasks(notes, due_before="2026-08-10").count() == 1 and list_tasks(notes, due_after="2026-08-10").count() == 1
-    assert list_tasks(notes, tag="launch", done=False, limit=1).count() == 1 and list_tasks(notes, token_budget=18).count() == 2
+    assert list_tasks(notes, tag="launch", done=False, limit=1).count() == 1 and list_tasks(notes, token_budget=24).count() == 2
 
 
 def test_toggle(spark):
