@@ -33,7 +33,7 @@ SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 16 << 20, 16
 #: Query terms in one block of queries, about 16 bytes each.
 QUERY_TERMS = 1_000_000
 #: Shards that give the first thresholds.
-SEED_SHARDS = 2
+SEED_SHARDS = 4
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _SHARD = "shard long, n_docs long, length long, ids binary, dl binary, vocab binary, df binary, starts binary, terms binary, tfs binary"
@@ -141,28 +141,27 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """One shard ready for queries: impacts, block maxima, forward rows."""
+    """One shard ready for queries: postings by term and block, with the block's largest impact."""
 
     def __init__(self, row: dict, mean: float):
         get = lambda k, kind: np.frombuffer(row[k], kind)
         self.ids, dl = get("ids", np.int64), get("dl", np.int32).astype(np.float64)
-        self.vocab, self.starts, self.terms = get("vocab", np.int64), get("starts", np.int64), get("terms", np.uint32).astype(np.int64)
+        self.vocab, starts, terms = get("vocab", np.int64), get("starts", np.int64), get("terms", np.uint32).astype(np.int64)
         tf = get("tfs", np.uint32).astype(np.float64)
         n = len(self.ids)
-        doc = np.repeat(np.arange(n), np.diff(self.starts))
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         norm = K1 * (1 - B + B * dl / mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[doc])
-        self.blocks = -(-n // BLOCK)
-        self.edges = np.minimum(np.arange(self.blocks + 1) * BLOCK, n)
-        # (term, block) maxima as sorted rows
-        cell = self.terms * self.blocks + doc // BLOCK
+        impact = tf * (K1 + 1) / (tf + norm[doc])
+        self.blocks = max(1, -(-n // BLOCK))
+        cell = terms * self.blocks + doc // BLOCK
         order = np.argsort(cell, kind="stable")
         c = cell[order]
         at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-        self.cell_block = (c[at] % self.blocks) if len(c) else c
-        self.cell_max = np.maximum.reduceat(self.impact[order], at) if len(c) else np.zeros(0)
-        self.cell_start = np.searchsorted(c[at] // self.blocks, np.arange(len(self.vocab) + 1)) if len(c) else np.zeros(1, np.int64)
-        self.weight = np.zeros(len(self.vocab))
+        self.doc, self.impact = doc[order], impact[order]
+        self.cell_from = np.append(at, len(c))
+        self.cell_block = c[at] % self.blocks
+        self.cell_max = np.maximum.reduceat(self.impact, at) if len(c) else np.zeros(0)
+        self.term_from = np.searchsorted(c[at] // self.blocks, np.arange(len(self.vocab) + 1))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the documents that may be among the k best with a score of at least ``floor``."""
@@ -175,48 +174,37 @@ class _Shard:
         spot, w = spot[here], weights[here]
         if not len(spot):
             return none
-        lo, size = self.cell_start[spot], self.cell_start[spot + 1] - self.cell_start[spot]
-        cells = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        bound = np.bincount(self.cell_block[cells], weights=self.cell_max[cells] * np.repeat(w, size), minlength=self.blocks)
-        bound *= 1 + 1e-9
-        visit = np.argsort(-bound, kind="stable")
-        visit = visit[bound[visit] >= max(floor, 1e-12)]
-        self.weight[spot] = w
-        got_ids, got = [], []
-        best = np.zeros(0)
-        limit, done, step = floor, 0, 2
-        while done < len(visit):
-            part = visit[done : done + step]
+        cells, w = _ranges(self.term_from[spot], self.term_from[spot + 1], w)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weights=self.cell_max[cells] * w, minlength=self.blocks) * (1 + 1e-9)
+        rank = np.argsort(-bound, kind="stable")
+        score, limit, done = np.zeros(len(self.ids)), max(floor, 1e-9), 0
+        for step in (8, self.blocks):
+            part = rank[done : done + step]
             part = part[bound[part] >= limit]
+            done += step
             if not len(part):
                 break
-            for b in part:
-                d0, d1 = self.edges[b], self.edges[b + 1]
-                p0, p1 = self.starts[d0], self.starts[d1]
-                if p1 == p0:
-                    continue
-                product = self.weight[self.terms[p0:p1]] * self.impact[p0:p1]
-                acc = np.concatenate([product, [0.0]])
-                inner = self.starts[d0:d1] - p0
-                s = np.add.reduceat(acc, inner)
-                s[np.diff(self.starts[d0 : d1 + 1]) == 0] = 0
-                s = np.round(s, 9)
-                ok = s >= max(limit, 1e-9)
-                if ok.any():
-                    got_ids.append(self.ids[d0:d1][ok])
-                    got.append(s[ok])
-                    best = np.sort(np.concatenate([best, s[ok]]))[-k:]
-            if len(best) == k:
-                limit = max(limit, best[0])
-            done, step = done + step, min(step * 2, 32)
-        self.weight[spot] = 0
-        if not got:
-            return none
-        ids, s = np.concatenate(got_ids), np.concatenate(got)
-        keep = s >= limit
-        ids, s = ids[keep], s[keep]
-        order = np.lexsort((ids, -s))[:k]
-        return ids[order], s[order]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            use = chosen[block]
+            c = cells[use]
+            place, cw = _ranges(self.cell_from[c], self.cell_from[c + 1], w[use])
+            score += np.bincount(self.doc[place], weights=self.impact[place] * cw, minlength=len(score))
+            # of k scores or more the k-th best is a threshold that every result must reach
+            if len(score) > k:
+                limit = max(limit, round(float(np.partition(score, len(score) - k)[len(score) - k]), 9))
+        score = np.round(score, 9)
+        keep = np.flatnonzero(score >= limit)
+        order = np.lexsort((self.ids[keep], -score[keep]))[:k]
+        return self.ids[keep][order], score[keep][order]
+
+
+def _ranges(first: np.ndarray, end: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [first, end) in a row, and each range's weight beside its places."""
+    size = end - first
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(int(size.sum())), np.repeat(w, size)
 
 
 def _run_block(index: DataFrame, queries: list[tuple[int, bytes, bytes]], floors: dict[int, float], mean: float, k: int) -> DataFrame:
