@@ -60,6 +60,22 @@ def features(token: Column | str) -> Column:
     return F.concat(F.array(F.concat(F.lit("w:"), t)), grams)
 
 
+def trigram_hash(padded: Column, place: Column) -> Column:
+    """``fnv1a`` of 't:' and three ASCII characters of a text, unrolled: no lambda, so it is compiled."""
+    h = F.lit(_fold(b"t:")).cast("long")
+    for k in range(3):
+        octet = F.ascii(F.substring(padded, place + k, F.lit(1))).cast("long")
+        h = (h.bitwiseXOR(octet) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return h
+
+
+def _fold(octets: bytes) -> int:
+    h = FNV_OFFSET
+    for b in octets:
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
+    return h
+
+
 def bucket(feature: Column | str) -> Column:
     """The embedding bucket of a feature."""
     return (fnv1a(feature) % DIMENSIONS).cast("int")
@@ -76,10 +92,7 @@ def query_buckets(tokens: Counter[str]) -> Counter[int]:
     for token, n in tokens.items():
         padded = f"#{token}#"
         for f in [f"w:{token}", *[f"t:{padded[i : i + 3]}" for i in range(len(token))]]:
-            h = FNV_OFFSET
-            for b in f.encode():
-                h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
-            out[h % DIMENSIONS] += n
+            out[_fold(f.encode()) % DIMENSIONS] += n
     return out
 
 

@@ -11,7 +11,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import bucket, features, tokenize
+from noteloom.functions.text import DIMENSIONS, fnv1a, tokenize, trigram_hash
 
 
 def token_counts(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -20,8 +20,15 @@ def token_counts(texts: DataFrame, id_col: str = "id", text_col: str = "text") -
 
 
 def token_buckets(tokens: DataFrame) -> DataFrame:
-    """(token, bucket, k): how often a token's features fall into each bucket, for distinct tokens."""
-    return tokens.select("token", F.explode(features("token")).alias("f")).groupBy("token", bucket("f").alias("bucket")).agg(F.count("*").alias("k"))
+    """(token, bucket, k): how often a token's features fall into each bucket, for distinct tokens.
+
+    Place 0 stands for the token itself, place i for the trigram at i of '#token#'. Tokens are ASCII, so trigrams are
+    hashed by a compiled expression and only whole tokens by a fold.
+    """
+    places = tokens.select("token", F.concat(F.lit("#"), F.col("token"), F.lit("#")).alias("padded"), F.explode(F.sequence(F.lit(0), F.length("token"))).alias("i"))
+    hashed = F.when(F.col("i") == 0, fnv1a(F.concat(F.lit("w:"), F.col("token")))).otherwise(trigram_hash(F.col("padded"), F.col("i")))
+    # never null, and known not to be: a join on it then adds no second evaluation
+    return places.select("token", F.coalesce((hashed % DIMENSIONS).cast("int"), F.lit(0)).alias("bucket")).groupBy("token", "bucket").agg(F.count("*").alias("k"))
 
 
 def bucket_postings(counts: DataFrame) -> DataFrame:
