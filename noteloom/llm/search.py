@@ -1,10 +1,11 @@
 """Exact top-k search with BM25: sharded inverted indexes, block-max WAND pruning, an exact merge.
 
-A shard holds some thousand whole documents, in an order that puts like ones together, cut into blocks
-of ``BLOCK`` documents. For each term and block the index knows the largest impact. A query's bound for a block is the sum of its
-terms' block maxima; as in WAND, documents are looked at only where the bounds of the lists reach the present
-k-th score, here tested for all blocks of a shard at once: blocks are visited in the order of their bounds, and the
-visit ends at the first bound below the threshold. What is visited is scored in full, so results are exact.
+A shard holds some thousand whole documents, in an order that puts like ones together, cut into blocks of ``BLOCK``
+documents. Rare terms have posting lists; for common terms the index knows the largest impact in each block. As in
+WAND, a document is scored in full only if what could be its score reaches the present k-th best: its bound is the score
+of its rare terms plus its block's maxima of the common ones. All bounds of a shard are tested at once; the documents of the
+largest bounds are scored first, which lifts the threshold for the rest. No document at or above the threshold is passed over, so
+results are exact.
 
 Scores use statistics of the whole corpus (documents, mean length, document frequencies), so those of
 shards compare, and the merge of each shard's best is the exact result. Queries come in blocks of bounded
@@ -30,6 +31,10 @@ from noteloom.llm.textvec import span_hash
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 16 << 20, 16
+#: Share of a shard's documents from which a term is common there.
+COMMON = 0.1
+#: Times k documents of the largest bounds are scored before the others are tested.
+FIRST = 4
 #: Query terms in one block of queries, about 16 bytes each.
 QUERY_TERMS = 1_000_000
 #: Shards that give the first thresholds.
@@ -141,31 +146,36 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """One shard ready for queries: postings by term and block, with the block's largest impact."""
+    """One shard ready for queries.
+
+    Terms in at least ``COMMON`` of its documents have their impacts by document and the largest of each block;
+    the others have posting lists.
+    """
 
     def __init__(self, row: dict, mean: float):
         get = lambda k, kind: np.frombuffer(row[k], kind)
         self.ids, dl = get("ids", np.int64), get("dl", np.int32).astype(np.float64)
         self.vocab, starts, terms = get("vocab", np.int64), get("starts", np.int64), get("terms", np.uint32).astype(np.int64)
         tf = get("tfs", np.uint32).astype(np.float64)
-        n = len(self.ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+        n, v = len(self.ids), len(self.vocab)
+        doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(starts))
         norm = K1 * (1 - B + B * dl / mean)
         impact = tf * (K1 + 1) / (tf + norm[doc])
-        self.blocks = max(1, -(-n // BLOCK))
-        cell = terms * self.blocks + doc // BLOCK
-        order = np.argsort(cell, kind="stable")
-        c = cell[order]
-        at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-        self.doc, self.impact = doc[order], impact[order]
-        self.cell_from = np.append(at, len(c))
-        self.cell_block = c[at] % self.blocks
-        self.cell_max = np.maximum.reduceat(self.impact, at) if len(c) else np.zeros(0)
-        self.term_from = np.searchsorted(c[at] // self.blocks, np.arange(len(self.vocab) + 1))
+        common = np.bincount(terms, minlength=v) >= max(1, COMMON * n)
+        self.common = np.where(common, np.cumsum(common) - 1, -1)
+        here = common[terms]
+        self.dense = np.zeros((int(common.sum()), n))
+        self.dense[self.common[terms[here]], doc[here]] = impact[here]
+        self.largest = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n and len(self.dense) else np.zeros((len(self.dense), -(-n // BLOCK)))
+        rest = np.flatnonzero(~here)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.doc, self.impact = doc[rest], impact[rest]
+        self.term_from = np.searchsorted(terms[rest], np.arange(v + 1))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the documents that may be among the k best with a score of at least ``floor``."""
         none = np.zeros(0, np.int64), np.zeros(0)
+        n = len(self.ids)
         if not len(self.vocab) or not len(terms):
             return none
         spot = np.searchsorted(self.vocab, terms)
@@ -174,30 +184,35 @@ class _Shard:
         spot, w = spot[here], weights[here]
         if not len(spot):
             return none
-        cells, w = _ranges(self.term_from[spot], self.term_from[spot + 1], w)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weights=self.cell_max[cells] * w, minlength=self.blocks) * (1 + 1e-9)
-        rank = np.argsort(-bound, kind="stable")
-        score, limit, done = np.zeros(len(self.ids)), max(floor, 1e-9), 0
-        for step in (8, self.blocks):
-            part = rank[done : done + step]
-            part = part[bound[part] >= limit]
-            done += step
-            if not len(part):
+        row = self.common[spot]
+        rare = row < 0
+        place, pw = _ranges(self.term_from[spot[rare]], self.term_from[spot[rare] + 1], w[rare])
+        known = np.bincount(self.doc[place], weights=self.impact[place] * pw, minlength=n)
+        row, cw = row[~rare], w[~rare]
+        bound = (known + np.repeat(cw @ self.largest[row], BLOCK)[:n]) * (1 + 1e-9) + 1e-9
+        limit = max(floor, 1e-9)
+        cand = np.flatnonzero(bound >= limit)
+        scored = np.zeros(0, np.int64)
+        score = np.zeros(0)
+        for first in (True, False):
+            if first and len(cand) > FIRST * k:
+                part = cand[np.argpartition(-bound[cand], FIRST * k)[: FIRST * k]]
+            else:
+                part = cand
+            if len(part):
+                scored = np.concatenate([scored, part])
+                score = np.concatenate([score, np.round(known[part] + cw @ self.dense[np.ix_(row, part)], 9)])
+                if len(score) >= k:
+                    limit = max(limit, float(np.partition(score, len(score) - k)[len(score) - k]))
+            if part is cand:
                 break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            use = chosen[block]
-            c = cells[use]
-            place, cw = _ranges(self.cell_from[c], self.cell_from[c + 1], w[use])
-            score += np.bincount(self.doc[place], weights=self.impact[place] * cw, minlength=len(score))
-            # of k scores or more the k-th best is a threshold that every result must reach
-            if len(score) > k:
-                limit = max(limit, round(float(np.partition(score, len(score) - k)[len(score) - k]), 9))
-        score = np.round(score, 9)
+            left = np.ones(n, bool)
+            left[scored] = False
+            cand = cand[left[cand] & (bound[cand] >= limit)]
         keep = np.flatnonzero(score >= limit)
-        order = np.lexsort((self.ids[keep], -score[keep]))[:k]
-        return self.ids[keep][order], score[keep][order]
+        ids, score = self.ids[scored[keep]], score[keep]
+        order = np.lexsort((ids, -score))[:k]
+        return ids[order], score[order]
 
 
 def _ranges(first: np.ndarray, end: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
