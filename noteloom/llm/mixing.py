@@ -6,8 +6,8 @@ from seed, source and doc_id. The document is exploded by its count and every co
 60-bit shuffle key; rows are dealt by the key's leading bits and sorted by it, so the key is the global
 order. Means above ``PIECE`` are sums of independent pieces, as exp(-mean) would vanish.
 
-DataFrame functions only. What is joined to the documents is a row for each source; Spark's own size
-check decides whether it is broadcast, and skew handling may split a hot source otherwise.
+DataFrame functions only. What is joined to the documents is a row for each source, broadcast behind a check of their
+number; with more sources the join shuffles, and skew handling may split a hot source.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from noteloom.llm.common import checkpointed
 SEED = 20_240_601
 #: Largest mean that one inverted distribution covers.
 PIECE = 32.0
+#: Sources up to which their rates are broadcast: a row has at most 128 values, so 10 MB in all.
+BROADCAST_SOURCES = 10_000
 #: Leading bits of the shuffle key that choose a partition.
 DEAL_BITS = 24
 
@@ -79,7 +81,10 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows: in
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("source").cast("string").alias("__src"), F.col("doc_id").alias("__id")
     )
-    rated = row.join(rates.withColumnRenamed("source", "__key"), F.col("__src").eqNullSafe(F.col("__key")))
+    side = rates.withColumnRenamed("source", "__key")
+    if rates.count() <= BROADCAST_SOURCES:
+        side = F.broadcast(side)
+    rated = row.join(side, F.col("__src").eqNullSafe(F.col("__key")))
     counted = rated.select("__row", "__src", "__id", copies(seed).alias("__n")).where("__n > 0")
     out = counted.select("__row", "__src", "__id", F.explode(F.expr("sequence(0, __n - 1)")).alias("__copy"))
     key = F.expr(f"cast(conv(substring(md5(concat({_identity(f'o{seed}')}, '|', cast(__copy as string))), 1, 15), 16, 10) as bigint)")

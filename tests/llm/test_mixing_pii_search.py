@@ -37,6 +37,13 @@ def test_mixing_meets_targets(spark):
         mixing.mix(df, {"a": -1.0})
 
 
+def test_many_sources_take_the_shuffled_join(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "t", f"s{i % 40}" if i % 7 else None) for i in range(500)], "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r.source or "") for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted((r.doc_id, r.source or "") for r in mixing.mix(df).collect()) == want
+
+
 def test_large_means_come_in_pieces(spark):
     df = spark.createDataFrame([(i, "t", "a") for i in range(30)], "doc_id long, text string, source string")
     n = mixing.mix(df, {"a": 1.0}, rows=30 * 900).count()
