@@ -177,6 +177,9 @@ def all_sql() -> dict[str, str]:
             SELECT item_id, part FROM w""",
         "budget_by_language": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY lang ORDER BY ceil(length(text) / 4.0) DESC, doc_id) AS r
               FROM documents WHERE doc_id % 40 = 0), taken AS ({_greedy('ranked', 2500, 'lang')}) SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",
+        "budget_by_language_all": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, cost, row_number() OVER (PARTITION BY lang ORDER BY cost DESC, doc_id) AS r
+              FROM (SELECT lang, doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS cost FROM documents)), taken AS ({_greedy('ranked', 2500, 'lang')})
+            SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",
         "note_parse": f"""WITH {_MD}, {_MDLINES}, {_MDHEAD},
             h AS (SELECT id, string_agg(level || ':' || t || ':' || trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ';' ORDER BY line) AS headings, first(t ORDER BY line) FILTER (level = 1) AS h1 FROM hd GROUP BY id),
             lk AS (SELECT id, list_transform(regexp_extract_all(content, '\\[\\[([^\\[\\]]+?)\\]\\]', 1), lambda x: trim(string_split(string_split(x, '|')[1], '#')[1]) || '|' ||
