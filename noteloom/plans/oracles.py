@@ -152,6 +152,8 @@ def all_sql() -> dict[str, str]:
         "log_compact": "SELECT max(event_id) AS seq, 'snapshot' AS body FROM events WHERE event_id <= 500 GROUP BY user_id UNION ALL SELECT event_id, props FROM events WHERE event_id > 500",
         "snapshot_complete": """SELECT upto, CAST(4 AS BIGINT) AS of FROM (SELECT event_id - event_id % 4 AS upto, event_id % 4 AS idx FROM events WHERE event_id < 400)
             WHERE upto % 16 <> 8 OR idx <> 2 GROUP BY upto HAVING count(DISTINCT idx) = 4""",
+        "snapshot_complete_all": """SELECT upto, CAST(4 AS BIGINT) AS of FROM (SELECT event_id - event_id % 4 AS upto, event_id % 4 AS idx FROM events)
+            WHERE upto % 16 <> 8 OR idx <> 2 GROUP BY upto HAVING count(DISTINCT idx) = 4""",
         "presence_lww": f"WITH {_PRES}, {_LAST} SELECT device, ts, note_id, seq FROM last WHERE NOT gone",
         "presence_ttl": f"WITH {_PRES}, {_LAST} SELECT device, ts FROM last WHERE NOT gone AND (SELECT max(ts) FROM p) - ts <= 86400000",
         "presence_sessions": """WITH g AS (SELECT user_id, (epoch_us(ts) // 1000) AS t, CASE WHEN (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w < 43200000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

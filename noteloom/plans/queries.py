@@ -215,12 +215,21 @@ def log_compact(s: SparkSession, d: str) -> DataFrame:
     return log.compacted(folded, _log_rows(s, d).select("seq", "body"), 500)
 
 
-def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").where("event_id < 400")
+def _snapshot_complete(s: SparkSession, d: str, judged: str = "true") -> DataFrame:
+    e = table(s, d, "events").where(judged)
     parts = e.select((F.col("event_id").cast("long") - F.col("event_id") % 4).alias("upto"), (F.col("event_id") % 4).alias("idx"), F.lit(4).cast("long").alias("of")).where("upto % 16 <> 8 OR idx <> 2")
     return log.complete_snapshots(parts.union(parts))
 
 
+def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
+    """The sets of the first 400 events only, as its SQL has it; ``snapshot_complete_all`` is the whole job."""
+    return _snapshot_complete(s, d, "event_id < 400")
+
+
+def snapshot_complete_all(s: SparkSession, d: str) -> DataFrame:
+    return _snapshot_complete(s, d)
+
+
 def _presence_rows(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select(F.col("user_id").cast("string").alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_type") == "error").alias("gone"), F.col("event_id").alias("seq"), F.col("event_type").alias("note_id"))
@@ -335,7 +344,7 @@ def queries() -> dict[str, Query]:
     found = [
         tokenize_counts, token_estimate, stable_ids, search_lexical, search_semantic, search_hybrid, search_topk_budget, snippets, fnv_features, recall_budget, recall_conflicts, memory_errors,
         props_filter, props_sort_desc, dense_topk, graph_links, graph_backlinks, graph_bfs, graph_orphans, suggest_links, eval_prf1, token_efficiency, eval_averages, benchmark_recall, scan_delta,
-        log_resume, log_compact, snapshot_complete, presence_lww, presence_ttl, presence_sessions, entitlement_fold, quota_join, audit_recent, version_diff, status_counts, state_vector, tombstones,
+        log_resume, log_compact, snapshot_complete, snapshot_complete_all, presence_lww, presence_ttl, presence_sessions, entitlement_fold, quota_join, audit_recent, version_diff, status_counts, state_vector, tombstones,
         pack_parts, budget_by_language, budget_by_language_all, note_parse, task_extract, note_outline, template_schema, vault_digest,
     ]
     return {f.__name__: f for f in found}

@@ -13,3 +13,11 @@ def test_budget_walks_over_all_documents(spark, tmp_path):
             want.add((lang, doc, cost))
     got = [tuple(r) for r in core.budget_by_language_all(spark, f"file://{tmp_path}").collect()]
     assert len(got) == len(want) and set(got) == want and any(d % 40 for _, d, _ in got)
+
+
+def test_snapshot_sets_of_all_events_are_judged(spark, tmp_path):
+    ids = [i for i in range(1, 2001) if i % 97]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    want = sorted(u for u in range(0, 2004, 4) if u % 16 != 8 and all(u + k in set(ids) for k in range(4)))
+    got = core.snapshot_complete_all(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.upto for r in got) == want and want[-1] > 400
