@@ -41,11 +41,12 @@ _L, _W = r"\p{L}", r"[\p{L}\p{N}_]"
 _EMAIL = rf"(?<![\p{{L}}\p{{N}}_.%+-])[\p{{L}}\p{{N}}_%+-][\p{{L}}\p{{N}}_.%+-]*+@[\p{{L}}\p{{N}}_-]++(?:\.[\p{{L}}\p{{N}}_-]++)*\.[A-Za-z]{{2,}}+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.]){_OCTET}(?:\.{_OCTET}){{3}}(?!{_W}|\.[0-9])"
+# Secrets have no upper length: a run is one mention, to its end.
 _KEYWORD = r"(?i:token|secret|password|passwd|api[_-]?key)"
 _SECRET = (
-    r"(?=[0-9A-Fa-f])(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
-    r"|(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])"
-    rf"|(?<=[=:]|[=:][ \"']|[=:] [\"'])(?<={_KEYWORD}[ ]{{0,1}}[=:][ ]{{0,1}}[\"']{{0,1}})[^\s\"',;]{{6,128}}"
+    r"(?=[0-9A-Fa-f])(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
+    r"|(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"
+    rf"|(?<=[=:]|[=:][ \"']|[=:] [\"'])(?<={_KEYWORD}[ ]{{0,1}}[=:][ ]{{0,1}}[\"']{{0,1}})[^\s\"',;]{{6,}}+"
 )
 _SSN = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}_-])"
 _PHONE = (
@@ -105,7 +106,7 @@ def parts_sql(m: str) -> str:
       ELSE array({part("''", "'secret'", m, m)}) END"""
 
 
-def _bytes(n: int, label: str = "") -> str:
+def _bytes(n: int | str, label: str = "") -> str:
     """SQL: hex digits of a keyed hash of the part and its draw."""
     return f"sha2(concat(__secret, '|{label}{n}|', kind, '|', norm, '|', cast(draw as string)), 512)"
 
@@ -127,16 +128,15 @@ def _syllables(cyrillic: bool, ending: str = "''") -> str:
 
 def surrogate_sql() -> str:
     """SQL: the surrogate of (kind, norm, draw) under the key __secret, in normal form."""
-    char = "substring(norm, k + 1, 1)"
     letters = lambda first, n: f"char({first} + {_at('k')} % {n})"
     local = "substring_index(norm, '@', 1)"
     wide = lambda a, n: f"decode(unhex(lpad(hex({a} + {_at('k')} % {n}), 4, '0')), 'UTF-16BE')"
-    masked = f"""CASE WHEN {char} RLIKE '[0-9]' THEN {letters(48, 10)} WHEN {char} RLIKE '[A-Z]' THEN {letters(65, 26)}
-        WHEN {char} RLIKE '[a-z]' THEN {letters(97, 26)} WHEN {char} RLIKE '[а-я]' THEN {wide(0x430, 32)}
-        WHEN {char} RLIKE '[α-ω]' THEN {wide(0x3B1, 25)} WHEN {char} RLIKE '\\\\p{{IsHan}}' THEN {wide(0x4E00, 20000)}
-        WHEN {char} RLIKE '\\\\p{{L}}' THEN {letters(97, 26)} ELSE {char} END"""
+    masked = f"""CASE WHEN c RLIKE '[0-9]' THEN {letters(48, 10)} WHEN c RLIKE '[A-Z]' THEN {letters(65, 26)}
+        WHEN c RLIKE '[a-z]' THEN {letters(97, 26)} WHEN c RLIKE '[а-я]' THEN {wide(0x430, 32)}
+        WHEN c RLIKE '[α-ω]' THEN {wide(0x3B1, 25)} WHEN c RLIKE '\\\\p{{IsHan}}' THEN {wide(0x4E00, 20000)}
+        WHEN c RLIKE '\\\\p{{L}}' THEN {letters(97, 26)} ELSE c END"""
     digits = f"array_join(transform(sequence(0, length(norm) - 1), k -> {letters(48, 10)}), '')"
-    mask_local = f"array_join(transform(sequence(0, length({local}) - 1), k -> {masked}), '')"
+    mask_local = f"array_join(transform(split({local}, ''), (c, k) -> {masked}), '')"
     # a one- or two-letter local part has a small space, so later draws grow by a letter each
     grow = f"if(draw = 0, '', array_join(transform(sequence(64, 63 + draw), k -> {letters(97, 26)}), ''))"
     tail = "translate(substring(" + _bytes(0, "d") + ", 1, 10), '0123456789', 'ghijkmnpqr')"
@@ -147,13 +147,13 @@ def surrogate_sql() -> str:
       WHEN 'email' THEN concat({mask_local}, {grow})
       WHEN 'domain' THEN concat({tail}, '.example')
       WHEN 'ip' THEN array_join(transform(sequence(0, 3), k -> cast({_at('k')} % 256 as string)), '.')
-      WHEN 'hex' THEN substring(concat({_bytes(0)}, {_bytes(1)}), 1, length(norm))
+      WHEN 'hex' THEN substring(array_join(transform(sequence(0, (length(norm) - 1) div 128), b -> {_bytes("' || b || '")}), ''), 1, length(norm))
       WHEN 'phone' THEN {digits} WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits} WHEN 'iban' THEN {digits}
       WHEN 'surname' THEN if({cyr}, {_syllables(True)}, {_syllables(False)})
       WHEN 'given_m' THEN lower({given(MALE_GIVEN, MALE_GIVEN_CYRILLIC, 'o', 'ор')})
       WHEN 'given_f' THEN lower({given(FEMALE_GIVEN, FEMALE_GIVEN_CYRILLIC, 'a', 'а')})
       WHEN 'given_n' THEN {_syllables(False, "'i'")}
-      ELSE array_join(transform(sequence(0, length(norm) - 1), k -> {masked}), '') END"""
+      ELSE array_join(transform(split(norm, ''), (c, k) -> {masked}), '') END"""
 
 
 def rendered_sql() -> str:

@@ -2,7 +2,9 @@
 
 import collections
 import math
+import random
 import re
+import string
 
 import duckdb
 import pytest
@@ -92,6 +94,22 @@ def test_surrogates_keep_rows_and_columns(spark):
     assert pii.pseudonymise(df.where("false"), "k").count() == 0
 
 
+def _held(secret, text, n=8):
+    return [secret[i : i + n] for i in range(len(secret) - n + 1) if secret[i : i + n] in text]
+
+
+@pytest.mark.parametrize("size", [40, 129, 500])
+def test_long_secrets_are_replaced_to_their_end(spark, size):
+    draw = random.Random(size)
+    run = lambda chars: "".join(draw.choice(chars) for _ in range(size))
+    word = string.ascii_letters + string.digits
+    secrets = [run("0123456789abcdef"), run("0123456789ABCDEF"), "sk-" + run(word + "-_") + "x", "ghp_" + run(word), run(word) + "." + run(word + "-_.") + "x"]
+    lead = ["id 7 ", "id 7 ", "use ", "use ", "token: "]
+    out = scrub(spark, [f"{a}{s}, then more" for a, s in zip(lead, secrets)])
+    for a, s, o in zip(lead, secrets, out):
+        assert o.startswith(a) and o.endswith(", then more") and len(o) == len(a + s + ", then more") and not _held(s, o)
+
+
 def test_search_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(900, None), (901, ""), (902, "unseen zzzz"), (903, "unseen zzzz"), (None, "unseen zzzz"), (50, "unseen")], "doc_id long, text string")
