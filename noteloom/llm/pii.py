@@ -62,13 +62,15 @@ _NAME = rf"(?=[{_FIRST}])(?<!{_W})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{
 _HAN_NAME = r"(?=\p{IsHan})\p{IsHan}{2,3}(?=先生|女士|小姐)"
 #: The pattern of all mentions.
 PATTERN = "|".join([_IP, _SECRET, _SSN, _PHONE, _IBAN, _CARD, _NAME, _HAN_NAME, _EMAIL])
+#: Secrets that hold neither a digit nor a keyword.
+_LETTERS_ONLY = r"AKIA[A-Z]|gh[pousr]_[A-Za-z]|sk-[A-Za-z_-]{20}|[a-f]{32}|[A-F]{32}"
 _TITLED = rf"[{_FIRST}](?<=(?<!{_W})[{_FIRST}])(?:{'|'.join(t[1:] for t in _TITLES)})\.? \p{{Lu}}"
 
 
 def may_hold_mentions(text: Column) -> Column:
     """A cheaper scan than the pattern: texts that fail it hold no mention."""
     assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
-    return text.rlike("[0-9@]") | (assigned & text.rlike(_KEYWORD)) | text.rlike(_TITLED) | text.rlike("[先女小][生士姐]")
+    return text.rlike("[0-9@]") | (assigned & text.rlike(_KEYWORD)) | text.rlike(_TITLED) | text.rlike(_LETTERS_ONLY) | text.rlike("[先女小][生士姐]")
 
 
 def _quote(pattern: str) -> str:
