@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import checkpointed, staged
 
-#: Draws before giving up; spaces are far larger than any table of parts, so a few suffice.
+#: Draws before giving up. Names, e-mail local parts and secrets grow with the draw; the other spaces have fixed sizes, of
+#: a million for the shortest phone numbers and far larger ones for the rest, so a few draws suffice.
 MAX_DRAWS = 40
 
 # Titles by gender, given names by gender, and syllables for surnames.
@@ -41,12 +42,12 @@ _L, _W = r"\p{L}", r"[\p{L}\p{N}_]"
 _EMAIL = rf"(?<![\p{{L}}\p{{N}}_.%+-])[\p{{L}}\p{{N}}_%+-][\p{{L}}\p{{N}}_.%+-]*+@[\p{{L}}\p{{N}}_-]++(?:\.[\p{{L}}\p{{N}}_-]++)*\.[A-Za-z]{{2,}}+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.]){_OCTET}(?:\.{_OCTET}){{3}}(?!{_W}|\.[0-9])"
-# Secrets have no upper length: a run is one mention, to its end.
+# Secrets have no upper length: a run is one mention, to its end. A keyword's value without letters or digits isn't one.
 _KEYWORD = r"(?i:token|secret|password|passwd|api[_-]?key)"
 _SECRET = (
     r"(?=[0-9A-Fa-f])(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
     r"|(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"
-    rf"|(?<=[=:]|[=:][ \"']|[=:] [\"'])(?<={_KEYWORD}[ ]{{0,1}}[=:][ ]{{0,1}}[\"']{{0,1}})[^\s\"',;]{{6,}}+"
+    rf"|(?<=[=:]|[=:][ \"']|[=:] [\"'])(?<={_KEYWORD}[ ]{{0,1}}[=:][ ]{{0,1}}[\"']{{0,1}})(?=[^\s\"',;\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^\s\"',;]{{6,}}+"
 )
 _SSN = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}_-])"
 _PHONE = (
@@ -96,10 +97,10 @@ def parts_sql(m: str) -> str:
         {part("'@'", "'domain'", f"lower(substring_index({m}, '@', -1))", f"substring_index({m}, '@', -1)")})
       WHEN {m} RLIKE {_quote(rf"^{_OCTET}([.]{_OCTET}){{3}}$")} THEN array({part("''", "'ip'", m, m)})
       WHEN {m} RLIKE {_quote(r"^([0-9a-f]{32,}|[0-9A-F]{32,})$")} THEN array({part("''", "'hex'", f"lower({m})", m)})
-      WHEN {m} RLIKE {_quote(r"^[A-Z]{2}\d{2}[ \d]+$")} THEN array({part(f"substring({m}, 1, 2)", "'iban'", digits, f"substring({m}, 3)")})
+      WHEN {m} RLIKE {_quote(r"^[A-Z]{2}\d{2}[ \d]+$")} AND length({digits}) >= 14 THEN array({part(f"substring({m}, 1, 2)", "'iban'", digits, f"substring({m}, 3)")})
       WHEN {m} RLIKE {_quote(r"^\d{3}-\d{2}-\d{4}$")} THEN array({part("''", "'ssn'", digits, m)})
-      WHEN {m} RLIKE {_quote(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$")} AND {m} RLIKE {_quote(r"^[-+(). \d]+$")} THEN array({part("''", "'phone'", digits, m)})
-      WHEN {m} RLIKE {_quote(r"^\d[ \d-]+$")} THEN array({part("''", "'card'", digits, m)})
+      WHEN {m} RLIKE {_quote(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$")} AND {m} RLIKE {_quote(r"^[-+(). \d]+$")} AND length({digits}) >= 6 THEN array({part("''", "'phone'", digits, m)})
+      WHEN {m} RLIKE {_quote(r"^\d[ \d-]+$")} AND length({digits}) >= 13 THEN array({part("''", "'card'", digits, m)})
       WHEN {m} RLIKE {_quote(r"^\p{IsHan}+$")} THEN array({part("''", "'han'", m, m)})
       WHEN {m} RLIKE {_quote("(?U)^(" + _TITLE + r")\.? \p{Lu}")} THEN
         if(size(split({m}, ' ')) > 2,
@@ -136,10 +137,10 @@ def surrogate_sql() -> str:
     masked = f"""CASE WHEN c RLIKE '[0-9]' THEN {letters(48, 10)} WHEN c RLIKE '[A-Z]' THEN {letters(65, 26)}
         WHEN c RLIKE '[a-z]' THEN {letters(97, 26)} WHEN c RLIKE '[а-я]' THEN {wide(0x430, 32)}
         WHEN c RLIKE '[α-ω]' THEN {wide(0x3B1, 25)} WHEN c RLIKE '\\\\p{{IsHan}}' THEN {wide(0x4E00, 20000)}
-        WHEN c RLIKE '\\\\p{{L}}' THEN {letters(97, 26)} ELSE c END"""
+        WHEN c RLIKE '\\\\p{{L}}' THEN {letters(97, 26)} WHEN c RLIKE '\\\\p{{N}}' THEN {letters(48, 10)} ELSE c END"""
     digits = f"array_join(transform(sequence(0, length(norm) - 1), k -> {letters(48, 10)}), '')"
     mask_local = f"array_join(transform(split({local}, ''), (c, k) -> {masked}), '')"
-    # a one- or two-letter local part has a small space, so later draws grow by a letter each
+    # a local part or secret of one or two letters has a small space, so later draws grow by a letter each
     grow = f"if(draw = 0, '', array_join(transform(sequence(64, 63 + draw), k -> {letters(97, 26)}), ''))"
     tail = "translate(substring(" + _bytes(0, "d") + ", 1, 10), '0123456789', 'ghijkmnpqr')"
     cyr = "norm RLIKE '[а-яё]'"
@@ -155,7 +156,7 @@ def surrogate_sql() -> str:
       WHEN 'given_m' THEN lower({given(MALE_GIVEN, MALE_GIVEN_CYRILLIC, 'o', 'ор')})
       WHEN 'given_f' THEN lower({given(FEMALE_GIVEN, FEMALE_GIVEN_CYRILLIC, 'a', 'а')})
       WHEN 'given_n' THEN {_syllables(False, "'i'")}
-      ELSE array_join(transform(split(norm, ''), (c, k) -> {masked}), '') END"""
+      ELSE concat(array_join(transform(split(norm, ''), (c, k) -> {masked}), ''), {grow}) END"""
 
 
 def rendered_sql() -> str:

@@ -126,6 +126,19 @@ def test_the_cheap_scan_passes_all_that_the_pattern_finds(spark):
     assert [o for t, o in zip(ALONE, scrub(spark, [f"ab {t} zz" for t in ALONE])) if t in o] == []
 
 
+def test_secrets_of_small_spaces(spark):
+    blank = ["password: ********", "token: ------", "secret=(-----)", "password: @@@@@@", "api_key: \U0001f511\U0001f511\U0001f511\U0001f511\U0001f511\U0001f511"]
+    forms = ["{}-----", "-----{}", "(----{}", "+----{}", "***{}***"]
+    few = [f"token: {form.format(c)}" for form in forms for c in string.digits] + [f"token: {c}-----" for c in string.ascii_lowercase] + [f"token: AB1{c}-----" for c in string.digits]
+    numerals = ["password: \u0661\u0662\u0663\u0664\u0665\u0666"]
+    out = scrub(spark, blank + few + numerals)
+    assert out[: len(blank)] == blank
+    assert len(set(out)) == len(out) and not set(out[len(blank) :]) & set(few + numerals)
+    assert not set("\u0661\u0662\u0663\u0664\u0665\u0666") & set(out[-1]) and all(o.startswith("token: ") for o in out[len(blank) : -1])
+    long = "1-" * 20_000 + "x."
+    assert scrub(spark, [f"token: {long[:-2]}", f"token: {long}"])[0].count("1-1-1-1-1-1-1-1-") == 0
+
+
 def test_search_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(900, None), (901, ""), (902, "unseen zzzz"), (903, "unseen zzzz"), (None, "unseen zzzz"), (50, "unseen")], "doc_id long, text string")
