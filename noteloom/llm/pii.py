@@ -54,7 +54,14 @@ _PHONE = (
     rf"(?=\+)(?<!{_W})\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{2,4}}(?!{_W})"
     rf"|(?=[(0-9])(?<!{_W})(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?!{_W})"
 )
-_IBAN = rf"(?=[A-Z])(?<!{_W})[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,6}}(?: ?[0-9]{{1,3}})?(?!{_W})"
+#: Lengths of account numbers by country, which may hold letters and five digits at least; of other countries all-digit ones are found.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?=(?:[A-Z ]{{0,8}}[0-9]){{5}})(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_IBAN_BODY = rf"(?:(?:{_BY_COUNTRY})(?!{_W})|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,6}}(?: ?[0-9]{{1,3}})?(?!{_W}))"
+_IBAN = rf"(?=[A-Z])(?<!{_W}){_IBAN_BODY}"
 _CARD = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.])[0-9](?:[ -]?[0-9]){{12,18}}(?!{_W})"
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
 _TITLE = "|".join(_TITLES)
@@ -87,6 +94,7 @@ def parts_sql(m: str) -> str:
     """SQL: the parts (lead, kind, norm, raw) of a mention; lead is literal text before the part."""
     part = lambda lead, kind, norm, raw: f"named_struct('lead', {lead}, 'kind', {kind}, 'norm', {norm}, 'raw', {raw})"
     digits = f"regexp_replace({m}, '[^0-9]', '')"
+    account = f"substring(regexp_replace({m}, ' ', ''), 3)"
     title = f"regexp_extract({m}, {_quote('(?U)^([^. ]+)[.]? ')}, 1)"
     lead = f"regexp_extract({m}, {_quote('(?U)^([^ ]+ )')}, 1)"
     w1 = f"split({m}, ' ')[1]"
@@ -97,7 +105,7 @@ def parts_sql(m: str) -> str:
         {part("'@'", "'domain'", f"lower(substring_index({m}, '@', -1))", f"substring_index({m}, '@', -1)")})
       WHEN {m} RLIKE {_quote(rf"^{_OCTET}([.]{_OCTET}){{3}}$")} THEN array({part("''", "'ip'", m, m)})
       WHEN {m} RLIKE {_quote(r"^([0-9a-f]{32,}|[0-9A-F]{32,})$")} THEN array({part("''", "'hex'", f"lower({m})", m)})
-      WHEN {m} RLIKE {_quote(r"^[A-Z]{2}\d{2}[ \d]+$")} AND length({digits}) >= 14 THEN array({part(f"substring({m}, 1, 2)", "'iban'", digits, f"substring({m}, 3)")})
+      WHEN {m} RLIKE {_quote(f"^{_IBAN_BODY}$")} THEN array({part(f"substring({m}, 1, 2)", "'iban'", account, f"substring({m}, 3)")})
       WHEN {m} RLIKE {_quote(r"^\d{3}-\d{2}-\d{4}$")} THEN array({part("''", "'ssn'", digits, m)})
       WHEN {m} RLIKE {_quote(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$")} AND {m} RLIKE {_quote(r"^[-+(). \d]+$")} AND length({digits}) >= 6 THEN array({part("''", "'phone'", digits, m)})
       WHEN {m} RLIKE {_quote(r"^\d[ \d-]+$")} AND length({digits}) >= 13 THEN array({part("''", "'card'", digits, m)})
@@ -151,7 +159,8 @@ def surrogate_sql() -> str:
       WHEN 'domain' THEN concat({tail}, '.example')
       WHEN 'ip' THEN array_join(transform(sequence(0, 3), k -> cast({_at('k')} % 256 as string)), '.')
       WHEN 'hex' THEN substring(array_join(transform(sequence(0, (length(norm) - 1) div 128), b -> {_bytes("' || b || '")}), ''), 1, length(norm))
-      WHEN 'phone' THEN {digits} WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits} WHEN 'iban' THEN {digits}
+      WHEN 'phone' THEN {digits} WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits}
+      WHEN 'iban' THEN array_join(transform(split(norm, ''), (c, k) -> {masked}), '')
       WHEN 'surname' THEN if({cyr}, {_syllables(True)}, {_syllables(False)})
       WHEN 'given_m' THEN lower({given(MALE_GIVEN, MALE_GIVEN_CYRILLIC, 'o', 'ор')})
       WHEN 'given_f' THEN lower({given(FEMALE_GIVEN, FEMALE_GIVEN_CYRILLIC, 'a', 'а')})
@@ -162,7 +171,7 @@ def surrogate_sql() -> str:
 def rendered_sql() -> str:
     """SQL: surrogate ``sur`` in the format of the mention's part ``raw``."""
     fill = """aggregate(split(raw, ''), named_struct('i', 1, 'out', ''),
-        (a, c) -> if(c RLIKE '[0-9]', named_struct('i', a.i + 1, 'out', concat(a.out, substring(sur, a.i, 1))),
+        (a, c) -> if(c RLIKE '[0-9A-Z]', named_struct('i', a.i + 1, 'out', concat(a.out, substring(sur, a.i, 1))),
                      named_struct('i', a.i, 'out', concat(a.out, c))), a -> a.out)"""
     return f"""CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {fill}
       WHEN kind IN ('email', 'domain', 'hex') AND raw = upper(raw) AND raw <> lower(raw) THEN upper(sur)

@@ -139,6 +139,18 @@ def test_secrets_of_small_spaces(spark):
     assert scrub(spark, [f"token: {long[:-2]}", f"token: {long}"])[0].count("1-1-1-1-1-1-1-1-") == 0
 
 
+def test_account_numbers_with_letters(spark):
+    whole = ["GB29NWBK60161331926819", "NL91ABNA0417164300", "IE29AIBK93115212345678", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "NO9386011117947", "DE89370400440532013000"]
+    spaced = [" ".join(n[i : i + 4] for i in range(0, len(n), 4)) for n in whole]
+    out = scrub(spark, [f"pay {n} NEXT week" for n in whole + spaced] + ["UK24 THIS MUST WORK OUT", "NO24 MORE WORK DAY AND NIGHT", "in GB29 NWBK"])
+    kind = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+    for n, o in zip(whole + spaced, out):
+        got = o.removeprefix("pay ").removesuffix(" NEXT week")
+        assert kind(got) == kind(n) and got != n and got[:2] == n[:2]
+    assert [o.replace(" ", "") for o in out[: len(whole)]] == [o.replace(" ", "") for o in out[len(whole) : 2 * len(whole)]]
+    assert out[2 * len(whole) :] == ["UK24 THIS MUST WORK OUT", "NO24 MORE WORK DAY AND NIGHT", "in GB29 NWBK"]
+
+
 def test_search_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(900, None), (901, ""), (902, "unseen zzzz"), (903, "unseen zzzz"), (None, "unseen zzzz"), (50, "unseen")], "doc_id long, text string")
