@@ -1,14 +1,19 @@
-"""A small, forgiving HTML tree: nodes to classify, and text pieces in page order."""
+"""A small, forgiving HTML tree: nodes to classify, and text pieces in page order.
+
+A page is read once, from its start to its end, whatever is wrong with it: a tag begins at one place only, and open
+elements are found by their names and not by walks over the stack, so the time is in proportion to the page.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never page text.
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video title".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title".split())
+DROPPED = frozenset("head script style template iframe svg canvas audio video title annotation annotation-xml".split())
+RAW = frozenset("script style template iframe svg textarea title".split())
 BLOCK = frozenset(
     """html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th
     blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr dialog
@@ -28,7 +33,8 @@ CLOSES = {
 }
 _NO_P = BLOCK - {"td", "th", "tr", "option", "thead", "tbody", "tfoot", "caption", "legend", "summary"}
 _SCOPE = frozenset("article section div body main td th li blockquote header footer nav aside form figure details".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"=\s*([\"'])|>")
 _ATTR = re.compile(r"(class|id|role|aria-label|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -49,6 +55,46 @@ def attribute_words(attrs: str) -> list[str]:
     return _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()) if text else []
 
 
+def tags(page: str, ends: dict[str, int]) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags of a page; comments and declarations have an empty name.
+
+    Reading goes on at ``ends['at']`` if a reader sets it beyond the tag. Quotes after an equals sign hide a
+    tag's end; if that leaves a tag without one, quotes count no more from there on. A tag, comment or
+    declaration without an end takes the rest of the page.
+    """
+    at, n, quotes = page.find("<"), len(page), True
+    while 0 <= at < n:
+        lead = page[at + 1 : at + 2]
+        name, closing, attrs, end = "", lead == "/", "", at + 1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif lead in ("!", "?") and lead:
+            end = page.find(">", at)
+            end = n if end < 0 else end + 1
+        elif m := _NAME.match(page, at + 1 + closing):
+            name, spot = m[0].lower(), m.end()
+            end = -1
+            while quotes and end < 0 and (stop := _STOP.search(page, spot)):
+                if stop[1] is None:
+                    end = stop.end()
+                else:
+                    spot = page.find(stop[1], stop.end()) + 1
+                    if not spot:
+                        break
+            quotes = quotes and end >= 0
+            if end < 0:
+                end = page.find(">", m.end()) + 1
+            if not end:
+                name, end = "", n
+            attrs = page[m.end() : end - 1]
+        if end > at + 1:
+            ends["at"] = end
+            yield at, end, name, closing, attrs
+            end = ends["at"]
+        at = page.find("<", end)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, pieces): nodes in page order, the first a root; pieces (node, text), (-1, '') a block's end.
 
@@ -58,8 +104,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", [], -1, 0, False)]
     pieces: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with its node
+    opened: dict[str, list[int]] = {}  # where elements of a name are in the stack
+    scopes = [0]  # where elements are that inline ends don't reach beyond
     links = skip = at = 0
-    skip_tag = ""
 
     def text(raw: str) -> None:
         if not raw or skip:
@@ -78,61 +125,49 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node.linked += n
         pieces.append((stack[-1][1], raw))
 
+    def last(names) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
     def close(k: int) -> None:
         nonlocal links, skip
-        for tag, _ in stack[k:]:
+        for tag, _ in reversed(stack[k:]):
+            opened[tag].pop()
             links -= tag == "a"
             skip -= tag in DROPPED
+            if tag in _SCOPE:
+                scopes.pop()
             if tag in BLOCK:
                 pieces.append((-1, ""))
         del stack[k:]
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if not skip_tag:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE and tag not in BLOCK:
-                    break  # an inline end tag closes nothing beyond its block
+    ends: dict[str, int] = {}
+    for start, end, tag, closing, attrs in tags(page, ends):
+        text(page[at:start])
+        at = end
+        if not tag or tag == "html":
             continue
-        if tag == "html":
+        if closing:
+            k = last((tag,))
+            if k > (0 if tag in BLOCK else scopes[-1]):  # an inline end tag closes nothing beyond its block
+                close(k)
             continue
         if tag in VOID:
-            if tag in ("input", "img") and not skip:
-                nodes[stack[-1][1]].inputs += tag == "input"
+            if tag == "input" and not skip:
+                nodes[stack[-1][1]].inputs += 1
             if tag == "br" and not skip:
                 pieces.append((stack[-1][1], " "))
             elif tag == "hr":
                 pieces.append((-1, ""))
             continue
-        if tag == "body" and any(t == "head" for t, _ in stack):
-            close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
-        if tag in _NO_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+        if tag == "body" and opened.get("head"):
+            close(opened["head"][0])
+        if tag in _NO_P and (k := last(("p",))) > scopes[-1]:
+            close(k)
         if tag in CLOSES:
             which, stop = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in which:
-                    close(k)
-                    break
-                if stack[k][0] in stop:
-                    break
-        attrs = m[3] or ""
+            if (k := last(which)) > last(stop):
+                close(k)
         parent = stack[-1][1]
         words = attribute_words(attrs) if attrs else []
         if tag in BLOCK:
@@ -155,13 +190,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[here].inputs += 1
         if attrs.rstrip().endswith("/") and tag in ("script", "iframe", "svg", "path", "use"):
             continue
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append((tag, here))
         skip += tag in DROPPED
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop_ = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag == "textarea" and not skip:
-                text(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+                text(page[at : stop_.start() if stop_ else len(page)])
+            at = ends["at"] = stop_.end() if stop_ else len(page)
             close(len(stack) - 1)
     text(page[at:])
     close(1)

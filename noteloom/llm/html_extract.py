@@ -12,6 +12,7 @@ The trees are trained on generated pages of known structure (``html_training``),
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from noteloom.llm.dom import Node, blocks, parse
 
 AROUND, INSIDE, CUT = 0, 1, 2
+#: Nodes classified at once; a page's nodes stay together.
+NODES = 20_000
 TAGS = ["html", "body", "main", "article", "section", "div", "p", "h1", "h2", "ul", "table", "blockquote", "pre", "figure", "nav", "header", "footer", "aside", "form", "li", "span", "address", "other"]
 _TAG_OF = {t: i for i, t in enumerate(TAGS)} | {"h3": 8, "h4": 8, "h5": 8, "h6": 8, "ol": 9, "dl": 9, "menu": 14, "tr": 10, "td": 10, "th": 10, "fieldset": 18, "search": 18, "dialog": 17, "figcaption": 13, "hgroup": 15}
 # Groups of attribute words.
@@ -43,13 +46,15 @@ _GROUP_OF: dict[str, list[int]] = {}
 for _i, _words in enumerate(GROUPS.values()):
     for _w in _words.split():
         _GROUP_OF.setdefault(_w, []).append(_i)
-_NG = len(GROUPS)
+_NG, _NT = len(GROUPS), len(TAGS)
+#: Columns that attribute words are hashed into, known words and others.
+HASHED = 64
 _TAG_CUTS = {"nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 9, "article": 0, "main": 0}
 NUMBERS = [
     "chars", "direct", "link_share", "links", "stops_per", "commas_per", "paras", "items", "inputs", "depth", "place", "siblings", "share_page", "share_parent",
     "before", "kids", "mean_piece", "sib_chars", "sib_same", "prev_chars", "next_chars", "in_article", "page_has_article", "page_chars", "hidden", "best_para", "words",
 ]
-N_FEATURES = len(TAGS) + 2 * _NG + len(NUMBERS)
+N_FEATURES = _NT + 2 * _NG + HASHED + len(NUMBERS)
 
 
 def node_features(nodes: list[Node]) -> np.ndarray:
@@ -58,11 +63,35 @@ def node_features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((n, N_FEATURES), np.float32)
     sums = np.array([(v.chars, v.linked, v.links, v.stops, v.commas, v.paras, v.items, v.inputs, v.pieces, 0) for v in nodes], np.float64)
     direct = sums[:, 0].copy()
-    parent = [v.parent for v in nodes]
+    parent = np.array([v.parent for v in nodes])
+    tag = np.array([_TAG_OF.get(v.tag, _NT - 1) for v in nodes])
     before = np.concatenate([[0.0], np.cumsum(direct)[:-1]])
     rows = sums.tolist()
+    # what stands above a node: attribute groups and telling tags, added up along its ancestors
+    above: list[np.ndarray | None] = [None] * n
+    inside = np.zeros(n, np.float32)
+    own = np.zeros((n, _NG), np.float32)
+    for i, v in enumerate(nodes):
+        for w in v.words:
+            x[i, _NT + 2 * _NG + _column(w)] += 1
+            for g in _GROUP_OF.get(w, ()):
+                own[i, g] += 1
+        if i:
+            p = v.parent
+            up, name = above[p], nodes[p].tag
+            g = _TAG_CUTS.get(name)
+            if nodes[p].words or g is not None:
+                mine = own[p].copy()
+                if g is not None:
+                    mine[g] += 1
+                if mine.any():
+                    up = np.minimum(mine if up is None else up + mine, 3)
+            above[i] = up
+            inside[i] = inside[p] or name in ("article", "main")
+            if up is not None:
+                x[i, _NT + _NG : _NT + 2 * _NG] = up
     for i in range(n - 1, 0, -1):
-        a, b = rows[parent[i]], rows[i]
+        a, b = rows[nodes[i].parent], rows[i]
         for k in range(9):
             a[k] += b[k]
         best = max(b[9], direct[i] if nodes[i].tag == "p" else 0.0)
@@ -71,41 +100,11 @@ def node_features(nodes: list[Node]) -> np.ndarray:
     total = np.array(rows)
     chars = np.maximum(total[:, 0], 1)
     page = max(total[0, 0], 1.0)
-    nt = len(TAGS)
-    groups = np.zeros((n, _NG), np.float32)
-    above = np.zeros((n, _NG), np.float32)
-    inside = np.zeros(n, np.float32)
-    place = np.zeros(n)
-    sib = np.ones(n)
-    same = np.zeros(n)
-    prev, following, mean = np.zeros(n), np.zeros(n), np.zeros(n)
-    has_article = any(v.tag in ("article", "main") for v in nodes)
-    for i, v in enumerate(nodes):
-        x[i, _TAG_OF.get(v.tag, nt - 1)] = 1
-        for w in v.words:
-            for g in _GROUP_OF.get(w, ()):
-                groups[i, g] += 1
-        g = _TAG_CUTS.get(v.tag)
-        if i:
-            p = parent[i]
-            above[i] = above[p] + groups[p]
-            inside[i] = inside[p] or nodes[p].tag in ("article", "main")
-            pg = _TAG_CUTS.get(nodes[p].tag)
-            if pg is not None:
-                above[i, pg] += 1
-        kids = v.kids
-        if kids:
-            sizes = total[kids, 0]
-            place[kids] = np.arange(len(kids)) / len(kids)
-            sib[kids] = len(kids)
-            mean[kids] = sizes.mean()
-            prev[kids[1:]] = sizes[:-1]
-            following[kids[:-1]] = sizes[1:]
-            tags = [nodes[k].tag for k in kids]
-            same[kids] = [tags.count(t) for t in tags] if len(kids) < 40 else len(kids)
-    x[:, nt : nt + _NG] = groups
-    x[:, nt + _NG : nt + 2 * _NG] = np.minimum(above, 3)
+    place, sib, same, prev, following, mean = _siblings(parent, np.array([hash_of(v.tag) for v in nodes]), total[:, 0])
+    x[np.arange(n), tag] = 1
+    x[:, _NT : _NT + _NG] = own
     share_parent = total[:, 0] / chars[np.maximum(parent, 0)]
+    has_article = any(v.tag in ("article", "main") for v in nodes)
     cols = [
         np.log1p(total[:, 0]), np.log1p(direct), total[:, 1] / chars, np.log1p(total[:, 2]), total[:, 3] / chars * 100, total[:, 4] / chars * 100,
         np.log1p(total[:, 5]), np.log1p(total[:, 6]), total[:, 7], [v.depth for v in nodes], place, np.log1p(sib), total[:, 0] / page, share_parent,
@@ -113,10 +112,41 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         inside, np.full(n, has_article), np.full(n, np.log1p(page)), [v.hidden for v in nodes], np.log1p(total[:, 9]), [len(v.words) for v in nodes],
     ]
     for k, c in enumerate(cols):
-        x[:, nt + 2 * _NG + k] = c
+        x[:, N_FEATURES - len(cols) + k] = c
     return x
 
 
+@lru_cache(maxsize=4096)
+def hash_of(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _column(word: str) -> int:
+    return hash_of(word) % HASHED
+
+
+def _siblings(parent: np.ndarray, tag: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place among siblings, their number, those of equal tag, and the text of the one before, the one after and the mean one."""
+    n = len(parent)
+    place, sib, same, prev, following, mean = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    order = np.argsort(parent, kind="stable")[1:]  # without the root
+    if not len(order):
+        return place, sib, same, prev, following, mean
+    group = parent[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(first, len(order)))
+    at = np.repeat(np.arange(len(first)), size)
+    place[order] = (np.arange(len(order)) - first[at]) / size[at]
+    sib[order] = size[at]
+    mean[order] = (np.add.reduceat(chars[order], first) / size)[at]
+    together = group[1:] == group[:-1]
+    prev[order[1:][together]] = chars[order[:-1][together]]
+    following[order[:-1][together]] = chars[order[1:][together]]
+    _, kind, times = np.unique((at.astype(np.int64) << 32) | tag[order], return_inverse=True, return_counts=True)
+    same[order] = times[kind]
+    return place, sib, same, prev, following, mean
+
+
 class Forest:
     """Boosted trees for several classes; complete trees stored level by level."""
 
@@ -225,20 +255,28 @@ def decode(nodes: list[Node], logp: np.ndarray) -> list[int]:
 
 
 def extract_pages(pages: list[str | None], forest: Forest) -> list[str]:
-    """Main texts of whole pages; null or empty pages give ''."""
-    parsed = [parse(p) if p else ([], []) for p in pages]
-    feats = [node_features(nodes) for nodes, _ in parsed if nodes]
-    if not feats:
-        return ["" for _ in pages]
-    logp = forest.log_probabilities(np.concatenate(feats))
-    out, at = [], 0
-    for nodes, pieces in parsed:
-        if not nodes:
-            out.append("")
-            continue
-        state = decode(nodes, logp[at : at + len(nodes)])
-        at += len(nodes)
-        out.append(blocks(pieces, [s == INSIDE for s in state]))
+    """Main texts of whole pages; null or empty pages give ''. Nodes of some pages at once are classified together."""
+    out: list[str] = []
+    held: list[tuple[list[Node], list[tuple[int, str]]]] = []
+    size = 0
+
+    def flush() -> None:
+        feats = [node_features(nodes) for nodes, _ in held if nodes]
+        logp = forest.log_probabilities(np.concatenate(feats)) if feats else np.zeros((0, 3))
+        at = 0
+        for nodes, pieces in held:
+            state = decode(nodes, logp[at : at + len(nodes)]) if nodes else []
+            at += len(nodes)
+            out.append(blocks(pieces, [s == INSIDE for s in state]))
+        held.clear()
+
+    for page in pages:
+        held.append(parse(page) if page else ([], []))
+        size += len(held[-1][0])
+        if size >= NODES:
+            flush()
+            size = 0
+    flush()
     return out
 
 

@@ -12,7 +12,20 @@ import re
 
 import numpy as np
 
-PAGES = 700
+PAGES = 1000
+# Names of page parts in other languages, and short or pieced-together ones, by the part they name.
+OTHER_NAMES = {
+    "nav": "navigation hauptmenue navi menue menu-principal barre-navigation navegacion menu-lateral menyu nawigacja navigazione gnb lnb tnav",
+    "header": "kopf kopfzeile seitenkopf entete en-tete bandeau cabecera encabezado testata naglowek hdr pghead sitehdr",
+    "footer": "fuss fusszeile seitenfuss impressum pied pied-page pie pie-pagina rodape stopka ftr pgfoot sitebtm",
+    "ad": "werbung anzeige reklame publicite pub annonce publicidad anuncio patrocinado reklama pubblicita advt dfp-box mpu",
+    "notice": "hinweis meldung datenschutz einwilligung avis bandeau-cookies consentement aviso consentimiento galletas powiadomienie ciasteczka ckbar optin",
+    "side": "seitenleiste randspalte marginalspalte barre-laterale colonne-droite barra-lateral columna lateral kolumna rcol lcol mostread verwandt similaires relacionados",
+    "form": "suche suchfeld anmeldung recherche connexion buscar busqueda formulario szukaj srch lgn",
+    "share": "teilen folgen partager suivre compartir seguir udostepnij shr soc",
+    "comments": "kommentare kommentar meinungen leserbriefe commentaires reponses avis-lecteurs comentarios respuestas opiniones komentarze cmts ugc talkback",
+    "content": "inhalt beitrag artikel haupttext contenu corps texte billet contenido articulo cuerpo noticia tresc artykul maintxt bodytxt storycopy",
+}
 _SEED = 20_240_601
 _MARK = re.compile(r" data-s=\"(\d)\"")
 
@@ -25,6 +38,7 @@ class _Maker:
         self.upper = rng.random() < 0.05
         self.noise = rng.choice(["", "", "", "", "!!", "###"])
         self.caps = rng.random() < 0.5
+        self.other = 0.8 if rng.random() < 0.4 else 0.0  # share of attributes with names in OTHER_NAMES
 
     def words(self, lo: int, hi: int) -> str:
         r = self.r
@@ -45,11 +59,11 @@ class _Maker:
     def prose(self, lo: int, hi: int) -> str:
         return " ".join(self.sentence() for _ in range(self.r.randint(lo, hi)))
 
-    def attrs(self, *names: str, p: float = 0.9) -> str:
+    def attrs(self, *names: str, p: float = 0.9, part: str = "") -> str:
         r = self.r
         if r.random() > p:
             return ""
-        name = f"c{r.randint(1, 99)}" if self.plain else r.choice(names)
+        name = f"c{r.randint(1, 99)}" if self.plain else self.name(names, part)
         if r.random() < 0.3:
             name += r.choice([" clearfix", " row", " col-8", " container", " block", " u-mt"])
         return f' {r.choice(["class", "class", "id"])}="{name}"'
@@ -62,51 +76,54 @@ class _Maker:
 
     def links(self, state: int = 2) -> str:
         items = "".join(f"<li>{self.link()}</li>" for _ in range(self.r.randint(2, 9)))
-        return self.el("ul", state, items, self.attrs("menu", "nav-list", "links", p=0.3))
+        return self.el("ul", state, items, self.attrs("menu", "nav-list", "links", p=0.3, part="nav"))
 
     # boilerplate
     def nav(self) -> str:
-        return self.el("nav" if self.semantic else "div", 2, self.links() if self.r.random() < 0.8 else " | ".join(self.link() for _ in range(6)), self.attrs("nav", "navbar", "main-menu", "breadcrumb", "pagination", p=0.5 if self.semantic else 0.95))
+        return self.el("nav" if self.semantic else "div", 2, self.links() if self.r.random() < 0.8 else " | ".join(self.link() for _ in range(6)), self.attrs("nav", "navbar", "main-menu", "breadcrumb", "pagination", p=0.5 if self.semantic else 0.95, part="nav"))
 
     def header(self) -> str:
-        inner = self.el("h1" if self.r.random() < 0.3 else "div", 2, self.words(1, 4), self.attrs("logo", "site-title", "branding")) + (self.nav() if self.r.random() < 0.5 else self.el("p", 2, self.words(2, 8)))
-        return self.el("header" if self.semantic else "div", 2, inner, self.attrs("header", "site-header", "masthead", "top", p=0.6 if self.semantic else 1))
+        inner = self.el("h1" if self.r.random() < 0.3 else "div", 2, self.words(1, 4), self.attrs("logo", "site-title", "branding", part="header")) + (self.nav() if self.r.random() < 0.5 else self.el("p", 2, self.words(2, 8)))
+        return self.el("header" if self.semantic else "div", 2, inner, self.attrs("header", "site-header", "masthead", "top", p=0.6 if self.semantic else 1, part="header"))
 
     def footer(self) -> str:
         r = self.r
         inner = r.choice(["&copy; ", "", "2024 "]) + f"{self.words(1, 2)} &middot; " + self.prose(1, 3)
         if r.random() < 0.5:
             inner = self.el("p", 2, inner) + (self.links() if r.random() < 0.4 else "")
-        return self.el("footer" if self.semantic else "div", 2, inner, self.attrs("footer", "site-footer", "copyright", "bottom", p=0.3 if self.semantic else 1))
+        return self.el("footer" if self.semantic else "div", 2, inner, self.attrs("footer", "site-footer", "copyright", "bottom", p=0.3 if self.semantic else 1, part="footer"))
 
     def ad(self) -> str:
         inner = self.prose(1, 3) if self.r.random() < 0.7 else self.el("p", 2, self.prose(1, 2)) + self.link()
-        return self.el(self.r.choice(["div", "div", "section", "aside", "ins", "p"]), 2, inner, " " + self.attrs_strict("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement", "banner-ad"))
+        return self.el(self.r.choice(["div", "div", "section", "aside", "ins", "p"]), 2, inner, " " + self.attrs_strict("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement", "banner-ad", part="ad"))
 
-    def attrs_strict(self, *names: str) -> str:
-        return f'{self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
+    def name(self, names: tuple[str, ...], part: str) -> str:
+        return self.r.choice(OTHER_NAMES[part].split()) if part and self.r.random() < self.other else self.r.choice(names)
+
+    def attrs_strict(self, *names: str, part: str = "") -> str:
+        return f'{self.r.choice(["class", "class", "id"])}="{self.name(names, part)}"'
 
     def notice(self) -> str:
         inner = self.el("p", 2, self.prose(1, 3)) + (f"<button>{self.words(1, 2)}</button>" if self.r.random() < 0.7 else "")
-        return self.el(self.r.choice(["div", "div", "section", "aside", "p"]), 2, inner if self.r.random() < 0.7 else self.prose(1, 2), " " + self.attrs_strict("cookie", "cookie-notice", "consent", "alert", "newsletter", "popup", "gdpr-banner", "notice", "subscribe", "paywall"))
+        return self.el(self.r.choice(["div", "div", "section", "aside", "p"]), 2, inner if self.r.random() < 0.7 else self.prose(1, 2), " " + self.attrs_strict("cookie", "cookie-notice", "consent", "alert", "newsletter", "popup", "gdpr-banner", "notice", "subscribe", "paywall", part="notice"))
 
     def side(self) -> str:
         r = self.r
         body = "".join(r.choice([self.links, lambda: self.el("p", 2, self.prose(1, 3)), lambda: self.el("h3", 2, self.words(1, 4)), self.ad])() for _ in range(r.randint(1, 4)))
-        return self.el("aside" if self.semantic else "div", 2, body, self.attrs("sidebar", "related", "widget", "side", "recommended", "trending", p=0.5 if self.semantic else 1))
+        return self.el("aside" if self.semantic else "div", 2, body, self.attrs("sidebar", "related", "widget", "side", "recommended", "trending", p=0.5 if self.semantic else 1, part="side"))
 
     def form(self) -> str:
         inner = "".join(f"<label>{self.words(1, 3)}</label><input type=text>" for _ in range(self.r.randint(1, 4))) + f"<button>{self.words(1, 2)}</button>"
-        return self.el("form", 2, self.el("p", 2, inner) if self.r.random() < 0.4 else inner, self.attrs("search", "login", "contact", "signup", p=0.5))
+        return self.el("form", 2, self.el("p", 2, inner) if self.r.random() < 0.4 else inner, self.attrs("search", "login", "contact", "signup", p=0.5, part="form"))
 
     def share(self) -> str:
-        return self.el("div", 2, " ".join(self.link() for _ in range(3)), " " + self.attrs_strict("share", "social", "share-buttons", "follow-us"))
+        return self.el("div", 2, " ".join(self.link() for _ in range(3)), " " + self.attrs_strict("share", "social", "share-buttons", "follow-us", part="share"))
 
     def comments(self) -> str:
         r = self.r
-        one = lambda: self.el(r.choice(["div", "li", "article"]), 2, (self.el("b", 2, self.words(1, 2), ' class="author"') if r.random() < 0.4 else self.words(1, 2)) + self.el("p", 2, self.prose(1, 4)), self.attrs("comment", "reply", "comment-body", p=0.8))
+        one = lambda: self.el(r.choice(["div", "li", "article"]), 2, (self.el("b", 2, self.words(1, 2), ' class="author"') if r.random() < 0.4 else self.words(1, 2)) + self.el("p", 2, self.prose(1, 4)), self.attrs("comment", "reply", "comment-body", p=0.8, part="comments"))
         inner = self.el("h3", 2, self.words(1, 3)) * (r.random() < 0.6) + "".join(one() for _ in range(r.randint(1, 6)))
-        return self.el(r.choice(["div", "section", "ol", "ul"]), 2, inner, " " + self.attrs_strict("comments", "comment-list", "disqus_thread", "discussion", "replies", "respond"))
+        return self.el(r.choice(["div", "section", "ol", "ul"]), 2, inner, " " + self.attrs_strict("comments", "comment-list", "disqus_thread", "discussion", "replies", "respond", part="comments"))
 
     # content
     def para(self) -> str:
@@ -155,11 +172,11 @@ class _Maker:
     def page(self) -> str:
         r = self.r
         if self.semantic:
-            core = self.el("article", 1, self.content(), self.attrs("article", "post", "hentry", p=0.3))
+            core = self.el("article", 1, self.content(), self.attrs("article", "post", "hentry", p=0.3, part="content"))
             if r.random() < 0.35:
-                core = self.el("main", 0, core, self.attrs("main", "content", p=0.3))
+                core = self.el("main", 0, core, self.attrs("main", "content", p=0.3, part="content"))
         else:
-            core = self.el(r.choice(["div", "div", "section", "main"]), 1, self.content(), self.attrs("content", "post", "article-body", "main-content", "entry", "story", "text", p=0.9))
+            core = self.el(r.choice(["div", "div", "section", "main"]), 1, self.content(), self.attrs("content", "post", "article-body", "main-content", "entry", "story", "text", p=0.9, part="content"))
         core_and = [core]
         if r.random() < 0.3:
             core_and.insert(r.randint(0, 1), self.side())
