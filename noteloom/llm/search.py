@@ -1,16 +1,24 @@
 """Exact top-k search with BM25: sharded inverted indexes, block-max WAND pruning, an exact merge.
 
-A shard holds some thousand whole documents, in an order that puts like ones together, cut into blocks of ``BLOCK``
-documents. Rare terms have posting lists; for common terms the index knows the largest impact in each block. As in
-WAND, a document is scored in full only if what could be its score reaches the present k-th best: its bound is the score
-of its rare terms plus its block's maxima of the common ones. All bounds of a shard are tested at once; the documents of the
-largest bounds are scored first, which lifts the threshold for the rest. No document at or above the threshold is passed over, so
-results are exact.
+A shard holds some thousand whole documents, in an order that puts like ones together. Each term has a posting list in
+that order, cut at every ``BLOCK`` places, so blocks of different lists cover the same documents; of each block the
+index knows the largest impact, of each list too. One query goes over a shard in these steps:
+
+1. List bounds: if the most that the query's lists can give doesn't add up to the threshold, the shard is left out.
+2. Short lists are one block and are read. The few frequent lists are kept as impacts by document, and their part is added for
+   some queries at once by a matrix product.
+3. Block bounds: shallow cursors of the other lists go over the block maxima, without reading postings. A block is entered only
+   if it has a document that can reach the threshold: what it has from step 2 and the maxima of all other lists. This is the
+   pivot test of WAND, made for all blocks at once; the others are skipped in all lists.
+4. The cursors read the postings of the blocks left. Blocks that hold a document at the threshold are scored in full, and the threshold
+   rises to the k-th best score.
+
+Cursors move over blocks as arrays. No document at or above the threshold is passed over, so results are exact. The
+threshold starts from the k-th best score over the shards searched before, a few, then a sixth, then all, which can only be too low.
 
 Scores use statistics of the whole corpus (documents, mean length, document frequencies), so those of
-shards compare, and the merge of each shard's best is the exact result. Queries come in blocks of bounded
-size, each broadcast; a block's thresholds start from the k-th scores over a few shards, which can only be too
-low.
+shards compare, and the merge of each shard's best is the exact result. Queries are files of bounded size in the shared
+folder, read one at a time.
 
 Terms are 64-bit hashes of words: runs of ASCII letters and digits and of other characters beyond ASCII, in lower
 case.
@@ -26,22 +34,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import checkpointed, staged, text_buffers
+from noteloom.llm.common import checkpointed, new_dir, row_slices, staged, text_buffers
 from noteloom.llm.textvec import span_hash
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 16 << 20, 16
-#: Share of a shard's documents from which a term is common there.
-COMMON = 0.1
-#: Times k documents of the largest bounds are scored before the others are tested.
-FIRST = 4
-#: Query terms in one block of queries, about 16 bytes each.
+#: Documents of a shard (65,536 at most, as places are 16-bit numbers), and postings from which it is closed before.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 4_000_000, 16
+#: Share of a shard's documents from which a list is kept as impacts by document, and postings up to which a list is one block.
+FREQUENT, SHORT = 0.07, 256
+#: Queries whose frequent lists are added up in one matrix product.
+TOGETHER = 64
+#: Bounds are raised by so much against rounding.
+SLACK = 1 + 1e-4
+#: Blocks of the largest bounds that are scored first where no threshold is known.
+FIRST = 8
+#: Query terms in one file of queries, about 16 bytes each.
 QUERY_TERMS = 1_000_000
-#: Shards that give the first thresholds.
-SEED_SHARDS = 4
+#: Shards that are searched first, for the first thresholds.
+SEED_SHARDS = 2
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_SHARD = "shard long, n_docs long, length long, ids binary, dl binary, vocab binary, df binary, starts binary, terms binary, tfs binary"
+_SHARD = "shard long, n_docs long, length long, ids binary, known binary, dl binary, vocab binary, df binary, docs binary, tfs binary"
+_ARRAYS = ["ids", "known", "dl", "vocab", "df", "docs", "tfs"]
 
 
 def terms_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,55 +83,74 @@ def _counted(terms: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r[at], t[at], np.diff(np.append(at, len(t)))
 
 
-def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """A row for each shard of whole documents (doc_id, text); arrays are packed as bytes.
-
-    Every row is indexed, rows without words and with null ids (kept as a flag value) too.
-    """
-
-    def shard_of(number: int, ids: list[pa.Array], parts: list[tuple[np.ndarray, np.ndarray]], counts: list[int]) -> pa.RecordBatch:
-        base = np.concatenate([[0], np.cumsum(counts)])
-        n = int(base[-1])
-        terms = np.concatenate([t for t, _ in parts])
-        row = np.concatenate([r + b for (_, r), b in zip(parts, base, strict=False)])
-        r, t, tf = _counted(terms, row)
-        dl = np.bincount(row, minlength=n)
+class _Builder:
+    """Documents of one shard, gathered slice by slice."""
+
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.row, self.term, self.tf, self.dl = [], [], [], []
+        self.n = self.postings = 0
+
+    def add(self, ids: pa.Array, text: pa.Array) -> None:
+        t, r = terms_of(text)
+        row, term, tf = _counted(t, r)
+        self.ids.append(ids)
+        self.row.append((row + self.n).astype(np.uint32))
+        self.term.append(term)
+        self.tf.append(tf.astype(np.uint32))
+        self.dl.append(np.bincount(r, minlength=len(ids)))
+        self.n += len(ids)
+        self.postings += len(term)
+
+    def shard(self, number: int) -> pa.RecordBatch:
+        n, dl = self.n, np.concatenate(self.dl)
+        row, term, tf = (np.concatenate(x) for x in (self.row, self.term, self.tf))
+        self.row = self.term = self.tf = []
         # like documents together: by the word that a document has most often, then by length
         top = np.zeros(n, np.int64)
-        if len(t):
-            by = np.lexsort((t, tf, r))
-            last = np.flatnonzero(np.append(r[by][1:] != r[by][:-1], True))
-            top[r[by][last]] = t[by][last]
+        if len(term):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            most = np.maximum.reduceat(tf, first)
+            at = np.flatnonzero(tf == np.repeat(most, np.diff(np.append(first, len(row)))))
+            top[row[at]] = term[at]  # of several the greatest hash
         order = np.lexsort((dl, top))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.uint16)
         place[order] = np.arange(n)
-        vocab, local = np.unique(t, return_inverse=True)
-        df = np.bincount(local, minlength=len(vocab))
-        by = np.lexsort((local, place[r]))
-        starts = np.concatenate([[0], np.cumsum(np.bincount(place[r], minlength=n))])
-        doc = np.array([np.iinfo(np.int64).min if i is None else i for i in pa.chunked_array(ids).to_pylist()], np.int64)[order]
-        values = [number, n, int(dl.sum()), doc, dl[order].astype(np.int32), vocab, df.astype(np.int32), starts.astype(np.int64), local[by].astype(np.uint32), tf[by].astype(np.uint32)]
-        cols = [pa.array([v], pa.int64()) if isinstance(v, int) else pa.array([v.tobytes()], pa.binary()) for v in values]
+        docs = place[row]
+        del row, top
+        by = np.argsort(docs, kind="stable")
+        by = by[np.argsort(term[by], kind="stable")]
+        term, docs, tf = term[by], docs[by], tf[by]
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        ids = pa.concat_arrays(self.ids)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)[order]
+        arrays = [ids.fill_null(0).to_numpy()[order], known, dl[order].astype(np.uint32), term[starts], np.diff(np.append(starts, len(term))).astype(np.uint32), docs, tf]
+        cols = [pa.array([v], pa.int64()) for v in (number, n, int(dl.sum()))] + [pa.array([a.tobytes()], pa.binary()) for a in arrays]
         return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _SHARD.split(", ")])
 
+
+def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """A row for each shard of whole documents (doc_id, text); arrays are packed as bytes.
+
+    Every row is indexed, rows without words and rows with null ids too.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, k = TaskContext.get().partitionId() << 24, 0
-        ids, parts, counts, size = [], [], [], 0
+        made, step = _Builder(), min(1024, shard_docs)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                t, r = terms_of(part.column(1))
-                ids.append(part.column(0))
-                parts.append((t, r))
-                counts.append(part.num_rows)
-                size += 8 * len(t)
-                if sum(counts) >= shard_docs or size >= SHARD_BYTES * 4:
-                    yield shard_of(first + k, ids, parts, counts)
-                    ids, parts, counts, size, k = [], [], [], 0, k + 1
-        if counts:
-            yield shard_of(first + k, ids, parts, counts)
+            _, offs = text_buffers(batch.column(1))
+            for lo, hi in row_slices(offs):
+                for at in range(lo, hi, step):
+                    n = min(step, hi - at)
+                    if made.n + n > shard_docs or made.postings >= SHARD_POSTINGS:
+                        yield made.shard(first + k)
+                        made, k = _Builder(), k + 1
+                    made.add(batch.column(0).slice(at, n), batch.column(1).slice(at, n))
+        if made.n:
+            yield made.shard(first + k)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SHARD)
 
@@ -127,9 +160,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, r = terms_of(batch.column(1))
-            row, term, n = _counted(t, r)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(term), pa.array(n, pa.int64())], names=["query_id", "term", "qtf"])
+            _, offs = text_buffers(batch.column(1))
+            for lo, hi in row_slices(offs):
+                t, r = terms_of(batch.column(1).slice(lo, hi - lo))
+                row, term, n = _counted(t, r)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(term), pa.array(n, pa.int64())], names=["query_id", "term", "qtf"])
 
     return queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "query_id long, term long, qtf long")
 
@@ -140,110 +175,225 @@ def _frequencies(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for v, d in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_buffer(), np.int64)), pa.array(np.frombuffer(d.as_buffer(), np.int32).astype(np.int64))], names=["term", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_buffer(), np.int64)), pa.array(np.frombuffer(d.as_buffer(), np.uint32).astype(np.int64))], names=["term", "df"])
 
     return index.select("vocab", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-class _Shard:
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``first``, one range after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _numbered(chosen: np.ndarray, n: int) -> np.ndarray:
+    """For each of n lists its number among the chosen ones, or -1."""
+    out = np.full(n, -1, np.int32)
+    out[chosen] = np.arange(len(chosen))
+    return out
+
+
+class Shard:
     """One shard ready for queries.
 
-    Terms in at least ``COMMON`` of its documents have their impacts by document and the largest of each block;
-    the others have posting lists.
+    ``read`` and ``held`` count postings read before scoring, and those of the queries' lists, frequent ones left out.
     """
 
     def __init__(self, row: dict, mean: float):
         get = lambda k, kind: np.frombuffer(row[k], kind)
-        self.ids, dl = get("ids", np.int64), get("dl", np.int32).astype(np.float64)
-        self.vocab, starts, terms = get("vocab", np.int64), get("starts", np.int64), get("terms", np.uint32).astype(np.int64)
-        tf = get("tfs", np.uint32).astype(np.float64)
-        n, v = len(self.ids), len(self.vocab)
-        doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(starts))
-        norm = K1 * (1 - B + B * dl / mean)
-        impact = tf * (K1 + 1) / (tf + norm[doc])
-        common = np.bincount(terms, minlength=v) >= max(1, COMMON * n)
-        self.common = np.where(common, np.cumsum(common) - 1, -1)
-        here = common[terms]
-        self.dense = np.zeros((int(common.sum()), n))
-        self.dense[self.common[terms[here]], doc[here]] = impact[here]
-        self.largest = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n and len(self.dense) else np.zeros((len(self.dense), -(-n // BLOCK)))
-        rest = np.flatnonzero(~here)
-        rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.doc, self.impact = doc[rest], impact[rest]
-        self.term_from = np.searchsorted(terms[rest], np.arange(v + 1))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the documents that may be among the k best with a score of at least ``floor``."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        n = len(self.ids)
-        if not len(self.vocab) or not len(terms):
-            return none
+        self.ids, self.known, dl, self.vocab = get("ids", np.int64), get("known", bool), get("dl", np.uint32), get("vocab", np.int64)
+        df, self.doc, self.tf = get("df", np.uint32).astype(np.int64), get("docs", np.uint16), get("tfs", np.uint32)
+        self.n, self.read, self.held = len(self.ids), 0, 0
+        self.blocks = -(-self.n // BLOCK)
+        self.norm = K1 * (1 - B + B * dl / mean)
+        # impacts of half the width are enough for bounds; scores are made from counts
+        self.impact = np.empty(len(self.tf), np.float32)
+        for lo in range(0, len(self.tf), 1 << 19):
+            self.impact[lo : lo + (1 << 19)] = self._impacts(slice(lo, lo + (1 << 19)))
+        if not len(df):
+            return
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1])
+        # frequent lists: impacts by document
+        often = np.flatnonzero(df >= max(1, FREQUENT * self.n))
+        self.often = _numbered(often, len(df))
+        place, r = _spread(self.start[often], df[often]), np.repeat(np.arange(len(often)), df[often])
+        self.rows = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        self.rows[r, self.doc[place]] = self.impact[place]
+        # others above SHORT postings: where their blocks begin, and the largest impact of each
+        long = np.flatnonzero(df > SHORT)
+        self.long = _numbered(long, len(df))
+        self.places = np.empty((len(long), self.blocks + 1), np.int32)
+        self.maxima = np.zeros((len(long), self.blocks), np.float32)
+        for lo in range(0, len(long), 256):
+            part = long[lo : lo + 256]
+            place, r = _spread(self.start[part], df[part]), np.repeat(np.arange(len(part)), df[part])
+            cell = r * self.blocks + self.doc[place] // BLOCK
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            self.maxima[lo + r[first], cell[first] % self.blocks] = np.maximum.reduceat(self.impact[place], first)
+            size = np.zeros((len(part), self.blocks + 1), np.int32)
+            size[r[first], cell[first] % self.blocks + 1] = np.diff(np.append(first, len(cell)))
+            self.places[lo : lo + 256] = np.cumsum(size, axis=1) + self.start[part][:, None]
+
+    def _impacts(self, place: np.ndarray | slice) -> np.ndarray:
+        tf = self.tf[place].astype(np.float64)
+        return tf * (K1 + 1) / (tf + self.norm[self.doc[place]])
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, -1 where there is none."""
+        if not len(self.vocab):
+            return np.full(len(terms), -1, np.int64)
         spot = np.searchsorted(self.vocab, terms)
         spot[spot == len(self.vocab)] = 0
-        here = self.vocab[spot] == terms
-        spot, w = spot[here], weights[here]
-        if not len(spot):
-            return none
-        row = self.common[spot]
-        rare = row < 0
-        place, pw = _ranges(self.term_from[spot[rare]], self.term_from[spot[rare] + 1], w[rare])
-        known = np.bincount(self.doc[place], weights=self.impact[place] * pw, minlength=n)
-        row, cw = row[~rare], w[~rare]
-        bound = (known + np.repeat(cw @ self.largest[row], BLOCK)[:n]) * (1 + 1e-9) + 1e-9
+        return np.where(self.vocab[spot] == terms, spot, -1)
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent lists give each document, for some queries (lists, weights) at once, up to rounding."""
+        w = np.zeros((len(queries), len(self.rows)), np.float32)
+        for q, (lists, weights) in enumerate(queries):
+            row = self.often[lists]
+            w[q, row[row >= 0]] = weights[row >= 0]
+        return w @ self.rows
+
+    def top(self, lists: np.ndarray, weights: np.ndarray, k: int, floor: float, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of documents that may be among the k best with a score of at least ``floor``; lists in order."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         limit = max(floor, 1e-9)
-        cand = np.flatnonzero(bound >= limit)
-        scored = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        for first in (True, False):
-            if first and len(cand) > FIRST * k:
-                part = cand[np.argpartition(-bound[cand], FIRST * k)[: FIRST * k]]
-            else:
-                part = cand
-            if len(part):
-                scored = np.concatenate([scored, part])
-                score = np.concatenate([score, np.round(known[part] + cw @ self.dense[np.ix_(row, part)], 9)])
-                if len(score) >= k:
-                    limit = max(limit, float(np.partition(score, len(score) - k)[len(score) - k]))
-            if part is cand:
-                break
-            left = np.ones(n, bool)
-            left[scored] = False
-            cand = cand[left[cand] & (bound[cand] >= limit)]
-        keep = np.flatnonzero(score >= limit)
-        ids, score = self.ids[scored[keep]], score[keep]
-        order = np.lexsort((ids, -score))[:k]
-        return ids[order], score[order]
-
-
-def _ranges(first: np.ndarray, end: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges [first, end) in a row, and each range's weight beside its places."""
-    size = end - first
-    at = np.cumsum(size) - size
-    return np.repeat(first - at, size) + np.arange(int(size.sum())), np.repeat(w, size)
-
-
-def _run_block(index: DataFrame, queries: list[tuple[int, bytes, bytes]], floors: dict[int, float], mean: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): each shard's candidates for one block of queries."""
-    shared = index.sparkSession.sparkContext.broadcast((queries, floors))
+        if not len(lists) or (weights @ self.most[lists]) * SLACK < limit:
+            return none
+        part = (self.frequent([(lists, weights)])[0] if given is None else given).astype(np.float64)
+        c = _Cursors(self, lists, weights)
+        self.held += int(c.size.sum()) - int(c.size[self.often[lists] >= 0].sum())
+        self._add(part, c.short())
+        bound = (part.reshape(-1, BLOCK).max(axis=1) + c.heavy @ self.maxima[c.middle]) * SLACK
+        live, found = bound >= limit, none
+        if floor <= 0:
+            first = np.zeros(self.blocks, bool)
+            first[np.argsort(-bound)[: max(FIRST, -(-k // BLOCK))]] = True
+            found, limit = self._score(c, first, found, k, limit)
+            live = (bound >= limit) & ~first
+        if live.any():
+            self._add(part, c.within(live))
+            live &= part.reshape(-1, BLOCK).max(axis=1) * SLACK >= limit
+            if live.any():
+                found, limit = self._score(c, live, found, k, limit)
+        keep = found[1] >= limit
+        return found[0][keep], found[1][keep]
+
+    def _add(self, part: np.ndarray, ranges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Add what the postings of some ranges give their documents, up to rounding."""
+        first, size, weights = ranges
+        place = _spread(first, size)
+        self.read += len(place)
+        part += np.bincount(self.doc[place], weights=self.impact[place] * np.repeat(weights, size), minlength=len(part))
+
+    def _score(self, c: _Cursors, blocks: np.ndarray, found: tuple[np.ndarray, np.ndarray], k: int, limit: float):
+        """``found`` with the documents of the marked blocks, and the threshold after them.
+
+        A document's terms are added in the order of their hashes, so equal texts have equal scores in any shard.
+        """
+        first, size, weights = c.all_within(blocks)
+        place = _spread(first, size)
+        inside = blocks[self.doc[place] // BLOCK]
+        place, weights = place[inside], np.repeat(weights, size)[inside]
+        score = np.bincount(self.doc[place], weights=self._impacts(place) * weights, minlength=self.blocks * BLOCK)
+        hit = np.flatnonzero(score > 0)
+        value = np.round(score[hit], 9)
+        keep = value >= limit
+        docs, value = np.concatenate([found[0], hit[keep]]), np.concatenate([found[1], value[keep]])
+        if len(value) >= k:
+            limit = max(limit, float(np.partition(value, len(value) - k)[len(value) - k]))
+        return (docs, value), limit
+
+    def best(self, found: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+        """Which k of the found come first: by score, then by id, rows without one last."""
+        docs, value = found
+        return np.lexsort((self.ids[docs], ~self.known[docs], -value))[:k]
+
+
+class _Cursors:
+    """The posting lists of one query in one shard, to be read for chosen blocks only. Ranges are (first place, size, weight)."""
+
+    def __init__(self, shard: Shard, lists: np.ndarray, weights: np.ndarray):
+        self.shard, self.lists, self.weights = shard, lists, weights
+        self.start, self.size = shard.start[lists], shard.start[lists + 1] - shard.start[lists]
+        often, self.row = shard.often[lists] >= 0, shard.long[lists]
+        self.brief = np.flatnonzero((self.row < 0) & ~often)
+        at = np.flatnonzero((self.row >= 0) & ~often)
+        self.middle, self.heavy = self.row[at], weights[at].astype(np.float32)
+
+    def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Short lists, each one block."""
+        return self.start[self.brief], self.size[self.brief], self.weights[self.brief]
+
+    def within(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The marked blocks of the lists that are neither short nor frequent."""
+        return self._blocks(blocks, self.middle, self.heavy)
+
+    def _blocks(self, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # blocks side by side are one range
+        edges = np.diff(np.concatenate([[0], blocks.view(np.int8), [0]]))
+        begin, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        first = self.shard.places[np.ix_(rows, begin)]
+        return first.ravel(), (self.shard.places[np.ix_(rows, stop)] - first).ravel(), np.repeat(weights, len(begin))
+
+    def all_within(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists without rows of blocks as a whole, and the marked blocks of the others, in the order of the lists."""
+        plain, long = np.flatnonzero(self.row < 0), np.flatnonzero(self.row >= 0)
+        some = self._blocks(blocks, self.row[long], self.weights[long])
+        names = np.concatenate([plain, np.repeat(long, len(some[0]) // max(1, len(long)))])
+        order = np.argsort(names, kind="stable")
+        whole = self.start[plain], self.size[plain], self.weights[plain]
+        return tuple(np.concatenate([a, b])[order] for a, b in zip(whole, some, strict=True))
+
+
+def _run(index: DataFrame, queries: str, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): each shard's candidates for the queries in the folder ``queries``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, low = shared.value
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(queries)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.path.endswith(".parquet"))
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = _Shard({n: batch.column(n)[i].as_buffer() for n in ("ids", "dl", "vocab", "starts", "terms", "tfs")}, mean)
-                q_out, id_out, s_out = [], [], []
-                for qid, terms, weights in asked:
-                    ids, s = shard.top(np.frombuffer(terms, np.int64), np.frombuffer(weights, np.float64), k, low.get(qid, 0.0))
-                    if len(ids):
-                        q_out.append(np.full(len(ids), qid, np.int64))
-                        id_out.append(ids)
-                        s_out.append(s)
-                if q_out:
-                    ids = np.concatenate(id_out)
-                    null = ids == np.iinfo(np.int64).min
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_out)), pa.array(ids, mask=null), pa.array(np.concatenate(s_out))], names=["query_id", "doc_id", "score"])
-
-    return index.select("ids", "dl", "vocab", "starts", "terms", "tfs").mapInArrow(run, "query_id long, doc_id long, score double")
+                shard = Shard({n: batch.column(n)[i].as_buffer() for n in _ARRAYS}, mean)
+                for path in files:
+                    with store.open_input_file(path) as source:
+                        asked = pq.ParquetFile(source).read(["query_id", "xs", "floor"]).combine_chunks()
+                    if asked.num_rows:
+                        yield from _answers(shard, asked, k)
+
+    return index.select(*_ARRAYS).mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def _answers(shard: Shard, asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The candidates of one shard for one file of queries (query_id, xs, floor)."""
+    xs = asked.column("xs").combine_chunks()
+    cuts, flat = xs.offsets.to_numpy(), xs.values
+    terms, weights = (flat.field(f).to_numpy() for f in ("term", "w"))
+    lists = shard.find(terms)
+    here = np.flatnonzero(lists >= 0)
+    lists, weights = lists[here], weights[here]
+    cuts = np.searchsorted(here, cuts)
+    floors, ids = asked.column("floor").to_numpy(), asked.column("query_id").to_numpy()
+    q_out, d_out, s_out = [], [], []
+    some = np.flatnonzero(np.diff(cuts))
+    for at in range(0, len(some), TOGETHER):
+        part = some[at : at + TOGETHER]
+        given = shard.frequent([(lists[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]]) for q in part])
+        for q, row in zip(part, given, strict=True):
+            docs, score = shard.top(lists[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]], k, floors[q], row)
+            if len(docs):
+                best = shard.best((docs, score), k)
+                q_out.append(np.full(len(best), ids[q]))
+                d_out.append(docs[best])
+                s_out.append(score[best])
+    if q_out:
+        docs = np.concatenate(d_out)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(q_out)), pa.array(shard.ids[docs], mask=~shard.known[docs]), pa.array(np.concatenate(s_out))], names=["query_id", "doc_id", "score"]
+        )
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -251,38 +401,42 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+def _filed(queries: DataFrame, label: str, blocks: int) -> str:
+    """Write queries (query_id, xs, floor) into ``blocks`` files or more of the shared folder; the folder's path."""
+    path = new_dir(queries.sparkSession, label)
+    queries.repartition(blocks, "query_id").write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of ``docs`` (doc_id, text) for each query (query_id, text).
 
     BM25 over whole texts, a query word counted as often as the query has it, scores rounded to 9 places, ties by
     doc_id (null last). Only rows that share a word with the query are hits, so there may be fewer than k. Null and
-    empty texts match nothing; queries with a null id are left out, rows of one query id are one query. Other
-    columns are ignored.
+    empty texts match nothing; queries with a null id are left out, rows of one query id are one query. Texts may be of
+    any length, repeated rows are hits of their own, empty tables give an empty result, and other columns, of any
+    name, are ignored.
     """
-    index = staged(build_index(docs, shard_docs), "index")
     spark = docs.sparkSession
-    total = index.agg(F.sum("n_docs").alias("n"), F.sum("length").alias("length")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    index = staged(build_index(docs, shard_docs), "index")
+    total = index.agg(F.sum("n_docs").alias("n"), F.sum("length").alias("length"), F.count("*").alias("shards")).first()
     if not total.n or not total.length:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     n, mean = int(total.n), total.length / total.n
     asked = checkpointed(query_terms(queries.where("query_id IS NOT NULL")).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")))
     df = checkpointed(_frequencies(index).join(asked.select("term").distinct(), "term", "left_semi"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").select("query_id", F.struct("term", (idf * F.col("qtf")).alias("w")).alias("x"))
     packed = staged(weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("xs")), "queries")
-    n_terms = packed.agg(F.sum(F.size("xs"))).first()[0] or 0
-    blocks = max(1, -(-n_terms // QUERY_TERMS))
-    ids = [r.shard for r in index.select("shard").orderBy(F.xxhash64("shard")).limit(SEED_SHARDS).collect()]
-    out = None
-    for b in range(blocks):
-        part = packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("xs.term").alias("t"), F.col("xs.w").alias("w")).toArrow()
-        rows = [
-            (q, np.asarray(t.values, np.int64).tobytes(), np.asarray(w.values, np.float64).tobytes())
-            for q, t, w in zip(part.column("query_id").to_pylist(), part.column("t"), part.column("w"), strict=True)
-        ]
-        seeds = _best(_run_block(index.where(F.col("shard").isin(ids)), rows, {}, mean, k), k).where(F.col("rank") == k)
-        floors = {r.query_id: r.score for r in seeds.select("query_id", "score").collect()}
-        found = staged(_best(_run_block(index, rows, floors, mean, k), k), "hits")
-        out = found if out is None else out.union(found)
-    return out
+    blocks = max(1, -(-(packed.agg(F.sum(F.size("xs"))).first()[0] or 0) // QUERY_TERMS))
+    # each wave of shards starts from the k-th best scores over those before
+    few = F.col("shard").isin([r.shard for r in index.orderBy(F.desc("n_docs"), "shard").select("shard").limit(SEED_SHARDS).collect()])
+    sixth = F.pmod(F.xxhash64("shard"), F.lit(6)) == 0
+    waves = [few, ~few] if total.shards <= 12 * SEED_SHARDS else [few, ~few & sixth, ~few & ~sixth]
+    hits, asked = None, packed.withColumn("floor", F.lit(0.0))
+    for wave in waves:
+        found = _run(index.where(wave), _filed(asked, "asked", blocks), mean, k)
+        hits = staged(_best(found if hits is None else found.union(hits.select("query_id", "doc_id", "score")), k), "hits")
+        floors = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        asked = packed.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    return hits
