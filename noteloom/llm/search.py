@@ -26,6 +26,7 @@ case.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ QUERY_TERMS = 1_000_000
 SEED_SHARDS = 2
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_SHARD = "shard long, n_docs long, length long, ids binary, known binary, dl binary, vocab binary, df binary, docs binary, tfs binary"
+_SHARD = "shard long, n_docs long, length long, path string"
 _ARRAYS = ["ids", "known", "dl", "vocab", "df", "docs", "tfs"]
 
 
@@ -102,7 +103,8 @@ class _Builder:
         self.n += len(ids)
         self.postings += len(term)
 
-    def shard(self, number: int) -> pa.RecordBatch:
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The shard's arrays: documents in place order, and postings by term, then by place."""
         n, dl = self.n, np.concatenate(self.dl)
         row, term, tf = (np.concatenate(x) for x in (self.row, self.term, self.tf))
         self.row = self.term = self.tf = []
@@ -124,21 +126,52 @@ class _Builder:
         starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         ids = pa.concat_arrays(self.ids)
         known = ids.is_valid().to_numpy(zero_copy_only=False)[order]
-        arrays = [ids.fill_null(0).to_numpy()[order], known, dl[order].astype(np.uint32), term[starts], np.diff(np.append(starts, len(term))).astype(np.uint32), docs, tf]
-        cols = [pa.array([v], pa.int64()) for v in (number, n, int(dl.sum()))] + [pa.array([a.tobytes()], pa.binary()) for a in arrays]
-        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _SHARD.split(", ")])
+        df = np.diff(np.append(starts, len(term))).astype(np.uint32)
+        return {"ids": ids.fill_null(0).to_numpy()[order], "known": known, "dl": dl[order].astype(np.uint32), "vocab": term[starts], "df": df, "docs": docs, "tfs": tf}
+
+
+def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of named arrays in the shared folder."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays.values()], names=list(arrays))
+    with store.open_output_stream(place) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        file.write_batch(batch)
+
+
+def load_arrays(path: str, names: list[str]) -> dict[str, pa.Buffer]:
+    """The bytes of some of the arrays of a file."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as source:
+        options = pa.ipc.IpcReadOptions(included_fields=[_ARRAYS.index(n) for n in names])
+        batch = pa.ipc.open_file(source, options=options).get_batch(0)
+    return {n: batch.column(n)[0].as_buffer() for n in names}
 
 
 def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """A row for each shard of whole documents (doc_id, text); arrays are packed as bytes.
+    """A row for each shard of whole documents (doc_id, text), with the file of its arrays in the shared folder.
 
-    Every row is indexed, rows without words and rows with null ids too.
+    Every row is indexed, rows without words and rows with null ids too. A shard's bytes never pass through the JVM; a
+    task that is tried again writes files of new names, and only those in the rows count.
     """
+    folder = new_dir(docs.sparkSession, "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, k = TaskContext.get().partitionId() << 24, 0
+
+        def saved(made: _Builder) -> pa.RecordBatch:
+            path = f"{folder}/{first + k}-{uuid.uuid4().hex}.arrow"
+            arrays = made.arrays()
+            save_arrays(path, arrays)
+            values = [first + k, made.n, int(arrays["dl"].sum()), path]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["shard", "n_docs", "length", "path"])
+
         made, step = _Builder(), min(1024, shard_docs)
         for batch in batches:
             _, offs = text_buffers(batch.column(1))
@@ -146,11 +179,11 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
                 for at in range(lo, hi, step):
                     n = min(step, hi - at)
                     if made.n + n > shard_docs or made.postings >= SHARD_POSTINGS:
-                        yield made.shard(first + k)
+                        yield saved(made)
                         made, k = _Builder(), k + 1
                     made.add(batch.column(0).slice(at, n), batch.column(1).slice(at, n))
         if made.n:
-            yield made.shard(first + k)
+            yield saved(made)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SHARD)
 
@@ -174,10 +207,11 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, d in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_buffer(), np.int64)), pa.array(np.frombuffer(d.as_buffer(), np.uint32).astype(np.int64))], names=["term", "df"])
+            for path in batch.column(0).to_pylist():
+                got = load_arrays(path, ["vocab", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(got["vocab"], np.int64)), pa.array(np.frombuffer(got["df"], np.uint32).astype(np.int64))], names=["term", "df"])
 
-    return index.select("vocab", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return index.select("path").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -356,15 +390,15 @@ def _run(index: DataFrame, queries: str, mean: float, k: int) -> DataFrame:
         store, base = fs.FileSystem.from_uri(queries)
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.path.endswith(".parquet"))
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard({n: batch.column(n)[i].as_buffer() for n in _ARRAYS}, mean)
+            for saved in batch.column(0).to_pylist():
+                shard = Shard(load_arrays(saved, _ARRAYS), mean)
                 for path in files:
                     with store.open_input_file(path) as source:
                         asked = pq.ParquetFile(source).read(["query_id", "xs", "floor"]).combine_chunks()
                     if asked.num_rows:
                         yield from _answers(shard, asked, k)
 
-    return index.select(*_ARRAYS).mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("path").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _answers(shard: Shard, asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
@@ -423,6 +457,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
     if not total.n or not total.length:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     n, mean = int(total.n), total.length / total.n
+    # a task for each shard, as the rows themselves are tiny
+    index = index.repartitionByRange(int(total.shards), "shard")
     asked = checkpointed(query_terms(queries.where("query_id IS NOT NULL")).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")))
     df = checkpointed(_frequencies(index).join(asked.select("term").distinct(), "term", "left_semi"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
