@@ -4,10 +4,13 @@
 2. Each (lang, source) group gets a mergeable quantile sketch per metric: a histogram over
    relative-error bins (exponent and 5 mantissa bits of the integer metric, so a bin is at most 1/32
    wide). Sketches merge by adding bin counts: groups into languages, languages into the corpus.
-3. A group's fence is its upper quartile plus ``SPREAD`` interquartile ranges plus a small floor.
-   Groups below ``MIN_GROUP`` documents use the merged sketch of their language, small languages that
-   of the corpus.
-4. The fences are joined to the documents, and those beyond one are rejected.
+3. A group's fences come from its own quantiles. Word length has Tukey's fences: ``SPREAD`` interquartile ranges beyond the
+   quartiles. Rates are 0 in most documents, so theirs is the lower of two: ``RATE_SPREAD`` ranges beyond the quartiles of
+   those that aren't 0, and the first place where the sketch leaps, from one of its upper quantiles to the next, by a
+   factor of ``LEAP`` or more. What counts as little is one event in the group's median document.
+4. A fence is drawn towards that of the language, and the language's towards the corpus's, with the weight of
+   ``PRIOR`` documents, so groups of any size are treated alike.
+5. The fences are joined to the documents, and those beyond one are rejected.
 
 The sketch has at most 64 * 32 bins for each metric and group, whatever the number of documents; it is
 deterministic, and plain SQL gives the same result.
@@ -15,7 +18,7 @@ deterministic, and plain SQL gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -28,19 +31,18 @@ from pyspark.sql import types as T
 from noteloom.llm.common import row_slices, staged, text_buffers
 from noteloom.llm.textvec import repeated, row_hash, span_hash, window_hash, word_spans
 
-#: Documents a group needs for fences of its own.
-MIN_GROUP = 100
-#: Interquartile ranges above the upper quartile (and below the lower one for word length).
-SPREAD = 4
-#: Name -> (integer metric in SQL, floor added to the fence). Rates are per 1000 words or lines.
-METRICS = {
-    "symbols": ("(1000 * n_symbols) div n_words", 100),
-    "word_length": ("(100 * word_chars) div n_words", 60),
-    "repeats": ("(1000 * n_repeat_words) div n_words", 300),
-    "dup_lines": ("(1000 * n_dup_lines) div n_words", 80),
-}
-#: Metrics that also have a lower fence.
-TWO_SIDED = ("word_length",)
+#: Documents that a parent's fence weighs beside a group's own.
+PRIOR = 50
+#: Interquartile ranges beyond the quartiles: of word lengths, and of rates that aren't 0.
+SPREAD, RATE_SPREAD = 4, 8
+#: A quantile this many times the one before, and one event, is out of the group's habit.
+LEAP = 16
+#: Quantiles in percent between which leaps are looked for.
+GRID = (50, 75, 90, 95, 98, 99, 100)
+#: Name -> integer metric in SQL. Rates are per 1000 words.
+LENGTH = "(100 * word_chars) div n_words"
+RATES = {"symbols": "(1000 * n_symbols) div n_words", "repeats": "(1000 * n_repeat_words) div n_words", "dup_lines": "(1000 * n_dup_lines) div n_words"}
+METRICS = {"words": "n_words", "word_length": LENGTH, **RATES}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 CONTRACT = ["doc_id", *BASE, "base_failed", "kept"]
 _SYMBOLS = np.zeros(256, bool)
@@ -113,18 +115,45 @@ def sketches(measured: DataFrame) -> DataFrame:
 
     Additive: sketches of parts of a corpus merge by summing n for equal keys.
     """
-    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(sql).cast("long").alias("value")) for k, (sql, _) in METRICS.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(sql).cast("long").alias("value")) for k, sql in METRICS.items()])
     rows = measured.where(~_base_failed()).select("lang", "source", F.explode(pairs).alias("m")).select("lang", "source", "m.*")
     drop = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
     low = F.expr("shiftleft(shiftright(value, d), d)")
     return rows.withColumn("d", drop).withColumn("low", low).groupBy("lang", "source", "metric", "low").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """Fences (level, lang, source, one column per bound) of groups, languages and the corpus.
+def _walk(bins: str, total: str, percent: int) -> str:
+    """SQL: the lower edge of the bin that holds rank ceil(percent / 100 * total)."""
+    return f"""aggregate({bins}, named_struct('left', ({total} * {percent} + 99) div 100, 'low', -1L),
+        (a, b) -> named_struct('left', a.left - b.n, 'low', if(a.low < 0 AND a.left - b.n <= 0, b.low, a.low))).low"""
 
-    A quantile q is the lower edge of the bin that holds rank ceil(q * n).
-    """
+
+def _bounds() -> list[str]:
+    return ["word_length_hi", "word_length_lo", *[f"{k}_hi" for k in RATES]]
+
+
+def _own(q: Callable[[str, str], str]) -> dict[str, str]:
+    """SQL of a group's own fences; ``q`` names a metric's quantile (q50, n25 without zeros and the like)."""
+    one = f"greatest(1, 1000 div greatest(1, {q('words', 'q50')}))"
+    low, high = q("word_length", "n25"), q("word_length", "n75")
+    out = {
+        "word_length_hi": f"{high} + {SPREAD} * ({high} - {low}) + {high} div 32 + 1",
+        "word_length_lo": f"greatest(0, {low} - {SPREAD} * ({high} - {low}) - {low} div 32 - 1)",
+    }
+    for k in RATES:
+        leaps = [f"CASE WHEN {q(k, f'q{b}')} >= {LEAP} * ({q(k, f'q{a}')} + {one}) THEN {LEAP} * ({q(k, f'q{a}')} + {one}) END" for a, b in zip(GRID, GRID[1:], strict=False)]
+        high = q(k, "n75")
+        out[f"{k}_hi"] = f"least({high} + {RATE_SPREAD} * ({high} - {q(k, 'n25')}) + {high} div 32 + {one}, {', '.join(leaps)})"
+    return out
+
+
+def _drawn(own: str, parent: str, n: str) -> str:
+    """SQL: a fence drawn towards its parent's; where one of them is missing, the other."""
+    return f"CASE WHEN {own} IS NULL THEN {parent} WHEN {parent} IS NULL THEN {own} ELSE ({n} * {own} + {PRIOR} * {parent}) div ({n} + {PRIOR}) END"
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """(lang, source, a column for each bound): the fences of each group; null where no document has the metric above 0."""
     cube = sketch.withColumn("lv", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
         "lv",
         F.when(F.col("lv") < 2, F.col("lang")).alias("lang"),
@@ -134,51 +163,31 @@ def fences(sketch: DataFrame) -> DataFrame:
         "n",
     )
     bins = cube.groupBy("lv", "lang", "source", "metric", "low").agg(F.sum("n").alias("n"))
-    key = ["lv", "lang", "source", "metric"]
-    folded = bins.groupBy(*key).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("low", "n"))).alias("bins"))
-
-    def at(quarter: int) -> Column:
-        walk = f"""aggregate(bins, named_struct('left', (total * {quarter} + 3) div 4, 'low', -1L),
-            (a, b) -> named_struct('left', a.left - b.n, 'low', if(a.low < 0 AND a.left - b.n <= 0, b.low, a.low))).low"""
-        return F.expr(walk)
-
-    q = folded.select(*key, "total", at(1).alias("q1"), at(3).alias("q3"))
-    aggs = [F.max("total").alias("total")]
-    for k, (_, floor) in METRICS.items():
-        here = F.col("metric") == k
-        aggs.append(F.max(F.when(here, F.expr(f"q3 + {SPREAD} * (q3 - q1) + {floor}"))).alias(f"{k}_hi"))
-        if k in TWO_SIDED:
-            aggs.append(F.max(F.when(here, F.expr(f"q1 - {SPREAD} * (q3 - q1) - {floor}"))).alias(f"{k}_lo"))
-    wide = q.groupBy("lv", "lang", "source").agg(*aggs)
-    return wide.where((F.col("total") >= MIN_GROUP) | (F.col("lv") == 2))
-
-
-def _bounds() -> list[str]:
-    return [f"{k}_hi" for k in METRICS] + [f"{k}_lo" for k in TWO_SIDED]
+    key = ["lv", "lang", "source"]
+    folded = bins.groupBy(*key, "metric").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("low", "n"))).alias("bins"))
+    some = folded.withColumn("above", F.expr("filter(bins, b -> b.low > 0)")).withColumn("some", F.expr("aggregate(above, 0L, (a, b) -> a + b.n)"))
+    q = F.struct(
+        *[F.expr(_walk("bins", "total", p)).alias(f"q{p}") for p in GRID], *[F.when(F.col("some") > 0, F.expr(_walk("above", "some", p))).alias(f"n{p}") for p in (25, 75)]
+    )
+    read = some.select(*key, "metric", "total", q.alias("q"))
+    wide = read.groupBy(*key).agg(F.max("total").alias("n"), *[F.max(F.when(F.col("metric") == k, F.col("q"))).alias(f"m_{k}") for k in METRICS])
+    own = staged(wide.select(*key, "n", *[F.expr(sql).cast("long").alias(b) for b, sql in _own(lambda k, at: f"m_{k}.{at}").items()]), "own-fences")
+    parts = [own.where(F.col("lv") == lv).select(*names, *[F.col(c).alias(f"{c}{lv}") for c in ["n", *_bounds()]]) for lv, names in ((0, ["lang", "source"]), (1, [F.col("lang").alias("l")]), (2, []))]
+    both = parts[0].join(parts[1], F.col("lang").eqNullSafe(F.col("l"))).join(parts[2], F.lit(True))
+    made = []
+    for b in _bounds():
+        parent = _drawn(f"{b}1", f"{b}2", "n1")
+        made.append(F.expr(_drawn(f"{b}0", f"({parent})", "n0")).alias(b))
+    return both.select("lang", "source", *made)
 
 
 def verdicts(measured: DataFrame) -> DataFrame:
     """Append base_failed, the fences of the document's group and kept to measured rows."""
-    found = staged(fences(sketches(measured)), "fences")
-    out = measured.withColumn("base_failed", _base_failed())
-    for lv, keys in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
-        side = found.where(F.col("lv") == lv).select(
-            *[F.col(k).alias(f"__{k}") for k in keys], *[F.col(b).alias(f"__{b}_{lv}") for b in _bounds()]
-        )
-        if keys:
-            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-            out = out.join(side, same, "left").drop(*[f"__{k}" for k in keys])
-        else:
-            out = out.join(F.broadcast(side.limit(1)), F.lit(True), "left")  # one row: the corpus
-    for b in _bounds():
-        out = out.withColumn(b, F.coalesce(*[F.col(f"__{b}_{lv}") for lv in range(3)]))
-    out = out.drop(*[f"__{b}_{lv}" for b in _bounds() for lv in range(3)])
-    ok = ~F.col("base_failed")
-    for k, (sql, _) in METRICS.items():
-        ok = ok & F.coalesce(F.expr(sql) <= F.col(f"{k}_hi"), F.lit(False))
-        if k in TWO_SIDED:
-            ok = ok & F.coalesce(F.expr(sql) >= F.col(f"{k}_lo"), F.lit(False))
-    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(ok))
+    found = staged(fences(sketches(measured)), "fences").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *_bounds())
+    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    out = measured.withColumn("base_failed", _base_failed()).join(found, same, "left").drop("__lang", "__source")
+    inside = [F.expr(f"coalesce({LENGTH} <= word_length_hi AND {LENGTH} >= word_length_lo, true)"), *[F.expr(f"coalesce({sql} <= {k}_hi, true)") for k, sql in RATES.items()]]
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(reduce(and_, inside)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -187,11 +196,11 @@ def judge(docs: DataFrame) -> DataFrame:
     Input columns: doc_id, text, lang, source; others are ignored. Null text counts as empty and
     fails the base rules. Null languages and sources form groups of their own. A document on a fence is
     kept. Repeated rows are judged (and counted in the sketches) as often as they occur. If no document
-    passes the base rules there are no fences and none is kept.
+    passes the base rules there are no fences and none is kept. Texts may be of any length; an empty table gives an empty
+    result, and columns beside those named are ignored.
 
-    The fences are a row for each group of MIN_GROUP documents or more, so Spark's own size check
-    decides whether they are broadcast; a shuffled join can be split by skew handling, as both its
-    sides are read from written tables.
+    The fences are a row for each group, so Spark's own size check decides whether they are broadcast; a shuffled join
+    can be split by skew handling, as both its sides are read from written tables.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     return verdicts(staged(measure(rows, ["doc_id", "lang", "source"]), "counts"))
@@ -209,19 +218,18 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 def oracle_sql(documents: str = "documents") -> str:
     """DuckDB SQL for the contract columns, by a plain reading of the rules."""
-    sql = {k: v.replace(" div ", " // ") for k, (v, _) in METRICS.items()}
+    sql = {k: v.replace(" div ", " // ") for k, v in METRICS.items()}
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {v} AS v FROM good" for k, v in sql.items())
-    ok = []
-    for k, (_, floor) in METRICS.items():
-        pick = lambda b, k=k: f"coalesce(a.{k}_{b}, b.{k}_{b}, c.{k}_{b})"
-        ok.append(f"{sql[k]} <= {pick('hi')}")
-        if k in TWO_SIDED:
-            ok.append(f"{sql[k]} >= {pick('lo')}")
-    cols = []
-    for k, (_, floor) in METRICS.items():
-        cols.append(f"max(q3 + {SPREAD} * (q3 - q1) + {floor}) FILTER (metric = '{k}') AS {k}_hi")
-        if k in TWO_SIDED:
-            cols.append(f"max(q1 - {SPREAD} * (q3 - q1) - {floor}) FILTER (metric = '{k}') AS {k}_lo")
+    quantiles = [f"min(low) FILTER (upto >= (total * {p} + 99) // 100) AS q{p}" for p in GRID]
+    quantiles += [f"min(low) FILTER (low > 0 AND upto - zero >= ((total - zero) * {p} + 99) // 100) AS n{p}" for p in (25, 75)]
+    names = [f"q{p}" for p in GRID] + ["n25", "n75"]
+    wide = [f"max({c}) FILTER (metric = '{k}') AS {k}_{c}" for k in METRICS for c in names]
+    own = [f"{v.replace(' div ', ' // ')} AS {b}" for b, v in _own(lambda k, at: f"{k}_{at}").items()]
+    drawn = []
+    for b in _bounds():
+        parent = _drawn(f"b.{b}", f"c.{b}", "b.n")
+        drawn.append(_drawn(f"a.{b}", f"({parent})", "a.n").replace(" div ", " // ") + f" AS {b}")
+    ok = [f"coalesce({sql['word_length']} <= word_length_hi AND {sql['word_length']} >= word_length_lo, true)", *[f"coalesce({sql[k]} <= {k}_hi, true)" for k in RATES]]
     return f"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
@@ -255,18 +263,15 @@ lev AS (
 bins AS (SELECT lv, lang, source, metric, low, count(*) AS n FROM lev GROUP BY ALL),
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY low) AS upto,
-         sum(n) OVER (PARTITION BY lv, lang, source, metric) AS total FROM bins),
-q AS (
-  SELECT lv, lang, source, metric, max(total) AS total,
-         min(low) FILTER (upto >= (total + 3) // 4) AS q1, min(low) FILTER (upto >= (3 * total + 3) // 4) AS q3
-  FROM cum GROUP BY ALL),
+         sum(n) OVER (PARTITION BY lv, lang, source, metric) AS total,
+         coalesce(sum(n) FILTER (low = 0) OVER (PARTITION BY lv, lang, source, metric), 0) AS zero FROM bins),
+q AS (SELECT lv, lang, source, metric, max(total) AS total, {", ".join(quantiles)} FROM cum GROUP BY lv, lang, source, metric),
+m AS (SELECT lv, lang, source, max(total) AS n, {", ".join(wide)} FROM q GROUP BY lv, lang, source),
+own AS (SELECT lv, lang, source, n, {", ".join(own)} FROM m),
 f AS (
-  SELECT lv, lang, source, {", ".join(cols)} FROM q GROUP BY lv, lang, source
-  HAVING max(total) >= {MIN_GROUP} OR lv = 2)
+  SELECT a.lang, a.source, {", ".join(drawn)} FROM own a JOIN own b ON b.lv = 1 AND a.lang IS NOT DISTINCT FROM b.lang JOIN own c ON c.lv = 2
+  WHERE a.lv = 0)
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
        CASE WHEN j.base_failed THEN false ELSE {" AND ".join(ok)} END AS kept
-FROM judged j
-LEFT JOIN f a ON a.lv = 0 AND a.lang IS NOT DISTINCT FROM j.lang AND a.source IS NOT DISTINCT FROM j.source
-LEFT JOIN f b ON b.lv = 1 AND b.lang IS NOT DISTINCT FROM j.lang
-LEFT JOIN f c ON c.lv = 2
+FROM judged j LEFT JOIN f ON f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source
 """

@@ -46,11 +46,42 @@ def test_sketches_merge(spark):
     m = quality_rules.measure(df, ["doc_id", "lang", "source"]).cache()
     whole = quality_rules.sketches(m)
     halves = quality_rules.sketches(m.where("doc_id % 2 = 0 OR doc_id IS NULL")).union(quality_rules.sketches(m.where("doc_id % 2 = 1")))
-    key = ["lv", "lang", "source"]
+    key = ["lang", "source"]
     a = sorted(map(tuple, quality_rules.fences(whole).orderBy(*key).collect()), key=str)
     assert a == sorted(map(tuple, quality_rules.fences(halves).orderBy(*key).collect()), key=str)
 
 
+def test_fences_follow_the_habits_of_sources(spark, tmp_path):
+    """Two sources of one size: plain prose, and tables with many symbols, repeats and equal lines; each gets fences of its own."""
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(rng.choice(list("abcdefgh"), k))
+    prose = [" ".join(word(rng.integers(4, 7)) for _ in range(100)) for _ in range(400)]
+    dense = []
+    for _ in range(400):
+        line = " ".join(word(12) for _ in range(4))
+        lines = [" ".join(word(12) for _ in range(5)) for _ in range(20)] + [line] * int(rng.integers(2, 10))
+        dense.append("\n".join(lines) + " " + "| " * int(rng.integers(5, 60)))
+    odd = prose[0] + " |" * 60
+    data = [(i, t, "en", "prose") for i, t in enumerate([*prose, odd, dense[0]])] + [(1000 + i, t, "en", "tables") for i, t in enumerate([*dense, odd])]
+    df, names, want = oracle(spark, data, tmp_path)
+    assert sorted((tuple(r) for r in quality_rules.judge(df).select(*names).collect()), key=str) == want
+    kept = {r[names.index("doc_id")] for r in want if r[names.index("kept")]}
+    assert kept >= set(range(400)) and kept >= set(range(1000, 1400)) and not kept & {400, 401}
+    m = quality_rules.measure(df, ["doc_id", "lang", "source"])
+    f = {r.source: r for r in quality_rules.fences(quality_rules.sketches(m)).collect()}
+    assert all(f["tables"][b] != f["prose"][b] for b in quality_rules._bounds())
+    assert f["tables"].symbols_hi > 3 * f["prose"].symbols_hi
+
+
+def test_rules_take_very_long_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, base_failed string"
+    long = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long, "en", "a", "x"), (1, long, "en", "a", "x"), (2, "a\n" * 100_000, "en", "a", None)], schema)
+    got = {(r.doc_id, r.n_words, r.kept) for r in quality_rules.judge(df).collect()}
+    assert got == {(1, 300_000, True), (2, 100_000, False)}
+    assert quality_rules.judge(df.where("false")).count() == 0
+
+
 def test_classifier_held_out(spark):
     from pyspark.sql import functions as F
 
