@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (single-machine tests) a temporary folder is chosen and set.
+    Only where that setting is empty and Spark runs in this process (tests) a temporary folder is chosen and set; on a
+    cluster a missing setting is an error, as executors don't share this machine's folders.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="noteloom-")
@@ -49,6 +53,41 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file as a whole, or not at all if there is one of this name already.
+
+    It is written aside and renamed without overwriting, which is one step where the store has it so, as HDFS does.
+    """
+    fs, aside = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    _, place = hadoop_path(spark, path)
+    stream = fs.create(aside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, place, options)
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = hadoop_path(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def new_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path under the shared folder, removed when the driver ends, or by ``release`` unless ``keep``."""
     path = f"{shared_dir(spark)}/noteloom/{label}-{uuid.uuid4().hex}"

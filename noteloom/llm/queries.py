@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm import html_extract, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards
-from noteloom.llm.common import new_dir, table
+from noteloom.llm.common import new_dir, staged, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
 SURROGATE_KEY = "noteloom-demo-key"
@@ -46,11 +46,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's inserts as one batch, committed twice (the second time without effect), and the totals."""
+    """Totals after three batches, each committed twice (the second time without effect).
+
+    All documents are inserted; those labelled toxic are deleted; the others labelled bad are counted anew, with their
+    white space made single spaces.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    bad = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    counted = staged(rollup.count_tokens(docs, piece_model(), "piece_bpe_32k"), "counted")
+    tidied = docs.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    revised = rollup.revisions(counted.join(bad, "doc_id", "left_semi"), rollup.count_tokens(tidied, piece_model(), "piece_bpe_32k"))
     store = rollup.TokenRollup(spark, new_dir(spark, "rollup"))
-    changes = rollup.inserts(rollup.count_tokens(table(spark, sf_dir, "documents"), piece_model(), "piece_bpe_32k"))
-    store.commit("documents-1", changes)
-    store.commit("documents-1", changes)
+    for batch, changes in (("documents-1", rollup.inserts(counted)), ("withdrawn-1", rollup.deletes(counted.join(toxic, "doc_id", "left_semi"))), ("revised-1", revised)):
+        store.commit(batch, changes)
+        store.commit(batch, changes)
     return store.totals()
 
 

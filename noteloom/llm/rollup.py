@@ -2,14 +2,18 @@
 
 A change is a signed row (source, lang, tokenizer, n_docs, n_tokens, n_chars): an insert
 adds a document, a delete takes away the counts it had, a revision takes away the old and adds the new.
-A batch of changes is summed by source, language and tokenizer version and committed under its id:
-totals are written aside and renamed into ``batch=<id>``, the only name that readers take, so a
-batch that is tried again, by a restarted job or a second driver, counts once. Totals are the sum of
-batches; ``compact`` folds committed batches into one table and keeps their ids.
+A batch of changes is summed by source, language and tokenizer version, and written under a name of its own; then a
+small record ``batch=<id>`` that names it is created, if there is none yet. The record is the commit: a batch that is
+tried again, by a restarted job or a second driver, counts once, and one that fails before it leaves nothing that is read.
+
+Totals are the sum of the batches. ``compact`` sums those committed into one table and then creates a record
+``base=<n>`` with their ids; a reader takes records from one listing, so it sees either the batches or the base. Tables
+that a base has replaced stay until ``vacuum``, so readers at work aren't disturbed.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import hadoop_path
+from noteloom.llm.common import hadoop_path, publish_text, read_text, remove
 from noteloom.llm.sentencepieces import ChunkTable, check_model
 
 KEY = ["source", "lang", "tokenizer"]
@@ -29,7 +33,11 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 
 
 def count_tokens(docs: DataFrame, model_path: str, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens, n_chars of each whole text; null counts as empty."""
+    """doc_id, source, lang, tokenizer, n_tokens, n_chars of each whole text; null and empty texts have 0 of both.
+
+    Null ids, sources and languages stay; repeated rows are counted as often as they occur; other columns, of any name,
+    are ignored; an empty table gives an empty result; texts may be of any length.
+    """
     check_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,79 +85,72 @@ def _signed(counted: DataFrame, sign: int) -> DataFrame:
 
 
 class TokenRollup:
-    """Committed totals in a folder that all executors share; one writer at a time."""
+    """Committed totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _dir(self, name: str):
-        return hadoop_path(self.spark, f"{self.path}/{name}")
-
-    def _names(self, prefix: str) -> list[str]:
-        fs, root = hadoop_path(self.spark, self.path)
-        if not fs.exists(root):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix))
-
-    def _folded(self) -> tuple[str | None, set[str]]:
-        """The newest compacted table and the batch ids in it."""
-        found = self._names("base=")
-        if not found:
-            return None, set()
-        newest = max(found, key=lambda n: int(n.split("=")[1]))
-        return newest, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/ids-{newest}").collect()}
+    def _records(self) -> tuple[dict | None, dict[str, dict]]:
+        """The newest base record and all batch records, of one listing."""
+        fs, root = hadoop_path(self.spark, f"{self.path}/records")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        bases = sorted(n for n in names if re.fullmatch(r"base=\d+", n))
+        read = lambda n: json.loads(read_text(self.spark, f"{self.path}/records/{n}"))
+        base = read(bases[-1]) | {"number": int(bases[-1].split("=")[1])} if bases else None
+        done = set(base["batches"]) if base else set()
+        batches = [n.split("=", 1)[1] for n in names if n.startswith("batch=") and not n.endswith(".tmp")]
+        return base, {b: read(f"batch={b}") for b in batches if b not in done}
 
     def committed(self) -> set[str]:
         """Ids of all batches that count."""
-        return self._folded()[1] | {n.split("=", 1)[1] for n in self._names("batch=")}
+        base, batches = self._records()
+        return set(batches) | set(base["batches"] if base else ())
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
-        """Add a batch of signed rows; False, with nothing done, if the batch is committed already.
+        """Add a batch of signed rows; False, with nothing changed, if the batch is committed already.
 
         Rows are pre-aggregated before they are shuffled, so a hot source is no hot task. An empty batch
         is committed too. Null sources and languages are keys like others.
         """
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.endswith(".tmp"):
             raise ValueError("a batch id is made of letters, digits, '_', '.' and '-'")
         if batch in self.committed():
             return False
-        staging = f"{self.path}/tmp-{uuid.uuid4().hex}"
-        signed.groupBy(*KEY).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS]).write.parquet(staging)
-        return self._publish(staging, f"batch={batch}")
-
-    def _publish(self, staging: str, name: str) -> bool:
-        fs, src = hadoop_path(self.spark, staging)
-        _, dst = self._dir(name)
-        if fs.exists(dst) or not fs.rename(src, dst):
-            fs.delete(src, True)
-            return False
-        return True
-
-    def _sum(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*KEY).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-
-    def _rows(self) -> DataFrame:
-        base, done = self._folded()
-        tails = [f"{self.path}/{n}" for n in self._names("batch=") if n.split("=", 1)[1] not in done]
-        paths = tails + ([f"{self.path}/{base}"] if base else [])
-        if not paths:
+        return self._publish(f"batch={batch}", _sum(signed), {})
+
+    def _publish(self, name: str, rows: DataFrame, record: dict) -> bool:
+        """Write a table, then create the record that makes it count; without a trace if there is one of that name."""
+        table = f"table-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{table}")
+        if publish_text(self.spark, f"{self.path}/records/{name}", json.dumps(record | {"table": table})):
+            return True
+        remove(self.spark, f"{self.path}/{table}")
+        return False
+
+    def _rows(self, base: dict | None, batches: dict[str, dict]) -> DataFrame:
+        tables = [r["table"] for r in ([base] if base else []) + list(batches.values())]
+        if not tables:
             return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(*paths)
+        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/{t}" for t in tables])
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer and the sums over all committed batches; keys whose sums are 0 are left out."""
-        return self._sum(self._rows()).where(" OR ".join(f"{c} <> 0" for c in SUMS))
-
-    def compact(self) -> None:
-        """Fold all committed batches into a new base table; the totals don't change."""
-        ids = sorted(self.committed())
-        base, _ = self._folded()
-        number = int(base.split("=")[1]) + 1 if base else 0
-        staging = f"{self.path}/tmp-{uuid.uuid4().hex}"
-        self._sum(self._rows()).write.parquet(staging)
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ids-base={number}")
-        self._publish(staging, f"base={number}")
-        for name in self._names("batch="):
-            if name.split("=", 1)[1] in ids:
-                fs, p = self._dir(name)
-                fs.delete(p, True)
+        return _sum(self._rows(*self._records())).where(" OR ".join(f"{c} <> 0" for c in SUMS))
+
+    def compact(self) -> bool:
+        """Sum all committed batches into a new base table; the totals don't change. False if another driver was first."""
+        base, batches = self._records()
+        ids = sorted({*(base["batches"] if base else ()), *batches})
+        tables = [r["table"] for r in ([base] if base else []) + list(batches.values())]
+        number = base["number"] + 1 if base else 0
+        return self._publish(f"base={number:08d}", _sum(self._rows(base, batches)), {"batches": ids, "replaced": tables})
+
+    def vacuum(self) -> None:
+        """Remove the tables that the newest base has replaced; call it when no reader is at work on them."""
+        base, _ = self._records()
+        for table in base["replaced"] if base else ():
+            remove(self.spark, f"{self.path}/{table}")
+
+
+def _sum(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])

@@ -1,6 +1,8 @@
 """SentencePiece chunks, token rollups and shards against the library and plain recounts."""
 
+import collections
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -89,6 +91,64 @@ def test_rollup_commits_once_and_follows_changes(spark, docs, model, tmp_path):
         store.commit("../x", rollup.inserts(counted))
 
 
+def test_rollup_query_is_a_recount_of_the_final_state(spark, model):
+    from noteloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    toxic, bad = {r.doc_id for r in labels if r.toxic == 1}, {r.doc_id for r in labels if r.quality == 0}
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            text = re.sub(r"[ \t\n\x0b\f\r]+", " ", r.text or "") if r.doc_id in bad else r.text or ""
+            for i, v in enumerate((1, len(model.encode(text)), len(text))):
+                want[r.source, r.lang][i] += v
+    assert toxic and bad - toxic
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op6_token_rollup(spark, sf).collect()}
+    assert got == dict(want)
+
+
+def test_rollup_survives_a_stop_between_any_two_steps(spark, docs, tmp_path, monkeypatch):
+    store = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    counted = rollup.count_tokens(docs, piece_model(), "v1").cache()
+    store.commit("a", rollup.inserts(counted))
+    store.commit("b", rollup.inserts(counted))
+    totals = sorted(map(tuple, store.totals().collect()))
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup, "publish_text", stop)
+        for step in (lambda: store.commit("c", rollup.inserts(counted)), store.compact):
+            with pytest.raises(OSError):
+                step()
+    assert store.committed() == {"a", "b"} and sorted(map(tuple, store.totals().collect())) == totals
+    reader = store.totals()  # planned before the compaction, run after it
+    # another driver compacts first: this one changes nothing
+    with monkeypatch.context() as m:
+        real = rollup.publish_text
+
+        def late(spark_, path, text):
+            m.setattr(rollup, "publish_text", real)
+            assert rollup.TokenRollup(spark, store.path).compact()
+            return real(spark_, path, text)
+
+        m.setattr(rollup, "publish_text", late)
+        assert not store.compact()
+    assert sorted(map(tuple, reader.collect())) == totals == sorted(map(tuple, store.totals().collect()))
+    assert rollup.publish_text(spark, f"{store.path}/records/base=00000000", "{}") is False
+    store.vacuum()
+    assert sorted(map(tuple, store.totals().collect())) == totals and store.committed() == {"a", "b"} and not store.commit("a", rollup.inserts(counted))
+
+
+def test_counts_take_very_long_texts_and_clashing_names(spark, model):
+    long = "word " * 200_000
+    df = spark.createDataFrame([(1, long, "en", "s", 5), (1, long, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_tokens int")
+    rows = rollup.count_tokens(df, piece_model(), "v1").collect()
+    assert [(r.n_tokens, r.n_chars) for r in rows] == [(len(model.encode(long)), len(long))] * 2
+
+
 def test_rollup_keeps_null_keys_and_empty_tables(spark, tmp_path):
     store = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     docs = spark.createDataFrame([(1, "a b", None, None)], "doc_id long, text string, lang string, source string")
