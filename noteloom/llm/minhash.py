@@ -372,12 +372,14 @@ def _classed(docs: DataFrame, weighting: str) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, weighting: str = "set") -> DataFrame:
     """doc_id, class_id and kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    A class holds texts linked by a shingle similarity of 0.8 or more, directly or through others;
+    A class holds texts linked by a shingle similarity of 0.8 or more, directly or through others: with weighting 'count' a
+    shingle weighs as often as it occurs, and the similarity is the weighted Jaccard one, of signature and check alike; with
+    'set' each counts once;
     class_id is its least doc_id, and ``kept`` marks one row of it, with that doc_id. Texts of 1 to 4 words
     have one shingle, all their words. Texts without words (null, empty, blank) are one class. Repeated
     rows and rows with the same words are in one class. A null doc_id sorts last; a class of
-    null ids has a null class_id and still keeps one row. weighting 'count' weighs shingles by
-    how often they occur, 'set' counts each once.
+    null ids has a null class_id and still keeps one row. Texts may be of any length, and an empty table gives an empty
+    result.
     """
     _, rows = _classed(docs.select("doc_id", "text"), weighting)
     return rows.select("doc_id", "class_id", "kept")

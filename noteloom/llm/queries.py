@@ -29,7 +29,8 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """Classes by the weighted similarity: a shingle weighs as often as it occurs."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), weighting="count")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

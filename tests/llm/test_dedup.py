@@ -105,6 +105,38 @@ def test_weighted_sets_count_repeats(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, "count").collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_weighted_classes_equal_brute_force(spark):
+    """Texts with repeated passages, by the weighted similarity of the query."""
+    import collections
+
+    r = random.Random(8)
+    rows = []
+    for k in range(30):
+        base = [f"v{r.randrange(60)}" for _ in range(r.choice([20, 60]))]
+        for _ in range(r.choice([1, 3, 4])):
+            t = base * r.choice([1, 2, 2, 3]) + [f"v{r.randrange(60)}" for _ in range(r.choice([0, 1, 3]))]
+            rows.append((len(rows), " ".join(t)))
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                parent[find(i)] = find(j)
+                links += 1
+    least = {}
+    for i in range(len(rows)):
+        least[find(i)] = min(least.get(find(i), i), i)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "count").collect()}
+    assert links > 10 and got == {i: least[find(i)] for i in range(len(rows))}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), *[(100, 100 + i) for i in range(1, 30)]], "a long, b long")
     got = {r.node: r.comp for r in graph.components(edges).collect()}

@@ -62,3 +62,15 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, empty, sf)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
+
+
+def test_run_takes_nulls_ties_long_texts_and_clashing_names(spark, tmp_path):
+    good = " ".join(f"{w}{i}" for i in range(30) for w in ("alpha", "beta", "gamma"))
+    long = " ".join(f"word{i % 7919} text{i}" for i in range(40_000))
+    rows = [(1, good, "en", "a", 90, "x"), (1, good, "en", "a", 90, "x"), (2, good, "en", "b", 90, "x"), (None, long, None, None, None, None), (4, None, "en", "a", 0, "y"), (5, "", None, "a", 0, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __uid string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id for r in got} <= {1, None} and all(r.n_tokens > 50 for r in got)
+    df.where("false").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
