@@ -18,9 +18,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, by shingles weighted with their counts."""
     release(spark)
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, weighting="count")
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again by the next."""
+    """All stages on ``documents``, each written as Parquet and read again by the next.
+
+    Null texts, languages and sources, empty and very long texts, ties and repeated rows are taken as each stage's operator
+    states: the rules drop texts without words, one row of each class of duplicates stays, and the order of ids settles
+    ties. An empty table gives an empty result; further columns, of any name, travel along up to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name, keep=True)
