@@ -9,7 +9,7 @@ from noteloom.functions.text import estimate_tokens
 from noteloom.functions.yamlio import parse_mapping
 
 HEADING = r"(?U)^(#{1,6})\s+(\S.*?)\s*$"
-LINK = r"\[\[([^\[\]]+?)\]\]"
+LINK = r"\[\[([^\]]+)\]\]"
 TAG = r"(?U)(?:^|\s)#([A-Za-z0-9_/-]+)"
 TASK = r"(?U)^\s*[-*] \[([ xX])\] (.*)$"
 DUE = r"(?:due:|\x{1F4C5}[\t\n\x0B\f\r \u0085 ]*)(\d{4}-\d{2}-\d{2})"

@@ -10,16 +10,17 @@ from noteloom.operators.graph import orphans
 from noteloom.operators.tasks import list_tasks
 
 
-def due_bucket(due, today: str, soon: str):
-    """'overdue', 'soon' (to the day ``soon``), 'later' or 'undated'."""
-    return F.when(due.isNull(), "undated").when(due < today, "overdue").when(due <= soon, "soon").otherwise("later")
+def due_bucket(due, today: str):
+    """'overdue', 'today', 'upcoming' or 'undated'."""
+    return F.when(due.isNull(), "undated").when(due < today, "overdue").when(due == today, "today").otherwise("upcoming")
 
 
-def digest(notes: DataFrame, audit: DataFrame, today: str, soon: str, recent: int = 5) -> DataFrame:
-    """(section, name, value) rows: counts of open tasks, counts by status, orphans, the latest writes."""
+def digest(notes: DataFrame, audit: DataFrame, today: str, recent: int = 5) -> DataFrame:
+    """(section, name, value) rows: counts of open tasks, counts by status of any type, orphans, the latest writes."""
     open_tasks = list_tasks(notes, done=False, limit=2_147_483_647)
-    tasks = open_tasks.groupBy(due_bucket(F.col("due"), today, soon).alias("name")).agg(F.count("*").cast("string").alias("value"))
-    status = notes.select(string(get(F.col("frontmatter"), "status")).alias("name")).where("name IS NOT NULL")
+    tasks = open_tasks.groupBy(due_bucket(F.col("due"), today).alias("name")).agg(F.count("*").cast("string").alias("value"))
+    value = get(F.col("frontmatter"), "status")
+    status = notes.select(F.coalesce(string(value), F.to_json(value)).alias("name")).where("name IS NOT NULL")
     counts = status.groupBy("name").agg(F.count("*").cast("string").alias("value"))
     alone = orphans(notes).select(F.col("note_id").alias("name"), F.col("title").alias("value"))
     writes = audit.orderBy(F.desc("ts"), F.desc("version_id")).limit(recent).select(F.col("version_id").alias("name"), F.concat_ws(" ", "action", "ts").alias("value"))

@@ -1,4 +1,4 @@
-"""Memories in a shared folder: generations of a table and a pointer to the present one."""
+"""Memories in a shared folder, in layers."""
 
 from __future__ import annotations
 
@@ -8,32 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.operators import memory
-from noteloom.sources.places import Files
+from noteloom.sources.layers import LayeredTable
 
 
 class MemoryStore:
-    """Upserts by id and removals; readers see one whole generation. One writer at a time."""
+    """Upserts by id and removals; readers see all of a change or nothing. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.files = Files(spark, self.root)
+        self.spark = spark
+        self.layers = LayeredTable(spark, root, "id", memory.SCHEMA)
 
     def table(self) -> DataFrame:
-        n = int(self.files.read("CURRENT") or 0)
-        if not n:
-            return self.spark.createDataFrame([], memory.SCHEMA)
-        return self.spark.read.schema(memory.SCHEMA).parquet(f"{self.root}/gen-{n:08d}")
-
-    def _publish(self, rows: DataFrame) -> None:
-        n = int(self.files.read("CURRENT") or 0) + 1
-        self.files.delete(f"gen-{n:08d}")
-        rows.select(*memory.SCHEMA.names).write.parquet(f"{self.root}/gen-{n:08d}")
-        self.files.write("CURRENT", str(n))
-        if n > 2:
-            self.files.delete(f"gen-{n - 2:08d}")
+        return self.layers.read()
 
     def save(self, fresh: DataFrame) -> None:
-        self._publish(memory.upsert(self.table(), fresh))
+        """Put memories in the place of those with their ids; of one id the last stays."""
+        once = memory.upsert(self.spark.createDataFrame([], memory.SCHEMA), fresh)
+        self.layers.overlay(once.select(*memory.SCHEMA.names, F.lit(False).alias("__gone")), action="save")
 
     def remember(self, args: dict[str, Any]) -> str:
         made = memory.memory_of(args)
@@ -41,7 +32,8 @@ class MemoryStore:
         return made["id"]
 
     def forget(self, memory_id: str) -> bool:
-        there = not self.table().where(F.col("id") == memory_id).isEmpty()
-        if there:
-            self._publish(memory.forget(self.table(), memory_id))
-        return there
+        found = self.table().where(F.col("id") == memory_id)
+        if found.isEmpty():
+            return False
+        self.layers.overlay(found.select(*memory.SCHEMA.names, F.lit(True).alias("__gone")), action="forget")
+        return True

@@ -2,13 +2,11 @@
 
 State lives in a folder that driver and executors share:
 
-    notes/gen-<n>      all notes (note_id, raw) after the n-th change, as Parquet
-    history/<version>  the states before and after one version
-    audit              JSON lines, one appended for each commit and revert
-    CURRENT            the number of the present generation
+    data, log           all notes (note_id, raw) in layers, and the record of each change (``sources.layers``)
+    history/<name>      the states before and after one version
 
-A change writes a new generation and the version's history, and then replaces CURRENT, so readers see all of
-a change or nothing. One writer at a time. Earlier generations stay until ``vacuum``.
+A change writes its history and its overlay, a few rows each, and then its record, which names both and is the audit
+entry: readers see all of a change or nothing, and a version exists only if its record does. One writer at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ import hashlib
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -30,6 +29,7 @@ from noteloom.functions.yamlio import dumps, mapping_json
 from noteloom.operators.deltas import version_detail
 from noteloom.operators.graph import edges, resolve
 from noteloom.operators.tasks import toggle_line
+from noteloom.sources.layers import LayeredTable
 from noteloom.sources.places import Files
 
 AUDIT_LIMIT = 50
@@ -63,19 +63,18 @@ class NoteStore:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, origin: str | None = None):
         self.spark, self.root, self.read_only, self.origin = spark, root.rstrip("/"), read_only, origin
         self.files = Files(spark, self.root)
+        self.table = LayeredTable(spark, self.root, "note_id", "note_id string, raw string")
         self.pending: dict[str, list[dict[str, Any]]] = {}
         self.after_commit: list[Callable[[list[str]], None]] = []
 
     # reading
     def generation(self) -> int:
-        return int(self.files.read("CURRENT") or 0)
+        """The number of changes so far."""
+        return self.table.newest()["number"]
 
     def raw(self) -> DataFrame:
-        """(note_id, raw) of the present generation."""
-        n = self.generation()
-        if not n:
-            return self.spark.createDataFrame([], "note_id string, raw string")
-        return self.spark.read.schema("note_id string, raw string").parquet(f"{self.root}/notes/gen-{n:08d}")
+        """(note_id, raw) as of now."""
+        return self.table.read()
 
     def notes(self) -> DataFrame:
         """Parsed notes."""
@@ -85,31 +84,21 @@ class NoteStore:
         """Texts of the notes that a change names; the change is what bounds them."""
         if not ids:
             return {}
-        wanted = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "note_id string")
-        return {r.note_id: r.raw for r in self.raw().join(F.broadcast(wanted), "note_id").collect()}
+        return {r.note_id: r.raw for r in self.raw().where(F.col("note_id").isin(list(dict.fromkeys(ids)))).collect()}
 
     # changing
     def load(self, notes: DataFrame) -> None:
         """Replace everything by (note_id, raw) rows, without history; for first loads and bulk syncs."""
         self._writable()
-        self._publish(notes.select("note_id", "raw"))
+        self.table.replace(notes, action="load")
 
     def _writable(self) -> None:
         if self.read_only:
             raise EngineError("PERMISSION_DENIED", "This session may only read.", "Open the store for writing.")
 
-    def _publish(self, rows: DataFrame) -> None:
-        n = self.generation() + 1
-        self.files.delete(f"notes/gen-{n:08d}")
-        rows.write.parquet(f"{self.root}/notes/gen-{n:08d}")
-        self.files.write("CURRENT", str(n))
-
     def vacuum(self, keep: int = 2) -> None:
-        """Remove generations but the last few."""
-        last = self.generation()
-        for name in self.files.names("notes"):
-            if int(name.split("-")[1]) <= last - keep:
-                self.files.delete(f"notes/{name}")
+        """Remove the data of states before the last few."""
+        self.table.vacuum(keep)
 
     def diff(self, ops: list[dict[str, Any]]) -> list[dict[str, Any]]:
         """What each op would do, against the stored state; the first op that can't be done is the error."""
@@ -160,56 +149,46 @@ class NoteStore:
         for d in self.diff(self.pending[change_id]):
             before[d["note_id"]], after[d["note_id"]] = d["before"], d["after"]
         version_id = stable(f"{change_id}:{time.time_ns() // 1_000_000}", "v")
-        row = [(version_id, change_id, before, after)]
-        self.spark.createDataFrame(row, _HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/history/{version_id}")
-        self._overlay(after)
-        self._audit("commit", version_id, change_id, list(after))
+        place = f"{version_id}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(version_id, change_id, before, after)], _HISTORY).coalesce(1).write.parquet(f"{self.root}/history/{place}")
+        self._overlay(after, "commit", version_id, change_id, place)
         del self.pending[change_id]
         for hook in self.after_commit:
             hook(sorted(after))
         return {"version_id": version_id}
 
-    def _overlay(self, state: dict[str, str | None]) -> None:
-        changed = self.spark.createDataFrame(list(state.items()), "note_id string, raw string")
-        kept = self.raw().join(F.broadcast(changed.select("note_id")), "note_id", "left_anti")
-        self._publish(kept.unionByName(changed.where("raw IS NOT NULL")))
+    def _overlay(self, state: dict[str, str | None], action: str, version_id: str, change_id: str | None, history: str | None) -> None:
+        rows = self.spark.createDataFrame([(k, v, v is None) for k, v in state.items()], "note_id string, raw string, __gone boolean")
+        entry = {"ts": now_iso(), "action": action, "version_id": version_id, "change_id": change_id, "notes": sorted(state), "scope": "read-write", "origin": self.origin, "history": history}
+        self.table.overlay(rows.coalesce(1), **{k: v for k, v in entry.items() if v is not None})
 
     def overlay_many(self, changes: DataFrame) -> None:
         """Bulk form without history: (note_id, raw) rows, a null raw deletes."""
         self._writable()
-        kept = self.raw().join(changes.select("note_id"), "note_id", "left_anti")
-        self._publish(kept.unionByName(changes.select("note_id", "raw").where("raw IS NOT NULL")))
+        self.table.overlay(changes.select("note_id", "raw", F.col("raw").isNull().alias("__gone")), action="bulk")
 
     def history(self, version_id: str) -> DataFrame:
-        if not re.fullmatch(r"v_[0-9a-f]{16}", version_id or "") or not self.files.exists(f"history/{version_id}"):
+        """The states before and after a version that was committed."""
+        known = re.fullmatch(r"v_[0-9a-f]{16}", version_id or "") and self.table.log("version_id string, history string").where(F.col("version_id") == version_id).where("history IS NOT NULL").first()
+        if not known:
             raise EngineError("UNKNOWN_VERSION", f"There is no version {version_id!r}.", "Use an id from audit_log.")
-        return self.spark.read.schema(_HISTORY).parquet(f"{self.root}/history/{version_id}")
+        return self.spark.read.schema(_HISTORY).parquet(f"{self.root}/history/{known.history}")
 
     def revert(self, version_id: str) -> dict[str, Any]:
         """Bring every note of a version back to what it was before, whatever happened since."""
         self._writable()
         before = self.history(version_id).first().before
-        self._overlay(before)
-        self._audit("revert", version_id, None, list(before))
+        self._overlay(before, "revert", version_id, None, None)
         return {"reverted": True, "version_id": version_id}
 
     def get_version(self, version_id: str, include_content: bool = False, max_tokens: int = 500) -> DataFrame:
         return version_detail(self.history(version_id), version_id, include_content, max_tokens)
 
     # audit
-    def _audit(self, action: str, version_id: str, change_id: str | None, notes: list[str]) -> None:
-        entry = {"ts": now_iso(), "action": action, "version_id": version_id, "change_id": change_id, "notes": sorted(notes), "scope": "read-only" if self.read_only else "read-write", "origin": self.origin}
-        n = len(self.files.names("audit"))
-        self.files.write(f"audit/entry-{n:010d}.json", json.dumps({k: v for k, v in entry.items() if v is not None}) + "\n")
-
     def audit(self) -> DataFrame:
-        """(n, ts, action, version_id, change_id, notes, scope, origin); malformed entries are left out."""
-        schema = "n int, ts string, action string, version_id string, change_id string, notes array<string>, scope string, origin string"
-        if not self.files.names("audit"):
-            return self.spark.createDataFrame([], schema)
-        lines = self.spark.read.text(f"{self.root}/audit/*.json").select("value", F.regexp_extract(F.input_file_name(), r"entry-(\d+)\.json", 1).cast("int").alias("n"))
-        parsed = lines.select("n", F.from_json("value", "ts string, action string, version_id string, change_id string, notes array<string>, scope string, origin string").alias("e"))
-        return parsed.select("n", "e.*").where("action IS NOT NULL AND version_id IS NOT NULL")
+        """(n, ts, action, version_id, change_id, notes, scope, origin) of commits and reverts; malformed entries are left out."""
+        found = self.table.log("ts string, action string, version_id string, change_id string, notes array<string>, scope string, origin string")
+        return found.where("action IS NOT NULL AND version_id IS NOT NULL")
 
     def audit_log(self, limit: int = AUDIT_LIMIT) -> DataFrame:
         return self.audit().orderBy(F.desc("n")).limit(limit).drop("n")

@@ -184,7 +184,7 @@ def all_sql() -> dict[str, str]:
             SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",
         "note_parse": f"""WITH {_MD}, {_MDLINES}, {_MDHEAD},
             h AS (SELECT id, string_agg(level || ':' || t || ':' || trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ';' ORDER BY line) AS headings, first(t ORDER BY line) FILTER (level = 1) AS h1 FROM hd GROUP BY id),
-            lk AS (SELECT id, list_transform(regexp_extract_all(content, '\\[\\[([^\\[\\]]+?)\\]\\]', 1), lambda x: trim(string_split(string_split(x, '|')[1], '#')[1]) || '|' ||
+            lk AS (SELECT id, list_transform(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(string_split(string_split(x, '|')[1], '#')[1]) || '|' ||
                 coalesce(CASE WHEN contains(x, '#') AND NOT contains(x, '#^') THEN trim(regexp_extract(string_split(x, '|')[1], '#(.*)$', 1)) END, '-') || '|' ||
                 coalesce(CASE WHEN contains(x, '#^') THEN regexp_extract(string_split(x, '|')[1], '#\\^(.*)$', 1) END, '-') || '|' || coalesce(CASE WHEN contains(x, '|') THEN trim(regexp_extract(x, '\\|(.*)$', 1)) END, '-')) AS ls FROM n),
             tg AS (SELECT id, list_concat(CASE WHEN contains(fm, 'tags: [') THEN string_split(regexp_extract(fm, 'tags: \\[(.*?)\\]', 1), ', ') WHEN contains(fm, 'tags: ') THEN string_split(regexp_extract(fm, 'tags: ([^\\n]*)', 1), ', ') ELSE [] END,
@@ -202,7 +202,7 @@ def all_sql() -> dict[str, str]:
             SELECT id AS name, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ',') AS vars FROM v""",
         "vault_digest": f"""WITH {_MD}, {_MDLINES}, {_MDTASK},
             rec AS (SELECT 'v_' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS name, event_type || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS value FROM events ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, name DESC LIMIT 5)
-            SELECT 'open_tasks' AS section, CASE WHEN due IS NULL THEN 'undated' WHEN due < '2026-07-30' THEN 'overdue' WHEN due <= '2026-08-15' THEN 'soon' ELSE 'later' END AS name, CAST(count(*) AS VARCHAR) AS value FROM td WHERE NOT done GROUP BY 2
+            SELECT 'open_tasks' AS section, CASE WHEN due IS NULL THEN 'undated' WHEN due < '2026-08-10' THEN 'overdue' WHEN due = '2026-08-10' THEN 'today' ELSE 'upcoming' END AS name, CAST(count(*) AS VARCHAR) AS value FROM td WHERE NOT done GROUP BY 2
             UNION ALL SELECT 'status', regexp_extract(fm, 'status: ([^\\n]*)', 1), CAST(count(*) AS VARCHAR) FROM n WHERE contains(fm, 'status: ') GROUP BY 2
             UNION ALL SELECT 'orphans', 'lonely', 'lonely' UNION ALL SELECT 'recent', name, value FROM rec""",
     }

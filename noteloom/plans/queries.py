@@ -337,7 +337,7 @@ def template_schema(s: SparkSession, d: str) -> DataFrame:
 def vault_digest(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     audit = e.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("action"), F.format_string("v_%08d", "event_id").alias("version_id"))
-    return digest.digest(markdown_notes(s), audit, "2026-07-30", "2026-08-15")
+    return digest.digest(markdown_notes(s), audit, "2026-08-10")
 
 
 def queries() -> dict[str, Query]:

@@ -18,53 +18,64 @@ PART_BYTES = 32 * 1024 * 1024
 class SequencedLog:
     """Rows (seq, ts, blob) under a shared folder; one writer at a time hands out the numbers.
 
-    ``batch-*`` folders hold appended rows, ``head`` the last number, ``snapshot-<upto>`` a compacted state.
+    A folder ``batch-<first>-<last>`` holds appended rows; it is written aside and renamed, which is the append's commit, so
+    neither readers nor streams meet rows of a failed one. ``snapshot-<upto>`` is a compacted state.
     """
 
     def __init__(self, spark: SparkSession, root: str, quota: int = DEFAULT_QUOTA):
         self.spark, self.root, self.quota = spark, root.rstrip("/"), quota
         self.files = Files(spark, self.root)
 
+    def _names(self) -> list[tuple[int, int, str]]:
+        """(first, last, name) of the batches."""
+        found = [n for n in self.files.names() if n.startswith("batch-")]
+        return [(int(n.split("-")[1]), int(n.split("-")[2]), n) for n in found]
+
     def last_seq(self) -> int:
-        return int(self.files.read("head") or 0)
+        return max([last for _, last, _ in self._names()] + [self.snapshot_seq()], default=0)
 
-    def _batches(self) -> DataFrame:
-        names = [f"{self.root}/{n}" for n in self.files.names() if n.startswith("batch-")]
+    def _batches(self, beyond: int = 0) -> DataFrame:
+        names = [f"{self.root}/{n}" for _, last, n in self._names() if last > beyond]
         if not names:
             return self.spark.createDataFrame([], ROWS)
-        return self.spark.read.schema(ROWS).parquet(*names).where(F.col("seq") <= self.last_seq())
+        return self.spark.read.schema(ROWS).parquet(*names).where(F.col("seq") > beyond)
 
     def used_bytes(self) -> int:
-        upto = self.snapshot_seq()
-        return int(self._batches().where(F.col("seq") > upto).agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0])
+        return int(self._batches(self.snapshot_seq()).agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0])
 
     def append(self, blobs: DataFrame, order: str = "pos") -> int:
         """Append rows (order, ts, blob) and return the last number. A full log refuses.
 
-        Numbers are dense in the order given; the rows are one producer's batch. The head moves last, so rows of
-        a failed append are never seen.
+        Numbers are dense in the order given; the rows are one producer's batch. Rows are dealt into ranges of the order, and
+        numbered within a range from the ranges before it.
         """
         if self.used_bytes() >= self.quota:
             raise EngineError("IO_ERROR", "The log is over its quota.", "Compact it or raise the quota.")
-        start = self.last_seq()
         from pyspark.sql import Window
 
-        rows = blobs.select((F.row_number().over(Window.orderBy(order)) + start).cast("long").alias("seq"), F.col("ts").cast("long").alias("ts"), "blob")
-        name = f"batch-{start + 1:020d}-{uuid.uuid4().hex[:8]}"
-        for old in self.files.names():
-            if old.startswith(f"batch-{start + 1:020d}-"):
-                self.files.delete(old)
-        rows.write.parquet(f"{self.root}/{name}")
-        end = self.spark.read.schema(ROWS).parquet(f"{self.root}/{name}").agg(F.max("seq")).first()[0]
-        if end is None:
-            self.files.delete(name)
-            return start
-        self.files.write("head", str(end))
-        return int(end)
+        start = self.last_seq()
+        mark = uuid.uuid4().hex
+        dealt = blobs.select(F.col(order).alias("o"), F.col("ts").cast("long").alias("ts"), "blob").repartitionByRange("o").withColumn("p", F.spark_partition_id())
+        dealt.write.parquet(f"{self.root}/dealt-{mark}")
+        rows = self.spark.read.parquet(f"{self.root}/dealt-{mark}")
+        # a count for each range: as many as there are partitions
+        counts = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
+        before, total = {}, 0
+        for p in sorted(counts):
+            before[p] = total
+            total += counts[p]
+        if total:
+            offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("p"))
+            place = F.row_number().over(Window.partitionBy("p").orderBy("o"))
+            rows.select((place + offset + start).cast("long").alias("seq"), "ts", "blob").write.parquet(f"{self.root}/written-{mark}")
+            if not self.files.rename(f"written-{mark}", f"batch-{start + 1:020d}-{start + total:020d}"):
+                raise EngineError("CONFLICT", "Another writer appended to the log.", "Append again.")
+        self.files.delete(f"dealt-{mark}")
+        return start + total
 
     def read_since(self, seq: int) -> DataFrame:
         """Rows after a number, in order."""
-        return self._batches().where(F.col("seq") > seq).orderBy("seq")
+        return self._batches(seq).orderBy("seq")
 
     def snapshot_seq(self) -> int:
         found = [int(n.split("-")[1]) for n in self.files.names() if n.startswith("snapshot-") and self.files.exists(f"{n}/_SUCCESS")]
@@ -106,12 +117,9 @@ class SequencedLog:
         self.files.delete(f"staged-{upto:020d}")
 
     def _drop_covered(self, upto: int) -> None:
-        for name in self.files.names():
-            if name.startswith("batch-"):
-                rows = self.spark.read.schema(ROWS).parquet(f"{self.root}/{name}")
-                end = rows.agg(F.max("seq")).first()[0]
-                if end is not None and end <= upto:
-                    self.files.delete(name)
+        for _, last, name in self._names():
+            if last <= upto:
+                self.files.delete(name)
 
     def resume(self, seq: int) -> tuple[DataFrame | None, DataFrame]:
         """(snapshot parts or None, rows after): what a client at ``seq`` needs; a covered client starts anew."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -58,20 +60,42 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Replace a small file: written aside, then renamed over the old one."""
-        aside = f"{name}.tmp"
-        stream = self.fs().create(self.path(aside), True)
+    def _aside(self, name: str, text: str):
+        aside = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self.fs().create(aside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name):
-            self.fs().delete(self.path(name), False)
-        self.fs().rename(self.path(aside), self.path(name))
+        return aside
+
+    def _rename(self, source, target, kind: str) -> bool:
+        """Rename under an option of Hadoop's file contexts, one step where the store has it so; False if the target is there."""
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), kind)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs().getUri(), self._conf).rename(source, target, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def write(self, name: str, text: str) -> None:
+        """Replace a small file: written aside, then renamed over the old one."""
+        self._rename(self._aside(name, text), self.path(name), "OVERWRITE")
+
+    def create(self, name: str, text: str) -> bool:
+        """Create a small file as a whole; False, with nothing changed, if there is one of this name."""
+        aside = self._aside(name, text)
+        if self._rename(aside, self.path(name), "NONE"):
+            return True
+        self.fs().delete(aside, False)
+        return False
 
     def rename(self, old: str, new: str) -> bool:
-        return self.fs().rename(self.path(old), self.path(new))
+        """Rename a file or folder; False if the new name is taken."""
+        return self._rename(self.path(old), self.path(new), "NONE")
 
     def delete(self, name: str = "") -> None:
         self.fs().delete(self.path(name), True)
@@ -79,7 +103,7 @@ class Files:
     def names(self, name: str = "") -> list[str]:
         if not self.exists(name):
             return []
-        return sorted(s.getPath().getName() for s in self.fs().listStatus(self.path(name)))
+        return sorted(n for n in (s.getPath().getName() for s in self.fs().listStatus(self.path(name))) if not n.endswith(".tmp"))
 
     def walk(self, suffix: str, skip: str) -> Iterator[str]:
         """Full paths of files below the root that end in ``suffix``, without folders named ``skip``.

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,30 +21,35 @@ from noteloom.sources.places import Files
 #: The engine's own folder in a vault.
 OWN_DIR = ".noteloom"
 _PATHS_PER_READ = 20_000
+#: Paths without characters that mean something in patterns or addresses.
+_PLAIN = re.compile(r"[\w/.,:=@+~ -]+")
 
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _binary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, modificationTime, length, content) of files; those that Spark's reader hides are read by Arrow."""
-    hidden = [p for p in paths if p.rsplit("/", 1)[-1].startswith(("_", "."))]
-    plain = sorted(set(paths) - set(hidden))
+    """(path, modificationTime, length, content) of files; names that Spark's reader hides or takes for patterns are read by Arrow."""
+    odd = [p for p in paths if p.rsplit("/", 1)[-1].startswith(("_", ".")) or not _PLAIN.fullmatch(p)]
+    plain = sorted(set(paths) - set(odd))
     out = spark.createDataFrame([], _FILES)
     for lo in range(0, len(plain), _PATHS_PER_READ):
         out = out.unionByName(spark.read.format("binaryFile").load(plain[lo : lo + _PATHS_PER_READ]))
-    if hidden:
-        out = out.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(_read_hidden, _FILES))
+    if odd:
+        out = out.unionByName(spark.createDataFrame([(p,) for p in odd], "path string").mapInPandas(_read_odd, _FILES))
     return out
 
 
-def _read_hidden(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_odd(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from urllib.parse import quote
+
     from pyarrow import fs
 
     for pdf in frames:
         rows = []
         for path in pdf["path"]:
-            store, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path)
+            scheme, _, rest = path.partition(":")
+            store, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}")
             info = store.get_file_info(place)
             with store.open_input_stream(place) as f:
                 rows.append((path, pd.Timestamp(info.mtime), info.size, f.read()))
@@ -62,7 +68,7 @@ def scan(spark: SparkSession, root: str, own_dir: str = OWN_DIR, lossy: bool = F
     text = F.make_valid_utf8(F.col("content").cast("string")) if lossy else F.try_validate_utf8(F.col("content").cast("string"))
     rows = _binary(spark, files).select("path", text.alias("raw"), (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"))
     plain = base.split(":", 1)[-1].lstrip("/") if ":" in base else base.lstrip("/")
-    relative = F.regexp_replace(F.expr(f"substring(path, locate({_lit(plain + '/')}, path) + {len(plain) + 1})"), "%20", " ")
+    relative = F.expr(f"substring(path, locate({_lit(plain + '/')}, path) + {len(plain) + 1})")
     return rows.where("raw IS NOT NULL").select(relative.alias("path"), "raw", "mtime_ms", "size")
 
 

@@ -14,7 +14,7 @@ _STATE = "ts long, note_id string, editing boolean, present boolean"
 
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Last writer by time; an update that isn't newer than the state is stale, a stale ``gone`` too."""
+    """Last writer by time, of equal times the later one to come; an older update is stale, an older ``gone`` too."""
     if state.hasTimedOut:
         ts, note_id, editing, _ = state.get
         state.remove()
@@ -23,8 +23,8 @@ def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     now = state.get if state.exists else None
     changed = False
     for pdf in frames:
-        for row in pdf.sort_values("ts", kind="stable").itertuples(index=False):
-            if now is None or row.ts > now[0]:
+        for row in pdf.sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
+            if now is None or row.ts >= now[0]:
                 now = (int(row.ts), row.note_id, bool(row.editing), not bool(row.gone))
                 changed = True
     if not changed:
@@ -34,7 +34,7 @@ def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def presence(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Changes of presence of a stream (device, ts in ms, gone, note_id, editing).
+    """Changes of presence of a stream (device, ts in ms, gone, note_id, editing, and seq where updates are numbered).
 
     A device's departure stays in its state as a marker of its time, so older updates that come late don't bring it
     back. With ``ttl_ms`` a device silent for that long in processing time is reported as gone; such timers need
@@ -48,5 +48,6 @@ def presence(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         if ttl_ms is not None and not timed_out and state.exists:
             state.setTimeoutDuration(ttl_ms)
 
-    rows = updates.selectExpr("device", "cast(ts as long) ts", "coalesce(gone, false) gone", "note_id", "coalesce(editing, false) editing")
+    seq = "cast(seq as long) seq" if "seq" in updates.columns else "0L seq"
+    rows = updates.selectExpr("device", "cast(ts as long) ts", seq, "coalesce(gone, false) gone", "note_id", "coalesce(editing, false) editing")
     return rows.groupBy("device").applyInPandasWithState(step, OUTPUT, _STATE, "update", timeout)

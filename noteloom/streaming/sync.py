@@ -8,18 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noteloom.sources.log import ROWS
+from noteloom.sources.log import ROWS, SequencedLog
 
 #: Changed notes in a batch above which versions aren't kept one by one.
 BULK = 200
 
 
 def tail(spark: SparkSession, root: str, cursor: int = 0) -> DataFrame:
-    """A stream of log rows beyond a cursor; the checkpoint keeps the place, a lagging reader just reads on."""
+    """A stream of log rows beyond a cursor; the checkpoint keeps the place. Rows of failed appends are never in it."""
     rows = spark.readStream.schema(ROWS).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{root.rstrip('/')}/batch-*")
     return rows.where(F.col("seq") > cursor)
 
 
+def resume_tail(log: SequencedLog, cursor: int) -> tuple[DataFrame | None, DataFrame]:
+    """(snapshot parts or None, stream): a reader whose rows were compacted away starts from the snapshot.
+
+    A stream that lags behind a compaction fails on the files that are gone; it is to be started again through here, with a
+    new checkpoint.
+    """
+    parts, _ = log.resume(cursor)
+    return parts, tail(log.spark, log.root, max(cursor, log.snapshot_seq()))
+
+
 def apply_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "250 milliseconds", once: bool = False) -> StreamingQuery:
     """Apply batches of changes: one batch gathers what came in the interval, each seq once.
 

@@ -202,3 +202,83 @@ def test_vectors(spark, tmp_path):
     cache.embed(texts).collect()
     assert calls.value == n == 2
     assert [r.vector for r in BatchEmbedder(2, model).embed(spark.createDataFrame([("x", "boom")], "id string, text string")).collect()] == [[0, 0]]
+
+
+def test_paths_are_taken_as_they_are(spark, tmp_path):
+    names = ["a b.md", "a%20b.md", "c#d.md", "e[1].md", "f%.md", "{g}.md", "h?x.md", "i*.md", "é ü.md", "sub dir/_x.md"]
+    for n in names:
+        (tmp_path / "v" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "v" / n).write_text(n)
+    assert {r.path: r.raw for r in vault.scan(spark, f"file://{tmp_path}/v").collect()} == {n: n for n in names}
+
+
+def test_links_may_hold_an_opening_bracket(spark):
+    from noteloom.functions.parsing import links
+
+    found = spark.createDataFrame([("see [[a [b]] and [[c|d [e]] [[]] [[f]",)], "t string").select(links("t").alias("l")).first().l
+    assert [(x.target, x.alias) for x in found] == [("a [b", None), ("c", "d [e")]
+
+
+def test_a_stop_between_any_two_steps_leaves_the_store_whole(spark, tmp_path, monkeypatch):
+    """The steps of a commit are files written, records created and folders removed; each is made to fail in turn."""
+    from noteloom.sources.layers import LayeredTable
+    from noteloom.sources.places import Files
+
+    s = NoteStore(spark, f"file://{tmp_path}/s")
+    v1 = s.create("a", "one")["version_id"]
+    before, n, audit = raws(s), s.generation(), s.audit_log().count()
+
+    def stop(*_, **__):
+        raise OSError("stopped")
+
+    for owner, name in ((LayeredTable, "_write"), (LayeredTable, "_commit"), (Files, "create"), (Files, "_rename")):
+        with monkeypatch.context() as m:
+            m.setattr(owner, name, stop)
+            with pytest.raises(OSError):
+                s.update("a", content="two")
+        again = NoteStore(spark, s.root)
+        assert raws(again) == before and again.generation() == n and again.audit_log().count() == audit
+    lost = [d.name.split("-")[0] for d in (tmp_path / "s" / "history").iterdir() if not d.name.startswith(v1)]
+    assert lost and all(code(s.history, v) == "UNKNOWN_VERSION" for v in lost)
+    s.update("a", content="two")
+    assert raws(s) == {"a": "two\n"} and s.history(v1).count() == 1
+
+
+def test_two_writers_conflict_and_layers_are_merged(spark, tmp_path, monkeypatch):
+    from noteloom.sources import layers
+
+    monkeypatch.setattr(layers, "LAYERS", 3)
+    a, b = (NoteStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.load(spark.createDataFrame([(f"n{i}", f"t{i}") for i in range(5)], "note_id string, raw string"))
+    want = {f"n{i}": f"t{i}" for i in range(5)}
+    for i in range(5):
+        a.apply([{"op": "setraw", "note_id": f"n{i}", "raw": None if i % 2 else f"x{i}"}])
+        want = {k: v for k, v in (want | {f"n{i}": f"x{i}"}).items() if k != f"n{i}" or not i % 2}
+        assert raws(b) == want and len(a.table.newest()["layers"]) <= 3
+    stale = b.table.newest()
+    a.create("z", "z")
+    monkeypatch.setattr(b.table, "newest", lambda: stale)
+    assert code(b.create, "y", "y") == "CONFLICT" and raws(a) == want | {"z": "z\n"}
+    a.vacuum()
+    assert raws(a) == want | {"z": "z\n"}
+
+
+def test_log_rows_of_failed_appends_are_never_seen(spark, tmp_path, monkeypatch):
+    from noteloom.sources.places import Files
+    from noteloom.streaming.sync import apply_batches, resume_tail
+
+    log = SequencedLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([(i, 1, bytes([i])) for i in range(40)], "pos int, ts long, blob binary").repartition(3)
+    with monkeypatch.context() as m:
+        m.setattr(Files, "rename", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            log.append(rows)
+    assert log.last_seq() == 0 and log.read_since(0).count() == 0
+    assert log.append(rows) == 40 and [(r.seq, bytes(r.blob)) for r in log.read_since(0).collect()] == [(i + 1, bytes([i])) for i in range(40)]
+    assert log.append(rows) == 80
+    log.compact(40, spark.createDataFrame([(0, b"s")], "idx int, blob binary"))
+    parts, stream = resume_tail(log, 7)
+    seen = []
+    q = apply_batches(stream, lambda df, b: seen.extend(r.seq for r in df.collect()), f"file://{tmp_path}/cp", once=True)
+    assert q.awaitTermination(90) and parts.count() == 1 and seen == list(range(41, 81))
+    assert resume_tail(log, 50)[0] is None

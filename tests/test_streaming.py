@@ -65,3 +65,9 @@ def test_windows(spark, tmp_path):
         q = build(stream).writeStream.outputMode("complete").format("memory").queryName(f"out_{name}").trigger(availableNow=True).start()
         assert q.awaitTermination(90)
         assert spark.table(f"out_{name}").count() == n
+
+
+def test_of_equal_times_the_later_update_wins(spark, tmp_path):
+    schema = "device string, ts long, gone boolean, note_id string, editing boolean, seq long"
+    out = run(spark, tmp_path, [[("d", 5, True, None, False, 2), ("d", 5, False, "n", True, 1), ("e", 5, False, "n", True, 1)], [("e", 5, True, None, False, 2)]], schema, presence, "ties")
+    assert not out["d"].present and not out["e"].present
