@@ -169,6 +169,15 @@ def rows_kept(table: DataFrame, uids: DataFrame, columns: list[Column], then: Ca
     return rows.mapInArrow(run, out)
 
 
+#: Ids that are broadcast at most, of 8 bytes each.
+SMALL = 2_000_000
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """A table of ids marked for broadcast if it has at most ``SMALL`` rows, counted; as it is otherwise."""
+    return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` with the shared folder set; Spark removes it when it is no longer used."""
     shared_dir(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm import html_extract, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards
-from noteloom.llm.common import new_dir, staged, table
+from noteloom.llm.common import broadcast_if_small, new_dir, staged, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
 SURROGATE_KEY = "noteloom-demo-key"
@@ -53,8 +53,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     white space made single spaces.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    bad = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    marks = labels.where("doc_id IS NOT NULL AND (toxic = 1 OR quality = 0)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = staged(marks.select("doc_id", (F.col("toxic") == 1).alias("toxic")), "marks")
+    # few ids are broadcast, so no text is shuffled for them
+    toxic, bad = (broadcast_if_small(marks.where(kind).select("doc_id")) for kind in ("toxic", "NOT coalesce(toxic, false)"))
     counted = staged(rollup.count_tokens(docs, piece_model(), "piece_bpe_32k"), "counted")
     tidied = docs.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"\s+", " "))
     revised = rollup.revisions(counted.join(bad, "doc_id", "left_semi"), rollup.count_tokens(tidied, piece_model(), "piece_bpe_32k"))
