@@ -81,9 +81,14 @@ def bucket(feature: Column | str) -> Column:
     return (fnv1a(feature) % DIMENSIONS).cast("int")
 
 
+def token_list(query: str) -> list[str]:
+    """Tokens of one text in order, on the driver; the meaning of ``tokenize``."""
+    return re.findall("[a-z0-9]+", query.lower())
+
+
 def query_tokens(query: str) -> Counter[str]:
-    """Token counts of one query text, on the driver; the meaning of ``tokenize``."""
-    return Counter(re.findall("[a-z0-9]+", query.lower()))
+    """Token counts of one query text, on the driver."""
+    return Counter(token_list(query))
 
 
 def query_buckets(tokens: Counter[str]) -> Counter[int]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import estimate_tokens, query_buckets, query_tokens, snippet, tokenize
 from noteloom.operators.budget import greedy
 from noteloom.operators.postings import bucket_postings, literal_counts, token_counts
+from noteloom.sources.places import checkpointed
 
 MODES = ("hybrid", "lexical", "semantic")
 MIN_SIMILARITY = 0.15
@@ -22,29 +23,21 @@ class SearchIndex:
     """Postings of a table of notes (id, title, content); build once, query often.
 
     Scored text is the title, a space and the content. Texts are dealt by id once, so the counts of tokens, of
-    buckets and of notes need no further shuffle where the vocabulary is small enough to be broadcast. ``persist`` keeps the
-    postings in Spark's storage.
+    buckets and of notes need no further shuffle where the vocabulary is small enough to be broadcast.
     """
 
-    def __init__(self, notes: DataFrame, persist: bool = False):
+    def __init__(self, notes: DataFrame):
         self.notes = notes.select("id", "title", "content")
         self.texts = self.notes.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
         self.counts = token_counts(self.texts.repartition("id"))
-        self.persisted = persist
-        if persist:
-            self.counts = self.counts.persist()
         self.vectors = bucket_postings(self.counts)
-        if persist:
-            self.vectors = self.vectors.persist()
 
     def lexical(self, query: str) -> DataFrame:
         """(id, lex): sum over query tokens, repeats included, of their counts; only rows above 0.
 
-        The query's tokens are literals. Without kept postings, other tokens are dropped before anything is shuffled.
+        The query's tokens are literals; other tokens are dropped before anything is shuffled.
         """
         q = F.broadcast(literal_counts(self.notes.sparkSession, query_tokens(query), "token", "q"))
-        if self.persisted:
-            return self.counts.join(q, "token").groupBy("id").agg(F.sum(F.col("q") * F.col("n")).alias("lex"))
         words = self.texts.select("id", F.explode(tokenize("text")).alias("token"))
         return words.join(q, "token").groupBy("id").agg(F.sum("q").alias("lex"))
 
@@ -70,10 +63,10 @@ class SearchIndex:
             return self.lexical(query).select("id", F.col("lex").cast("double").alias("score"))
         if mode == "semantic":
             return self.semantic(query).where(F.col("sim") >= MIN_SIMILARITY).select("id", F.col("sim").alias("score"))
-        lex, sem = self.lexical(query), self.semantic(query)
+        sem, lex = self.semantic(query), self.lexical(query)
         both = lex.join(sem, "id", "full_outer").select("id", F.coalesce("lex", F.lit(0)).alias("lex"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
-        top = lex.agg(F.max("lex").alias("most"))
-        scored = both.where((F.col("lex") > 0) | (F.col("sim") >= MIN_SIMILARITY)).join(F.broadcast(top), F.lit(True))
+        hits = checkpointed(both.where((F.col("lex") > 0) | (F.col("sim") >= MIN_SIMILARITY)))
+        scored = hits.join(F.broadcast(hits.agg(F.max("lex").alias("most"))), F.lit(True))
         share = F.when(F.col("most") > 0, F.col("lex").cast("double") / F.col("most")).otherwise(F.lit(0.0))
         return scored.select("id", (0.5 * share + 0.5 * F.col("sim")).alias("score"))
 
@@ -85,10 +78,12 @@ class SearchIndex:
         order = [F.desc("score"), F.asc("note_id")]
         hits = self.ranked(query, mode).withColumnRenamed("id", "note_id")
         if top_k is not None:
-            hits = hits.orderBy(*order).limit(top_k)
+            hits = checkpointed(hits.orderBy(*order).limit(top_k))
         made = hits.join(self.notes.withColumnRenamed("id", "note_id"), "note_id")
         shown = made.select("note_id", "title", "score", snippet(F.lit(query), "content").alias("snippet"))
         priced = shown.withColumn("token_count", estimate_tokens("snippet"))
+        if top_k is not None and token_budget is not None:
+            priced = checkpointed(priced)  # at most top_k rows, which the fold reads twice
         return greedy(priced, token_budget, "token_count", order).orderBy(*order)
 
 

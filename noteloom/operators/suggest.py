@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import basename, estimate_tokens, mentions, snippet, tokenize
+from noteloom.functions.text import basename, estimate_tokens, mentions, query_buckets, query_tokens, snippet, token_list
 from noteloom.operators.budget import greedy
-from noteloom.operators.graph import edges
+from noteloom.operators.graph import resolve
+from noteloom.operators.postings import literal_counts
 from noteloom.operators.search import MIN_SIMILARITY, SearchIndex
+from noteloom.sources.places import checkpointed
 
 TOP_K, MIN_SCORE = 5, 0.15
 # The weights of the score, and the number of shared tags that counts in full.
@@ -23,18 +25,24 @@ def suggest_links(
     A mention's snippet shows the source where the link would go, any other one the candidate.
     """
     index = index or SearchIndex(notes)
-    source = notes.where(F.col("id") == note_id).limit(1)
-    mine = F.broadcast(  # one row: the note asked about
-        source.select(tokenize("content").alias("s_tokens"), F.col("tags").alias("s_tags"), F.col("title").alias("s_title"), F.col("content").alias("s_content"))
-    )
-    links = edges(notes)
-    rest = notes.where(F.col("id") != note_id).select("id", "title", "content", "tags")
-    open_ = rest.join(links.where(F.col("src") == note_id).select(F.col("dst").alias("id")), "id", "left_anti")
-    back = links.where(F.col("dst") == note_id).select(F.col("src").alias("id"), F.lit(True).alias("back"))
-    both = open_.join(back, "id", "left").join(_similar(index, note_id), "id", "left").join(mine, F.lit(True))
+    spark = notes.sparkSession
+    mine = notes.where(F.col("id") == note_id).select("title", "content", "tags").first()
+    if mine is None:
+        mine = Row(title=None, content=None, tags=None)
+    near = checkpointed(_edges_of(notes, note_id))
+    rest = notes.where(F.col("id") != note_id).select("id", "title", "tags")
+    open_ = rest.join(near.where(F.col("src") == note_id).select(F.col("dst").alias("id")), "id", "left_anti")
+    back = near.where(F.col("dst") == note_id).select(F.col("src").alias("id"), F.lit(True).alias("back"))
+    # the note's vector comes from its own text, as literals: at most DIMENSIONS of them
+    words = query_tokens(f"{mine.title or ''} {mine.content or ''}")
+    similar = index.similar(literal_counts(spark, query_buckets(words), "bucket", "qtf"))
+    content, tags = F.lit(mine.content).cast("string"), F.lit(mine.tags) if mine.tags else F.array().cast("array<string>")
+    told = token_list(mine.content or "")
+    s_tokens = F.lit(told) if told else F.array().cast("array<string>")
+    both = open_.join(back, "id", "left").join(similar, "id", "left").withColumn("s_tags", tags)
     facts = both.select(
-        "id", "title", "content", "s_title", "s_content",
-        mentions(F.col("s_tokens"), "title", basename("id")).alias("mentioned"),
+        "id", "title",
+        mentions(s_tokens, "title", basename("id")).alias("mentioned"),
         F.coalesce("sim", F.lit(0.0)).alias("sim"),
         F.size(F.array_intersect("tags", "s_tags")).alias("shared"),
         F.coalesce("back", F.lit(False)).alias("back"),
@@ -54,13 +62,18 @@ def suggest_links(
         )
     )
     order = [F.desc("score"), F.asc("note_id")]
-    scored = facts.select(F.col("id").alias("note_id"), "title", "content", "s_title", "s_content", "mentioned", score.alias("score"), reasons.alias("reasons"))
+    scored = facts.select(F.col("id").alias("note_id"), "title", "mentioned", score.alias("score"), reasons.alias("reasons"))
     best = scored.where(F.col("score") >= (MIN_SCORE if min_score is None else min_score)).orderBy(*order).limit(TOP_K if top_k is None else top_k)
-    shown = F.when(F.col("mentioned"), snippet(F.col("title"), "s_content")).otherwise(snippet(F.col("s_title"), "content"))
-    made = best.select("note_id", "title", "score", "reasons", shown.alias("snippet"))
+    # contents are read for the best only, which are few
+    best = checkpointed(best).join(notes.select(F.col("id").alias("note_id"), F.col("content").alias("theirs")), "note_id")
+    shown = F.when(F.col("mentioned"), snippet(F.col("title"), content)).otherwise(snippet(F.lit(mine.title).cast("string"), "theirs"))
+    made = checkpointed(best.select("note_id", "title", "score", "reasons", shown.alias("snippet")))
     return greedy(made.withColumn("token_count", estimate_tokens("snippet")), token_budget, "token_count", order).orderBy(*order)
 
 
-def _similar(index: SearchIndex, note_id: str) -> DataFrame:
-    """(id, sim) of all notes that share a feature with one, from the index's own vectors."""
-    return index.similar(index.vectors.where(F.col("id") == note_id).select("bucket", F.col("tf").alias("qtf")))
+def _edges_of(notes: DataFrame, note_id: str) -> DataFrame:
+    """(src, dst) of the links from and to one note: only links that may be such are resolved."""
+    name = F.lower(basename(F.lit(note_id)))
+    spread = notes.select(F.col("id").alias("src"), F.explode("links.target").alias("target"))
+    maybe = spread.where((F.col("src") == note_id) | (F.col("target") == note_id) | (F.lower("target") == name))
+    return resolve(maybe, notes.select("id")).where("dst IS NOT NULL AND dst <> src").select("src", "dst").distinct()
