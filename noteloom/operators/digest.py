@@ -15,13 +15,17 @@ def due_bucket(due, today: str):
     return F.when(due.isNull(), "undated").when(due < today, "overdue").when(due == today, "today").otherwise("upcoming")
 
 
+def status_counts(notes: DataFrame) -> DataFrame:
+    """(name, n): how many notes have each status, of any type."""
+    value = get(F.col("frontmatter"), "status")
+    return notes.select(F.coalesce(string(value), F.to_json(value)).alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+
+
 def digest(notes: DataFrame, audit: DataFrame, today: str, recent: int = 5) -> DataFrame:
     """(section, name, value) rows: counts of open tasks, counts by status of any type, orphans, the latest writes."""
     open_tasks = list_tasks(notes, done=False, limit=2_147_483_647)
     tasks = open_tasks.groupBy(due_bucket(F.col("due"), today).alias("name")).agg(F.count("*").cast("string").alias("value"))
-    value = get(F.col("frontmatter"), "status")
-    status = notes.select(F.coalesce(string(value), F.to_json(value)).alias("name")).where("name IS NOT NULL")
-    counts = status.groupBy("name").agg(F.count("*").cast("string").alias("value"))
+    counts = status_counts(notes).select("name", F.col("n").cast("string").alias("value"))
     alone = orphans(notes).select(F.col("note_id").alias("name"), F.col("title").alias("value"))
     writes = audit.orderBy(F.desc("ts"), F.desc("version_id")).limit(recent).select(F.col("version_id").alias("name"), F.concat_ws(" ", "action", "ts").alias("value"))
     parts = {"open_tasks": tasks, "status": counts, "orphans": alone, "recent": writes}

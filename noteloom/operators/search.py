@@ -87,6 +87,18 @@ class SearchIndex:
         return greedy(priced, token_budget, "token_count", order).orderBy(*order)
 
 
+def best_notes(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): the best text (id, text) of each query (query_id, text) by lexical score, ties by id.
+
+    Many queries at once, by one join of token counts and a maximum that is partly taken before the shuffle.
+    """
+    asked = token_counts(queries, "query_id", "text").select(F.col("id").alias("query_id"), "token", F.col("n").alias("q"))
+    held = token_counts(texts, "id", "text")
+    scores = held.join(asked, "token").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("n")).alias("score"))
+    best = scores.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("d"))).alias("b"))
+    return best.select("query_id", (-F.col("b.d")).alias("id"), F.col("b.score").alias("score"))
+
+
 def dense_top_k(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, score) of the k rows nearest to one dense unit vector (a one-row table), ties by id."""
     q = F.broadcast(query.select(F.col(vec_col).alias("__q")).limit(1))

@@ -139,10 +139,6 @@ def all_sql() -> dict[str, str]:
         "eval_prf1": f"WITH {_Q}, {_RETRIEVED}, {_PRF} SELECT lang, precision, recall, f1 FROM prf",
         "token_efficiency": f"WITH {_Q}, {_RETRIEVED} SELECT lang, CASE WHEN sum(tc) > 0 THEN coalesce(sum(tc) FILTER (id IN (SELECT id FROM want)), 0)::DOUBLE / sum(tc)::DOUBLE ELSE 1.0::DOUBLE END AS efficiency FROM got GROUP BY lang",
         "eval_averages": f"WITH {_Q}, {_RETRIEVED}, {_PRF} SELECT round(avg(precision), 9) AS avg_precision, round(avg(recall), 9) AS avg_recall, round(avg(f1), 9) AS avg_f1 FROM prf",
-        "benchmark_recall": f"""WITH a AS (SELECT id AS item_id, token, count(*) AS q FROM ({_TOKENS.format(id='item_id', text='text', table='benchmark')}) WHERE token <> '' GROUP BY ALL),
-            h AS (SELECT id, token, count(*) AS n FROM ({_TOKENS.format(id='doc_id', text='text', table='documents')}) WHERE token <> '' GROUP BY ALL),
-            s AS (SELECT item_id, id AS doc_id, sum(q * n) AS score FROM a JOIN h USING (token) GROUP BY ALL)
-            SELECT item_id, doc_id, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""",
         "scan_delta": """WITH k AS (SELECT 'n:' || doc_id AS key, sha256(text) AS hash, doc_id FROM documents),
             sh AS (SELECT key, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE hash END AS hash FROM k WHERE doc_id % 2 = 0),
             al AS (SELECT * FROM sh UNION ALL SELECT key || '-gone', hash FROM sh WHERE key LIKE '%4')
@@ -150,36 +146,27 @@ def all_sql() -> dict[str, str]:
             FROM k FULL JOIN al ON k.key = al.key) WHERE change IS NOT NULL""",
         "log_resume": "SELECT event_id AS seq, props AS body FROM events WHERE event_id > 150",
         "log_compact": "SELECT max(event_id) AS seq, 'snapshot' AS body FROM events WHERE event_id <= 500 GROUP BY user_id UNION ALL SELECT event_id, props FROM events WHERE event_id > 500",
-        "snapshot_complete": """SELECT upto, CAST(4 AS BIGINT) AS of FROM (SELECT event_id - event_id % 4 AS upto, event_id % 4 AS idx FROM events WHERE event_id < 400)
-            WHERE upto % 16 <> 8 OR idx <> 2 GROUP BY upto HAVING count(DISTINCT idx) = 4""",
-        "snapshot_complete_all": """SELECT upto, CAST(4 AS BIGINT) AS of FROM (SELECT event_id - event_id % 4 AS upto, event_id % 4 AS idx FROM events)
+        "snapshot_complete": """SELECT upto, CAST(4 AS BIGINT) AS of FROM (SELECT event_id - event_id % 4 AS upto, event_id % 4 AS idx FROM events)
             WHERE upto % 16 <> 8 OR idx <> 2 GROUP BY upto HAVING count(DISTINCT idx) = 4""",
         "presence_lww": f"WITH {_PRES}, {_LAST} SELECT device, ts, note_id, seq FROM last WHERE NOT gone",
         "presence_ttl": f"WITH {_PRES}, {_LAST} SELECT device, ts FROM last WHERE NOT gone AND (SELECT max(ts) FROM p) - ts <= 86400000",
-        "presence_sessions": """WITH g AS (SELECT user_id, (epoch_us(ts) // 1000) AS t, CASE WHEN (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w < 43200000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-            s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
-            SELECT user_id, min(t) AS start_ms, max(t) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k""",
         "entitlement_fold": """WITH last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) DESC, event_id) = 1)
             SELECT user_id AS vault, event_id, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'trialing' ELSE 'past_due' END AS status, event_id * 1000 AS quota_bytes
             FROM last WHERE event_type IN ('view', 'click', 'purchase')""",
         "quota_join": """WITH u AS (SELECT user_id AS vault, CAST(sum(length(props) * 1000000) AS BIGINT) AS used FROM events GROUP BY user_id)
             SELECT vault, used, coalesce(c_custkey * 1000000, 536870912)::BIGINT AS quota, used < coalesce(c_custkey * 1000000, 536870912) AS accepts
             FROM u LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = vault""",
-        "audit_recent": "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 50",
         "version_diff": """SELECT CAST(o_orderkey AS VARCHAR) AS note_id, CASE WHEN o_orderkey % 3 = 0 THEN 'created' WHEN o_orderkey % 5 = 0 THEN 'deleted' ELSE 'updated' END AS op,
             CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS before, CASE WHEN o_orderkey % 5 <> 0 THEN 'x' || o_orderstatus END AS after FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0""",
-        "status_counts": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
         "state_vector": "SELECT user_id % 50 AS item, event_type AS client, max(event_id) AS clock FROM events GROUP BY ALL",
         "tombstones": """WITH e AS (SELECT user_id % 50 AS item, event_type AS client, event_id AS clock FROM events),
-            d AS (SELECT item, client, max(clock) AS clock FROM e WHERE clock % 2 = 0 GROUP BY ALL), t AS (SELECT item, client, max(clock) AS seen FROM e WHERE item % 3 <> 0 GROUP BY ALL)
+            d AS (SELECT item, client, max(clock) AS clock FROM e GROUP BY ALL), t AS (SELECT item, client, max(clock) AS seen FROM e WHERE item % 3 <> 0 AND (item % 7 <> 0 OR client <> 'error') GROUP BY ALL)
             SELECT d.item, bool_and(coalesce(clock <= seen, false)) AND d.item IN (SELECT item FROM t) AS covered FROM d LEFT JOIN t ON d.item = t.item AND d.client = t.client GROUP BY d.item""",
         "pack_parts": """WITH RECURSIVE b AS (SELECT item_id, strlen(text) AS size, row_number() OVER (ORDER BY item_id) AS r FROM benchmark),
             w AS (SELECT r, item_id, size AS used, CAST(0 AS BIGINT) AS part FROM b WHERE r = 1
               UNION ALL SELECT b.r, b.item_id, CASE WHEN w.used + b.size <= 1000 THEN w.used + b.size ELSE b.size END, CASE WHEN w.used + b.size <= 1000 THEN w.part ELSE w.part + 1 END FROM w JOIN b ON b.r = w.r + 1)
             SELECT item_id, part FROM w""",
-        "budget_by_language": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY lang ORDER BY ceil(length(text) / 4.0) DESC, doc_id) AS r
-              FROM documents WHERE doc_id % 40 = 0), taken AS ({_greedy('ranked', 2500, 'lang')}) SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",
-        "budget_by_language_all": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, cost, row_number() OVER (PARTITION BY lang ORDER BY cost DESC, doc_id) AS r
+        "budget_by_language": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, cost, row_number() OVER (PARTITION BY lang ORDER BY cost DESC, doc_id) AS r
               FROM (SELECT lang, doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS cost FROM documents)), taken AS ({_greedy('ranked', 2500, 'lang')})
             SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",
         "note_parse": f"""WITH {_MD}, {_MDLINES}, {_MDHEAD},

@@ -12,7 +12,7 @@ from noteloom.operators import deltas, digest, evals, graph, memory, notes as no
 from noteloom.operators.budget import greedy, pack
 from noteloom.operators.postings import token_counts
 from noteloom.operators.search import SearchIndex, dense_top_k
-from noteloom.plans import oracles
+from noteloom.plans import oracles, state_queries
 from noteloom.plans.oracles import MARKDOWN, QUERY
 from noteloom.sources import log
 
@@ -184,15 +184,6 @@ def eval_averages(s: SparkSession, d: str) -> DataFrame:
     return rounded.select(*[F.round(c, 9).alias(c) for c in rounded.columns])
 
 
-def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item's best document by lexical score, ties by doc_id: many queries at once."""
-    asked = token_counts(table(s, d, "benchmark"), "item_id", "text").select(F.col("id").alias("item_id"), "token", F.col("n").alias("q"))
-    held = token_counts(table(s, d, "documents"), "doc_id", "text")
-    scores = held.join(asked, "token").groupBy("item_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("q") * F.col("n")).alias("score"))
-    best = scores.groupBy("item_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("b"))
-    return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.col("b.score").alias("score"))
-
-
 def scan_delta(s: SparkSession, d: str) -> DataFrame:
     keyed = table(s, d, "documents").select(F.concat(F.lit("n:"), F.col("doc_id").cast("string")).alias("key"), F.sha2("text", 256).alias("hash"), "doc_id")
     shadow = keyed.where("doc_id % 2 = 0").select("key", F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("hash")).alias("hash"))
@@ -215,19 +206,13 @@ def log_compact(s: SparkSession, d: str) -> DataFrame:
     return log.compacted(folded, _log_rows(s, d).select("seq", "body"), 500)
 
 
-def _snapshot_complete(s: SparkSession, d: str, judged: str = "true") -> DataFrame:
-    e = table(s, d, "events").where(judged)
+def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
     parts = e.select((F.col("event_id").cast("long") - F.col("event_id") % 4).alias("upto"), (F.col("event_id") % 4).alias("idx"), F.lit(4).cast("long").alias("of")).where("upto % 16 <> 8 OR idx <> 2")
     return log.complete_snapshots(parts.union(parts))
 
 
-def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
-    """The sets of the first 400 events only, as its SQL has it; ``snapshot_complete_all`` is the whole job."""
-    return _snapshot_complete(s, d, "event_id < 400")
-
-
-def snapshot_complete_all(s: SparkSession, d: str) -> DataFrame:
-    return _snapshot_complete(s, d)
+snapshot_complete_all = snapshot_complete
 
 
 def _presence_rows(s: SparkSession, d: str) -> DataFrame:
@@ -245,12 +230,6 @@ def presence_ttl(s: SparkSession, d: str) -> DataFrame:
     return deltas.presence_alive(deltas.presence_state(rows), now, 86_400_000).select("device", "ts")
 
 
-def presence_sessions(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    grouped = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return grouped.select("user_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "n")
-
-
 def _entitlement_events(s: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "trialing").when(F.col("event_type") == "purchase", "past_due").otherwise("canceled")
     kind = F.when(F.col("event_type") == "error", "subscription.deleted").otherwise("subscription.updated")
@@ -269,10 +248,6 @@ def quota_join(s: SparkSession, d: str) -> DataFrame:
     return deltas.quota_check(usage, granted)
 
 
-def audit_recent(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", "event_type", "user_id").orderBy(F.desc("event_id")).limit(50)
-
-
 def version_diff(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("note_id"), F.col("o_orderstatus").alias("raw"), F.col("o_orderkey").alias("k"))
     before = o.where("k % 3 <> 0").select("note_id", "raw")
@@ -280,10 +255,6 @@ def version_diff(s: SparkSession, d: str) -> DataFrame:
     return deltas.version_diff(before, after)
 
 
-def status_counts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-
-
 def state_vector(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return deltas.state_vector(e.select((F.col("user_id") % 50).alias("item"), F.col("event_type").alias("client"), F.col("event_id").alias("clock")))
@@ -291,8 +262,7 @@ def state_vector(s: SparkSession, d: str) -> DataFrame:
 
 def tombstones(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select((F.col("user_id") % 50).alias("item"), F.col("event_type").alias("client"), F.col("event_id").alias("clock"))
-    docs = deltas.state_vector(e.where("clock % 2 = 0"))
-    return deltas.covered(docs, deltas.state_vector(e.where("item % 3 <> 0")))
+    return deltas.covered(deltas.state_vector(e), deltas.state_vector(e.where("item % 3 <> 0 AND (item % 7 <> 0 OR client <> 'error')")))
 
 
 def pack_parts(s: SparkSession, d: str) -> DataFrame:
@@ -300,18 +270,12 @@ def pack_parts(s: SparkSession, d: str) -> DataFrame:
     return pack(rows, 1000, "size", [F.asc("item_id")]).select("item_id", F.col("part").cast("long").alias("part"))
 
 
-def _budget_by_language(s: SparkSession, d: str, competing: str = "true") -> DataFrame:
-    docs = table(s, d, "documents").where(competing).select("lang", "doc_id", text.estimate_tokens("text").alias("cost"))
-    return greedy(docs, 2500, "cost", [F.desc("cost"), F.asc("doc_id")], ["lang"]).select("lang", "doc_id", "cost")
-
-
 def budget_by_language(s: SparkSession, d: str) -> DataFrame:
-    """The budget over every 40th document only, as its SQL has it; ``budget_by_language_all`` is the whole job."""
-    return _budget_by_language(s, d, "doc_id % 40 = 0")
+    docs = table(s, d, "documents").select("lang", "doc_id", text.estimate_tokens("text").alias("cost"))
+    return greedy(docs, 2500, "cost", [F.desc("cost"), F.asc("doc_id")], ["lang"]).select("lang", "doc_id", "cost")
 
 
-def budget_by_language_all(s: SparkSession, d: str) -> DataFrame:
-    return _budget_by_language(s, d)
+budget_by_language_all = budget_by_language
 
 
 def note_parse(s: SparkSession, d: str) -> DataFrame:
@@ -343,15 +307,15 @@ def vault_digest(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         tokenize_counts, token_estimate, stable_ids, search_lexical, search_semantic, search_hybrid, search_topk_budget, snippets, fnv_features, recall_budget, recall_conflicts, memory_errors,
-        props_filter, props_sort_desc, dense_topk, graph_links, graph_backlinks, graph_bfs, graph_orphans, suggest_links, eval_prf1, token_efficiency, eval_averages, benchmark_recall, scan_delta,
-        log_resume, log_compact, snapshot_complete, snapshot_complete_all, presence_lww, presence_ttl, presence_sessions, entitlement_fold, quota_join, audit_recent, version_diff, status_counts, state_vector, tombstones,
-        pack_parts, budget_by_language, budget_by_language_all, note_parse, task_extract, note_outline, template_schema, vault_digest,
+        props_filter, props_sort_desc, dense_topk, graph_links, graph_backlinks, graph_bfs, graph_orphans, suggest_links, eval_prf1, token_efficiency, eval_averages, scan_delta,
+        log_resume, log_compact, snapshot_complete, presence_lww, presence_ttl, entitlement_fold, quota_join, version_diff, state_vector, tombstones,
+        pack_parts, budget_by_language, note_parse, task_extract, note_outline, template_schema, vault_digest,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | state_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    return oracles.all_sql() | state_queries.oracle_sql()
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
