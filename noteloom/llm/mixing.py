@@ -75,7 +75,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows: in
 
     Needs source and doc_id. Null sources are a source of their own (never named in ``weights``, so
     of rate 0 if weights are given). The count hangs on source and doc_id alone, so rows that share both
-    are repeated alike, and rows with null doc_id of a source are too. An empty table gives an empty one.
+    are repeated alike, and rows with null doc_id of a source are too. An empty table gives an empty one; texts may be
+    of any length, and columns of any names travel along. Rows are dealt to partitions by the leading bits of their
+    order, hashed, and lie in order within a partition; partitions, and so files, aren't in order among themselves.
     """
     rates = checkpointed(source_rates(docs, weights, rows))
     row = docs.select(

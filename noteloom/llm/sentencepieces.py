@@ -8,7 +8,7 @@ call, and ids are gathered back to the texts by position. ``check_model`` proves
 at hand and refuses models that lack it.
 
 Two words count as equal if a 64-bit hash, their length and their first and last eight bytes agree.
-Texts with runs of spaces, spaces at an end or literal markers take a plain path of the same meaning.
+Texts with runs of spaces, spaces at an end or literal markers have chunks with spaces in front, kept in a table of their own.
 """
 
 from __future__ import annotations
@@ -100,6 +100,7 @@ class ChunkTable:
         self.width = self.kind.itemsize
         self.eos = self.model.eos_id()
         self.opens = np.array([self.model.id_to_piece(i).startswith(MARK) for i in range(n)])
+        self.spaced: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -107,11 +108,16 @@ class ChunkTable:
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _plain(self, text: str) -> np.ndarray:
-        """Ids chunk by chunk, for texts that aren't words with single spaces between."""
-        out: list[int] = []
-        for c in split_chunks(text):
-            out += self.model.encode(c) if c else [self.model.piece_to_id(MARK)]
-        return np.array(out, self.kind)
+        """Ids of texts that aren't words with single spaces between: each distinct chunk, its spaces included, is segmented once."""
+        chunks = split_chunks(text)
+        if len(self.spaced) > self.limit:
+            self.spaced = {}
+        fresh = [c for c in dict.fromkeys(chunks) if c not in self.spaced]
+        if fresh:
+            lone = self.model.piece_to_id(MARK)
+            self.spaced.update((c, ids if c else [lone]) for c, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True))
+        known = self.spaced
+        return np.array([i for c in chunks for i in known[c]], self.kind)
 
     def _segment(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of distinct words, many in one call; a word's first id is its only one that opens with a marker."""
@@ -226,7 +232,7 @@ def encode_decode(docs: DataFrame, model_path: str, with_outputs: bool = True) -
     Input columns: doc_id, text; others are ignored. Null text counts as empty: no ids, an empty
     decoded text. A null doc_id stays null; repeated rows give repeated results. Returns doc_id,
     n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and with
-    ``with_outputs`` also ids and decoded. An empty table gives an empty result.
+    ``with_outputs`` also ids and decoded. Texts may be of any length; an empty table gives an empty result.
     """
     check_model(model_path)
 

@@ -98,6 +98,33 @@ def test_classifier_held_out(spark):
     assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True))
 
 
+def test_scores_equal_a_plain_loop_over_the_tables(spark):
+    """The query's rows, brute force: held out by zlib's checksum, scores by one lookup after the other."""
+    import math
+    import zlib
+
+    import pyarrow as pa
+
+    from noteloom.llm import queries
+    from noteloom.llm.common import text_buffers
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_gam.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op4_quality_gam(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        (x,) = quality_gam.features_of(*text_buffers(pa.array([r.text or ""])))
+        bins = [sum(1 for cut in e if cut <= v) for e, v in zip(model.edges, x, strict=True)]
+        margin = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        for i, j, t in model.pairs:
+            margin += t[bins[i] * quality_gam.PAIR_BINS // (len(model.edges[i]) + 1)][bins[j] * quality_gam.PAIR_BINS // (len(model.edges[j]) + 1)]
+        want = 1 / (1 + math.exp(-max(-30, min(30, margin))))
+        g = got[r.doc_id]
+        assert abs(g.score - want) < 1e-9 and g.predicted == (g.score >= 0.5) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_classifier_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "some text", 3), (4, "word " * 30000, 4), (4, "again", 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(2, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")

@@ -56,6 +56,18 @@ def test_empty_table(docs):
     assert sentencepieces.encode_decode(docs.where("false"), piece_model()).count() == 0
 
 
+def test_spaced_chunks_are_segmented_once(model, monkeypatch):
+    table = sentencepieces.ChunkTable(piece_model())
+    code = "def f(x):\n    if x:\n        return  x\n" * 300 + " tail  "
+    assert table._plain(code).tolist() == model.encode(code)
+    asked = []
+    real = table.model.encode
+    monkeypatch.setattr(table.model, "encode", lambda chunks, **k: asked.extend(chunks) or real(chunks, **k), raising=False)
+    assert table._plain(code + "  new").tolist() == model.encode(code + "  new") and asked == ["   new"]
+    table.limit = 2
+    assert [table._plain(t).tolist() for t in (code, "  a  b   c ", code)] == [model.encode(t) for t in (code, "  a  b   c ", code)]
+
+
 def test_other_models_are_refused(tmp_path, model):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -184,3 +196,11 @@ def test_shards_hold_the_stream_in_permuted_order(spark, model, tmp_path):
         assert r.sha256 == hashlib.sha256(np.array(want, "<u2").tobytes()).hexdigest()
     assert [s.tolist() for s in shards.read_slots(out, 45, 10, length=16, per_shard=50)] == stored[45:55]
     assert shards.write_shards(docs.where("false"), piece_model(), out + "2", key=9).count() == 0
+
+
+def test_shards_take_repeated_rows_long_texts_and_clashing_names(spark, model, tmp_path):
+    long = "word " * 30_000
+    docs = spark.createDataFrame([(1, long, 7, "x"), (1, long, 7, "x"), (None, "a b", None, None)], "doc_id long, text string, slot int, seq string").coalesce(1)
+    rows = shards.write_shards(docs, piece_model(), f"file://{tmp_path}/s", key=3, length=64, per_shard=100).collect()
+    total = sum(len(model.encode(r.text)) + 1 for r in docs.collect())
+    assert len(rows) == -(-total // 64) and sorted(r.slot for r in rows) == list(range(len(rows))) and sum(r.n_tokens for r in rows) == total
