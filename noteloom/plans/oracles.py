@@ -95,7 +95,7 @@ def all_sql() -> dict[str, str]:
             priced AS (SELECT *, CAST(ceil(length(snippet) / 4.0) AS BIGINT) AS cost FROM shown), taken AS ({_greedy('priced', 400)})
             SELECT id AS note_id, title, score, snippet, cost AS token_count FROM priced WHERE id IN (SELECT id FROM taken)""",
         "snippets": f"SELECT doc_id, {_snippet(_LIST, 'text')} AS snippet FROM documents",
-        "fnv_features": f"""WITH v AS (SELECT DISTINCT token FROM ({_TOKENS.format(id='item_id', text='text', table='benchmark')}) WHERE token <> ''),
+        "fnv_features": f"""WITH v AS (SELECT DISTINCT token FROM ({_TOKENS.format(id='doc_id', text='text', table='documents')}) WHERE token <> ''),
             f AS (SELECT DISTINCT token, unnest({_FEATURES}) AS feature FROM v)
             SELECT token, feature, {_FNV.format(f='feature')} AS hash, {_FNV.format(f='feature')} % 2048 AS bucket FROM f""",
         "recall_budget": f"""WITH {_Q}, {_MEM}, {_MEMSCORE}, ranked AS (SELECT row_number() OVER (ORDER BY score DESC, mem.id) AS r, mem.id, content, score,
@@ -162,10 +162,10 @@ def all_sql() -> dict[str, str]:
         "tombstones": """WITH e AS (SELECT user_id % 50 AS item, event_type AS client, event_id AS clock FROM events),
             d AS (SELECT item, client, max(clock) AS clock FROM e GROUP BY ALL), t AS (SELECT item, client, max(clock) AS seen FROM e WHERE item % 3 <> 0 AND (item % 7 <> 0 OR client <> 'error') GROUP BY ALL)
             SELECT d.item, bool_and(coalesce(clock <= seen, false)) AND d.item IN (SELECT item FROM t) AS covered FROM d LEFT JOIN t ON d.item = t.item AND d.client = t.client GROUP BY d.item""",
-        "pack_parts": """WITH RECURSIVE b AS (SELECT item_id, strlen(text) AS size, row_number() OVER (ORDER BY item_id) AS r FROM benchmark),
-            w AS (SELECT r, item_id, size AS used, CAST(0 AS BIGINT) AS part FROM b WHERE r = 1
-              UNION ALL SELECT b.r, b.item_id, CASE WHEN w.used + b.size <= 1000 THEN w.used + b.size ELSE b.size END, CASE WHEN w.used + b.size <= 1000 THEN w.part ELSE w.part + 1 END FROM w JOIN b ON b.r = w.r + 1)
-            SELECT item_id, part FROM w""",
+        "pack_parts": """WITH RECURSIVE b AS (SELECT doc_id, coalesce(strlen(text), 0) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+            w AS (SELECT r, doc_id, size AS used, CAST(0 AS BIGINT) AS part FROM b WHERE r = 1
+              UNION ALL SELECT b.r, b.doc_id, CASE WHEN w.used + b.size <= 20000 THEN w.used + b.size ELSE b.size END, CASE WHEN w.used + b.size <= 20000 THEN w.part ELSE w.part + 1 END FROM w JOIN b ON b.r = w.r + 1)
+            SELECT doc_id, part FROM w""",
         "budget_by_language": f"""WITH ranked AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, doc_id, cost, row_number() OVER (PARTITION BY lang ORDER BY cost DESC, doc_id) AS r
               FROM (SELECT lang, doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS cost FROM documents)), taken AS ({_greedy('ranked', 2500, 'lang')})
             SELECT lang, doc_id, cost FROM ranked WHERE id IN (SELECT id FROM taken)""",

@@ -97,7 +97,7 @@ def snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 def fnv_features(s: SparkSession, d: str) -> DataFrame:
-    words = token_counts(table(s, d, "benchmark"), "item_id", "text").select("token").distinct()
+    words = token_counts(table(s, d, "documents"), "doc_id", "text").select("token").distinct()
     return words.select("token", F.explode(text.features("token")).alias("feature")).distinct().select("token", "feature", text.fnv1a("feature").alias("hash"), text.bucket("feature").cast("long").alias("bucket"))
 
 
@@ -266,8 +266,8 @@ def tombstones(s: SparkSession, d: str) -> DataFrame:
 
 
 def pack_parts(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "benchmark").select("item_id", F.octet_length("text").alias("size"))
-    return pack(rows, 1000, "size", [F.asc("item_id")]).select("item_id", F.col("part").cast("long").alias("part"))
+    rows = table(s, d, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return pack(rows, 20_000, "size", [F.asc("doc_id")]).select("doc_id", F.col("part").cast("long").alias("part"))
 
 
 def budget_by_language(s: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions import dynamic, text
+from noteloom.functions import dynamic, parsing, text
 from noteloom.functions.yamlio import dump_mapping
 from noteloom.operators import deltas, digest, memory, notes as note_views, properties, tasks, templates
 from noteloom.operators.memory_store import MemoryStore
@@ -234,6 +234,18 @@ def bulk_texts(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def document_parse(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents as Markdown notes with a block of properties, a title, a link and a tag."""
+    docs = table(s, d, "documents")
+    raw = F.concat(
+        F.lit("---\ntags: ["), "lang", F.lit(", t1]\n---\n# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## End & more\nto [[docs/"), (F.col("doc_id") + 1).cast("string"), F.lit("#top|next]] #t2\n")
+    )
+    n = parsing.parse_notes(docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), raw.alias("raw")))
+    heads = F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h.level.cast("string"), h.slug)), ";")
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("|", x.target, x.heading, x["alias"])), ";")
+    return n.select("id", "title", heads.alias("headings"), links.alias("links"), F.array_join("tags", ",").alias("tags"), F.length("content").cast("long").alias("length"))
+
+
 def _streamed(s: SparkSession, rows: DataFrame, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The last output of a stateful stream for each key, after a stream over the rows has read them all."""
     source, out = _folder(s, "source"), _folder(s, "states")
@@ -283,7 +295,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         vault_scan, vault_list, vault_memories, vault_templates, store_changes, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, outbox_pending, vector_cache, property_ops, task_filters,
-        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
+        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
 
@@ -337,6 +349,13 @@ def oracle_sql() -> dict[str, str]:
             substr(c_name, 1, 8) AS clipped, length(c_name) > 8 AS cut,
             '[[to/' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '#h' ELSE '#^b' END || CASE WHEN c_custkey % 3 = 0 THEN '|' || c_name ELSE '' END || ']]' AS link,
             'segment: ' || c_mktsegment || chr(10) || 'key: ' || c_custkey || chr(10) AS yaml FROM customer""",
+        "document_parse": """WITH d AS (SELECT doc_id, lang, '# Doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## End & more' || chr(10) || 'to [[docs/' || (doc_id + 1) || '#top|next]] #t2' || chr(10) AS c FROM documents),
+            ln AS (SELECT doc_id, i, regexp_replace(ls[i], '\\r$', '') AS l FROM (SELECT doc_id, string_split(c, chr(10)) AS ls, unnest(range(1, len(string_split(c, chr(10))) + 1)) AS i FROM d)),
+            h AS (SELECT doc_id, string_agg(length(regexp_extract(l, '^(#{1,6})\\s', 1)) || ':' || trim(regexp_replace(lower(trim(regexp_extract(l, '^#{1,6}\\s+(.*)$', 1))), '[^a-z0-9]+', '-', 'g'), '-'), ';' ORDER BY i) AS headings
+              FROM ln WHERE regexp_matches(l, '^#{1,6}\\s+\\S') GROUP BY doc_id),
+            t AS (SELECT doc_id, c, list_concat([lang, 't1'], regexp_extract_all(c, '(?:^|\\s)#([A-Za-z0-9_/-]+)', 1)) AS ts FROM d)
+            SELECT 'docs/' || t.doc_id AS id, 'Doc ' || t.doc_id AS title, headings, 'docs/' || (t.doc_id + 1) || '|top|next' AS links, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), ',') AS tags, CAST(length(c) AS BIGINT) AS length
+            FROM t JOIN h USING (doc_id)""",
         "stream_presence": """SELECT CAST(user_id AS VARCHAR) AS device, epoch_us(ts) // 1000 AS ts, event_type <> 'error' AS present FROM events
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) = 1""",
         "stream_entitlements": """SELECT CAST(user_id AS VARCHAR) AS vault, epoch_us(ts) // 1000 AS created, event_type NOT IN ('error', 'signup') AS active FROM events

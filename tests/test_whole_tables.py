@@ -21,3 +21,30 @@ def test_snapshot_sets_of_all_events_are_judged(spark, tmp_path):
     want = sorted(u for u in range(0, 2004, 4) if u % 16 != 8 and all(u + k in set(ids) for k in range(4)))
     got = core.snapshot_complete_all(spark, f"file://{tmp_path}").collect()
     assert sorted(r.upto for r in got) == want and want[-1] > 400
+
+
+def test_parts_are_packed_in_one_pass(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from noteloom.operators.budget import pack
+
+    r = random.Random(2)
+    for limit in (1, 50, 1000):
+        sizes = [r.choice([0, 1, 7, 49, 50, 51, 400, None]) for _ in range(3000)]
+        want, part, used = [], -1, 0
+        for c in sizes:
+            c = c or 0
+            if part >= 0 and used + c <= limit:
+                used += c
+            else:
+                part, used = part + 1, c
+            want.append(part)
+        df = spark.createDataFrame(list(enumerate(sizes)), "i int, c int").repartition(5)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 128)
+        try:
+            got = {x.i: x.part for x in pack(df, limit, "c", [F.asc("i")]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert [got[i] for i in range(3000)] == want
