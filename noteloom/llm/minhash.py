@@ -11,7 +11,8 @@
    each node checks its ``TRIES`` most similar leaders. The shingle sets decide: similarity of
    0.8 or more is a link.
 4. Components of these links are nearly the classes. Where a bucket still holds several
-   components, all pairs across components are compared by signature in blocks of bounded size, and those
+   components, pairs across components are compared by signature in blocks of bounded size (the members outside its largest
+   component with that one and among themselves, so a large group costs a few copies of each member), and those
    that could reach the threshold are checked by their shingle sets in the same block, without a cap;
    only links leave the block. So every pair that shares a
    bucket is either linked, in one class already, or refuted.
@@ -248,6 +249,7 @@ def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
     """Links across components in one cell of a bucket; after the first between two components, the
     others between these two add nothing and are not looked for."""
     nid, comp, size, side = (cell[k] for k in ("nid", "comp", "size", "side"))
+    cross = cell["j"][0] < 0  # between the bucket's base and other members, so each pair is in one cell only
     sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(len(nid), -1)
     sets = cell["elements"]
     root: dict[int, int] = {}
@@ -264,7 +266,7 @@ def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
         return a_out, b_out
     rsig, rcomp, rsize, rnid = sig[rights], comp[rights], size[rights], nid[rights]
     for i in lefts:
-        near = np.flatnonzero((rcomp != comp[i]) & (rnid > nid[i]) & (np.minimum(rsize, size[i]) >= THRESHOLD * np.maximum(rsize, size[i])))
+        near = np.flatnonzero((rcomp != comp[i]) & (cross | (rnid > nid[i])) & (np.minimum(rsize, size[i]) >= THRESHOLD * np.maximum(rsize, size[i])))
         if not len(near):
             continue
         est = (rsig[near] == sig[i]).mean(axis=1)
@@ -273,8 +275,8 @@ def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
             x, y = find(int(comp[i])), find(int(rcomp[j]))
             if x != y and set_similarity(sets[i], sets[rights[j]]) >= THRESHOLD:
                 root[max(x, y)] = min(x, y)
-                a_out.append(int(nid[i]))
-                b_out.append(int(rnid[j]))
+                a_out.append(min(int(nid[i]), int(rnid[j])))
+                b_out.append(max(int(nid[i]), int(rnid[j])))
     return a_out, b_out
 
 
@@ -286,7 +288,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links(part: pa.Table) -> pa.RecordBatch:
         key = np.stack([part.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        cols = {k: part.column(k).to_numpy() for k in ("nid", "comp", "size", "side")} | {k: np.array(part.column(k).to_pylist() + [None], object)[:-1] for k in ("sig", "elements")}
+        cols = {k: part.column(k).to_numpy() for k in ("nid", "comp", "size", "side", "j")} | {k: np.array(part.column(k).to_pylist() + [None], object)[:-1] for k in ("sig", "elements")}
         a_all, b_all = [], []
         for lo, hi in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
             if hi - lo > 1:
@@ -334,17 +336,24 @@ def _links(table: DataFrame, ids: DataFrame, weighting: str) -> DataFrame:
     comps = components(links).withColumnRenamed("node", "nid")
 
     member = checkpointed(inside.select("nid", "key").join(comps, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")))
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    seen = checkpointed(member.join(checkpointed(mixed), "key"))
-    full = seen.join(payload, "nid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    # the largest component of a bucket is its base: only other members are compared among themselves, and with it
+    sized = checkpointed(member.groupBy("key", "comp").agg(F.count("*").alias("n")))
+    mixed = sized.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("comps > 1")
+    seen = checkpointed(member.join(checkpointed(mixed.select("key", F.col("top.comp").alias("base"), F.col("top.n").alias("n_base"), (F.col("n") - F.col("top.n")).alias("n_rest"))), "key"))
+    cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    full = seen.join(payload, "nid").withColumn("b_base", cut("n_base")).withColumn("b_rest", cut("n_rest"))
+    own = lambda blocks: F.pmod(F.xxhash64("nid"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     rest = ["nid", "comp", "size", "sig", "elements"]
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    alone = full.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *rest)
-    left = full.where("blocks > 1").select("key", F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"), *rest)
-    right = full.where("blocks > 1").select("key", every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), *rest)
+    based, others = full.where("comp = base"), full.where("comp <> base")
+    cells = based.select("key", own("b_base").alias("i"), every("b_rest").alias("o"), F.lit(1).alias("side"), *rest).withColumn("j", -1 - F.col("o"))
+    cells = cells.unionByName(others.select("key", every("b_base").alias("i"), own("b_rest").alias("o"), F.lit(0).alias("side"), *rest).withColumn("j", -1 - F.col("o"))).drop("o")
+    alone = others.where("b_rest = 1 AND n_rest > 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *rest)
+    left = others.where("b_rest > 1").select("key", own("b_rest").alias("i"), every("b_rest").alias("j"), F.lit(0).alias("side"), *rest)
+    right = others.where("b_rest > 1").select("key", every("b_rest").alias("i"), own("b_rest").alias("j"), F.lit(1).alias("side"), *rest)
     # the work follows the pairs, not the bytes, so the partitions aren't merged by size
     width = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = alone.union(left).union(right).repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cells = cells.unionByName(alone).unionByName(left).unionByName(right).repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return links.union(cells.mapInArrow(_across, "a long, b long"))
 
 

@@ -81,6 +81,22 @@ def test_cross_component_search_loses_no_link(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == sorted(zip([d for d, _ in rows], brute_classes(rows), strict=True), key=str)
 
 
+def test_many_blocks_of_one_bucket_lose_no_link(spark, monkeypatch):
+    """A large class and many strays and small classes like it, compared over blocks of four."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "TRIES", 1)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8])):
+            t[r.randrange(100)] = f"z{r.randrange(50)}"
+        rows.append((k, " ".join(t)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == sorted(zip([d for d, _ in rows], brute_classes(rows), strict=True))
+
+
 @pytest.mark.parametrize("k", [64, 125])
 def test_dart_signatures_estimate_weighted_jaccard(k):
     rng = np.random.default_rng(1)
