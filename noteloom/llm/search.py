@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import checkpointed, new_dir, row_slices, staged, text_buffers
+from noteloom.llm.common import new_dir, row_slices, staged, text_buffers
 from noteloom.llm.textvec import span_hash
 
 K1, B = 1.2, 0.75
@@ -459,8 +459,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
     n, mean = int(total.n), total.length / total.n
     # a task for each shard, as the rows themselves are tiny
     index = index.repartitionByRange(int(total.shards), "shard")
-    asked = checkpointed(query_terms(queries.where("query_id IS NOT NULL")).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")))
-    df = checkpointed(_frequencies(index).join(asked.select("term").distinct(), "term", "left_semi"))
+    # written, so that joins know their sizes: what a checkpoint is taken to hold is a guess, by which too much could be broadcast
+    asked = staged(query_terms(queries.where("query_id IS NOT NULL")).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")), "query-terms")
+    df = staged(_frequencies(index).join(asked.select("term").distinct(), "term", "left_semi"), "frequencies")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").select("query_id", F.struct("term", (idf * F.col("qtf")).alias("w")).alias("x"))
     packed = staged(weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("xs")), "queries")
