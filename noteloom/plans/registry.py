@@ -51,6 +51,8 @@ WRITE_TOOLS = {
 }
 TOOLS = READ_TOOLS | WRITE_TOOLS
 HOOKS = ("note_saved",)
+#: Tool calls of one plugin run, and characters of its answer, at most.
+PLUGIN_CALLS, PLUGIN_BYTES = 1000, 64 << 20
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
@@ -298,12 +300,24 @@ class Plugins:
             return {"ok": False, "error": EngineError("INVALID_INPUT", f"There is no plugin {name!r}.").as_dict()}
         manifest, function = self._found[name]
         allowed = set(manifest.get("tools") or [])
+        calls = 0
+
+        def call(tool: str, args: dict[str, Any] | None = None) -> dict[str, Any]:
+            nonlocal calls
+            calls += 1
+            if calls > PLUGIN_CALLS:
+                raise RuntimeError(f"more than {PLUGIN_CALLS} calls")
+            return self.engine.dispatch(tool, args, allowed)
+
         try:
-            answer = function(lambda tool, args=None: self.engine.dispatch(tool, args, allowed), given)
+            answer = function(call, given)
         except Exception as e:
             return {"ok": False, "error": EngineError("PLUGIN_TRAP", f"{type(e).__name__}: {e}").as_dict()}
         try:
-            return {"ok": True, "data": json.loads(json.dumps(answer))}
+            made = json.dumps(answer)
+            if len(made) > PLUGIN_BYTES:
+                raise ValueError(f"the answer is larger than {PLUGIN_BYTES} characters")
+            return {"ok": True, "data": json.loads(made)}
         except (TypeError, ValueError) as e:
             return {"ok": False, "error": EngineError("PLUGIN_ABI", str(e)).as_dict()}
 

@@ -282,3 +282,14 @@ def test_log_rows_of_failed_appends_are_never_seen(spark, tmp_path, monkeypatch)
     q = apply_batches(stream, lambda df, b: seen.extend(r.seq for r in df.collect()), f"file://{tmp_path}/cp", once=True)
     assert q.awaitTermination(90) and parts.count() == 1 and seen == list(range(41, 81))
     assert resume_tail(log, 50)[0] is None
+
+
+def test_plugins_have_limits(spark, tmp_path, monkeypatch):
+    from noteloom.plans import registry
+
+    monkeypatch.setattr(registry, "PLUGIN_CALLS", 3)
+    monkeypatch.setattr(registry, "PLUGIN_BYTES", 100)
+    plugins = Plugins(Engine(spark, f"file://{tmp_path}/e"))
+    plugins.register({"name": "loop", "entry": "l.py", "tools": ["capabilities"]}, lambda c, x: [c("capabilities") for _ in range(4)])
+    plugins.register({"name": "big", "entry": "b.py"}, lambda c, x: "x" * 200)
+    assert plugins.run("loop", {})["error"]["code"] == "PLUGIN_TRAP" and plugins.run("big", {})["error"]["code"] == "PLUGIN_ABI"
