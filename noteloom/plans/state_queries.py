@@ -19,10 +19,11 @@ from noteloom.operators import deltas, digest, memory, notes as note_views, prop
 from noteloom.operators.memory_store import MemoryStore
 from noteloom.operators.search import best_notes
 from noteloom.operators.store import NoteStore, relinked
+from noteloom.plans import oracles
 from noteloom.sources import vault
 from noteloom.sources.log import Outbox, SequencedLog
 from noteloom.sources.places import Files, shared_dir
-from noteloom.sources.vectors import BatchEmbedder, VectorCache
+from noteloom.sources.vectors import BatchEmbedder, HashingEmbedder, VectorCache
 from noteloom.streaming import sync
 from noteloom.streaming.folds import entitlements
 from noteloom.streaming.presence import presence
@@ -234,6 +235,28 @@ def bulk_texts(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def tool_envelopes(s: SparkSession, d: str) -> DataFrame:
+    """What each tool answers without arguments: in a session that may write, a read-only one, and one allowed a single tool."""
+    from noteloom.plans.registry import TOOLS, Engine
+
+    root = _folder(s, "engine")
+    Engine(s, root).import_vault(_vault(s, d))
+    rows = []
+    for session, engine, allowed in (("write", Engine(s, root), None), ("read", Engine(s, root, read_only=True), None), ("one", Engine(s, root), {"capabilities"})):
+        for tool in sorted(TOOLS):
+            if session != "write" or tool not in ("commit_changes", "revert"):
+                answer = engine.dispatch(tool, {}, allowed) if allowed else engine.dispatch(tool, {})
+                rows.append((session, tool, "OK" if answer["ok"] else answer["error"]["code"]))
+    return s.createDataFrame(rows, "session string, tool string, code string")
+
+
+def hash_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The hashed vectors of the benchmark: buckets in use, the largest weight, the length."""
+    made = HashingEmbedder().embed(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    used = F.filter("vector", lambda w: w > 0)
+    return made.select(F.col("id").alias("item_id"), F.size(used).cast("long").alias("buckets"), F.round(F.array_max("vector"), 6).alias("top"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, w: a + w * w), 6).alias("length"))
+
+
 def document_parse(s: SparkSession, d: str) -> DataFrame:
     """Whole documents as Markdown notes with a block of properties, a title, a link and a tag."""
     docs = table(s, d, "documents")
@@ -295,7 +318,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         vault_scan, vault_list, vault_memories, vault_templates, store_changes, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, outbox_pending, vector_cache, property_ops, task_filters,
-        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
+        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
 
@@ -349,6 +372,15 @@ def oracle_sql() -> dict[str, str]:
             substr(c_name, 1, 8) AS clipped, length(c_name) > 8 AS cut,
             '[[to/' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '#h' ELSE '#^b' END || CASE WHEN c_custkey % 3 = 0 THEN '|' || c_name ELSE '' END || ']]' AS link,
             'segment: ' || c_mktsegment || chr(10) || 'key: ' || c_custkey || chr(10) AS yaml FROM customer""",
+        "tool_envelopes": """WITH r(tool, code) AS (VALUES ('audit_log', 'OK'), ('capabilities', 'OK'), ('list_notes', 'OK'), ('list_tasks', 'OK'), ('list_templates', 'OK'), ('properties_query', 'OK'),
+              ('get_note', 'INVALID_INPUT'), ('get_version', 'INVALID_INPUT'), ('graph_query', 'INVALID_INPUT'), ('propose_changes', 'INVALID_INPUT'), ('recall', 'INVALID_INPUT'), ('search', 'INVALID_INPUT'), ('suggest_links', 'INVALID_INPUT')),
+            w(tool, code) AS (VALUES ('remember', 'MISSING_PROVENANCE'), ('create_from_template', 'INVALID_INPUT'), ('create_note', 'INVALID_INPUT'), ('delete_note', 'INVALID_INPUT'), ('forget', 'INVALID_INPUT'), ('link', 'INVALID_INPUT'),
+              ('rename_note', 'INVALID_INPUT'), ('tag', 'INVALID_INPUT'), ('toggle_task', 'INVALID_INPUT'), ('update_note', 'INVALID_INPUT'), ('commit_changes', NULL), ('revert', NULL)),
+            a AS (SELECT * FROM r UNION ALL SELECT * FROM w)
+            SELECT 'write' AS session, tool, code FROM a WHERE code IS NOT NULL UNION ALL SELECT 'read', tool, code FROM r UNION ALL SELECT 'read', tool, 'PERMISSION_DENIED' FROM w
+            UNION ALL SELECT 'one', tool, CASE tool WHEN 'capabilities' THEN 'OK' ELSE 'PERMISSION_DENIED' END FROM a""",
+        "hash_vectors": f"""WITH qc AS (SELECT NULL::VARCHAR AS token WHERE false), counts AS (SELECT id, token, count(*) AS n FROM ({oracles._TOKENS.format(id='item_id', text='text', table='benchmark')}) WHERE token <> '' GROUP BY id, token), {oracles._VECTORS}
+            SELECT id AS item_id, count(*) AS buckets, round(CAST(max(tf) AS DOUBLE) / sqrt(CAST(sum(tf * tf) AS DOUBLE)), 6) AS top, 1.0::DOUBLE AS length FROM vec GROUP BY id""",
         "document_parse": """WITH d AS (SELECT doc_id, lang, '# Doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## End & more' || chr(10) || 'to [[docs/' || (doc_id + 1) || '#top|next]] #t2' || chr(10) AS c FROM documents),
             ln AS (SELECT doc_id, i, regexp_replace(ls[i], '\\r$', '') AS l FROM (SELECT doc_id, string_split(c, chr(10)) AS ls, unnest(range(1, len(string_split(c, chr(10))) + 1)) AS i FROM d)),
             h AS (SELECT doc_id, string_agg(length(regexp_extract(l, '^(#{1,6})\\s', 1)) || ':' || trim(regexp_replace(lower(trim(regexp_extract(l, '^#{1,6}\\s+(.*)$', 1))), '[^a-z0-9]+', '-', 'g'), '-'), ';' ORDER BY i) AS headings
