@@ -178,6 +178,25 @@ def broadcast_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
 
 
+def placed(df: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
+    """``df`` with __pos, a row's place from 0 in its group by ``order`` (nulls first), and __n, the rows of the group.
+
+    No group meets in one task: rows are dealt by ranges of (group, order) and written; a group's places go on from range to
+    range by the counts of the ranges before, of which a group has one a partition at most. ``group`` isn't null.
+    """
+    from pyspark.sql import Window
+
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = staged(dealt.withColumn("__at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("__at", 33).alias("__part")
+    runs = rows.groupBy(group, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
+    runs = runs.select(group, "__part", start.alias("__start"), F.sum("__rows").over(Window.partitionBy(group)).alias("__n"))
+    found = rows.select("*", part).join(runs, [group, "__part"])
+    return found.select(*df.columns, (F.col("__at") + F.col("__start")).alias("__pos"), "__n")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` with the shared folder set; Spark removes it when it is no longer used."""
     shared_dir(df.sparkSession)
