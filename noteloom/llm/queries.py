@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import html_extract, merkle, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards
+from noteloom.llm import html_extract, merkle, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards, warc
 from noteloom.llm.common import broadcast_if_small, new_dir, staged, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
@@ -88,6 +88,10 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, asked, k=10)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), new_dir(spark, "warc"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, those marked by their id checked with a changed text."""
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.marked(F.col("doc_id")))
@@ -105,9 +109,10 @@ def queries() -> dict[str, Query]:
         "op8_token_shards": op8_token_shards,
         "op9_source_mixing": op9_source_mixing,
         "op10_bm25_search": op10_bm25_search,
+        "op11_warc_archives": op11_warc_archives,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.oracle_sql(), "op11_warc_archives": warc.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
