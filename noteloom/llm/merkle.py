@@ -213,7 +213,7 @@ def marked(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _crc32(text: str) -> str:
+def crc32_sql(text: str) -> str:
     """DuckDB SQL of an unsigned CRC-32 of ASCII text."""
     step = "list_reduce(list_prepend(xor(c, o), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, o: {step}), 4294967295)"
@@ -225,7 +225,7 @@ def oracle_sql(depth: int = 7) -> str:
     row = lambda text: " || ".join([*map(enc, FIELDS[:-1]), enc(text)])
     low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
     ctes = [
-        f"d AS MATERIALIZED (SELECT doc_id, source, sha256({row('text')}) AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN sha256({row(low)}) END AS alt FROM documents)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, sha256({row('text')}) AS leaf, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN sha256({row(low)}) END AS alt FROM documents)",
         "t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d)",
         "a0 AS (SELECT source, pos AS i, n, leaf AS h FROM t)",
     ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import html_extract, merkle, minhash, mixing, pii, quality_gam, quality_rules, rollup, search, sentencepieces, shards, warc
+from noteloom.llm import html_extract, merkle, minhash, mixing, pii, prefix_trie, quality_gam, quality_rules, rollup, search, sentencepieces, shards, warc
 from noteloom.llm.common import broadcast_if_small, new_dir, staged, table
 
 #: Key of the surrogates; a deployment passes its own from a secret store.
@@ -97,6 +97,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.marked(F.col("doc_id")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -111,8 +115,9 @@ def queries() -> dict[str, Query]:
         "op10_bm25_search": op10_bm25_search,
         "op11_warc_archives": op11_warc_archives,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.oracle_sql(), "op11_warc_archives": warc.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+    return {"op5_quality_rules": quality_rules.oracle_sql(), "op9_source_mixing": mixing.oracle_sql(), "op11_warc_archives": warc.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_prefix_trie": prefix_trie.oracle_sql()}
