@@ -237,20 +237,24 @@ class _Inflated:
         self.length = _length_of(window, at)[0]
         self.fed, self.z = at, zlib.decompressobj(zlib.MAX_WBITS | 16)
 
-    def more(self, step: int) -> bool:
+    def more(self, step: int, most: int = 0) -> bool:
+        """Inflate what the next bytes hold, up to ``most`` bytes of it if that isn't 0."""
         if self.z.eof:
             return False
-        raw = self.window.get(self.fed, step)
+        raw = self.z.unconsumed_tail
         if not raw:
+            raw = self.window.get(self.fed, step)
+            self.fed += len(raw)
+        made = self.z.decompress(raw, most)
+        if not raw and not made:
             raise ValueError(f"the member at {self.at} has no end")
-        self.fed += len(raw)
-        self.data += self.z.decompress(raw)
+        self.data += made
         return True
 
     def until(self, mark: bytes, start: int = 0) -> int:
         """The place of a mark; -1 if there is none."""
         while (found := self.data.find(mark, start)) < 0:
-            if not self.more(1024):
+            if not self.more(1024, 512):
                 return -1
         return found
 
