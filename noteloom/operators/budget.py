@@ -1,4 +1,4 @@
-"""Greedy token budgets and part packing: ordered folds that no window sum can express.
+"""Greedy token budgets: an ordered fold that no window sum can express.
 
 A window prefix sum is wrong here, as a row that doesn't fit is skipped and later, smaller rows still get
 their chance. What has been used never shrinks, so of rows with equal cost the walk takes a first few in order: once
@@ -9,13 +9,8 @@ size of the input; free rows are always taken and skip the fold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def greedy(df: DataFrame, budget: int | None, cost: str, order: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -51,34 +46,3 @@ def _window(by: list[str], order: list[Column]):
 
     return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
 
-
-def pack(df: DataFrame, limit: int, size: str, order: list[Column]) -> DataFrame:
-    """Add ``part``: rows in order fill parts of at most ``limit``; a part is closed, never revisited.
-
-    A row larger than the limit gets a part of its own; null sizes count as 0. Each part hangs on all before it, so the sorted rows
-    pass through one task, as a stream: what it holds is the fill of the open part and one batch.
-    """
-    sizes = df.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__c"))
-    walked = sizes.repartition(1).sortWithinPartitions(*order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, used = -1, 0
-        for batch in batches:
-            c = batch.column(batch.num_columns - 1).to_numpy()
-            total = np.cumsum(c)
-            out = np.empty(len(c), np.int32)
-            i = 0
-            while i < len(c):
-                before = total[i] - c[i]
-                fit = int(np.searchsorted(total[i:] - before, limit - used, side="right")) if part >= 0 else 0
-                out[i : i + fit] = part
-                if fit:
-                    used += int(total[i + fit - 1] - before)
-                i += fit
-                if i < len(c):
-                    part, used = part + 1, int(c[i])
-                    out[i] = part
-                    i += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "part"])
-
-    return walked.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import dynamic, parsing, text
 from noteloom.operators import deltas, digest, evals, graph, memory, notes as note_views, properties, suggest, tasks, templates
-from noteloom.operators.budget import greedy, pack
+from noteloom.operators.budget import greedy
+from noteloom.operators.packing import pack
 from noteloom.operators.postings import token_counts
 from noteloom.operators.search import SearchIndex, dense_top_k
 from noteloom.plans import oracles, state_queries
@@ -212,9 +213,6 @@ def snapshot_complete(s: SparkSession, d: str) -> DataFrame:
     return log.complete_snapshots(parts.union(parts))
 
 
-snapshot_complete_all = snapshot_complete
-
-
 def _presence_rows(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select(F.col("user_id").cast("string").alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_type") == "error").alias("gone"), F.col("event_id").alias("seq"), F.col("event_type").alias("note_id"))
@@ -267,7 +265,7 @@ def tombstones(s: SparkSession, d: str) -> DataFrame:
 
 def pack_parts(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    return pack(rows, 20_000, "size", [F.asc("doc_id")]).select("doc_id", F.col("part").cast("long").alias("part"))
+    return pack(rows, 20_000, "size", [F.asc("doc_id")]).select("doc_id", "part")
 
 
 def budget_by_language(s: SparkSession, d: str) -> DataFrame:
@@ -275,9 +273,6 @@ def budget_by_language(s: SparkSession, d: str) -> DataFrame:
     return greedy(docs, 2500, "cost", [F.desc("cost"), F.asc("doc_id")], ["lang"]).select("lang", "doc_id", "cost")
 
 
-budget_by_language_all = budget_by_language
-
-
 def note_parse(s: SparkSession, d: str) -> DataFrame:
     n = markdown_notes(s)
     heads = F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h.level.cast("string"), h.text, h.slug)), ";")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: a lineage cut whose columns can be pruned. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/noteloom/{label}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        Files(spark, path).delete()
+    except Exception:  # the session may be gone by then
+        pass
+
+
 class Files:
     """Small files and renames on any Hadoop filesystem."""
 
