@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import estimate_tokens, query_buckets, query_tokens, snippet, tokenize
@@ -19,42 +21,24 @@ def mode_of(name: str | None) -> str:
     return name if name in MODES else "hybrid"
 
 
-class SearchIndex:
-    """Postings of a table of notes (id, title, content); build once, query often.
-
-    Scored text is the title, a space and the content. Texts are dealt by id once, so the counts of tokens, of
-    buckets and of notes need no further shuffle where the vocabulary is small enough to be broadcast.
-    """
+class Ranking:
+    """Ranked search over something that gives (id, lex) of a query, (id, sim) of a sparse vector, and the texts of hits."""
 
-    def __init__(self, notes: DataFrame):
-        self.notes = notes.select("id", "title", "content")
-        self.texts = self.notes.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
-        self.counts = token_counts(self.texts.repartition("id"))
-        self.vectors = bucket_postings(self.counts)
+    spark: SparkSession
 
     def lexical(self, query: str) -> DataFrame:
-        """(id, lex): sum over query tokens, repeats included, of their counts; only rows above 0.
+        raise NotImplementedError
 
-        The query's tokens are literals; other tokens are dropped before anything is shuffled.
-        """
-        q = F.broadcast(literal_counts(self.notes.sparkSession, query_tokens(query), "token", "q"))
-        words = self.texts.select("id", F.explode(tokenize("text")).alias("token"))
-        return words.join(q, "token").groupBy("id").agg(F.sum("q").alias("lex"))
+    def similar(self, counts: Counter[int]) -> DataFrame:
+        raise NotImplementedError
+
+    def _shown(self, hits: DataFrame, few: bool) -> DataFrame:
+        """``hits`` (note_id, score) with title and content; ``few`` hits can be named one by one."""
+        raise NotImplementedError
 
     def semantic(self, query: str) -> DataFrame:
         """(id, sim): cosine of the hashed vectors, from integer sums and one division; only rows above 0."""
-        return self.similar(literal_counts(self.notes.sparkSession, query_buckets(query_tokens(query)), "bucket", "qtf"))
-
-    def similar(self, vector: DataFrame) -> DataFrame:
-        """(id, sim) for one sparse vector (bucket, qtf): at most DIMENSIONS rows, which bounds the broadcast.
-
-        Dot product and length of a note come from one pass over its buckets.
-        """
-        length = vector.agg(F.sum(F.col("qtf") * F.col("qtf")).alias("q2"))
-        both = self.vectors.join(F.broadcast(vector), "bucket", "left").groupBy("id")
-        sums = both.agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("squared")).where("dot > 0")
-        cosine = F.col("dot") / (F.sqrt(F.col("q2").cast("double")) * F.sqrt(F.col("squared").cast("double")))
-        return sums.join(F.broadcast(length), F.lit(True)).select("id", cosine.alias("sim"))
+        return self.similar(query_buckets(query_tokens(query)))
 
     def ranked(self, query: str, mode: str = "hybrid") -> DataFrame:
         """(id, score) of all hits."""
@@ -79,7 +63,7 @@ class SearchIndex:
         hits = self.ranked(query, mode).withColumnRenamed("id", "note_id")
         if top_k is not None:
             hits = checkpointed(hits.orderBy(*order).limit(top_k))
-        made = hits.join(self.notes.withColumnRenamed("id", "note_id"), "note_id")
+        made = self._shown(hits, top_k is not None)
         shown = made.select("note_id", "title", "score", snippet(F.lit(query), "content").alias("snippet"))
         priced = shown.withColumn("token_count", estimate_tokens("snippet"))
         if top_k is not None and token_budget is not None:
@@ -87,6 +71,54 @@ class SearchIndex:
         return greedy(priced, token_budget, "token_count", order).orderBy(*order)
 
 
+class SearchIndex(Ranking):
+    """Postings of a table of notes (id, title, content), made from the texts in each query; ``StoredIndex`` keeps them.
+
+    Scored text is the title, a space and the content. Texts are dealt by id once, so the counts of tokens, of
+    buckets and of notes need no further shuffle where the vocabulary is small enough to be broadcast.
+    """
+
+    def __init__(self, notes: DataFrame):
+        self.spark = notes.sparkSession
+        self.notes = notes.select("id", "title", "content")
+        self.texts = scored_texts(self.notes)
+        self.counts = token_counts(self.texts.repartition("id"))
+        self.vectors = bucket_postings(self.counts)
+
+    def lexical(self, query: str) -> DataFrame:
+        """(id, lex): sum over query tokens, repeats included, of their counts; only rows above 0.
+
+        The query's tokens are literals; other tokens are dropped before anything is shuffled.
+        """
+        q = F.broadcast(literal_counts(self.spark, query_tokens(query), "token", "q"))
+        words = self.texts.select("id", F.explode(tokenize("text")).alias("token"))
+        return words.join(q, "token").groupBy("id").agg(F.sum("q").alias("lex"))
+
+    def similar(self, counts: Counter[int]) -> DataFrame:
+        """(id, sim) for one sparse vector: at most DIMENSIONS buckets, which bounds the broadcast.
+
+        Dot product and length of a note come from one pass over its buckets.
+        """
+        vector = F.broadcast(literal_counts(self.spark, counts, "bucket", "qtf"))
+        both = self.vectors.join(vector, "bucket", "left").groupBy("id")
+        sums = both.agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("squared"))
+        return cosines(sums, counts)
+
+    def _shown(self, hits: DataFrame, few: bool) -> DataFrame:
+        return hits.join(self.notes.withColumnRenamed("id", "note_id"), "note_id")
+
+
+def scored_texts(notes: DataFrame) -> DataFrame:
+    """(id, text): what of a note is scored."""
+    return notes.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
+
+
+def cosines(sums: DataFrame, counts: Counter[int]) -> DataFrame:
+    """(id, sim) from (id, dot, squared) and the query's own counts; only rows above 0."""
+    length = F.sqrt(F.lit(sum(n * n for n in counts.values())).cast("double"))
+    return sums.where("dot > 0").select("id", (F.col("dot") / (length * F.sqrt(F.col("squared").cast("double")))).alias("sim"))
+
+
 def best_notes(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): the best text (id, text) of each query (query_id, text) by lexical score, ties by id.
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import basename, estimate_tokens, mentions, query_buckets, query_tokens, snippet, token_list
 from noteloom.operators.budget import greedy
 from noteloom.operators.graph import resolve
-from noteloom.operators.postings import literal_counts
-from noteloom.operators.search import MIN_SIMILARITY, SearchIndex
+from noteloom.operators.search import MIN_SIMILARITY, Ranking, SearchIndex
 from noteloom.sources.places import checkpointed
 
 TOP_K, MIN_SCORE = 5, 0.15
@@ -18,14 +17,13 @@ MENTION, SIMILARITY, TAGS, BACKLINK, TAG_CAP = 0.45, 0.30, 0.15, 0.10, 3
 
 
 def suggest_links(
-    notes: DataFrame, note_id: str, top_k: int | None = TOP_K, min_score: float | None = MIN_SCORE, token_budget: int | None = None, index: SearchIndex | None = None
+    notes: DataFrame, note_id: str, top_k: int | None = TOP_K, min_score: float | None = MIN_SCORE, token_budget: int | None = None, index: Ranking | None = None
 ) -> DataFrame:
     """(note_id, title, score, reasons, snippet, token_count) for the note ``note_id``, best first, ties by id.
 
     A mention's snippet shows the source where the link would go, any other one the candidate.
     """
     index = index or SearchIndex(notes)
-    spark = notes.sparkSession
     mine = notes.where(F.col("id") == note_id).select("title", "content", "tags").first()
     if mine is None:
         mine = Row(title=None, content=None, tags=None)
@@ -35,7 +33,7 @@ def suggest_links(
     back = near.where(F.col("dst") == note_id).select(F.col("src").alias("id"), F.lit(True).alias("back"))
     # the note's vector comes from its own text, as literals: at most DIMENSIONS of them
     words = query_tokens(f"{mine.title or ''} {mine.content or ''}")
-    similar = index.similar(literal_counts(spark, query_buckets(words), "bucket", "qtf"))
+    similar = index.similar(query_buckets(words))
     content, tags = F.lit(mine.content).cast("string"), F.lit(mine.tags) if mine.tags else F.array().cast("array<string>")
     told = token_list(mine.content or "")
     s_tokens = F.lit(told) if told else F.array().cast("array<string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from noteloom.operators import deltas, digest, evals, graph, memory, notes as no
 from noteloom.operators.budget import greedy
 from noteloom.operators.packing import pack
 from noteloom.operators.postings import token_counts
-from noteloom.operators.search import SearchIndex, dense_top_k
+from noteloom.operators.index import StoredIndex
+from noteloom.operators.search import dense_top_k
 from noteloom.plans import oracles, state_queries
 from noteloom.plans.oracles import MARKDOWN, QUERY
 from noteloom.sources import log
+from noteloom.sources.places import Files, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +52,18 @@ def markdown_notes(spark: SparkSession) -> DataFrame:
     return parsing.parse_notes(spark.createDataFrame(MARKDOWN, "path string, raw string"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    return SearchIndex(document_notes(spark, sf_dir))
+_BUILT: dict[tuple[str, str], StoredIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of the documents: built by the first query over these files, only read by later ones."""
+    files = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in Files(spark, f"{sf_dir}/documents.parquet").status())
+    key = (spark.sparkContext.applicationId, "\n".join(files))
+    if key not in _BUILT:
+        index = StoredIndex(spark, f"{shared_dir(spark)}/noteloom/index-{uuid.uuid4().hex}")
+        index.build(document_notes(spark, sf_dir))
+        _BUILT[key] = index
+    return _BUILT[key]
 
 
 def conversation_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +170,8 @@ def graph_orphans(s: SparkSession, d: str) -> DataFrame:
 
 
 def suggest_links(s: SparkSession, d: str) -> DataFrame:
-    found = suggest.suggest_links(document_notes(s, d), "docs/1", top_k=15, min_score=0.2, token_budget=600)
+    index = _index(s, d)
+    found = suggest.suggest_links(index.notes(), "docs/1", index=index, top_k=15, min_score=0.2, token_budget=600)
     return found.select("note_id", "title", "score", F.array_join("reasons", ",").alias("reasons"), "snippet", "token_count")
 
 

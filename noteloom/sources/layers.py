@@ -5,8 +5,8 @@
 
 A record is created as a whole under a name that wasn't there, after its layers are written, and is the change's only commit:
 a reader sees all of a change or nothing, a stop before it leaves nothing that is read, and of two writers at once one
-gets a conflict. The log is the audit, too, so a change and its entry can't part. After ``LAYERS`` overlays
-the next change writes a new base.
+gets a conflict. A change that was checked against a state names that state's number and is committed as the very next one or not at all.
+The log is the audit, too, so a change and its entry can't part. ``merge`` makes a new base, in a record of its own.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ LAYERS = 8
 _GONE = "__gone"
 
 
-class LayeredTable:
-    """Rows with a key, changed by overlays of rows; one writer at a time, any number of readers."""
+class Records:
+    """The numbered records of a folder, each created once."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str, schema: str | T.StructType):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, self.root)
 
     def numbers(self) -> list[int]:
@@ -46,9 +45,29 @@ class LayeredTable:
         n = max(self.numbers(), default=0)
         return {"number": n} | (self._record(n) if n else {"layers": []})
 
-    def read(self) -> DataFrame:
-        """The table after the newest change."""
-        return self._rows(self.newest()["layers"])
+    def _commit(self, number: int, layers: list[str], what: dict[str, Any]) -> None:
+        if not self.files.create(f"log/{number:012d}.json", json.dumps({"layers": layers} | what)):
+            raise EngineError("CONFLICT", "Another writer changed the store.", "Read it again and repeat the change.")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove layers that none of the last ``keep`` records names; the writer's call, as others' unnamed layers go too."""
+        used = {name for n in sorted(self.numbers())[-keep:] for name in self._record(n)["layers"]}
+        for name in self.files.names("data"):
+            if name not in used:
+                self.files.delete(f"data/{name}")
+
+
+class LayeredTable(Records):
+    """Rows with a key, changed by overlays of rows; one writer at a time, any number of readers."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str, schema: str | T.StructType):
+        super().__init__(spark, root)
+        self.key = key
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def read(self, at: dict[str, Any] | None = None) -> DataFrame:
+        """The table after the newest change, or after that of a record from ``newest``."""
+        return self._rows((at or self.newest())["layers"])
 
     def _rows(self, layers: list[str]) -> DataFrame:
         if not layers:
@@ -71,23 +90,31 @@ class LayeredTable:
         rows.write.parquet(f"{self.root}/data/{name}")
         return name
 
-    def _commit(self, number: int, layers: list[str], what: dict[str, Any]) -> None:
-        if not self.files.create(f"log/{number:012d}.json", json.dumps({"layers": layers} | what)):
-            raise EngineError("CONFLICT", "Another writer changed the store.", "Read it again and repeat the change.")
-
     def replace(self, rows: DataFrame, **what: Any) -> None:
         """A new base with these rows only."""
         now = self.newest()
         self._commit(now["number"] + 1, [self._write(rows.select(*self.schema.names))], what)
 
-    def overlay(self, rows: DataFrame, **what: Any) -> None:
-        """Put rows in the place of those with their keys; rows marked ``__gone`` are removed. A key comes once."""
-        now = self.newest()
+    def overlay(self, rows: DataFrame, at: dict[str, Any] | None = None, **what: Any) -> None:
+        """Put rows in the place of those with their keys; rows marked ``__gone`` are removed. A key comes once.
+
+        ``at``: the record that the change was checked against; if another change came after it, this one is a conflict.
+        """
+        now = at or self.newest()
         layers = now["layers"] or [self._write(self.spark.createDataFrame([], self.schema))]
-        layers = [*layers, self._write(rows.select(*self.schema.names, F.coalesce(_GONE, F.lit(False)).alias(_GONE)))]
-        if len(layers) > LAYERS:
-            layers = [self._write(self._rows(layers))]
-        self._commit(now["number"] + 1, layers, what)
+        self._commit(now["number"] + 1, [*layers, self._write(rows.select(*self.schema.names, F.coalesce(_GONE, F.lit(False)).alias(_GONE)))], what)
+
+    def merge(self, least: int = LAYERS) -> bool:
+        """Write a new base if there are more overlays than ``least``; False if there are not, or if another writer came first."""
+        now = self.newest()
+        if len(now["layers"]) <= least + 1:
+            return False
+        base = self._write(self._rows(now["layers"]))
+        try:
+            self._commit(now["number"] + 1, [base], {"merged": len(now["layers"])})
+        except EngineError:
+            return False
+        return True
 
     def log(self, fields: str) -> DataFrame:
         """(n, fields of the records), malformed records with nulls."""
@@ -95,10 +122,3 @@ class LayeredTable:
             return self.spark.createDataFrame([], f"n int, {fields}")
         lines = self.spark.read.option("wholetext", True).text(f"{self.root}/log/*.json").select("value", F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("n"))
         return lines.select("n", F.from_json("value", fields).alias("e")).select("n", "e.*")
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove layers that none of the last ``keep`` records names; the writer's call, as others' unnamed layers go too."""
-        used = {name for n in sorted(self.numbers())[-keep:] for name in self._record(n)["layers"]}
-        for name in self.files.names("data"):
-            if name not in used:
-                self.files.delete(f"data/{name}")

@@ -122,6 +122,10 @@ class Files:
             return []
         return sorted(n for n in (s.getPath().getName() for s in self.fs().listStatus(self.path(name))) if not n.endswith(".tmp"))
 
+    def status(self) -> list:
+        """Hadoop's status of the file or of the files in the folder."""
+        return list(self.fs().listStatus(self.path()))
+
     def walk(self, suffix: str, skip: str) -> Iterator[str]:
         """Full paths of files below the root that end in ``suffix``, without folders named ``skip``.
 
