@@ -54,7 +54,7 @@ def loads(text: str | None) -> Any:
         try:
             return json.loads(text)
         except ValueError:
-            return None
+            raise RuntimeError("PyYAML is needed to read frontmatter that isn't JSON") from None
     try:
         return yaml.load(text, Loader=_Loader)  # noqa: S506  a SafeLoader subclass
     except (yaml.YAMLError, ValueError, RecursionError):

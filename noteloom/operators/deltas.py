@@ -36,13 +36,11 @@ def change_op(before: Column, after: Column) -> Column:
     return F.when(before.isNull() & after.isNotNull(), "created").when(before.isNotNull() & after.isNull(), "deleted").otherwise("updated")
 
 
-def version_detail(history: DataFrame, version_id: str, include_content: bool = False, max_tokens: int = 500) -> DataFrame:
-    """(note_id, op, before, after) of one version; contents clipped, or null where they aren't asked for."""
-    one = history.where(F.col("version_id") == version_id)
-    keys = F.array_union(F.map_keys("before"), F.map_keys("after"))
-    rows = one.select(F.explode(keys).alias("note_id"), "before", "after").select("note_id", F.col("before")[F.col("note_id")].alias("b"), F.col("after")[F.col("note_id")].alias("a"))
+def version_detail(rows: DataFrame, include_content: bool = False, max_tokens: int = 500) -> DataFrame:
+    """(note_id, op, before, after) of a version's rows (note_id, before, after); contents clipped, or null where they aren't asked for."""
+    b, a = F.col("before"), F.col("after")
     show = lambda c: clip(c, max_tokens) if include_content else F.lit(None).cast("struct<content:string,truncated:boolean>")
-    return rows.select("note_id", change_op(F.col("b"), F.col("a")).alias("op"), show(F.col("b")).alias("before"), show(F.col("a")).alias("after")).orderBy("note_id")
+    return rows.select("note_id", change_op(b, a).alias("op"), show(b).alias("before"), show(a).alias("after")).orderBy("note_id")
 
 
 def state_vector(updates: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ from noteloom.errors import EngineError
 from noteloom.functions.text import DIMENSIONS, query_tokens
 from noteloom.operators.postings import bucket_postings, literal_counts, norms, token_counts
 from noteloom.operators.search import Ranking, cosines, scored_texts
-from noteloom.sources.layers import LAYERS, Records
+from noteloom.sources import layers
+from noteloom.sources.layers import Records
 from noteloom.sources.places import written
 
 #: Folders of each kind of table.
@@ -52,31 +53,36 @@ class StoredIndex(Ranking, Records):
         Records.__init__(self, spark, root)
 
     # writing
-    def build(self, notes: DataFrame) -> None:
-        """Index these notes and nothing else."""
+    def build(self, notes: DataFrame, state: int = 0) -> None:
+        """Index these notes and nothing else. ``state``: a number of the notes' state, for ``state()``."""
         now = self.newest()
         name, schema = self._layer(notes, None)
-        self._commit(now["number"] + 1, [name], {"action": "build", "schema": schema})
+        self._commit(now["number"] + 1, [name], {"action": "build", "schema": schema, "state": state})
 
-    def update(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
+    def state(self) -> int | None:
+        """The state of the notes that is indexed; None before the first build."""
+        now = self.newest()
+        return now.get("state", 0) if now["layers"] else None
+
+    def update(self, changed: DataFrame, gone: DataFrame | None = None, state: int = 0) -> None:
         """Index ``changed`` notes in the place of those with their ids and drop the ids of ``gone``; other notes aren't read."""
         now = self.newest()
         if not now["layers"]:
-            return self.build(changed)
+            return self.build(changed, state)
         name, _ = self._layer(changed, gone)
-        self._commit(now["number"] + 1, [*now["layers"], name], {"action": "update", "schema": now["schema"]})
+        self._commit(now["number"] + 1, [*now["layers"], name], {"action": "update", "schema": now["schema"], "state": state})
 
-    def merge(self, least: int = LAYERS) -> bool:
-        """Copy what is visible to one layer if there are more than ``least`` over the first; nothing is tokenised again."""
+    def merge(self) -> bool:
+        """Copy what is visible to one layer if there are more than ``LAYERS``; nothing is tokenised again."""
         now = self.newest()
-        if len(now["layers"]) <= least + 1:
+        if len(now["layers"]) <= layers.LAYERS:
             return False
         name = self._new()
         for kind in ("tokens", "vectors", "notes"):
             self._write(self._rows(kind, now), name, kind)
         self._write(self.spark.createDataFrame([], "id string"), name, "changed")
         try:
-            self._commit(now["number"] + 1, [name], {"action": "merge", "schema": now["schema"]})
+            self._commit(now["number"] + 1, [name], {"action": "merge", "schema": now["schema"], "state": now.get("state", 0)})
         except EngineError:  # another writer came first; its change stands
             return False
         return True

@@ -25,6 +25,7 @@ class MemoryStore:
         """Put memories in the place of those with their ids; of one id the last stays."""
         once = memory.upsert(self.spark.createDataFrame([], memory.SCHEMA), fresh)
         self.layers.overlay(once.select(*memory.SCHEMA.names, F.lit(False).alias("__gone")), action="save")
+        self.layers.merge()
 
     def remember(self, args: dict[str, Any]) -> str:
         made = memory.memory_of(args)
@@ -36,4 +37,5 @@ class MemoryStore:
         if found.isEmpty():
             return False
         self.layers.overlay(found.select(*memory.SCHEMA.names, F.lit(True).alias("__gone")), action="forget")
+        self.layers.merge()
         return True

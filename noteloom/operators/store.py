@@ -1,12 +1,14 @@
-"""A versioned, audited store of notes: propose, commit, revert.
+"""A versioned, audited store of notes: propose, commit, revert, of one op or of millions.
 
 State lives in a folder that driver and executors share:
 
     data, log           all notes (note_id, raw) in layers, and the record of each change (``sources.layers``)
-    history/<name>      the states before and after one version
+    history/<name>      the rows (note_id, op, before, after) of one version, in ranges of note_id
 
-A change writes its history and its overlay, a few rows each, and then its record, which names both and is the audit
-entry: readers see all of a change or nothing, and a version exists only if its record does. One writer at a time.
+A change set is a table of ops. It is joined to the notes once, which gives what each op does or why it can't be done; a change with any such
+error isn't made. A change writes its history, then its overlay from it, and then its record, which names both and is the audit
+entry: readers see all of a change or nothing, and a version exists only if its record does. The record has the number after the
+state that the ops were checked against, so of two writers one gets a conflict. Jobs are as many for any number of ops.
 """
 
 from __future__ import annotations
@@ -20,20 +22,24 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.errors import EngineError, not_found
 from noteloom.functions.parsing import body, frontmatter_block, parse_notes
-from noteloom.functions.yamlio import dumps, mapping_json
+from noteloom.functions.yamlio import dump_mapping, dumps, mapping_json, parse_mapping
 from noteloom.operators.deltas import version_detail
 from noteloom.operators.graph import edges, resolve
 from noteloom.operators.tasks import toggle_line
 from noteloom.sources.layers import LayeredTable
-from noteloom.sources.places import Files
+from noteloom.sources.places import Files, written
 
 AUDIT_LIMIT = 50
-_HISTORY = "version_id string, change_id string, before map<string,string>, after map<string,string>"
+#: Names of changed notes that a record lists; longer lists are in the version's history, and the record has their number.
+NAMES = 1000
+#: A change set: ``frontmatter`` is a JSON object; null content or frontmatter of an update stays as it is.
+OPS = "seq long, op string, note_id string, content string, frontmatter string, raw string"
+HISTORY = "note_id string, op string, before string, after string"
 
 
 def check_id(note_id: Any) -> str:
@@ -49,6 +55,46 @@ def serialize(properties: dict[str, Any] | None, content: str) -> str:
     return f"{block}{content}\n"
 
 
+def bad_id(note_id: Column) -> Column:
+    """``check_id`` as a column: whether an id isn't usable."""
+    parts = F.split(F.replace(note_id, F.lit("\\"), F.lit("/")), "/")
+    return note_id.isNull() | (F.trim(note_id) == "") | F.startswith(note_id, F.lit("/")) | F.startswith(note_id, F.lit("\\")) | F.array_contains(parts, "..")
+
+
+def serialized(properties_json: Column, content: Column) -> Column:
+    """``serialize`` as a column."""
+    block = F.when(properties_json.isin("{}", "null"), F.lit("")).otherwise(F.concat(F.lit("---\n"), dump_mapping(properties_json), F.lit("---\n")))
+    return F.concat(block, content, F.lit("\n"))
+
+
+def planned(ops: DataFrame, notes: DataFrame) -> DataFrame:
+    """(seq, note_id, op, before, after, error) of a change set against (note_id, raw): what each op would do, or why it can't.
+
+    Each op is checked against the stored state, not against other ops of the set.
+    """
+    both = ops.withColumnRenamed("raw", "new_raw").join(notes.select("note_id", F.col("raw").alias("before")), "note_id", "left")
+    op, before = F.col("op"), F.col("before")
+    held = F.when((op == "update") & F.col("frontmatter").isNull(), frontmatter_block("before"))
+    front = F.coalesce("frontmatter", parse_mapping(held))
+    text = F.coalesce("content", F.when(op == "update", body("before")), F.lit(""))
+    after = F.when(op == "setraw", F.col("new_raw")).when(op.isin("create", "update"), serialized(front, text))
+    error = (
+        F.when(bad_id(F.col("note_id")), "INVALID_INPUT").when(~op.isin("create", "update", "delete", "setraw") | op.isNull(), "INVALID_INPUT")
+        .when((op == "create") & before.isNotNull(), "CONFLICT").when(op.isin("update", "delete") & before.isNull(), "NOTE_NOT_FOUND")
+    )
+    made = both.select("seq", "note_id", "op", "before", after.alias("after"), error.alias("error"))
+    raw_kind = F.when(before.isNull() & F.col("after").isNotNull(), "create").when(before.isNotNull() & F.col("after").isNull(), "delete").otherwise("update")
+    return made.withColumn("op", F.when(op == "setraw", raw_kind).otherwise(op))
+
+
+def _refusal(row: Any) -> EngineError:
+    if row.error == "NOTE_NOT_FOUND":
+        return not_found(row.note_id)
+    if row.error == "CONFLICT":
+        return EngineError("CONFLICT", f"Note {row.note_id!r} exists already.", "Update it, or choose another id.")
+    return EngineError("INVALID_INPUT", f"The op {row.op!r} on {row.note_id!r} can't be done.", "Use create, update or delete, and a relative path without '..'.")
+
+
 def stable(seed: str, prefix: str) -> str:
     return f"{prefix}_{hashlib.sha256(seed.encode()).hexdigest()[:16]}"
 
@@ -64,7 +110,8 @@ class NoteStore:
         self.spark, self.root, self.read_only, self.origin = spark, root.rstrip("/"), read_only, origin
         self.files = Files(spark, self.root)
         self.table = LayeredTable(spark, self.root, "note_id", "note_id string, raw string")
-        self.pending: dict[str, list[dict[str, Any]]] = {}
+        self.pending: dict[str, DataFrame] = {}
+        self._listed: set[str] = set()
         self.after_commit: list[Callable[[list[str]], None]] = []
 
     # reading
@@ -80,12 +127,6 @@ class NoteStore:
         """Parsed notes."""
         return parse_notes(self.raw().select(F.concat("note_id", F.lit(".md")).alias("path"), "raw"))
 
-    def _raw_of(self, ids: list[str]) -> dict[str, str]:
-        """Texts of the notes that a change names; the change is what bounds them."""
-        if not ids:
-            return {}
-        return {r.note_id: r.raw for r in self.raw().where(F.col("note_id").isin(list(dict.fromkeys(ids)))).collect()}
-
     # changing
     def load(self, notes: DataFrame) -> None:
         """Replace everything by (note_id, raw) rows, without history; for first loads and bulk syncs."""
@@ -100,94 +141,117 @@ class NoteStore:
         """Remove the data of states before the last few."""
         self.table.vacuum(keep)
 
+    def _ops(self, ops: list[dict[str, Any]]) -> DataFrame:
+        """A list of ops as a change set."""
+        text = lambda v: None if v is None else str(v)
+        rows = []
+        for seq, op in enumerate(ops):
+            front = op.get("frontmatter")
+            rows.append((seq, op.get("op"), check_id(op.get("note_id")), text(op.get("content")), None if front is None else json.dumps(front, ensure_ascii=False, default=str), text(op.get("raw"))))
+        return self.spark.createDataFrame(rows, OPS)
+
     def diff(self, ops: list[dict[str, Any]]) -> list[dict[str, Any]]:
         """What each op would do, against the stored state; the first op that can't be done is the error."""
-        now = self._raw_of([check_id(op.get("note_id")) for op in ops])
-        out = []
-        for op in ops:
-            kind, note_id = op.get("op"), op["note_id"]
-            before = now.get(note_id)
-            if kind == "create":
-                if before is not None:
-                    raise EngineError("CONFLICT", f"Note {note_id!r} exists already.", "Update it, or choose another id.")
-                after = serialize(op.get("frontmatter"), op.get("content") or "")
-            elif kind == "update":
-                if before is None:
-                    raise not_found(note_id)
-                fm, text = self._parts(before)
-                after = serialize(fm if op.get("frontmatter") is None else op["frontmatter"], text if op.get("content") is None else op["content"])
-            elif kind == "delete":
-                if before is None:
-                    raise not_found(note_id)
-                after = None
-            elif kind == "setraw":
-                after = op.get("raw")
-                kind = "create" if before is None and after is not None else "delete" if before is not None and after is None else "update"
-            else:
-                raise EngineError("INVALID_INPUT", f"Unknown op {kind!r}.", "Use create, update or delete.")
-            out.append({"note_id": note_id, "op": kind, "before": before, "after": after})
-        return out
-
-    def _parts(self, raw: str) -> tuple[dict[str, Any], str]:
-        row = self.spark.range(1).select(F.lit(raw).alias("raw")).select(frontmatter_block("raw").alias("f"), body("raw").alias("b")).first()
-        return json.loads(mapping_json(row.f)), row.b
+        rows = planned(self._ops(ops), self.raw()).orderBy("seq").collect()  # as many as the caller's list
+        for r in rows:
+            if r.error:
+                raise _refusal(r)
+        return [{"note_id": r.note_id, "op": r.op, "before": r.before, "after": r.after} for r in rows]
 
     def propose(self, ops: list[dict[str, Any]]) -> dict[str, Any]:
         """A dry run: {change_id, diff}. Equal changesets have equal ids."""
         diff = self.diff(ops)
+        return {"change_id": self._hold(ops), "diff": diff}
+
+    def _hold(self, ops: list[dict[str, Any]]) -> str:
         change_id = stable(json.dumps({"ops": ops}, sort_keys=True, ensure_ascii=False, default=str), "chg")
-        self.pending[change_id] = ops
-        return {"change_id": change_id, "diff": diff}
+        self.pending[change_id] = self._ops(ops)
+        self._listed.add(change_id)
+        return change_id
+
+    def propose_many(self, ops: DataFrame) -> tuple[str, DataFrame]:
+        """(change_id, plan) of a change set ``OPS``: rows (seq, note_id, op, before, after, error); those with an error are its violations.
+
+        Equal sets of ops have equal ids. The set is written, so a commit applies what was proposed.
+        """
+        names = [f.name for f in self.spark.createDataFrame([], OPS).schema.fields]
+        kept = written(ops.select(*names), "ops")
+        h = F.xxhash64(*names)
+        mark = kept.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).first()
+        change_id = stable(f"{mark.n} {mark.x} {mark.s}", "chg")
+        self.pending[change_id] = kept
+        return change_id, planned(kept, self.raw())
 
     def commit(self, change_id: str) -> dict[str, str]:
         """Apply a proposed change as a whole, checked against the state of now."""
         self._writable()
         if change_id not in self.pending:
             raise EngineError("UNKNOWN_CHANGE", f"There is no pending change {change_id!r}.", "Propose it first.")
-        before: dict[str, str | None] = {}
-        after: dict[str, str | None] = {}
-        for d in self.diff(self.pending[change_id]):
-            before[d["note_id"]], after[d["note_id"]] = d["before"], d["after"]
+        at = self.table.newest()
         version_id = stable(f"{change_id}:{time.time_ns() // 1_000_000}", "v")
         place = f"{version_id}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(version_id, change_id, before, after)], _HISTORY).coalesce(1).write.parquet(f"{self.root}/history/{place}")
-        self._overlay(after, "commit", version_id, change_id, place)
+        plan = planned(self.pending[change_id], self.table.read(at))
+        # of several ops on a note the last one counts; an error of any counts
+        wrong = F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error", "op", "note_id")))
+        last = F.max_by(F.struct("op", "before", "after"), "seq")
+        rows = plan.groupBy("note_id").agg(last.alias("x"), wrong.alias("wrong")).select("note_id", "x.*", "wrong")
+        few = change_id in self._listed  # a caller's list, not a table of ops: one file
+        ranged = rows.coalesce(1) if few else rows.repartitionByRange("note_id")
+        ranged.sortWithinPartitions("note_id").write.parquet(f"{self.root}/history/{place}")
+        made = self.spark.read.schema(rows.schema).parquet(f"{self.root}/history/{place}")
+        refused = made.where("wrong IS NOT NULL").agg(F.min("wrong").alias("w")).first().w
+        if refused is not None:
+            self.files.delete(f"history/{place}")
+            raise _refusal(refused)
+        names = self._overlay(made.select("note_id", F.col("after").alias("raw")), at, "commit", version_id, change_id, place)
         del self.pending[change_id]
+        self.table.merge()
         for hook in self.after_commit:
-            hook(sorted(after))
+            hook(names)
         return {"version_id": version_id}
 
-    def _overlay(self, state: dict[str, str | None], action: str, version_id: str, change_id: str | None, history: str | None) -> None:
-        rows = self.spark.createDataFrame([(k, v, v is None) for k, v in state.items()], "note_id string, raw string, __gone boolean")
-        entry = {"ts": now_iso(), "action": action, "version_id": version_id, "change_id": change_id, "notes": sorted(state), "scope": "read-write", "origin": self.origin, "history": history}
-        self.table.overlay(rows.coalesce(1), **{k: v for k, v in entry.items() if v is not None})
+    def _overlay(self, state: DataFrame, at: dict[str, Any], action: str, version_id: str, change_id: str | None, history: str | None) -> list[str]:
+        """Overlay (note_id, raw) rows, a null raw deletes, and record it; the names of the notes if they are few."""
+        names = sorted(r.note_id for r in state.select("note_id").limit(NAMES + 1).collect())
+        entry = {"ts": now_iso(), "action": action, "version_id": version_id, "change_id": change_id, "scope": "read-write", "origin": self.origin, "history": history}
+        if len(names) > NAMES:
+            names, entry["n_notes"] = [], state.count()
+        else:
+            entry["notes"] = names
+        self.table.overlay(state.select("note_id", "raw", F.col("raw").isNull().alias("__gone")), at, **{k: v for k, v in entry.items() if v is not None})
+        return names
 
     def overlay_many(self, changes: DataFrame) -> None:
         """Bulk form without history: (note_id, raw) rows, a null raw deletes."""
         self._writable()
         self.table.overlay(changes.select("note_id", "raw", F.col("raw").isNull().alias("__gone")), action="bulk")
 
-    def history(self, version_id: str) -> DataFrame:
-        """The states before and after a version that was committed."""
-        known = re.fullmatch(r"v_[0-9a-f]{16}", version_id or "") and self.table.log("version_id string, history string").where(F.col("version_id") == version_id).where("history IS NOT NULL").first()
+    def version(self, version_id: str) -> Any:
+        """The audit entry (version_id, change_id, history) of a version that was committed."""
+        known = re.fullmatch(r"v_[0-9a-f]{16}", version_id or "") and self.table.log("version_id string, change_id string, history string").where(F.col("version_id") == version_id).where("history IS NOT NULL").first()
         if not known:
             raise EngineError("UNKNOWN_VERSION", f"There is no version {version_id!r}.", "Use an id from audit_log.")
-        return self.spark.read.schema(_HISTORY).parquet(f"{self.root}/history/{known.history}")
+        return known
+
+    def history(self, version_id: str) -> DataFrame:
+        """(note_id, op, before, after) of a version that was committed; filters on note_id read their range only."""
+        return self.spark.read.schema(HISTORY).parquet(f"{self.root}/history/{self.version(version_id).history}")
 
     def revert(self, version_id: str) -> dict[str, Any]:
         """Bring every note of a version back to what it was before, whatever happened since."""
         self._writable()
-        before = self.history(version_id).first().before
-        self._overlay(before, "revert", version_id, None, None)
+        at = self.table.newest()
+        self._overlay(self.history(version_id).select("note_id", F.col("before").alias("raw")), at, "revert", version_id, None, None)
+        self.table.merge()
         return {"reverted": True, "version_id": version_id}
 
     def get_version(self, version_id: str, include_content: bool = False, max_tokens: int = 500) -> DataFrame:
-        return version_detail(self.history(version_id), version_id, include_content, max_tokens)
+        return version_detail(self.history(version_id), include_content, max_tokens)
 
     # audit
     def audit(self) -> DataFrame:
-        """(n, ts, action, version_id, change_id, notes, scope, origin) of commits and reverts; malformed entries are left out."""
-        found = self.table.log("ts string, action string, version_id string, change_id string, notes array<string>, scope string, origin string")
+        """(n, ts, action, version_id, change_id, notes, scope, origin, n_notes) of commits and reverts; malformed entries are left out."""
+        found = self.table.log("ts string, action string, version_id string, change_id string, notes array<string>, scope string, origin string, n_notes long")
         return found.where("action IS NOT NULL AND version_id IS NOT NULL")
 
     def audit_log(self, limit: int = AUDIT_LIMIT) -> DataFrame:
@@ -196,7 +260,11 @@ class NoteStore:
     # single-note changes
     def apply(self, ops: list[dict[str, Any]]) -> dict[str, str]:
         self._writable()
-        return self.commit(self.propose(ops)["change_id"])
+        change_id = self._hold(ops)
+        try:
+            return self.commit(change_id)
+        finally:
+            self.pending.pop(change_id, None)
 
     def create(self, note_id: str, content: str, frontmatter: dict[str, Any] | None = None) -> dict[str, str]:
         return self.apply([{"op": "create", "note_id": note_id, "content": content, "frontmatter": frontmatter}])
@@ -207,11 +275,21 @@ class NoteStore:
     def delete(self, note_id: str) -> dict[str, str]:
         return self.apply([{"op": "delete", "note_id": note_id}])
 
+    def apply_many(self, ops: DataFrame) -> dict[str, str]:
+        """Propose and commit a change set ``OPS``."""
+        self._writable()
+        change_id, _ = self.propose_many(ops)
+        try:
+            return self.commit(change_id)
+        finally:
+            self.pending.pop(change_id, None)
+
     def _one(self, note_id: str) -> tuple[dict[str, Any], str]:
-        raw = self._raw_of([check_id(note_id)]).get(note_id)
-        if raw is None:
+        """Properties and content of one note, by one query."""
+        row = self.raw().where(F.col("note_id") == check_id(note_id)).select(frontmatter_block("raw").alias("f"), body("raw").alias("b")).first()
+        if row is None:
             raise not_found(note_id)
-        return self._parts(raw)
+        return json.loads(mapping_json(row.f)), row.b
 
     def link(self, source: str, target: str) -> dict[str, str]:
         """Append [[target]] unless it is there already."""
@@ -230,35 +308,34 @@ class NoteStore:
         _, text = self._one(note_id)
         return self.update(note_id, content=toggle_line(text, line, expect_text))
 
-    def rename_ops(self, old: str, new: str) -> list[dict[str, Any]]:
-        """One changeset: the note under its new id, every link that resolves to it retargeted, the old one gone."""
+    def rename_ops(self, old: str, new: str) -> DataFrame:
+        """One change set: the note under its new id, every link that resolves to it retargeted, the old one gone."""
         new = (new or "").strip()
         if not new or new == old:
             raise EngineError("INVALID_INPUT", f"{old!r} can't be renamed to {new!r}.", "Pass another id.")
         check_id(new)
         notes = self.notes()
-        here = notes.where(F.col("id").isin(old, new)).select("id").collect()
-        if old not in {r.id for r in here}:
+        here = {r.note_id for r in self.raw().where(F.col("note_id").isin(old, new)).select("note_id").collect()}
+        if old not in here:
             raise not_found(old)
-        if new in {r.id for r in here}:
+        if new in here:
             raise EngineError("CONFLICT", f"Note {new!r} exists already.", "Choose another id.")
         spread = notes.select("id", F.explode("links").alias("l")).select("id", "l.*")
         hits = resolve(spread, notes).where(F.col("dst") == old).select("id", "raw", relinked(F.lit(new)).alias("now")).where("raw <> now").distinct()
-        edits = hits.groupBy("id").agg(F.collect_list(F.struct("raw", "now")).alias("edits"))
+        edits = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("raw", "now"))).alias("edits"))
         touched = notes.join(edits, "id", "left").where((F.col("edits").isNotNull()) | (F.col("id") == old))
         text = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<raw:string,now:string>>")), F.col("content"), lambda c, e: F.replace(c, e.raw, e.now))
-        ops: list[dict[str, Any]] = []
-        for r in touched.select("id", text.alias("content"), F.to_json("frontmatter").alias("fm")).orderBy("id").collect():
-            if r.id == old:
-                ops.insert(0, {"op": "create", "note_id": new, "content": r.content, "frontmatter": json.loads(r.fm) or None})
-            else:
-                ops.append({"op": "update", "note_id": r.id, "content": r.content})
-        return [*ops, {"op": "delete", "note_id": old}]
+        mine = F.col("id") == old
+        moved = touched.select(
+            F.when(mine, 0).otherwise(1).cast("long").alias("seq"), F.when(mine, "create").otherwise("update").alias("op"), F.when(mine, F.lit(new)).otherwise(F.col("id")).alias("note_id"), text.alias("content"),
+            F.when(mine, F.to_json("frontmatter")).alias("frontmatter"), F.lit(None).cast("string").alias("raw"),
+        )
+        return moved.union(self.spark.createDataFrame([(2, "delete", old, None, None, None)], OPS))
 
     def rename(self, old: str, new: str) -> dict[str, Any]:
         self._writable()
-        ops = self.rename_ops(old, new)
-        return self.apply(ops) | {"from": old, "to": new.strip(), "links_updated_in": sum(op["op"] == "update" for op in ops)}
+        done = self.apply_many(self.rename_ops(old, new))
+        return done | {"from": old, "to": new.strip(), "links_updated_in": self.history(done["version_id"]).where("op = 'update'").count()}
 
     def edges(self) -> DataFrame:
         return edges(self.notes())

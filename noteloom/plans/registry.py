@@ -14,8 +14,9 @@ from noteloom.functions.dynamic import Filter
 from noteloom.functions.parsing import body, frontmatter_block
 from noteloom.functions.yamlio import mapping_json
 from noteloom.operators import graph, memory, notes as note_views, properties, suggest, tasks, templates
+from noteloom.operators.index import StoredIndex
 from noteloom.operators.memory_store import MemoryStore
-from noteloom.operators.search import SearchIndex, mode_of
+from noteloom.operators.search import mode_of
 from noteloom.operators.store import NoteStore, check_id
 from noteloom.sources import vault
 
@@ -85,14 +86,16 @@ def _whole(args: dict[str, Any], name: str) -> int | None:
 class Engine:
     """Notes, memories and templates under one shared folder.
 
-    Parsed notes and postings are kept between calls and made anew after a change.
+    Parsed notes are kept between calls and made anew after a change. The search index is stored; a change adds the postings
+    of its own notes to it.
     """
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, origin: str | None = None):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
         self.store = NoteStore(spark, f"{self.root}/store", read_only, origin)
         self.memory = MemoryStore(spark, f"{self.root}/memory")
-        self._kept: tuple[int, DataFrame, SearchIndex] | None = None
+        self.stored = StoredIndex(spark, f"{self.root}/index")
+        self._kept: tuple[int, DataFrame] | None = None
 
     def import_vault(self, path: str, own_dir: str = vault.OWN_DIR) -> None:
         """Take in a Markdown vault with its memories and templates."""
@@ -110,16 +113,28 @@ class Engine:
     def notes(self) -> DataFrame:
         return self._current()[1]
 
-    def index(self) -> SearchIndex:
-        return self._current()[2]
-
-    def _current(self) -> tuple[int, DataFrame, SearchIndex]:
+    def index(self) -> StoredIndex:
+        """The stored index, brought to the store's state: by the changed notes alone where the store's layers tell them."""
+        n, notes = self._current()
+        have = self.stored.state()
+        if have != n:
+            notes = notes.select("id", "title", "content")
+            changed = None if have is None else self.store.table.changed_since(have)
+            if changed is None:
+                self.stored.build(notes, n)
+            else:
+                ids = changed.select(F.col("note_id").alias("id"))
+                now = notes.join(ids, "id", "left_semi")
+                self.stored.update(now, ids.join(now.select("id"), "id", "left_anti"), n)
+                self.stored.merge()
+        return self.stored
+
+    def _current(self) -> tuple[int, DataFrame]:
         n = self.store.generation()
         if self._kept is None or self._kept[0] != n:
             if self._kept is not None:
                 self._kept[1].unpersist()
-            parsed = self.store.notes().persist()
-            self._kept = (n, parsed, SearchIndex(parsed))
+            self._kept = (n, self.store.notes().persist())
         return self._kept
 
     # dispatch
@@ -205,9 +220,9 @@ class Engine:
     def _get_version(self, a: dict) -> dict:
         (version_id,) = _need(a, "version_id")
         tokens = _whole(a, "max_tokens")
-        history = self.store.history(version_id)
+        change_id = self.store.version(version_id).change_id
         found = self.store.get_version(version_id, bool(a.get("include_content")), 500 if tokens is None else tokens)
-        return {"version_id": version_id, "change_id": history.first().change_id, "notes": _rows(found)}
+        return {"version_id": version_id, "change_id": change_id, "notes": _rows(found)}
 
     def _capabilities(self, a: dict) -> dict:
         listed = [{"name": n, "description": TOOLS[n]} for n in sorted(TOOLS)]

@@ -214,14 +214,41 @@ def note_frontmatter(s: SparkSession, d: str) -> DataFrame:
 
 def version_clip(s: SparkSession, d: str) -> DataFrame:
     """One version of a history of documents by language: its notes, clipped to 5 tokens."""
-    docs = table(s, d, "documents")
-    pair = F.struct(F.col("doc_id").cast("string"), "text")
-    side = lambda keep: F.map_from_entries(F.collect_list(F.when(F.col("text").isNotNull() & keep, pair)))
-    history = docs.groupBy(F.concat(F.lit("v_"), "lang").alias("version_id")).agg(side(F.col("doc_id") % 3 != 0).alias("before"), side(F.col("doc_id") % 5 != 0).alias("after"))
-    found = deltas.version_detail(history, "v_de", True, 5)
+    docs = table(s, d, "documents").select(F.concat(F.lit("v_"), "lang").alias("version_id"), F.col("doc_id").cast("string").alias("note_id"), "doc_id", "text")
+    history = docs.select("version_id", "note_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("before"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("after"))
+    found = deltas.version_detail(history.where("version_id = 'v_de' AND (before IS NOT NULL OR after IS NOT NULL)"), True, 5)
     return found.select("note_id", "op", F.col("before.content").alias("before"), F.col("after.content").alias("after"), F.col("after.truncated").alias("truncated"))
 
 
+def store_bulk(s: SparkSession, d: str) -> DataFrame:
+    """A change set over a store of all documents, each linked to a hub; then the hub is renamed, and every third note's change reverted.
+
+    Notes as they are after the first version, the rename and its undoing, told by digests, and what each version did.
+    """
+    docs = table(s, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("note_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    store = NoteStore(s, _folder(s, "store"))
+    store.load(docs.select("note_id", F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n[[hub]] "), "text").alias("raw")).union(s.createDataFrame([("x/hub", "the hub")], "note_id string, raw string")))
+    k = F.col("doc_id") % 5
+    op = F.when(k == 0, "update").when(k == 1, "delete").when(k == 2, "setraw").when(k == 3, "create").otherwise("update")
+    ops = docs.select(
+        F.col("doc_id").cast("long").alias("seq"), op.alias("op"), F.when(k == 3, F.concat("note_id", F.lit("/new"))).otherwise(F.col("note_id")).alias("note_id"), F.when(k == 0, F.concat(F.lit("see [[x/hub|it]] "), "text")).when(k == 3, F.col("text")).alias("content"),
+        F.when(k.isin(3, 4), F.to_json(F.struct(F.col("lang").alias("of")))).alias("frontmatter"), F.when(k == 2, F.concat(F.lit("raw "), "text")).alias("raw"),
+    )
+    first = store.apply_many(ops)["version_id"]
+    after = [("changed", store.raw())]
+    moved = store.rename("x/hub", "y/centre")["version_id"]
+    after.append(("renamed", store.raw()))
+    store.revert(moved)
+    after.append(("reverted", store.raw()))
+    out = None
+    for name, rows in after:
+        part = rows.select(F.lit(name).alias("state"), "note_id", F.md5("raw").alias("value"))
+        out = part if out is None else out.union(part)
+    for name, version in (("changes", first), ("moves", moved)):
+        out = out.union(store.get_version(version).select(F.lit(name).alias("state"), "note_id", F.col("op").alias("value")))
+    return out
+
+
 def bulk_texts(s: SparkSession, d: str) -> DataFrame:
     """Templates filled, boxes flipped, texts clipped, frontmatter and links written, for each customer."""
     c = table(s, d, "customer")
@@ -317,7 +344,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        vault_scan, vault_list, vault_memories, vault_templates, store_changes, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, outbox_pending, vector_cache, property_ops, task_filters,
+        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, outbox_pending, vector_cache, property_ops, task_filters,
         memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
@@ -344,6 +371,16 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'audit', 'commit', '9' UNION ALL SELECT 'audit', 'revert', '1'
             UNION ALL SELECT 'version', 'n/' || n_name, CASE n_name WHEN 'NATION_1' THEN 'deleted' ELSE 'updated' END FROM nation WHERE n_name NOT IN ('NATION_2', 'NATION_3', 'NATION_4')
             UNION ALL SELECT 'version', 'n/ONE', 'created'""",
+        "store_bulk": """WITH d AS (SELECT 'd/' || doc_id AS note_id, doc_id % 5 AS k, coalesce(text, '') AS t, lang FROM documents),
+            was AS (SELECT note_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || '[[hub]] ' || t AS raw FROM d UNION ALL SELECT 'x/hub', 'the hub'),
+            one AS (SELECT note_id, CASE k WHEN 0 THEN '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || 'see [[x/hub|it]] ' || t || chr(10) WHEN 2 THEN 'raw ' || t
+                WHEN 4 THEN '---' || chr(10) || 'of: ' || lang || chr(10) || '---' || chr(10) || '[[hub]] ' || t || chr(10) ELSE '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || '[[hub]] ' || t END AS raw FROM d WHERE k <> 1
+              UNION ALL SELECT note_id || '/new', '---' || chr(10) || 'of: ' || lang || chr(10) || '---' || chr(10) || t || chr(10) FROM d WHERE k = 3 UNION ALL SELECT 'x/hub', 'the hub'),
+            hit AS (SELECT note_id, raw, contains(raw, '[[hub]]') OR contains(raw, '[[x/hub|it]]') AS hit FROM one),
+            two AS (SELECT CASE note_id WHEN 'x/hub' THEN 'y/centre' ELSE note_id END AS note_id, CASE WHEN note_id = 'x/hub' THEN 'the hub' || chr(10) WHEN hit THEN replace(replace(raw, '[[hub]]', '[[y/centre]]'), '[[x/hub|it]]', '[[y/centre|it]]') || chr(10) ELSE raw END AS raw FROM hit)
+            SELECT 'changed' AS state, note_id, md5(raw) AS value FROM one UNION ALL SELECT 'renamed', note_id, md5(raw) FROM two UNION ALL SELECT 'reverted', note_id, md5(raw) FROM one
+            UNION ALL SELECT 'changes', note_id, CASE k WHEN 1 THEN 'deleted' ELSE 'updated' END FROM d WHERE k <> 3 UNION ALL SELECT 'changes', note_id || '/new', 'created' FROM d WHERE k = 3
+            UNION ALL SELECT 'moves', note_id, 'updated' FROM hit WHERE hit UNION ALL SELECT 'moves', 'y/centre', 'created' UNION ALL SELECT 'moves', 'x/hub', 'deleted'""",
         "memory_store": "SELECT 'mem_' || c_custkey AS id, CASE WHEN c_custkey % 10 = 7 THEN upper(c_name) ELSE c_name END AS content FROM customer WHERE c_custkey <> 5",
         "audit_recent": "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 50",
         "status_counts": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",

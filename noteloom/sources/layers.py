@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from noteloom.errors import EngineError
 from noteloom.sources.places import Files
 
-#: Overlays over a base before they are merged.
+#: Layers of a table before they are merged.
 LAYERS = 8
 _GONE = "__gone"
 
@@ -104,10 +104,10 @@ class LayeredTable(Records):
         layers = now["layers"] or [self._write(self.spark.createDataFrame([], self.schema))]
         self._commit(now["number"] + 1, [*layers, self._write(rows.select(*self.schema.names, F.coalesce(_GONE, F.lit(False)).alias(_GONE)))], what)
 
-    def merge(self, least: int = LAYERS) -> bool:
-        """Write a new base if there are more overlays than ``least``; False if there are not, or if another writer came first."""
+    def merge(self) -> bool:
+        """Write a new base if there are more layers than ``LAYERS``; False if there are not, or if another writer came first."""
         now = self.newest()
-        if len(now["layers"]) <= least + 1:
+        if len(now["layers"]) <= LAYERS:
             return False
         base = self._write(self._rows(now["layers"]))
         try:
@@ -122,3 +122,17 @@ class LayeredTable(Records):
             return self.spark.createDataFrame([], f"n int, {fields}")
         lines = self.spark.read.option("wholetext", True).text(f"{self.root}/log/*.json").select("value", F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("n"))
         return lines.select("n", F.from_json("value", fields).alias("e")).select("n", "e.*")
+
+    def changed_since(self, number: int) -> DataFrame | None:
+        """The keys changed after a record, each with ``__gone`` of some change; None where that isn't told by layers of their own."""
+        names = []
+        for n in range(number + 1, self.newest()["number"] + 1):
+            record, before = self._record(n), self._record(n - 1)["layers"] if n > 1 else []
+            if "merged" in record:
+                continue
+            if not before or record["layers"][:-1] != before or not self.files.exists(f"data/{record['layers'][-1]}"):
+                return None
+            names.append(record["layers"][-1])
+        if not names:
+            return self.spark.createDataFrame([], f"{self.key} string")
+        return self.spark.read.schema(f"{self.key} string").parquet(*[f"{self.root}/data/{name}" for name in names]).distinct()

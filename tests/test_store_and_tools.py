@@ -293,3 +293,79 @@ def test_plugins_have_limits(spark, tmp_path, monkeypatch):
     plugins.register({"name": "loop", "entry": "l.py", "tools": ["capabilities"]}, lambda c, x: [c("capabilities") for _ in range(4)])
     plugins.register({"name": "big", "entry": "b.py"}, lambda c, x: "x" * 200)
     assert plugins.run("loop", {})["error"]["code"] == "PLUGIN_TRAP" and plugins.run("big", {})["error"]["code"] == "PLUGIN_ABI"
+
+
+OPS = "seq long, op string, note_id string, content string, frontmatter string, raw string"
+
+
+def test_a_change_made_between_check_and_commit_is_a_conflict(spark, tmp_path, monkeypatch):
+    """Another writer commits after the first has read the state that its ops are checked against."""
+    from noteloom.operators import store as module
+
+    a, b = (NoteStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.create("n", "one")
+    plan = module.planned
+
+    def slow(ops, notes):
+        monkeypatch.setattr(module, "planned", plan)
+        b.update("n", content="theirs")
+        return plan(ops, notes)
+
+    monkeypatch.setattr(module, "planned", slow)
+    assert code(a.update, "n", content="mine") == "CONFLICT" and raws(a) == {"n": "theirs\n"}
+
+
+def test_bulk_changes(spark, tmp_path):
+    s = NoteStore(spark, f"file://{tmp_path}/s")
+    s.load(spark.range(3000).select(F.concat(F.lit("n"), "id").alias("note_id"), F.lit("---\nk: 1\n---\nold").alias("raw")))
+    ops = spark.range(2000).select("id", F.when(F.col("id") < 1500, "update").otherwise("delete").alias("op"), F.concat(F.lit("n"), "id").alias("note_id"), F.lit("new").alias("content"), F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("r")).toDF(*[c.split()[0] for c in OPS.split(", ")])
+    wrong = spark.createDataFrame([(9000, "create", "n1", "x", None, None), (9001, "update", "zz", "x", None, None), (9002, "delete", "../up", None, None, None), (9003, "paint", "n2", None, None, None)], OPS)
+    change, plan = s.propose_many(ops.union(wrong))
+    assert sorted((r.seq, r.error) for r in plan.where("error IS NOT NULL").collect()) == [(9000, "CONFLICT"), (9001, "NOTE_NOT_FOUND"), (9002, "INVALID_INPUT"), (9003, "INVALID_INPUT")]
+    assert code(s.commit, change) == "CONFLICT" and s.raw().count() == 3000 and not s.files.names("history")
+    assert s.propose_many(ops.orderBy(F.desc("seq")))[0] == s.propose_many(ops)[0] != change
+    v = s.apply_many(ops)["version_id"]
+    assert {(r.raw, r.n) for r in s.raw().groupBy("raw").agg(F.count("*").alias("n")).collect()} == {("---\nk: 1\n---\nnew\n", 1500), ("---\nk: 1\n---\nold", 1000)}
+    entry = s.audit_log(1).first()
+    assert entry.n_notes == 2000 and entry.notes is None and s.history(v).where("note_id = 'n1600'").first().op == "delete"
+    s.revert(v)
+    assert s.raw().where("raw LIKE '%old'").count() == 3000
+
+
+def jobs_of(spark, call):
+    name = f"g{id(call)}"
+    spark.sparkContext.setJobGroup(name, name)
+    call()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_renames_and_changes_take_as_many_jobs_for_any_size(spark, tmp_path):
+    """By the count of Spark jobs."""
+    taken = []
+    for n in (3, 60):
+        s = NoteStore(spark, f"file://{tmp_path}/s{n}")
+        s.load(spark.createDataFrame([("hub", "h"), *[(f"n{i}", f"[[hub]] {i}") for i in range(n)]], "note_id string, raw string").coalesce(1))
+        taken.append(jobs_of(spark, lambda s=s: s.rename("hub", "x/centre")))
+        assert {r.raw.strip() for r in s.raw().where("note_id <> 'x/centre'").collect()} == {f"[[x/centre]] {i}" for i in range(n)}
+    assert abs(taken[1] - taken[0]) <= 4 and max(taken) < 60
+
+
+def test_an_edit_updates_the_search_index_by_its_own_notes(spark, tmp_path, monkeypatch):
+    from noteloom.operators.index import StoredIndex
+
+    e = Engine(spark, f"file://{tmp_path}/e")
+    e.store.load(spark.createDataFrame([(f"n{i}", f"word{i} shared") for i in range(30)], "note_id string, raw string"))
+    hits = lambda q: {h["note_id"] for h in e.dispatch("search", {"query": q, "mode": "lexical"})["data"]["hits"]}
+    assert hits("word3") == {"n3"} and len(hits("shared")) == 30
+    monkeypatch.setattr(StoredIndex, "build", lambda *a: pytest.fail("built anew"))
+    indexed = []
+    layer = StoredIndex._layer
+    monkeypatch.setattr(StoredIndex, "_layer", lambda self, notes, gone: indexed.append(notes.count()) or layer(self, notes, gone))
+    e.dispatch("update_note", {"note_id": "n3", "content": "word99"})
+    e.dispatch("delete_note", {"note_id": "n4"})
+    assert hits("word3") == set() and hits("word99") == {"n3"} and len(hits("shared")) == 28
+    v = e.dispatch("create_note", {"note_id": "m", "content": "shared too"})["data"]["version_id"]
+    assert "m" in hits("shared")
+    e.dispatch("revert", {"version_id": v})
+    assert "m" not in hits("shared") and indexed == [1, 1, 0]
+    assert {h["note_id"] for h in e.dispatch("search", {"query": "word5", "top_k": 1})["data"]["hits"]} == {"n5"}

