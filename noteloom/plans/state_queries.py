@@ -20,7 +20,7 @@ from noteloom.operators.memory_store import MemoryStore
 from noteloom.operators.search import best_notes
 from noteloom.operators.store import NoteStore, relinked
 from noteloom.plans import oracles
-from noteloom.sources import vault
+from noteloom.sources import logsource, vault
 from noteloom.sources.log import Outbox, SequencedLog
 from noteloom.sources.places import Files, shared_dir
 from noteloom.sources.vectors import BatchEmbedder, HashingEmbedder, VectorCache
@@ -147,6 +147,22 @@ def log_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("seq long, blob binary").parquet(f"{out}/*").select("seq", F.col("blob").cast("string").alias("body"))
 
 
+def log_overtaken(s: SparkSession, d: str) -> DataFrame:
+    """A reader of a log that is compacted beyond its place between two runs of one query: rows, then the snapshot's parts and the rows beyond it."""
+    root, out, place = _folder(s, "log"), _folder(s, "applied"), _folder(s, "place")
+    log = SequencedLog(s, root, quota=1 << 60)
+    e = table(s, d, "events").select(F.col("event_id").alias("pos"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("props").cast("binary").alias("blob"))
+    n = e.count()
+    for part, upto in ((e.where(F.col("pos") <= n // 4), None), (e.where(F.col("pos") > n // 4), n // 2)):
+        log.append(part)
+        if upto:
+            body = F.concat(F.count("*").cast("string"), F.lit(" rows")).cast("binary").alias("blob")
+            log.compact(upto, log.read_since(0).where(F.col("seq") <= upto).groupBy((F.col("seq") % 4).cast("int").alias("idx")).agg(body))
+        run = sync.apply_batches(logsource.follow(s, root), lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}"), place, once=True)
+        run.awaitTermination()
+    return s.read.schema(logsource.SCHEMA).parquet(f"{out}/*").select("seq", F.col("idx").cast("long").alias("idx"), F.col("of").cast("long").alias("of"), F.col("blob").cast("string").alias("body"))
+
+
 def outbox_pending(s: SparkSession, d: str) -> DataFrame:
     box = Outbox(s, _folder(s, "outbox"))
     rows = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("payload"), "event_type")
@@ -344,7 +360,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, outbox_pending, vector_cache, property_ops, task_filters,
+        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, outbox_pending, vector_cache, property_ops, task_filters,
         memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
@@ -386,6 +402,9 @@ def oracle_sql() -> dict[str, str]:
         "status_counts": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
         "log_roundtrip": "SELECT * FROM (SELECT row_number() OVER (ORDER BY event_id) AS seq, props AS body FROM events) WHERE seq > 500 UNION ALL SELECT 500, 'state'",
         "log_stream": "SELECT * FROM (SELECT row_number() OVER (ORDER BY event_id) AS seq, props AS body FROM events) WHERE seq > 600",
+        "log_overtaken": """WITH r AS (SELECT row_number() OVER (ORDER BY event_id) AS seq, props, event_id, (SELECT count(*) FROM events) AS n FROM events)
+            SELECT seq, NULL::BIGINT AS idx, NULL::BIGINT AS of, props AS body FROM r WHERE event_id <= n // 4 OR seq > n // 2
+            UNION ALL SELECT any_value(n // 2), seq % 4, 4, count(*) || ' rows' FROM r WHERE seq <= n // 2 GROUP BY seq % 4""",
         "outbox_pending": "SELECT CAST(event_id AS VARCHAR) AS id, props AS payload FROM events WHERE event_type <> 'error'",
         "vector_cache": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS length, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS BIGINT) AS spaces FROM documents",
         "property_ops": f"""WITH e AS (SELECT 'e/' || event_id AS note_id, {k} AS k, event_type AS t FROM events)

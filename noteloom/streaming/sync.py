@@ -23,8 +23,7 @@ def tail(spark: SparkSession, root: str, cursor: int = 0) -> DataFrame:
 def resume_tail(log: SequencedLog, cursor: int) -> tuple[DataFrame | None, DataFrame]:
     """(snapshot parts or None, stream): a reader whose rows were compacted away starts from the snapshot.
 
-    A stream that lags behind a compaction fails on the files that are gone; it is to be started again through here, with a
-    new checkpoint.
+    This stream of files ends with an error if a compaction overtakes it; ``logsource.follow`` goes on from the snapshot.
     """
     parts, _ = log.resume(cursor)
     return parts, tail(log.spark, log.root, max(cursor, log.snapshot_seq()))
@@ -36,7 +35,8 @@ def apply_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     ``apply`` gets (rows, batch id) and must be idempotent by the id: a batch that failed comes again under
     the same one, before any later batch.
     """
-    run = lambda rows, batch: apply(rows.dropDuplicates(["seq"]).orderBy("seq"), batch)
+    keys = ["seq", "idx"] if "idx" in stream.columns else ["seq"]
+    run = lambda rows, batch: apply(rows.dropDuplicates(keys).orderBy(*keys), batch)
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 

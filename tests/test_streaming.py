@@ -71,3 +71,79 @@ def test_of_equal_times_the_later_update_wins(spark, tmp_path):
     schema = "device string, ts long, gone boolean, note_id string, editing boolean, seq long"
     out = run(spark, tmp_path, [[("d", 5, True, None, False, 2), ("d", 5, False, "n", True, 1), ("e", 5, False, "n", True, 1)], [("e", 5, True, None, False, 2)]], schema, presence, "ties")
     assert not out["d"].present and not out["e"].present
+
+
+def wait_for(condition, seconds=90):
+    import time
+
+    end = time.monotonic() + seconds
+    while not condition():
+        assert time.monotonic() < end, "it didn't come in time"
+        time.sleep(0.2)
+
+
+def test_silent_devices_are_reported_by_a_timer(spark, tmp_path):
+    """Devices of the stream and of the state before it; one that goes on sending stays, one that has left isn't reported again."""
+    schema = "device string, ts long, gone boolean, note_id string, editing boolean"
+    src = f"file://{tmp_path}/in"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
+    put(("a", 5, False, "n", True), ("b", 5, True, None, False))
+    before = spark.createDataFrame([("old", 3, "m", False), ("a", 9, "later", False)], "device string, ts long, note_id string, editing boolean")
+    told = []
+    made = presence(spark.readStream.schema(schema).parquet(src), ttl_ms=4000, initial=before)
+    q = made.writeStream.outputMode("update").foreachBatch(lambda df, b: told.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(processingTime="500 milliseconds").start()
+    try:
+        last = lambda: {r.device: r for r in told}
+        wait_for(lambda: "old" in last() and "a" in last())
+        assert (last()["old"].ts, last()["old"].present) == (3, False) and (last()["a"].ts, last()["a"].note_id, last()["a"].present) == (9, "later", False)
+        assert [r.present for r in told if r.device == "b"] == [False]
+        put(("a", 20, False, "back", True), ("old", 2, False, "late", True))
+        wait_for(lambda: any(r.ts == 20 and r.present for r in told))
+        wait_for(lambda: any(r.ts == 20 and not r.present for r in told))
+        assert not [r for r in told if r.ts == 2]
+    finally:
+        q.stop()
+
+
+def test_a_running_reader_survives_a_compaction(spark, tmp_path):
+    from noteloom.sources.logsource import follow
+
+    log = SequencedLog(spark, f"file://{tmp_path}/log")
+    rows = lambda n: spark.createDataFrame([(i, 1, b"x%d" % i) for i in range(n)], "pos int, ts long, blob binary")
+    log.append(rows(5))
+    seen = []
+    start = lambda: apply_batches(follow(spark, log.root, 2), lambda df, b: seen.extend((r.seq, r.idx, r.of) for r in df.collect()), f"file://{tmp_path}/cp")
+    q = start()
+    try:
+        wait_for(lambda: len(seen) == 3)
+        assert seen == [(3, None, None), (4, None, None), (5, None, None)]
+        log.append(rows(4))
+        wait_for(lambda: len(seen) == 7)
+    finally:
+        q.stop()
+    log.append(rows(6))  # 10 to 15, which the stopped reader hasn't seen
+    log.compact(12, spark.createDataFrame([(0, b"s0"), (1, b"s1")], "idx int, blob binary").repartition(2))
+    q = start()
+    try:
+        wait_for(lambda: (15, None, None) in seen)
+        assert seen[7:] == [(12, 0, 2), (12, 1, 2), (13, None, None), (14, None, None), (15, None, None)]
+        log.compact(15, spark.createDataFrame([(0, b"s")], "idx int, blob binary"))
+        log.append(rows(1))
+        wait_for(lambda: (16, None, None) in seen)
+        assert q.exception() is None
+    finally:
+        q.stop()
+
+
+def test_files_that_go_while_a_batch_is_read(spark, tmp_path):
+    from noteloom.sources.logsource import LogReader
+
+    log = SequencedLog(spark, f"file://{tmp_path}/log")
+    rows = lambda n: spark.createDataFrame([(i, 1, b"x") for i in range(n)], "pos int, ts long, blob binary").coalesce(1)
+    log.append(rows(3))
+    reader = LogReader(log.root, 0)
+    planned = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    log.append(rows(2))
+    log.compact(4, spark.createDataFrame([(0, b"s")], "idx int, blob binary"))
+    got = [r for p in planned for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["seq"], r["idx"], r["blob"]) for r in got] == [(4, 0, b"s")]
