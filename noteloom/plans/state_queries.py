@@ -25,6 +25,7 @@ from noteloom.sources.log import Outbox, SequencedLog
 from noteloom.sources.places import Files, shared_dir
 from noteloom.sources.vectors import BatchEmbedder, HashingEmbedder, VectorCache
 from noteloom.streaming import sync
+from noteloom.streaming.apply import Applier
 from noteloom.streaming.folds import entitlements
 from noteloom.streaming.presence import presence
 
@@ -163,6 +164,28 @@ def log_overtaken(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(logsource.SCHEMA).parquet(f"{out}/*").select("seq", F.col("idx").cast("long").alias("idx"), F.col("of").cast("long").alias("of"), F.col("blob").cast("string").alias("body"))
 
 
+def log_applied(s: SparkSession, d: str) -> DataFrame:
+    """Events applied by a stream to a store with a note for each user; of users whose note was edited here, once before and once after the edit is sent."""
+    e = table(s, d, "events")
+    name = F.concat(F.lit("u/"), F.col("user_id").cast("string"))
+    store = NoteStore(s, _folder(s, "store"))
+    start = e.select(name.alias("note_id"), "user_id").distinct().where("user_id % 11 <> 3")
+    store.load(start.select("note_id", F.lit("start").alias("raw")))
+    applier = Applier(s, _folder(s, "applier"), store)
+    applier.in_step(start.select("note_id", F.lit("start").alias("raw"), F.lit(0).cast("long").alias("seq")))
+    edited = start.where("user_id % 7 = 0").select("note_id", F.lit("edited here").alias("raw"))
+    store.overlay_many(edited)
+    log = SequencedLog(s, _folder(s, "log"), quota=1 << 60)
+    gone = F.when(F.col("event_type") != "error", F.col("props"))
+    blob = F.to_json(F.array(F.struct(name.alias("note_id"), gone.alias("raw")))).cast("binary")
+    log.append(e.select(F.col("event_id").alias("pos"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), blob.alias("blob")))
+    applier.run(logsource.follow(s, log.root), _folder(s, "place"), once=True).awaitTermination()
+    first = store.raw()
+    applier.in_step(edited.withColumn("seq", F.lit(0).cast("long")))
+    applier.flush()
+    return first.select(F.lit("edits wait").alias("state"), "note_id", "raw").union(store.raw().select(F.lit("edits sent"), "note_id", "raw"))
+
+
 def outbox_pending(s: SparkSession, d: str) -> DataFrame:
     box = Outbox(s, _folder(s, "outbox"))
     rows = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("payload"), "event_type")
@@ -360,7 +383,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, outbox_pending, vector_cache, property_ops, task_filters,
+        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, outbox_pending, vector_cache, property_ops, task_filters,
         memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
@@ -405,6 +428,9 @@ def oracle_sql() -> dict[str, str]:
         "log_overtaken": """WITH r AS (SELECT row_number() OVER (ORDER BY event_id) AS seq, props, event_id, (SELECT count(*) FROM events) AS n FROM events)
             SELECT seq, NULL::BIGINT AS idx, NULL::BIGINT AS of, props AS body FROM r WHERE event_id <= n // 4 OR seq > n // 2
             UNION ALL SELECT any_value(n // 2), seq % 4, 4, count(*) || ' rows' FROM r WHERE seq <= n // 2 GROUP BY seq % 4""",
+        "log_applied": """WITH l AS (SELECT user_id, arg_max(CASE WHEN event_type <> 'error' THEN struct_pack(p := props) ELSE struct_pack(p := NULL) END, event_id).p AS raw FROM events GROUP BY user_id),
+            n AS (SELECT user_id, 'u/' || user_id AS note_id, raw, user_id % 7 = 0 AND user_id % 11 <> 3 AS mine FROM l)
+            SELECT 'edits wait' AS state, note_id, CASE WHEN mine THEN 'edited here' ELSE raw END AS raw FROM n WHERE mine OR raw IS NOT NULL UNION ALL SELECT 'edits sent', note_id, raw FROM n WHERE raw IS NOT NULL""",
         "outbox_pending": "SELECT CAST(event_id AS VARCHAR) AS id, props AS payload FROM events WHERE event_type <> 'error'",
         "vector_cache": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS length, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS BIGINT) AS spaces FROM documents",
         "property_ops": f"""WITH e AS (SELECT 'e/' || event_id AS note_id, {k} AS k, event_type AS t FROM events)
