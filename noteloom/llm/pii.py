@@ -3,13 +3,13 @@
 1. One pattern finds mentions: addresses, numbers, secrets, and names after a title, of any number of words, with
    particles. Each is cut into parts (an address into local part and domain, a name into its words).
 2. Distinct parts of the whole corpus form a table. A part's surrogate is drawn by a keyed hash from
-   the space of its kind: digits for digits with valid check digits where cards and accounts have them, country codes kept,
-   letters for letters of the same script, hex for hex, given names of the same gender, surnames of the same script
-   with the ending of their gender. As it hangs on key, kind and the normalised part only, all mentions of one entity
-   agree (coreference).
+   the space of its kind: digits for digits with valid check digits where cards and accounts have them, country codes, private networks
+   and the prefixes of secrets kept, letters for letters of the same script, hex for hex, given names of the same gender, surnames of the
+   same script with the ending of their gender. The draw hangs on key, kind and the normalised part only, and a given name's gender is told by
+   the titles of all its mentions together, so all mentions of one entity agree (coreference).
 3. Collisions are checked: a part whose surrogate another part has too, or that is itself a part found in
    the corpus, draws again, until none is left. So distinct entities stay distinct, and no surrogate is
-   someone else's data. Spaces grow with the draws, so this ends.
+   someone else's data. Every kind's space grows with the draws, so this ends.
 4. Surrogates take each mention's format: punctuation and case stay.
 
 DataFrame functions only. Texts without mentions pass by; the others are staged once, and only (row,
@@ -28,9 +28,14 @@ from noteloom.llm.common import checkpointed, staged
 FIXED_DRAWS = 24
 
 # Titles by gender, given names by gender, particles of names (those that may follow a title first), and syllables for surnames.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин", "Κύριος", "السيد"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Г-жа", "Госпожа", "Κυρία", "السيدة"]
-NEUTRAL_TITLES = ["Dr", "Prof", "Mx"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н", "г-н", "Господин", "Κύριος", "السيد", "MR", "HERR", "MONSIEUR"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Г-жа", "г-жа", "Госпожа", "Κυρία", "السيدة", "MRS", "MISS", "FRAU", "MADAME"]
+NEUTRAL_TITLES = ["Dr", "Prof", "Mx", "DR", "PROF"]
+# what may follow a name and is no part of it
+SUFFIXES = ["Jr", "Sr", "II", "III", "IV", "PhD", "MD", "Esq"]
+HAN_SURNAMES = list("王李张刘陈杨赵黄周吴徐孙胡朱高林")
+HAN_GIVEN = list("伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰文斌建国志海")
+ARABIC_LINKS = "بن ابن بنت أبو ابو آل عبد".split()
 MALE_GIVEN = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Noel", "Oscar", "Paul"]
 FEMALE_GIVEN = ["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Marta", "Nora", "Olga", "Paula"]
 MALE_GIVEN_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь"]
@@ -79,13 +84,16 @@ _CARD = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_.])[0-9](?:[ -]?[0-9]){{12,18}}(?!{_W})"
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
 _TITLE = "|".join(_TITLES)
 _FIRST = "".join(sorted({t[0] for t in _TITLES}))
-# a word of a name: an initial, or a capital and more; Arabic has no capitals, so there it is two words at most
-_WORD = rf"(?!(?:{_TITLE})\b)\p{{Lu}}(?:[\p{{L}}\p{{M}}'’-]+|\.)"
-_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+# a word of a name: an initial, or a capital and more; Arabic has no capitals, so there a name is two words, and on by links and by words with an article
+_WORD = rf"(?!(?:{_TITLE}|{'|'.join(SUFFIXES)})\b)\p{{Lu}}(?:[\p{{L}}\p{{M}}'’-]+|\.)"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
 # right after a title an article is no part of a name
 _AT_FIRST = rf"(?:(?:{'|'.join(PARTICLES[:18])}) {_PARTICLES})?"
 _PIECE = rf"{_PARTICLES}(?:{_WORD}|\p{{IsArabic}}{{2,}}+)"
-_NAME = rf"(?=[{_FIRST}])(?<!{_W})(?:{_TITLE})\.? (?:{_AT_FIRST}{_WORD}(?: {_PARTICLES}{_WORD}){{0,3}}|\p{{IsArabic}}{{2,}}+(?: \p{{IsArabic}}{{2,}}+)?)"
+_AR = r"\p{IsArabic}{2,}+"
+_ARABIC = rf"{_AR}(?: {_AR})?(?: (?:{'|'.join(ARABIC_LINKS)}) {_AR}| ال{_AR})*+"
+_NAME = rf"(?=[{_FIRST}])(?<!{_W})(?:{_TITLE})\.? (?:{_AT_FIRST}{_WORD}(?: {_PARTICLES}{_WORD})*+|{_ARABIC})"
+_LAST_WORD = "([^ ]+?)(['’]s)?$"
 _HAN_NAME = r"(?=\p{IsHan})\p{IsHan}{2,3}(?=先生|女士|小姐)"
 #: The pattern of all mentions.
 PATTERN = "|".join([_IP, _IP6, _SECRET, _SSN, _PHONE, _IBAN, _CARD, _NAME, _HAN_NAME, _EMAIL])
@@ -110,19 +118,20 @@ def _gender(title: str) -> str:
 
 
 def parts_sql(m: str) -> str:
-    """SQL: the parts (lead, kind, norm, raw) of a mention; lead is literal text before the part.
+    """SQL: the parts (lead, kind, norm, raw, tail, gender) of a mention; lead and tail are literal text about the part.
 
     Kinds are told in the order of the pattern's alternatives, the address last, so a secret with an @ is one secret.
     """
-    part = lambda lead, kind, norm, raw: f"named_struct('lead', {lead}, 'kind', {kind}, 'norm', {norm}, 'raw', {raw})"
+    part = lambda lead, kind, norm, raw, tail="''", gender="'n'": f"named_struct('lead', {lead}, 'kind', {kind}, 'norm', {norm}, 'raw', {raw}, 'tail', {tail}, 'gender', {gender})"
     like = lambda pattern: f"{m} RLIKE {_quote(f'^(?:{pattern})$')}"
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    digits = f"regexp_replace(replace({m}, '(0)', ''), '[^0-9]', '')"  # a trunk digit is format
     title = f"regexp_extract({m}, {_quote('(?U)^([^. ]+)[.]? ')}, 1)"
     front = f"regexp_extract({m}, {_quote('^[^ ]+ ')}, 0)"
     pieces = f"regexp_extract_all(substring({m}, length({front}) + 1), {_quote(_PIECE)}, 0)"
-    word = f"regexp_extract(w, {_quote('[^ ]+$')}, 0)"
-    lead = f"concat(if(i = 0, {front}, ' '), substring(w, 1, length(w) - length({word})))"
-    name = part(lead, f"if(i = size(ws) - 1, 'surname', concat('given_', {_gender(title)}))", f"lower({word})", word)
+    # the last word without a genitive, which stays
+    word, tail = (f"regexp_extract(w, {_quote(_LAST_WORD)}, {i})" for i in (1, 2))
+    lead = f"concat(if(i = 0, {front}, ' '), substring(w, 1, length(w) - length({word}) - length({tail})))"
+    name = part(lead, "if(i = size(ws) - 1, 'surname', 'given')", f"lower({word})", word, tail, _gender(title))
     return f"""CASE
       WHEN {like(f"{_OCTET}(?:[.]{_OCTET}){{3}}")} THEN array({part("''", "'ip'", m, m)})
       WHEN {like(_IP6_BODY)} THEN array({part("''", "'ip6'", f"lower({m})", m)})
@@ -145,10 +154,13 @@ def _bytes(n: int | str, label: str = "") -> str:
     return f"sha2(concat(__secret, '|{label}{n}|', kind, '|', norm, '|', cast(draw as string)), 512)"
 
 
+#: SQL: enough hex digits of keyed hashes for every position of a part's surrogate; made once, so that expressions stay small.
+_HEX = "array_join(transform(sequence(0, (length(norm) + draw + 80) div 32), b -> sha2(concat(__secret, '|c', cast(b as string), '|', kind, '|', norm, '|', cast(draw as string)), 512)), '')"
+
+
 def _at(i: str) -> str:
     """SQL: a number 0 to 65535 for position i (from 0) of the part."""
-    block = f"sha2(concat(__secret, '|c', cast({i} div 32 as string), '|', kind, '|', norm, '|', cast(draw as string)), 512)"
-    return f"cast(conv(substring({block}, 4 * ({i} % 32) + 1, 4), 16, 10) as int)"
+    return f"cast(conv(substring(__hex, 4 * ({i}) + 1, 4), 16, 10) as int)"
 
 
 def _array(items: list[str]) -> str:
@@ -203,7 +215,7 @@ def _mod97(text: str) -> str:
 
 
 def surrogate_sql() -> str:
-    """SQL: the surrogate of (kind, norm, draw) under the key __secret, in normal form."""
+    """SQL: the surrogate of (kind, norm, gender, draw) under the key __secret, with its hex digits __hex, in normal form."""
     letters = lambda first, n: f"char({first} + {_at('k')} % {n})"
     wide = lambda a, n: f"decode(unhex(lpad(hex({a} + {_at('k')} % {n}), 4, '0')), 'UTF-16BE')"
     local = "substring_index(norm, '@', 1)"
@@ -222,33 +234,42 @@ def surrogate_sql() -> str:
     grow = f"if(draw = 0, '', array_join(transform(sequence(64, 63 + draw), k -> {letters(97, 26)}), ''))"
     nameless = f"array_join(transform(split({local}, ''), (c, k) -> {letters(97, 26)}), '')"
     tail = "translate(substring(" + _bytes(0, "d") + ", 1, 10), '0123456789', 'ghijkmnpqr')"
+    octets = lambda a: f"array_join(transform(sequence({a}, 3), k -> cast({_at('k')} % 256 as string)), '.')"
+    # private networks stay private, until their few addresses are drawn out; then any, then longer ones
+    address = f"""CASE WHEN draw > {2 * FIXED_DRAWS} THEN concat({octets(0)}, '.', {digits(f'draw - {2 * FIXED_DRAWS}')}) WHEN draw > {FIXED_DRAWS} THEN {octets(0)}
+        WHEN norm LIKE '10.%' OR norm LIKE '127.%' THEN concat(substring_index(norm, '.', 1), '.', {octets(1)}) WHEN norm LIKE '192.168.%' THEN concat('192.168.', {octets(2)})
+        WHEN norm RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]' THEN concat('172.', cast(16 + {_at('0')} % 16 as string), '.', {octets(2)}) ELSE {octets(0)} END"""
+    han = f"concat({_pick(HAN_SURNAMES, 0)}, array_join(transform(sequence(1, length(norm) - 1 + draw div 3), k -> {_array(HAN_GIVEN)}[{_at('k')} % {len(HAN_GIVEN)}]), ''))"
+    prefix = "regexp_extract(norm, '^(AKIA|gh[pousr]_|sk-(proj-|live-|test-)?|)', 1)"
     groups = f"array_join(transform(sequence(0, length(replace(norm, ':', '')) - 1 + {longer}), k -> lower(hex({_at('k')} % 16))), '')"
     return f"""CASE kind
       WHEN 'email' THEN concat(if({local} RLIKE '[\\\\p{{L}}\\\\p{{N}}]', {mask(local)}, {nameless}), {grow})
       WHEN 'domain' THEN concat({tail}, '.example')
-      WHEN 'ip' THEN array_join(transform(sequence(0, 3), k -> cast({_at('k')} % 256 as string)), '.')
+      WHEN 'ip' THEN {address}
       WHEN 'ip6' THEN {groups}
       WHEN 'hex' THEN substring(array_join(transform(sequence(0, (length(norm) - 1) div 128), b -> {_bytes("' || b || '")}), ''), 1, length(norm))
       WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'ssn' THEN {digits(f'length(norm) + {longer}')}
       WHEN 'iban' THEN {account}
       WHEN 'surname' THEN {_by_script({k: _surname(k) for k in SCRIPTS})}
-      WHEN 'given_m' THEN {_given(0)} WHEN 'given_f' THEN {_given(1)}
-      WHEN 'given_n' THEN {_by_script({k: f"concat({_syllables(k)}, '{'i' if k == 'latin' else ''}')" for k in SCRIPTS})}
-      ELSE concat({mask('norm')}, {grow}) END"""
+      WHEN 'given' THEN CASE gender WHEN 'm' THEN {_given(0)} WHEN 'f' THEN {_given(1)}
+        ELSE {_by_script({k: f"concat({_syllables(k)}, '{'i' if k == 'latin' else ''}')" for k in SCRIPTS})} END
+      WHEN 'han' THEN {han}
+      ELSE concat({prefix}, {mask(f'substring(norm, length({prefix}) + 1)')}, {grow}) END"""
 
 
 def rendered_sql() -> str:
     """SQL: surrogate ``sur`` in the format of the mention's part ``raw``; what is longer goes to the end."""
 
-    def fill(chars: str) -> str:
-        return f"""aggregate(split(raw, ''), named_struct('i', 1, 'out', ''),
+    def fill(chars: str, raw: str = "raw") -> str:
+        return f"""aggregate(split({raw}, ''), named_struct('i', 1, 'out', ''),
         (a, c) -> if(c RLIKE '{chars}', named_struct('i', a.i + 1, 'out', concat(a.out, substring(sur, a.i, 1))),
                      named_struct('i', a.i, 'out', concat(a.out, c))), a -> concat(a.out, substring(sur, a.i)))"""
 
-    return f"""CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {fill('[0-9A-Z]')}
+    return f"""CASE WHEN kind = 'phone' THEN replace({fill('[0-9]', "replace(raw, '(0)', '(~)')")}, '(~)', '(0)')
+      WHEN kind IN ('card', 'ssn', 'iban') THEN {fill('[0-9A-Z]')}
       WHEN kind = 'ip6' THEN if(raw = lower(raw), {fill('[0-9A-Fa-f]')}, upper({fill('[0-9A-Fa-f]')}))
       WHEN kind IN ('email', 'domain', 'hex') AND raw = upper(raw) AND raw <> lower(raw) THEN upper(sur)
-      WHEN kind = 'surname' OR kind LIKE 'given%' THEN if(raw = upper(raw) AND length(raw) > 2, upper(sur), initcap(sur))
+      WHEN kind IN ('surname', 'given') THEN if(raw = upper(raw) AND length(raw) > 2, upper(sur), initcap(sur))
       ELSE sur END"""
 
 
@@ -258,8 +279,13 @@ def _in_its_space() -> str:
 
 
 def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, sur) for distinct (kind, norm): injective within a kind, never a part itself."""
-    found = checkpointed(parts.select("kind", "norm").distinct())
+    """(kind, norm, sur) for distinct (kind, norm): injective within a kind, never a part itself.
+
+    A given name that comes with titles of one gender more often than of the other has that gender, whatever titles it also has.
+    """
+    lean = F.sum(F.when(F.col("gender") == "m", 1).when(F.col("gender") == "f", -1).otherwise(0))
+    told = F.when(lean > 0, "m").when(lean < 0, "f").otherwise("n")
+    found = checkpointed(parts.groupBy("kind", "norm").agg(told.alias("gender")))
     draw = staged(_drawn(found.withColumn("draw", F.lit(0)), key), "drawn")
     taken = found.select("kind", F.expr(_in_its_space()).alias("sur")).distinct().withColumn("real", F.lit(True))
     while True:
@@ -267,15 +293,16 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
         judged = draw.join(owners, ["kind", "sur"], "left").join(taken, ["kind", "sur"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | (F.coalesce(F.col("n"), F.lit(1)) > 1) & (F.col("owner") != F.col("norm"))
         # written, not checkpointed: a checkpoint hands on estimated sizes, which multiply from draw to draw
-        judged = staged(judged.select("kind", "norm", "draw", "sur", again.alias("again")), "judged")
+        judged = staged(judged.select("kind", "norm", "gender", "draw", "sur", again.alias("again")), "judged")
         if not judged.where("again").limit(1).count():
             return draw.select("kind", "norm", "sur")
-        redrawn = _drawn(judged.where("again").select("kind", "norm", (F.col("draw") + 1).alias("draw")), key)
-        draw = staged(judged.where("NOT again").select("kind", "norm", "draw", "sur").unionByName(redrawn), "drawn")
+        redrawn = _drawn(judged.where("again").select("kind", "norm", "gender", (F.col("draw") + 1).alias("draw")), key)
+        draw = staged(judged.where("NOT again").select("kind", "norm", "gender", "draw", "sur").unionByName(redrawn), "drawn")
 
 
 def _drawn(parts: DataFrame, key: str) -> DataFrame:
-    return parts.withColumn("__secret", F.lit(key)).withColumn("sur", F.expr(surrogate_sql())).select("kind", "norm", "draw", "sur")
+    keyed = parts.withColumn("__secret", F.lit(key)).withColumn("__hex", F.expr(_HEX))
+    return keyed.withColumn("sur", F.expr(surrogate_sql())).select("kind", "norm", "gender", "draw", "sur")
 
 
 def pseudonymise(docs: DataFrame, key: str, entities: str | None = None) -> DataFrame:
@@ -299,7 +326,7 @@ def pseudonymise(docs: DataFrame, key: str, entities: str | None = None) -> Data
         .select("__uid", "pos", "sub", "p.*")
     )
     sur = surrogate_table(parts, key)
-    made = parts.join(sur, ["kind", "norm"]).select("__uid", "pos", "sub", F.expr(f"concat(lead, {rendered_sql()})").alias("out"))
+    made = parts.join(sur, ["kind", "norm"]).select("__uid", "pos", "sub", F.expr(f"concat(lead, {rendered_sql()}, tail)").alias("out"))
     # the parts of one text, of which it already holds the mentions
     lists = made.groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "out"))).alias("outs"))
     by_mention = F.expr("transform(sequence(0, size(__found) - 1), i -> array_join(transform(filter(outs, o -> o.pos = i), o -> o.out), ''))")
