@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never page text.
-DROPPED = frozenset("head script style template iframe svg canvas audio video title annotation annotation-xml".split())
+DROPPED = frozenset("head script style template iframe svg canvas audio video title annotation annotation-xml select datalist textarea".split())
 RAW = frozenset("script style template iframe svg textarea title".split())
 BLOCK = frozenset(
     """html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th

@@ -54,6 +54,8 @@ NUMBERS = [
     "chars", "direct", "link_share", "links", "stops_per", "commas_per", "paras", "items", "inputs", "depth", "place", "siblings", "share_page", "share_parent",
     "before", "kids", "mean_piece", "sib_chars", "sib_same", "prev_chars", "next_chars", "in_article", "page_has_article", "page_chars", "hidden", "best_para", "words",
 ]
+#: Elements that are never content on their own.
+NEVER = frozenset("nav footer aside form button menu dialog search".split())
 N_FEATURES = _NT + 2 * _NG + HASHED + len(NUMBERS)
 
 
@@ -254,6 +256,36 @@ def decode(nodes: list[Node], logp: np.ndarray) -> list[int]:
     return state
 
 
+def rescued(nodes: list[Node], pieces: list[tuple[int, str]], logp: np.ndarray) -> list[int]:
+    """States for a page of which nothing would be kept: the likeliest subtree with text that isn't mostly links or a menu, form or the like is content."""
+    score = logp.tolist()
+    text, linked, barred = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    for i, v in enumerate(nodes):
+        barred[i] = v.hidden or v.tag in NEVER or (i > 0 and barred[v.parent])
+    for i in range(len(nodes) - 1, -1, -1):
+        text[i] += nodes[i].chars
+        linked[i] += nodes[i].linked
+        if i:
+            p = nodes[i].parent
+            text[p] += text[i]
+            linked[p] += linked[i]
+            inner = max(score[i][INSIDE], score[i][CUT])
+            score[p][INSIDE] += inner
+            score[p][CUT] += score[i][CUT]
+    fit = [i for i in range(len(nodes)) if text[i] and not barred[i] and 2 * linked[i] < text[i]]
+    state = [CUT] * len(nodes)
+    if fit:
+        best = max(fit, key=lambda i: (score[i][INSIDE] - score[i][CUT], -i))
+        own = {best}
+        state[best] = INSIDE
+        for i in range(best + 1, len(nodes)):
+            if nodes[i].parent in own:
+                own.add(i)
+                if state[nodes[i].parent] == INSIDE and score[i][INSIDE] >= score[i][CUT]:
+                    state[i] = INSIDE
+    return state
+
+
 def extract_pages(pages: list[str | None], forest: Forest) -> list[str]:
     """Main texts of whole pages; null or empty pages give ''. Nodes of some pages at once are classified together."""
     out: list[str] = []
@@ -267,7 +299,10 @@ def extract_pages(pages: list[str | None], forest: Forest) -> list[str]:
         for nodes, pieces in held:
             state = decode(nodes, logp[at : at + len(nodes)]) if nodes else []
             at += len(nodes)
-            out.append(blocks(pieces, [s == INSIDE for s in state]))
+            text = blocks(pieces, [s == INSIDE for s in state])
+            if not text and pieces:
+                text = blocks(pieces, [s == INSIDE for s in rescued(nodes, pieces, logp[at - len(nodes) : at])])
+            out.append(text)
         held.clear()
 
     for page in pages:
@@ -284,7 +319,8 @@ def extract(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
     Input columns: page_id, url, html; others are ignored. Null or empty html gives an empty text. Pages may be
-    malformed or end anywhere. Repeated rows give repeated results, null ids and urls stay, an empty table
+    malformed, end anywhere, or hold no tags at all; where all text would be cut, the likeliest part that isn't a menu or a form stays. Texts of
+    any length are read whole, in time in proportion to them. Repeated rows give repeated results, null ids and urls stay, an empty table
     gives an empty result.
     """
     model = forest or default_forest()

@@ -12,7 +12,8 @@ import re
 
 import numpy as np
 
-PAGES = 1000
+#: Pages with boilerplate and a wrapped article, and pages whose content stands in the body or in one wrapper, with little about it or nothing.
+PAGES, BARE = 1000, 700
 # Names of page parts in other languages, and short or pieced-together ones, by the part they name.
 OTHER_NAMES = {
     "nav": "navigation hauptmenue navi menue menu-principal barre-navigation navegacion menu-lateral menyu nawigacja navigazione gnb lnb tnav",
@@ -157,8 +158,10 @@ class _Maker:
                 made.append(self.el("blockquote", 1, self.para() if r.random() < 0.5 else self.prose(1, 2)))
             elif k < 0.95:
                 made.append(self.el("table", 1, "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(3))))
-            elif k < 0.97:
+            elif k < 0.96:
                 made.append(self.el("pre", 1, self.words(4, 20)))
+            elif k < 0.97:
+                made.append(self.details())
             else:
                 made.append(self.el("figure", 1, "<img src=x>" + self.el("figcaption", 1, self.sentence())))
         for maker, p in ((self.ad, 0.15), (self.share, 0.1), (self.notice, 0.08), (self.comments, 0.08), (self.side, 0.07), (self.form, 0.06)):
@@ -196,20 +199,54 @@ class _Maker:
         return f'<html><head><title>{self.words(1, 5)}</title></head><body data-s="0">{body}</body></html>'
 
 
+    def bare(self) -> str:
+        """Content right in the body, in one wrapper, or without even a body."""
+        r = self.r
+        k = r.random()
+        if k < 0.25:
+            made = [self.el("h1", 1, self.words(1, 6))] * (r.random() < 0.5) + [self.el("p", 1, self.prose(1, r.choice([1, 1, 2, 4]))) for _ in range(r.randint(1, 4))]
+        elif k < 0.4:
+            made = [self.el("p", 1, self.words(1, 3)) for _ in range(r.randint(1, 6))]
+            if r.random() < 0.5:
+                made.insert(0, self.el(r.choice(["h1", "h2"]), 1, self.words(1, 4)))
+        else:
+            made = [self.content()]
+        if r.random() < 0.2:
+            made.insert(r.randint(0, len(made)), self.details())
+        core = "".join(made)
+        if r.random() < 0.3:
+            core = self.el(r.choice(["div", "main", "section", "article"]), 1, core, self.attrs("content", "text", "page", "wrapper", p=0.5))
+        for maker, p in ((self.nav, 0.2), (self.header, 0.1), (self.notice, 0.08)):
+            if r.random() < p:
+                core = maker() + core
+        for maker, p in ((self.footer, 0.2), (self.comments, 0.08), (self.ad, 0.08)):
+            if r.random() < p:
+                core += maker()
+        return core if r.random() < 0.3 else f'<html><body data-s="0">{core}</body></html>'
+
+    def details(self) -> str:
+        return self.el("details", 1, self.el("summary", 1, self.words(1, 6)) + (self.para() if self.r.random() < 0.7 else self.prose(1, 3)))
+
+
 def made_page(rng: random.Random) -> str:
     """A generated page with the state of each element in data-s."""
     return _Maker(rng).page()
 
 
-def training_set(pages: int = PAGES, seed: int = _SEED) -> tuple[np.ndarray, np.ndarray]:
+def bare_page(rng: random.Random) -> str:
+    """A generated page with hardly anything about its content."""
+    return _Maker(rng).bare()
+
+
+def training_set(pages: int = PAGES, seed: int = _SEED, bare: int = BARE) -> tuple[np.ndarray, np.ndarray]:
     """(features, states) of the nodes of generated pages."""
     from noteloom.llm.dom import parse
     from noteloom.llm.html_extract import node_features
 
     rng = random.Random(seed)
     xs, ys = [], []
-    for _ in range(pages):
-        marked = made_page(rng)
+    for k in range(pages + bare):
+        marked = made_page(rng) if k < pages else bare_page(rng)
         states: list[int] = []
         # the parser meets elements in the order of their marks; a probe attribute tells which become nodes
         numbered = _MARK.sub(lambda m: (states.append(int(m[1])) or f' itemprop="zz{"q" * len(states)}"'), marked)
