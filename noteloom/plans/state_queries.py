@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import dynamic, parsing, text
 from noteloom.functions.yamlio import dump_mapping
-from noteloom.operators import deltas, digest, memory, notes as note_views, properties, tasks, templates
+from noteloom.operators import deltas, digest, memory, merge, notes as note_views, properties, tasks, templates
 from noteloom.operators.memory_store import MemoryStore
 from noteloom.operators.search import best_notes
 from noteloom.operators.store import NoteStore, relinked
 from noteloom.plans import oracles
 from noteloom.sources import logsource, vault
 from noteloom.sources.log import Outbox, SequencedLog
-from noteloom.sources.places import Files, shared_dir
+from noteloom.sources.places import Files, shared_dir, written
 from noteloom.sources.vectors import BatchEmbedder, HashingEmbedder, VectorCache
 from noteloom.streaming import sync
 from noteloom.streaming.apply import Applier
@@ -186,6 +186,20 @@ def log_applied(s: SparkSession, d: str) -> DataFrame:
     return first.select(F.lit("edits wait").alias("state"), "note_id", "raw").union(store.raw().select(F.lit("edits sent"), "note_id", "raw"))
 
 
+def text_merge(s: SparkSession, d: str) -> DataFrame:
+    """Documents edited by four clients at once, and by one of them again after it has seen another's edits; all stay."""
+    docs = table(s, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("note_id"), F.concat(F.lit("."), F.coalesce("text", F.lit(""))).alias("text"))
+    text_of = lambda notes, value: notes.select("note_id", value.alias("text"))
+    first = merge.first_ops(docs)
+    a = merge.edits(first, text_of(docs, F.concat(F.lit("«a» "), "text")), "a")
+    b = merge.edits(first, text_of(docs, F.concat("text", F.lit(" ‹b›"))), "b")
+    c = merge.edits(first, text_of(docs, F.substring("text", 5, WHOLE)), "c")
+    e = merge.edits(first, text_of(docs, F.concat("text", F.lit(" ‹e›"))), "e")
+    seen = written(first.union(a).union(b), "seen")
+    again = merge.edits(seen, text_of(merge.merged(seen), F.concat(F.lit("[a "), F.substring("text", 5, WHOLE), F.lit(" a]"))), "a")
+    return merge.merged(again.union(e).union(c).union(seen).union(b)).select("note_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("length"))
+
+
 def outbox_pending(s: SparkSession, d: str) -> DataFrame:
     box = Outbox(s, _folder(s, "outbox"))
     rows = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("payload"), "event_type")
@@ -383,7 +397,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, outbox_pending, vector_cache, property_ops, task_filters,
+        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, text_merge, outbox_pending, vector_cache, property_ops, task_filters,
         memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
@@ -431,6 +445,8 @@ def oracle_sql() -> dict[str, str]:
         "log_applied": """WITH l AS (SELECT user_id, arg_max(CASE WHEN event_type <> 'error' THEN struct_pack(p := props) ELSE struct_pack(p := NULL) END, event_id).p AS raw FROM events GROUP BY user_id),
             n AS (SELECT user_id, 'u/' || user_id AS note_id, raw, user_id % 7 = 0 AND user_id % 11 <> 3 AS mine FROM l)
             SELECT 'edits wait' AS state, note_id, CASE WHEN mine THEN 'edited here' ELSE raw END AS raw FROM n WHERE mine OR raw IS NOT NULL UNION ALL SELECT 'edits sent', note_id, raw FROM n WHERE raw IS NOT NULL""",
+        "text_merge": """WITH m AS (SELECT 'd/' || doc_id AS note_id, '[a ' || substr('.' || coalesce(text, ''), 5) || ' ‹e› ‹b› a]' AS t FROM documents)
+            SELECT note_id, md5(t) AS digest, length(t) AS length FROM m""",
         "outbox_pending": "SELECT CAST(event_id AS VARCHAR) AS id, props AS payload FROM events WHERE event_type <> 'error'",
         "vector_cache": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS length, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS BIGINT) AS spaces FROM documents",
         "property_ops": f"""WITH e AS (SELECT 'e/' || event_id AS note_id, {k} AS k, event_type AS t FROM events)
