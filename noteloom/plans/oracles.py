@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 #: The search text of the registered queries.
 QUERY = "the ration of thering and the nation"
 _TERMS = ["the", "ration", "of", "thering", "and", "the", "nation"]
 
 #: Markdown notes for queries whose input the driver's tables don't have.
+#: Four kinds of Markdown notes, by doc_id % 4, as pieces: texts as they stand, and in braces what is put in of a document (see ``pieces``).
 MARKDOWN = [
-    ("projects/launch.md", "---\ntitle: Launch\ntags: [project, q3]\nstatus: active\ndue: 2026-08-01\n---\n# Launch\n## Timeline\nSee [[ideas|Ideas]] and [[specs/api#Auth]] #urgent\n- [ ] ship it \U0001f4c5 2026-08-10 #launch\n- [x] plan\n## Risks & more\n"),
-    ("ideas.md", "# Ideas\nBack to [[projects/launch]]. {{title}} {{ date }} {{owner}}\n* [ ] call due:2026-07-25 #phone\n  - [X] old one due:2026-08-11\n- [] not a task\n"),
-    ("specs/api.md", "---\ntags: api, draft\nstatus: draft\n---\nNo heading here. [[LAUNCH#^b1|top]] #draft\n- [ ] write docs\n"),
-    ("lonely.md", "---\nstatus: active\n---\njust text"),
+    "---\ntitle: Doc {id}\ntags: [{lang}, q3]\nstatus: {source}\ndue: 2026-08-01\n---\n# Launch {id}\n## Timeline\nSee [[docs/{next}|Ideas]] and [[docs/{second}#Auth]] #urgent\n- [ ] ship it \U0001f4c5 2026-08-{day} #launch\n- [x] plan\n## Risks & more\n{text}\n",
+    "# Ideas {id}\nBack to [[docs/{before}]]. {open}title{close} {open} date {close} {open}{lang}{close}\n* [ ] call due:2026-07-{day} #phone\n  - [X] old one due:2026-08-11\n- [] not a task\n{text}",
+    "---\ntags: api, {lang}\nstatus: draft\n---\nNo heading here. [[{last}#^b1|top]] #draft\n- [ ] write docs\n{text}",
+    "---\nstatus: active\n---\n{text}",
 ]
 
 
+def pieces(note: str) -> list[tuple[bool, str]]:
+    """(is a field, text or name) of a kind of note."""
+    return [(i % 2 == 1, part) for i, part in enumerate(re.split(r"\{(\w+)\}", note)) if part]
+
+
 def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -71,8 +79,13 @@ _EDGES = """e AS (SELECT 'nations/' || n.n_name AS src, 'regions/' || r.r_name A
   UNION ALL SELECT 'nations/' || a.n_name, 'nations/' || b.n_name, 1 FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey < 20)"""
 _PRES = "p AS (SELECT CAST(user_id AS VARCHAR) AS device, (epoch_us(ts) // 1000) AS ts, event_type = 'error' AS gone, event_id AS seq, event_type AS note_id FROM events)"
 _LAST = "last AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY device ORDER BY ts DESC, seq DESC) = 1)"
-_MD = "md(path, raw) AS (VALUES " + ", ".join(f"({_literal(p)}, {_literal(r)})" for p, r in MARKDOWN) + "), "
-_MD += """n AS (SELECT replace(path, '.md', '') AS id, raw, CASE WHEN starts_with(raw, '---' || chr(10)) THEN regexp_extract(raw, '(?s)^---\\n(.*?)\\n---\\n?(.*)$', 1) END AS fm,
+_FIELDS = {
+    "id": "doc_id", "lang": "lang", "source": "source", "next": "(doc_id + 1)", "second": "(doc_id + 2)", "before": "(doc_id - 1)", "last": "(doc_id - 2)", "day": "lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')",
+    "text": "coalesce(text, '')", "open": "'{{'", "close": "'}}'",
+}
+_KIND = lambda note: " || ".join(_FIELDS[p] if field else _literal(p) for field, p in pieces(note))
+_MD = "md AS (SELECT doc_id, 'docs/' || doc_id || '.md' AS path, CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_KIND(note)}" for k, note in enumerate(MARKDOWN)) + " END AS raw FROM documents), "
+_MD += """n AS (SELECT replace(path, '.md', '') AS id, doc_id, raw, CASE WHEN starts_with(raw, '---' || chr(10)) THEN regexp_extract(raw, '(?s)^---\\n(.*?)\\n---\\n?(.*)$', 1) END AS fm,
   CASE WHEN starts_with(raw, '---' || chr(10)) THEN regexp_extract(raw, '(?s)^---\\n(.*?)\\n---\\n?(.*)$', 2) ELSE raw END AS content FROM md)"""
 _MDLINES = "ln AS (SELECT id, i - 1 AS line, ls[i] AS l FROM (SELECT id, string_split(content, chr(10)) AS ls, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM n))"
 _MDHEAD = """hd AS (SELECT id, line, length(regexp_extract(l, '^(#{1,6})\\s', 1)) AS level, trim(regexp_extract(l, '^#{1,6}\\s+(.*)$', 1)) AS t FROM ln WHERE regexp_matches(l, '^#{1,6}\\s+\\S'))"""
@@ -187,10 +200,12 @@ def all_sql() -> dict[str, str]:
             SELECT id AS note_id, title, 'outline' AS format, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS token_count, truncated FROM y""",
         "template_schema": f"""WITH {_MD}, v AS (SELECT id, list_filter(regexp_extract_all(raw, '\\{{\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\}}', 1), lambda x: x NOT IN ('date', 'time', 'datetime')) AS vs FROM n)
             SELECT id AS name, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ',') AS vars FROM v""",
-        "vault_digest": f"""WITH {_MD}, {_MDLINES}, {_MDTASK},
+        "vault_digest": f"""WITH {_MD}, {_MDLINES}, {_MDTASK}, {_MDHEAD},
+            o AS (SELECT n.id, doc_id, coalesce(nullif(regexp_extract(fm, 'title: ([^\\n]*)', 1), ''), first(t ORDER BY line) FILTER (level = 1), regexp_extract(n.id, '([^/]*)$', 1)) AS title FROM n LEFT JOIN hd ON hd.id = n.id GROUP BY n.id, doc_id, fm),
+            e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + CASE a.doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -2 END UNION ALL SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 2 AND a.doc_id % 4 = 0),
             rec AS (SELECT 'v_' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS name, event_type || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS value FROM events ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, name DESC LIMIT 5)
             SELECT 'open_tasks' AS section, CASE WHEN due IS NULL THEN 'undated' WHEN due < '2026-08-10' THEN 'overdue' WHEN due = '2026-08-10' THEN 'today' ELSE 'upcoming' END AS name, CAST(count(*) AS VARCHAR) AS value FROM td WHERE NOT done GROUP BY 2
             UNION ALL SELECT 'status', regexp_extract(fm, 'status: ([^\\n]*)', 1), CAST(count(*) AS VARCHAR) FROM n WHERE contains(fm, 'status: ') GROUP BY 2
-            UNION ALL SELECT 'orphans', 'lonely', 'lonely' UNION ALL SELECT 'recent', name, value FROM rec""",
+            UNION ALL SELECT 'orphans', id, title FROM o WHERE doc_id NOT IN (SELECT x FROM e UNION ALL SELECT y FROM e) UNION ALL SELECT 'recent', name, value FROM rec""",
     }
     return sql

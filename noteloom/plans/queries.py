@@ -18,7 +18,7 @@ from noteloom.operators.search import dense_top_k
 from noteloom.plans import oracles, state_queries
 from noteloom.plans.oracles import MARKDOWN, QUERY
 from noteloom.sources import log
-from noteloom.sources.places import Files, shared_dir
+from noteloom.sources.places import Files, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,22 @@ def place_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_notes(made.union(r.select(F.concat(F.lit("regions/"), "r_name", F.lit(".md")), F.concat(F.lit("# "), "r_name"))))
 
 
-def markdown_notes(spark: SparkSession) -> DataFrame:
-    return parsing.parse_notes(spark.createDataFrame(MARKDOWN, "path string, raw string"))
+def markdown_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, raw): documents as Markdown notes of four kinds, with properties, headings, links, tags, tasks and placeholders about their text."""
+    k = F.col("doc_id")
+    fields = {
+        "id": k, "lang": F.col("lang"), "source": F.col("source"), "next": k + 1, "second": k + 2, "before": k - 1, "last": k - 2, "day": F.lpad((k % 28 + 1).cast("string"), 2, "0"), "text": F.coalesce("text", F.lit("")),
+        "open": F.lit("{{"), "close": F.lit("}}"),
+    }
+    raw = F.lit(None).cast("string")
+    for i, note in enumerate(MARKDOWN):
+        raw = F.when(k % 4 == i, F.concat(*[fields[p].cast("string") if field else F.lit(p) for field, p in oracles.pieces(note)])).otherwise(raw)
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), k.cast("string"), F.lit(".md")).alias("path"), raw.alias("raw"))
+
+
+def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # written first, as notes are: an expression that makes them would be repeated in each of the parser's
+    return parsing.parse_notes(written(markdown_raw(spark, sf_dir), "markdown"))
 
 
 _BUILT: dict[tuple[str, str], StoredIndex] = {}
@@ -288,29 +302,29 @@ def budget_by_language(s: SparkSession, d: str) -> DataFrame:
 
 
 def note_parse(s: SparkSession, d: str) -> DataFrame:
-    n = markdown_notes(s)
+    n = markdown_notes(s, d)
     heads = F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h.level.cast("string"), h.text, h.slug)), ";")
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("|", x.target, F.coalesce(x.heading, F.lit("-")), F.coalesce(x.block, F.lit("-")), F.coalesce(x["alias"], F.lit("-")))), ";")
     return n.select("id", "title", heads.alias("headings"), links.alias("links"), F.array_join("tags", ",").alias("tags"), F.length("content").cast("long").alias("length"))
 
 
 def task_extract(s: SparkSession, d: str) -> DataFrame:
-    found = tasks.list_tasks(markdown_notes(s), limit=1000)
+    found = tasks.list_tasks(markdown_notes(s, d), limit=2_147_483_647)
     return found.select("note_id", F.col("line").cast("long").alias("line"), "text", "done", "due", F.array_join("tags", ",").alias("tags"), "token_count")
 
 
 def note_outline(s: SparkSession, d: str) -> DataFrame:
-    return note_views.get_notes(markdown_notes(s), "outline", 6)
+    return note_views.get_notes(markdown_notes(s, d), "outline", 6)
 
 
 def template_schema(s: SparkSession, d: str) -> DataFrame:
-    return templates.templates(markdown_notes(s).select(F.col("id").alias("name"), "raw")).select("name", F.array_join("vars", ",").alias("vars"))
+    return templates.templates(markdown_notes(s, d).select(F.col("id").alias("name"), "raw")).select("name", F.array_join("vars", ",").alias("vars"))
 
 
 def vault_digest(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     audit = e.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("action"), F.format_string("v_%08d", "event_id").alias("version_id"))
-    return digest.digest(markdown_notes(s), audit, "2026-08-10")
+    return digest.digest(markdown_notes(s, d), audit, "2026-08-10")
 
 
 def queries() -> dict[str, Query]:
