@@ -75,6 +75,30 @@ def vault_templates(s: SparkSession, d: str) -> DataFrame:
     return vault.templates(s, _vault(s, d))
 
 
+def vault_delta(s: SparkSession, d: str) -> DataFrame:
+    """A vault of all documents, some then changed, removed and added: what a scan finds of it, opening changed files only."""
+    root = _folder(s, "vault")
+    docs = table(s, d, "documents")
+    place = F.concat(F.lit("by/"), "lang", F.lit("/_"), (F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    notes = docs.select(place.alias("path"), F.coalesce("text", F.lit("")).alias("raw"), F.col("doc_id").alias("k"))
+    vault.write_files(notes, root)
+    shadow = written(vault.scan(s, root).select("path", F.sha2("raw", 256).alias("hash"), "mtime_ms", "size"), "shadow")
+    longer = F.when(F.col("k") % 7 == 1, F.concat("raw", F.lit(" more"))).when(F.col("k") % 7 == 3, F.col("raw"))
+    vault.write_files(notes.where("k % 7 IN (1, 2, 3)").select("path", longer.alias("raw")), root)
+    vault.write_files(notes.where("k % 7 = 4").select(F.concat(F.lit("new/"), "path").alias("path"), "raw"), root)
+    delta, fresh = vault.scan_changes(s, root, shadow)
+    return delta.select("path", F.col("change").alias("value")).union(fresh.where("path LIKE 'new/%' OR raw LIKE '% more'").select("path", F.md5("raw")))
+
+
+def vault_lossy(s: SparkSession, d: str) -> DataFrame:
+    """Files of customers, of which every second one isn't UTF-8: decoded with a replacement character."""
+    root = _folder(s, "vault")
+    c = table(s, d, "customer")
+    odd = F.when(F.col("c_custkey") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    vault.write_files(c.select(F.concat("c_name", F.lit(".md")).alias("path"), F.concat(F.col("c_mktsegment").cast("binary"), odd).alias("raw")), root)
+    return vault.scan(s, root, lossy=True).select("path", "raw", "size")
+
+
 def store_changes(s: SparkSession, d: str) -> DataFrame:
     """Every kind of change on a store of nations: its notes, its audit by action, and one version's notes."""
     store = NoteStore(s, _folder(s, "store"))
@@ -251,7 +275,7 @@ def task_filters(s: SparkSession, d: str) -> DataFrame:
 
 def memory_rank(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment", "c_mktsegment").alias("content"))
-    return memory.rank(rows, "furniture customer building furniture").select("id", F.col("score").cast("long").alias("score"))
+    return memory.rank(rows, "furniture building furniture").select("id", F.col("score").cast("long").alias("score"))
 
 
 def note_full(s: SparkSession, d: str) -> DataFrame:
@@ -397,7 +421,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        vault_scan, vault_list, vault_memories, vault_templates, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, text_merge, outbox_pending, vector_cache, property_ops, task_filters,
+        vault_scan, vault_list, vault_memories, vault_templates, vault_delta, vault_lossy, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, text_merge, outbox_pending, vector_cache, property_ops, task_filters,
         memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
@@ -415,6 +439,10 @@ def oracle_sql() -> dict[str, str]:
         "vault_list": "SELECT 'n/' || n_name AS note_id, n_name AS title, 'n/' || n_name || '.md' AS path FROM nation",
         "vault_memories": "SELECT 'mem_' || r_regionkey AS id, 'user' AS type, 'k' || r_regionkey AS key, 'likes ' || r_name AS content FROM region",
         "vault_templates": "SELECT 't' || r_regionkey AS name, r_name || ' {{x}}' AS raw FROM region",
+        "vault_delta": """WITH n AS (SELECT 'by/' || lang || '/_' || (doc_id % 10) || '/' || doc_id || '.md' AS path, coalesce(text, '') AS raw, doc_id % 7 AS k FROM documents)
+            SELECT path, CASE k WHEN 1 THEN 'modified' ELSE 'deleted' END AS value FROM n WHERE k IN (1, 2) UNION ALL SELECT 'new/' || path, 'created' FROM n WHERE k = 4
+            UNION ALL SELECT path, md5(raw || ' more') FROM n WHERE k = 1 UNION ALL SELECT 'new/' || path, md5(raw) FROM n WHERE k = 4""",
+        "vault_lossy": "SELECT c_name || '.md' AS path, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(65533) ELSE '' END AS raw, strlen(c_mktsegment) + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS size FROM customer",
         "store_changes": f"""WITH n AS (SELECT n_name, {moved} AS m FROM nation)
             SELECT 'note' AS section, CASE n_name WHEN 'NATION_1' THEN 'n/ONE' ELSE 'n/' || n_name END AS name, CASE n_name
               WHEN 'NATION_2' THEN 'changed' || {nl} WHEN 'NATION_4' THEN 'raw text' WHEN 'NATION_5' THEN m || {nl} || '[[n/NATION_6]]' || {nl} || {nl}
@@ -458,7 +486,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'window' AS asked, note_id, 0::BIGINT AS line, text, due FROM a WHERE due >= '2024-02-05' AND due < '2024-02-09'
             UNION ALL SELECT 'tag', note_id, 0, text, due FROM a WHERE lang = 'de' UNION ALL SELECT 'done', note_id, 1, 'sort #' || source, NULL FROM a WHERE source = 'src0'
             UNION ALL SELECT 'note', note_id, 0, text, due FROM a WHERE doc_id = 7 UNION ALL SELECT 'note', note_id, 1, 'sort #' || source, NULL FROM a WHERE doc_id = 7""",
-        "memory_rank": "SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(CASE c_mktsegment WHEN 'FURNITURE' THEN 5 WHEN 'BUILDING' THEN 3 ELSE 1 END AS BIGINT) AS score FROM customer",
+        "memory_rank": "SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(CASE c_mktsegment WHEN 'FURNITURE' THEN 4 WHEN 'BUILDING' THEN 2 ELSE 0 END AS BIGINT) AS score FROM customer",
         "note_full": """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS note_id, coalesce(text, '') AS w, substr(coalesce(text, ''), 1, 80) AS s FROM documents), z AS (SELECT *, length(s) - instr(reverse(s), ' ') AS cut FROM c),
             y AS (SELECT note_id, length(w) > 80 AS truncated, CASE WHEN length(w) <= 80 THEN w ELSE regexp_replace(CASE WHEN instr(s, ' ') > 0 AND cut > 0 THEN substr(s, 1, cut) ELSE s END, '[\\s\\x0b\\x{85}\\x{a0}]+$', '') END AS content FROM z)
             SELECT note_id, 'full' AS format, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS token_count, truncated FROM y""",

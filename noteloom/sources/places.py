@@ -126,8 +126,8 @@ class Files:
         """Hadoop's status of the file or of the files in the folder."""
         return list(self.fs().listStatus(self.path()))
 
-    def walk(self, suffix: str, skip: str) -> Iterator[str]:
-        """Full paths of files below the root that end in ``suffix``, without folders named ``skip``.
+    def walk_status(self, suffix: str, skip: str) -> Iterator:
+        """Hadoop's status of the files below the root whose names end in ``suffix``, without folders named ``skip``.
 
         Unlike Spark's listing this sees names that begin with a dot or an underscore.
         """
@@ -136,9 +136,8 @@ class Files:
         todo = [self.path()]
         while todo:
             for s in self.fs().listStatus(todo.pop()):
-                p = s.getPath()
                 if s.isDirectory():
-                    if p.getName() != skip:
-                        todo.append(p)
-                elif p.getName().endswith(suffix):
-                    yield p.toString()
+                    if s.getPath().getName() != skip:
+                        todo.append(s.getPath())
+                elif s.getPath().getName().endswith(suffix):
+                    yield s

@@ -6,74 +6,172 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.parsing import body, frontmatter_block, parse_notes
 from noteloom.functions.yamlio import parse_mapping
+from noteloom.operators.deltas import scan_delta, unchanged_files
 from noteloom.operators.memory import SCHEMA, valid
-from noteloom.sources.places import Files
+from noteloom.sources.places import Files, written
 
 #: The engine's own folder in a vault.
 OWN_DIR = ".noteloom"
-_PATHS_PER_READ = 20_000
-#: Paths without characters that mean something in patterns or addresses.
-_PLAIN = re.compile(r"[\w/.,:=@+~ -]+")
+#: Bytes of files that a task hands on at once, and rows of a listing.
+_READ_BYTES, _LISTED = 8 << 20, 10_000
+_LISTING = "path string, folder boolean, mtime_ms long, size long"
 
 
-_FILES = "path string, modificationTime timestamp, length long, content binary"
+def _known(root: str) -> bool:
+    """Whether executors can reach a place by Arrow's filesystems."""
+    from pyarrow import fs
 
+    try:
+        fs.FileSystem.from_uri(_quoted(root))
+    except (pa.ArrowInvalid, NotImplementedError):
+        return False
+    return True
 
-def _binary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, modificationTime, length, content) of files; names that Spark's reader hides or takes for patterns are read by Arrow."""
-    odd = [p for p in paths if p.rsplit("/", 1)[-1].startswith(("_", ".")) or not _PLAIN.fullmatch(p)]
-    plain = sorted(set(paths) - set(odd))
-    out = spark.createDataFrame([], _FILES)
-    for lo in range(0, len(plain), _PATHS_PER_READ):
-        out = out.unionByName(spark.read.format("binaryFile").load(plain[lo : lo + _PATHS_PER_READ]))
-    if odd:
-        out = out.unionByName(spark.createDataFrame([(p,) for p in odd], "path string").mapInPandas(_read_odd, _FILES))
-    return out
 
+def _quoted(root: str) -> str:
+    scheme, colon, rest = root.partition(":")
+    return f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}" if colon else f"file://{quote(root)}"
 
-def _read_odd(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from urllib.parse import quote
 
-    from pyarrow import fs
+def listing(spark: SparkSession, root: str, own_dir: str = OWN_DIR, suffix: str = ".md") -> DataFrame:
+    """(path, mtime_ms, size) of the files below ``root``, paths relative to it; folders named ``own_dir`` are left out.
 
-    for pdf in frames:
-        rows = []
-        for path in pdf["path"]:
-            scheme, _, rest = path.partition(":")
-            store, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}")
-            info = store.get_file_info(place)
-            with store.open_input_stream(place) as f:
-                rows.append((path, pd.Timestamp(info.mtime), info.size, f.read()))
-        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+    The executors list all folders of a depth at once, so there is a round for each level of the tree, and the driver sees
+    whether a level has folders. Names that Spark's own listing hides, as they begin with '.' or '_', are names like others. A store that Arrow
+    doesn't know is listed by the driver. A missing root has no files.
+    """
+    base = root.rstrip("/")
+    if not _known(base):
+        files = Files(spark, base)
+        cut = len(files.fs().makeQualified(files.path()).toString()) + 1
+        rows = ((s.getPath().toString()[cut:], s.getModificationTime(), s.getLen()) for s in files.walk_status(suffix, own_dir))
+        return spark.createDataFrame(list(rows), "path string, mtime_ms long, size long")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(_quoted(base))
+        for pdf in frames:
+            for folder in pdf["path"]:
+                held = []
+                for info in store.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"), allow_not_found=True)):
+                    held.append((f"{folder}/{info.base_name}".lstrip("/"), not info.is_file, (info.mtime_ns or 0) // 1_000_000, info.size or 0))
+                    if len(held) == _LISTED:
+                        yield pd.DataFrame(held, columns=["path", "folder", "mtime_ms", "size"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["path", "folder", "mtime_ms", "size"])
+
+    todo, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        level = written(todo.mapInPandas(run, _LISTING), "listing")
+        files = level.where(~F.col("folder") & F.endswith("path", F.lit(suffix))).select("path", "mtime_ms", "size")
+        found = files if found is None else found.union(files)
+        below = level.where(F.col("folder") & (F.substring_index("path", "/", -1) != own_dir)).select("path")
+        if not below.limit(1).count():
+            return found
+        todo = below.repartition(spark.sparkContext.defaultParallelism, "path")
+
+
+def read_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """``files`` (path, mtime_ms, size) with their content, read by the executors; files that have gone meanwhile are left out."""
+    base = root.rstrip("/")
+    if not _known(base):
+        paths = [f"{base}/{r.path}" for r in files.select("path").collect()]
+        got = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("__p"), "content") if paths else spark.createDataFrame([], "__p string, content binary")
+        return files.join(got, F.endswith("__p", F.concat(F.lit("/"), "path"))).select("path", "mtime_ms", "size", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(_quoted(base))
+        for batch in batches:
+            keep, content, held = [], [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with store.open_input_stream(f"{top}/{path}") as f:
+                        content.append(f.read())
+                except FileNotFoundError:
+                    continue
+                keep.append(i)
+                held += len(content[-1])
+                if held >= _READ_BYTES:
+                    yield _with_content(batch, keep, content)
+                    keep, content, held = [], [], 0
+            if keep:
+                yield _with_content(batch, keep, content)
+
+    return files.select("path", "mtime_ms", "size").repartition("path").mapInArrow(run, "path string, mtime_ms long, size long, content binary")
+
+
+def _with_content(batch: pa.RecordBatch, keep: list[int], content: list[bytes]) -> pa.RecordBatch:
+    rows = batch.take(pa.array(keep))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(content, pa.binary())], names=[*batch.schema.names, "content"])
 
 
 def scan(spark: SparkSession, root: str, own_dir: str = OWN_DIR, lossy: bool = False) -> DataFrame:
     """(path, raw, mtime_ms, size) of all notes below ``root``, paths relative to it.
 
-    Files that are not UTF-8 are skipped, or decoded with replacement characters if ``lossy``. A missing root has no
-    notes. Folders are listed here, as Spark's own listing leaves out names that begin with '.' or '_', which
-    are notes' folders like others; contents are read by the executors.
+    Files that are not UTF-8 are skipped, or decoded with replacement characters if ``lossy``. A missing root has no notes.
     """
-    base = root.rstrip("/")
-    files = list(Files(spark, base).walk(".md", own_dir))
+    return _decoded(read_files(spark, root, listing(spark, root, own_dir)), lossy)
+
+
+def _decoded(files: DataFrame, lossy: bool) -> DataFrame:
     text = F.make_valid_utf8(F.col("content").cast("string")) if lossy else F.try_validate_utf8(F.col("content").cast("string"))
-    rows = _binary(spark, files).select("path", text.alias("raw"), (F.unix_millis("modificationTime")).alias("mtime_ms"), F.col("length").alias("size"))
-    plain = base.split(":", 1)[-1].lstrip("/") if ":" in base else base.lstrip("/")
-    relative = F.expr(f"substring(path, locate({_lit(plain + '/')}, path) + {len(plain) + 1})")
-    return rows.where("raw IS NOT NULL").select(relative.alias("path"), "raw", "mtime_ms", "size")
+    return files.select("path", text.alias("raw"), "mtime_ms", "size").where("raw IS NOT NULL")
 
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def scan_changes(spark: SparkSession, root: str, shadow: DataFrame, own_dir: str = OWN_DIR, lossy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(delta, fresh): how a vault differs from a shadow (path, hash, mtime_ms, size), and the notes (path, raw, mtime_ms, size) that were read for it.
+
+    Files whose time and size are the shadow's are taken as unchanged and not opened. ``delta`` (path, change) says 'created', 'modified' or
+    'deleted' of the others by their contents; a file that was only touched is in ``fresh`` alone.
+    """
+    now = written(listing(spark, root, own_dir), "listing")
+    same = unchanged_files(now.withColumnRenamed("path", "key"), shadow.withColumnRenamed("path", "key")).select(F.col("key").alias("path"))
+    fresh = written(_decoded(read_files(spark, root, now.join(same, "path", "left_anti")), lossy), "fresh")
+    there = fresh.select(F.col("path").alias("key"), F.sha2("raw", 256).alias("hash")).union(shadow.join(same, "path", "left_semi").select("path", "hash"))
+    return scan_delta(there, shadow.select(F.col("path").alias("key"), "hash")).withColumnRenamed("key", "path"), fresh
+
+
+def write_files(notes: DataFrame, root: str) -> int:
+    """Write (path, raw) rows, text or binary, as files below ``root``, by the executors; a null raw removes the file. Returns how many.
+
+    A file is written aside and renamed, so readers see the old one or the new one and a repeated task does no harm.
+    """
+    base = root.rstrip("/")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(_quoted(base))
+        for pdf in frames:
+            for path, raw in zip(pdf["path"], pdf["raw"], strict=True):
+                place = f"{top}/{path}"
+                if raw is None:
+                    if store.get_file_info(place).is_file:
+                        store.delete_file(place)
+                    continue
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                aside = f"{place}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(aside) as f:
+                    f.write(raw.encode() if isinstance(raw, str) else bytes(raw))
+                store.move(aside, place)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return notes.select("path", "raw").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def notes(spark: SparkSession, root: str, own_dir: str = OWN_DIR) -> DataFrame:
