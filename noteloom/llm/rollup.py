@@ -146,10 +146,13 @@ class TokenRollup:
         return self._publish(f"base={number:08d}", _sum(self._rows(base, batches)), {"batches": ids, "replaced": tables})
 
     def vacuum(self) -> None:
-        """Remove the tables that the newest base has replaced; call it when no reader is at work on them."""
-        base, _ = self._records()
-        for table in base["replaced"] if base else ():
-            remove(self.spark, f"{self.path}/{table}")
+        """Remove the tables that any base has replaced; call it when no reader is at work on them."""
+        fs, root = hadoop_path(self.spark, f"{self.path}/records")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        for name in names:
+            if re.fullmatch(r"base=\d+", name):
+                for table in json.loads(read_text(self.spark, f"{self.path}/records/{name}"))["replaced"]:
+                    remove(self.spark, f"{self.path}/{table}")
 
 
 def _sum(rows: DataFrame) -> DataFrame:

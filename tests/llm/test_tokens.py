@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from noteloom.llm import rollup, sentencepieces, shards
+from noteloom.llm import common, rollup, sentencepieces, shards
 from noteloom.llm.queries import piece_model
 
 TEXTS = [
@@ -204,3 +204,16 @@ def test_shards_take_repeated_rows_long_texts_and_clashing_names(spark, model, t
     rows = shards.write_shards(docs, piece_model(), f"file://{tmp_path}/s", key=3, length=64, per_shard=100).collect()
     total = sum(len(model.encode(r.text)) + 1 for r in docs.collect())
     assert len(rows) == -(-total // 64) and sorted(r.slot for r in rows) == list(range(len(rows))) and sum(r.n_tokens for r in rows) == total
+
+
+def test_vacuum_leaves_the_tables_of_the_newest_base_only(spark):
+    store = rollup.TokenRollup(spark, common.new_dir(spark, "rollup"))
+    rows = spark.createDataFrame([("s", "l", "t", 1, 2, 3)], rollup._SCHEMA)
+    for batch in "ab":
+        store.commit(batch, rows)
+        store.compact()
+    want = sorted(map(tuple, store.totals().collect()))
+    store.vacuum()
+    fs, root = common.hadoop_path(spark, store.path)
+    assert len([s for s in fs.listStatus(root) if s.getPath().getName().startswith("table-")]) == 1
+    assert sorted(map(tuple, store.totals().collect())) == want
