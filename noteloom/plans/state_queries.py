@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.errors import EngineError
 from noteloom.functions import dynamic, parsing, text
 from noteloom.functions.yamlio import dump_mapping
 from noteloom.operators import deltas, digest, memory, merge, notes as note_views, properties, tasks, templates
@@ -354,6 +355,29 @@ def tool_envelopes(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "session string, tool string, code string")
 
 
+def tool_answers(s: SparkSession, d: str) -> DataFrame:
+    """What tools, a plugin with its hook, and a session's scope answer over a vault of the nations and regions."""
+    from noteloom.plans.registry import Engine, Plugins, check_manifest
+
+    root, told = _folder(s, "engine"), []
+    engine = Engine(s, root)
+    engine.import_vault(_vault(s, d))
+    plugins = Plugins(engine)
+    plugins.register({"name": "p", "entry": "p.py", "tools": ["list_templates", "create_from_template"], "hooks": ["note_saved"]}, lambda call, given: told.append(given["notes"]) if "hook" in given else [call(t, a) for t, a in given["calls"]])
+    calls = [("list_templates", {}), ("create_from_template", {"template": "t1", "note_id": "made/one", "vars": {"x": "here"}}), ("create_from_template", {"template": "t2", "note_id": "q"}), ("list_notes", {})]
+    listed, made, missing, denied = plugins.run("p", {"calls": calls})["data"]
+    rows = [("template", t["name"], ",".join(t["vars"])) for t in listed["data"]["templates"]]
+    rows += [("made", str(made["ok"]), engine.dispatch("get_note", {"note_id": "made/one", "format": "full"})["data"]["content"]), ("missing", missing["error"]["code"], ""), ("denied", denied["error"]["code"], "")]
+    rows += [("saved", name, "") for names in told for name in names]
+    rows += [("note", n["note_id"], n["title"]) for n in engine.dispatch("list_notes")["data"]["notes"]]
+    rows += [("scope", e.dispatch("capabilities")["data"]["permissions"]["scope"], "") for e in (engine, Engine(s, root, read_only=True))]
+    try:
+        check_manifest({"name": "q", "entry": "q.py", "tools": ["tag"]}, True)
+    except EngineError as e:
+        rows.append(("manifest", e.code, ""))
+    return s.createDataFrame(rows, "what string, name string, value string")
+
+
 def hash_vectors(s: SparkSession, d: str) -> DataFrame:
     """The hashed vectors of the benchmark: buckets in use, the largest weight, the length."""
     made = HashingEmbedder().embed(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
@@ -422,7 +446,7 @@ def benchmark_recall(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         vault_scan, vault_list, vault_memories, vault_templates, vault_delta, vault_lossy, store_changes, store_bulk, memory_store, audit_recent, status_counts, log_roundtrip, log_stream, log_overtaken, log_applied, text_merge, outbox_pending, vector_cache, property_ops, task_filters,
-        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
+        memory_rank, note_full, note_frontmatter, version_clip, bulk_texts, tool_envelopes, tool_answers, hash_vectors, document_parse, stream_presence, stream_entitlements, presence_sessions, safe_changes, benchmark_recall,
     ]
     return {f.__name__: f for f in found}
 
@@ -505,6 +529,9 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT * FROM r UNION ALL SELECT * FROM w)
             SELECT 'write' AS session, tool, code FROM a WHERE code IS NOT NULL UNION ALL SELECT 'read', tool, code FROM r UNION ALL SELECT 'read', tool, 'PERMISSION_DENIED' FROM w
             UNION ALL SELECT 'one', tool, CASE tool WHEN 'capabilities' THEN 'OK' ELSE 'PERMISSION_DENIED' END FROM a""",
+        "tool_answers": """SELECT 'template' AS what, 't' || r_regionkey AS name, 'x' AS value FROM region UNION ALL SELECT 'made', 'True', (SELECT r_name || ' here' || chr(10) FROM region WHERE r_regionkey = 1)
+            UNION ALL SELECT 'note', 'n/' || n_name, n_name FROM nation UNION ALL SELECT 'note', 'made/one', 'one'
+            UNION ALL SELECT * FROM (VALUES ('missing', 'MISSING_VARS', ''), ('denied', 'PERMISSION_DENIED', ''), ('saved', 'made/one', ''), ('scope', 'read-write', ''), ('scope', 'read-only', ''), ('manifest', 'INVALID_MANIFEST', ''))""",
         "hash_vectors": f"""WITH qc AS (SELECT NULL::VARCHAR AS token WHERE false), counts AS (SELECT id, token, count(*) AS n FROM ({oracles._TOKENS.format(id='item_id', text='text', table='benchmark')}) WHERE token <> '' GROUP BY id, token), {oracles._VECTORS}
             SELECT id AS item_id, count(*) AS buckets, round(CAST(max(tf) AS DOUBLE) / sqrt(CAST(sum(tf * tf) AS DOUBLE)), 6) AS top, 1.0::DOUBLE AS length FROM vec GROUP BY id""",
         "document_parse": """WITH d AS (SELECT doc_id, lang, '# Doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## End & more' || chr(10) || 'to [[docs/' || (doc_id + 1) || '#top|next]] #t2' || chr(10) AS c FROM documents),
