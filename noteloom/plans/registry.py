@@ -18,6 +18,7 @@ from noteloom.operators.index import StoredIndex
 from noteloom.operators.memory_store import MemoryStore
 from noteloom.operators.search import mode_of
 from noteloom.operators.store import NoteStore, check_id
+from noteloom.plans import sandbox
 from noteloom.sources import vault
 
 VERSION = "0.1.0"
@@ -298,22 +299,25 @@ def check_manifest(manifest: dict[str, Any], read_only: bool) -> dict[str, Any]:
 
 
 class Plugins:
-    """Python callables that reach the engine through an allowlist of tools."""
+    """Python callables that reach the engine through an allowlist of tools.
 
-    def __init__(self, engine: Engine):
-        self.engine = engine
-        self._found: dict[str, tuple[dict[str, Any], Callable]] = {}
+    A plugin runs in a process of its own, within bounds of time and memory (``sandbox``); one registered as ``trusted`` runs in this one.
+    """
+
+    def __init__(self, engine: Engine, cpu_s: int = sandbox.CPU_S, memory: int = sandbox.MEMORY, wait_s: float = sandbox.WAIT_S):
+        self.engine, self.limits = engine, {"cpu_s": cpu_s, "memory": memory, "wait_s": wait_s}
+        self._found: dict[str, tuple[dict[str, Any], Callable, bool]] = {}
         engine.store.after_commit.append(self._saved)
 
-    def register(self, manifest: dict[str, Any], function: Callable[[Callable, dict[str, Any]], Any]) -> None:
+    def register(self, manifest: dict[str, Any], function: Callable[[Callable, dict[str, Any]], Any], trusted: bool = False) -> None:
         """The function gets (call, input); call(tool, args) returns an envelope and is held to the manifest's tools."""
-        self._found[manifest["name"]] = (check_manifest(manifest, self.engine.read_only), function)
+        self._found[manifest["name"]] = (check_manifest(manifest, self.engine.read_only), function, trusted)
 
     def run(self, name: str, given: dict[str, Any]) -> dict[str, Any]:
-        """The plugin's answer in an envelope; what it raises is a trap, what isn't JSON breaks the contract."""
+        """The plugin's answer in an envelope; what it raises or exceeds is a trap, what isn't JSON breaks the contract."""
         if name not in self._found:
             return {"ok": False, "error": EngineError("INVALID_INPUT", f"There is no plugin {name!r}.").as_dict()}
-        manifest, function = self._found[name]
+        manifest, function, trusted = self._found[name]
         allowed = set(manifest.get("tools") or [])
         calls = 0
 
@@ -325,7 +329,11 @@ class Plugins:
             return self.engine.dispatch(tool, args, allowed)
 
         try:
-            answer = function(call, given)
+            answer = function(call, given) if trusted else sandbox.run(function, given, call, PLUGIN_BYTES, **self.limits)
+        except sandbox.BadAnswer as e:
+            return {"ok": False, "error": EngineError("PLUGIN_ABI", str(e)).as_dict()}
+        except sandbox.Trap as e:
+            return {"ok": False, "error": EngineError("PLUGIN_TRAP", str(e)).as_dict()}
         except Exception as e:
             return {"ok": False, "error": EngineError("PLUGIN_TRAP", f"{type(e).__name__}: {e}").as_dict()}
         try:
@@ -337,6 +345,6 @@ class Plugins:
             return {"ok": False, "error": EngineError("PLUGIN_ABI", str(e)).as_dict()}
 
     def _saved(self, notes: list[str]) -> None:
-        for name, (manifest, _) in self._found.items():
+        for name, (manifest, _, _) in self._found.items():
             if "note_saved" in (manifest.get("hooks") or []):
                 self.run(name, {"hook": "note_saved", "notes": notes})

@@ -363,7 +363,7 @@ def tool_answers(s: SparkSession, d: str) -> DataFrame:
     engine = Engine(s, root)
     engine.import_vault(_vault(s, d))
     plugins = Plugins(engine)
-    plugins.register({"name": "p", "entry": "p.py", "tools": ["list_templates", "create_from_template"], "hooks": ["note_saved"]}, lambda call, given: told.append(given["notes"]) if "hook" in given else [call(t, a) for t, a in given["calls"]])
+    plugins.register({"name": "p", "entry": "p.py", "tools": ["list_templates", "create_from_template"], "hooks": ["note_saved"]}, lambda call, given: told.append(given["notes"]) if "hook" in given else [call(t, a) for t, a in given["calls"]], trusted=True)
     calls = [("list_templates", {}), ("create_from_template", {"template": "t1", "note_id": "made/one", "vars": {"x": "here"}}), ("create_from_template", {"template": "t2", "note_id": "q"}), ("list_notes", {})]
     listed, made, missing, denied = plugins.run("p", {"calls": calls})["data"]
     rows = [("template", t["name"], ",".join(t["vars"])) for t in listed["data"]["templates"]]

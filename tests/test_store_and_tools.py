@@ -124,7 +124,7 @@ def test_vault_and_tools(spark, tmp_path):
     assert {ro.dispatch(t, {})["error"]["code"] for t in WRITE_TOOLS} == {"PERMISSION_DENIED"}
 
     plugins, seen = Plugins(e), []
-    plugins.register({"name": "p", "entry": "p.py", "tools": ["list_notes"], "hooks": ["note_saved"]}, lambda c, x: seen.append(x) or {"n": len(c("list_notes")["data"]["notes"]), "denied": c("forget", {})["error"]["code"]})
+    plugins.register({"name": "p", "entry": "p.py", "tools": ["list_notes"], "hooks": ["note_saved"]}, lambda c, x: seen.append(x) or {"n": len(c("list_notes")["data"]["notes"]), "denied": c("forget", {})["error"]["code"]}, trusted=True)
     assert plugins.run("p", {})["data"] == {"n": 3, "denied": "PERMISSION_DENIED"}
     ok("create_note", note_id="n1", content="x")
     assert seen[-1] == {"hook": "note_saved", "notes": ["n1"]}
@@ -291,7 +291,7 @@ def test_plugins_have_limits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "PLUGIN_BYTES", 100)
     plugins = Plugins(Engine(spark, f"file://{tmp_path}/e"))
     plugins.register({"name": "loop", "entry": "l.py", "tools": ["capabilities"]}, lambda c, x: [c("capabilities") for _ in range(4)])
-    plugins.register({"name": "big", "entry": "b.py"}, lambda c, x: "x" * 200)
+    plugins.register({"name": "big", "entry": "b.py"}, lambda c, x: "x" * 20_000)
     assert plugins.run("loop", {})["error"]["code"] == "PLUGIN_TRAP" and plugins.run("big", {})["error"]["code"] == "PLUGIN_ABI"
 
 
@@ -369,3 +369,30 @@ def test_an_edit_updates_the_search_index_by_its_own_notes(spark, tmp_path, monk
     e.dispatch("revert", {"version_id": v})
     assert "m" not in hits("shared") and indexed == [1, 1, 0]
     assert {h["note_id"] for h in e.dispatch("search", {"query": "word5", "top_k": 1})["data"]["hits"]} == {"n5"}
+
+
+def test_plugins_end_within_their_bounds_and_the_engine_lives(spark, tmp_path):
+    import time
+
+    plugins = Plugins(Engine(spark, f"file://{tmp_path}/e"), cpu_s=1, memory=128 << 20, wait_s=6)
+
+    def endless(call, given):
+        while True:
+            pass
+
+    def asleep(call, given):
+        time.sleep(600)
+
+    def large(call, given):
+        return len(bytearray(1 << 30))
+
+    def printing(call, given):
+        print("not a message")
+        return {"tools": len(call("capabilities")["data"]["tools"]), "denied": call("forget", {"memory_id": "x"})["error"]["code"], "given": given}
+
+    for f in (endless, asleep, large, printing):
+        plugins.register({"name": f.__name__, "entry": "p.py", "tools": ["capabilities"]}, f)
+    for name in ("endless", "asleep", "large"):
+        start = time.monotonic()
+        assert plugins.run(name, {})["error"]["code"] == "PLUGIN_TRAP" and time.monotonic() - start < 30, name
+    assert plugins.run("printing", {"a": 1})["data"] == {"tools": len(TOOLS), "denied": "PERMISSION_DENIED", "given": {"a": 1}}
