@@ -124,7 +124,7 @@ class LayeredTable(Records):
         return lines.select("n", F.from_json("value", fields).alias("e")).select("n", "e.*")
 
     def changed_since(self, number: int) -> DataFrame | None:
-        """The keys changed after a record, each with ``__gone`` of some change; None where that isn't told by layers of their own."""
+        """The keys changed after a record, each once; None where layers of their own don't tell them."""
         names = []
         for n in range(number + 1, self.newest()["number"] + 1):
             record, before = self._record(n), self._record(n - 1)["layers"] if n > 1 else []
