@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from noteloom.operators import merge
 from noteloom.operators.postings import bucket_postings, local_tokens, local_vectors, norms, token_counts
 from noteloom.plans import state_queries
 
@@ -27,3 +28,22 @@ def test_index_postings_are_made_without_a_shuffle(spark):
     assert sorted(map(tuple, tokens.drop("folder").collect())) == sorted(map(tuple, counts.select("token", "id", "n").collect()))
     plain = bucket_postings(counts)
     assert sorted(map(tuple, vectors.collect())) == sorted(map(tuple, plain.join(norms(plain), "id").select("bucket", "id", "tf", "squared").collect()))
+
+
+def test_differences_of_texts_of_many_words_go_by_words_that_come_once(monkeypatch):
+    """What changed at both ends of a text of some hundred words isn't searched for by comparing all its words with all."""
+    compared = []
+    plain = merge.SequenceMatcher
+    monkeypatch.setattr(merge, "SequenceMatcher", lambda junk, x, y, autojunk: compared.append(len(x) * len(y)) or plain(junk, x, y, autojunk=autojunk))
+    old = " ".join(f"w{i % 150 if i % 3 else i}" for i in range(400))
+    parts = merge.splices(f"«a {old} b›", f"[a {old} c]")
+    assert sum(n for _, n, _ in parts) <= 4 and sum(len(t) for _, _, t in parts) <= 4
+    assert max(compared) <= merge.DIRECT**2
+    same = "to be or not " * 60  # no word comes once
+    assert sum(n for _, n, _ in merge.splices(f"« {same} ›", f"[ {same} ]")) <= 4
+
+
+def test_merging_takes_many_notes_in_a_task(spark):
+    first = merge.first_ops(spark.createDataFrame([("a", "x")], "note_id string, text string"))
+    for plan in (_shuffled(merge.merged(first)), _shuffled(merge.edits(first, first.select("note_id", "text"), "c"))):
+        assert "InArrow" in plan and "GroupsInArrow" not in plan and "CoGroup" not in plan
