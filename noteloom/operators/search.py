@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import estimate_tokens, query_buckets, query_tokens, snippet, tokenize
 from noteloom.operators.budget import greedy
 from noteloom.operators.postings import bucket_postings, literal_counts, token_counts
-from noteloom.sources.places import checkpointed
+from noteloom.sources.places import checkpointed, written
 
 MODES = ("hybrid", "lexical", "semantic")
 MIN_SIMILARITY = 0.15
@@ -122,10 +122,11 @@ def cosines(sums: DataFrame, counts: Counter[int]) -> DataFrame:
 def best_notes(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): the best text (id, text) of each query (query_id, text) by lexical score, ties by id.
 
-    Many queries at once, by one join of token counts and a maximum that is partly taken before the shuffle.
+    Many queries at once. Texts are dealt by id once, so counts and scores need no shuffle of postings, and of the scores only the
+    best of each part is shuffled. The queries' counts are written first: their size is then known, and a small table is broadcast.
     """
-    asked = token_counts(queries, "query_id", "text").select(F.col("id").alias("query_id"), "token", F.col("n").alias("q"))
-    held = token_counts(texts, "id", "text")
+    asked = written(token_counts(queries, "query_id", "text").select(F.col("id").alias("query_id"), "token", F.col("n").alias("q")), "asked")
+    held = token_counts(texts.select("id", "text").repartition("id"))
     scores = held.join(asked, "token").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("n")).alias("score"))
     best = scores.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("d"))).alias("b"))
     return best.select("query_id", (-F.col("b.d")).alias("id"), F.col("b.score").alias("score"))

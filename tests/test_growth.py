@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from noteloom.operators import merge
 from noteloom.operators.postings import bucket_postings, local_tokens, local_vectors, norms, token_counts
+from noteloom.operators.search import best_notes
 from noteloom.plans import state_queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,11 @@ def test_merging_takes_many_notes_in_a_task(spark):
     first = merge.first_ops(spark.createDataFrame([("a", "x")], "note_id string, text string"))
     for plan in (_shuffled(merge.merged(first)), _shuffled(merge.edits(first, first.select("note_id", "text"), "c"))):
         assert "InArrow" in plan and "GroupsInArrow" not in plan and "CoGroup" not in plan
+
+
+def test_best_notes_shuffle_texts_once_and_no_postings(spark):
+    texts = spark.createDataFrame([(i, f"alpha {'beta ' * i}") for i in range(4)] + [(9, None)], "id long, text string")
+    asked = spark.createDataFrame([("p", "beta"), ("q", "alpha zzz"), ("r", "zzz")], "query_id string, text string")
+    found = best_notes(texts, asked)
+    assert sorted(map(tuple, found.collect())) == [("p", 3, 3), ("q", 0, 1)]
+    assert _shuffled(found).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
