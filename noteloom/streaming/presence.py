@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from noteloom.streaming.folds import newest
+
 TTL_MS = 45_000
 #: How long the time of a departure is remembered, so that older updates that come late don't bring a device back.
 FORGET_MS = 24 * 3_600_000
@@ -73,6 +75,8 @@ def presence(updates: DataFrame, ttl_ms: int | None = None, initial: DataFrame |
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     seq = "cast(seq as long) seq" if "seq" in updates.columns else "0L seq"
     rows = updates.selectExpr("device", "cast(ts as long) ts", seq, "coalesce(gone, false) gone", "note_id", "coalesce(editing, false) editing")
+    # rows without a number sort behind those with one, as in the fold
+    rows = newest(rows.where("ts IS NOT NULL").selectExpr("device", "ts", "coalesce(seq, 9223372036854775807) seq", "gone", "note_id", "editing"), "device", [("ts", "descending"), ("seq", "descending")], True)
     before = None if initial is None else initial.selectExpr("device", "cast(ts as long) ts", "note_id", "coalesce(editing, false) editing").groupBy("device")
     mode = "none" if ttl_ms is None else "processingTime"
     return rows.groupBy("device").transformWithStateInPandas(_Presence(ttl_ms, forget_ms), OUTPUT, "Update", mode, before)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
+
 from noteloom.operators import merge
 from noteloom.operators.postings import bucket_postings, local_tokens, local_vectors, norms, token_counts
 from noteloom.operators.search import best_notes
 from noteloom.plans import state_queries
+from noteloom.streaming.folds import newest
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,12 @@ def test_best_notes_shuffle_texts_once_and_no_postings(spark):
     found = best_notes(texts, asked)
     assert sorted(map(tuple, found.collect())) == [("p", 3, 3), ("q", 0, 1)]
     assert _shuffled(found).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+
+
+def test_stateful_folds_get_the_newest_rows_of_a_task_only(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x"), ("a", 3, 1, "y"), ("a", 3, 1, "z"), ("a", 3, 0, "v"), (None, 2, 2, "n"), ("b", 0, 0, None)] * 50, "key string, ts long, seq long, value string").coalesce(1)
+    late = newest(rows, "key", [("ts", "descending"), ("seq", "descending")], True)
+    assert sorted(map(str, late.collect())) == sorted(map(str, [Row(key="a", ts=3, seq=1, value="z"), Row(key=None, ts=2, seq=2, value="n"), Row(key="b", ts=0, seq=0, value=None)]))
+    early = newest(rows, "key", [("ts", "descending"), ("seq", "ascending")], False)
+    assert {(r.key, r.value) for r in early.collect()} == {("a", "v"), (None, "n"), ("b", None)}
+    assert newest(rows.where("ts > 9"), "key", [("ts", "descending")], True).count() == 0
