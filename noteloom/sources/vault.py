@@ -196,9 +196,11 @@ def templates(spark: SparkSession, root: str, own_dir: str = OWN_DIR) -> DataFra
 def audit_log(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
     """The last entries of a JSON-lines audit file, newest first; malformed lines are left out.
 
-    Later lines are newer. Line numbers come from positions in the file, as one file is one log.
+    Later lines are newer, and those of a later file of a folder, by name, are newer than those of an earlier one. Places in a file come from
+    where its part of it begins and the order within, so no task reads all.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place")).where("value <> ''")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("place")).where("value <> ''")
     parsed = lines.select("place", F.try_parse_json("value").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
     fields = [F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("ts", "action", "version_id", "change_id", "scope", "origin")]
     made = parsed.select("place", *fields, F.try_variant_get("v", "$.notes", "array<string>").alias("notes")).where("action IS NOT NULL AND version_id IS NOT NULL")

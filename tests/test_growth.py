@@ -8,6 +8,7 @@ from noteloom.operators import merge
 from noteloom.operators.postings import bucket_postings, local_tokens, local_vectors, norms, token_counts
 from noteloom.operators.search import best_notes
 from noteloom.plans import state_queries
+from noteloom.sources import vault
 from noteloom.streaming.folds import newest
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,10 @@ def test_stateful_folds_get_the_newest_rows_of_a_task_only(spark):
     early = newest(rows, "key", [("ts", "descending"), ("seq", "ascending")], False)
     assert {(r.key, r.value) for r in early.collect()} == {("a", "v"), (None, "n"), ("b", None)}
     assert newest(rows.where("ts > 9"), "key", [("ts", "descending")], True).count() == 0
+
+
+def test_audit_log_of_several_files_is_in_their_order(spark, tmp_path):
+    """Small later files and a large earlier one, which Spark's readers take first."""
+    for name, ids in (("part-00000", range(0, 500)), ("part-00001", range(500, 502)), ("part-00002", range(502, 550))):
+        (tmp_path / f"{name}-x.txt").write_text("".join(f'{{"action": "a", "version_id": "{i}"}}\n' for i in ids) + "broken\n")
+    assert [int(r.version_id) for r in vault.audit_log(spark, f"file://{tmp_path}", 60).collect()] == list(range(549, 489, -1))
