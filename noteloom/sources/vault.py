@@ -153,25 +153,26 @@ def write_files(notes: DataFrame, root: str) -> int:
     """
     base = root.rstrip("/")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(_quoted(base))
-        for pdf in frames:
-            for path, raw in zip(pdf["path"], pdf["raw"], strict=True):
-                place = f"{top}/{path}"
-                if raw is None:
+        for batch in batches:
+            # one content at a time, as a view of the batch
+            for path, raw in zip(batch.column("path"), batch.column("raw"), strict=True):
+                place = f"{top}/{path.as_py()}"
+                if not raw.is_valid:
                     if store.get_file_info(place).is_file:
                         store.delete_file(place)
                     continue
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 aside = f"{place}.{uuid.uuid4().hex}.tmp"
                 with store.open_output_stream(aside) as f:
-                    f.write(raw.encode() if isinstance(raw, str) else bytes(raw))
+                    f.write(raw.as_buffer())
                 store.move(aside, place)
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
 
-    return notes.select("path", "raw").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return notes.select("path", "raw").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def notes(spark: SparkSession, root: str, own_dir: str = OWN_DIR) -> DataFrame:

@@ -76,3 +76,9 @@ def test_audit_log_of_several_files_is_in_their_order(spark, tmp_path):
     for name, ids in (("part-00000", range(0, 500)), ("part-00001", range(500, 502)), ("part-00002", range(502, 550))):
         (tmp_path / f"{name}-x.txt").write_text("".join(f'{{"action": "a", "version_id": "{i}"}}\n' for i in ids) + "broken\n")
     assert [int(r.version_id) for r in vault.audit_log(spark, f"file://{tmp_path}", 60).collect()] == list(range(549, 489, -1))
+
+
+def test_files_are_written_without_copies_of_whole_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a/ü.md", "tëxt"), ("b.md", ""), ("c.md", None)], "path string, raw string")
+    assert vault.write_files(rows, f"file://{tmp_path}") == 3 and (tmp_path / "a/ü.md").read_text() == "tëxt" and (tmp_path / "b.md").read_text() == ""
+    assert vault.write_files(rows.selectExpr("path", "cast(null as binary) raw"), f"file://{tmp_path}") == 3 and not list(tmp_path.rglob("*.md"))
