@@ -1,6 +1,6 @@
 """Tables that change in layers: a base, and small overlays of changed rows, named by a log of records.
 
-    data/<name>         a layer, as Parquet
+    data/<name>         a layer, as Parquet; a layer may also be a column of rows that lie elsewhere under the root, see ``adopt``
     log/<n>.json        the n-th record: the layers that make up the table after the n-th change, and what the change was
 
 A record is created as a whole under a name that wasn't there, after its layers are written, and is the change's only commit:
@@ -15,7 +15,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,29 +65,50 @@ class LayeredTable(Records):
         self.key = key
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def read(self, at: dict[str, Any] | None = None) -> DataFrame:
-        """The table after the newest change, or after that of a record from ``newest``."""
-        return self._rows((at or self.newest())["layers"])
+    def read(self, at: dict[str, Any] | None = None, values: dict[str, Column] | None = None) -> DataFrame:
+        """The table after the newest change, or after that of a record from ``newest``.
 
-    def _rows(self, layers: list[str]) -> DataFrame:
+        ``values``: the key and these columns instead of all. They are made in each layer, before layers are joined, so
+        what they don't hold is never shuffled.
+        """
+        return self._rows((at or self.newest())["layers"], values)
+
+    @staticmethod
+    def _place(name: str) -> str:
+        return name.split(":")[0] if ":" in name else f"data/{name}"
+
+    def _layer(self, name: str) -> DataFrame:
+        """The rows of a layer after the base, with the mark of removed ones."""
+        if ":" not in name:
+            return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(_GONE, T.BooleanType())])).parquet(f"{self.root}/data/{name}")
+        place, column = name.split(":")
+        (value,) = [f for f in self.schema.fields if f.name != self.key]
+        rows = self.spark.read.schema(T.StructType([self.schema[self.key], T.StructField(column, value.dataType)])).parquet(f"{self.root}/{place}")
+        return rows.select(self.key, F.col(column).alias(value.name), F.col(column).isNull().alias(_GONE))
+
+    def _rows(self, layers: list[str], values: dict[str, Column] | None = None) -> DataFrame:
+        names = [self.key, *values] if values is not None else self.schema.names
+        cols = [F.col(self.key), *[v.alias(n) for n, v in values.items()]] if values is not None else [F.col(c) for c in names]
         if not layers:
-            return self.spark.createDataFrame([], self.schema)
-        base = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{layers[0]}")
+            return self.spark.createDataFrame([], self.schema).select(*cols)
+        base = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{layers[0]}").select(*cols)
         if len(layers) == 1:
             return base
-        wide = T.StructType([*self.schema.fields, T.StructField(_GONE, T.BooleanType())])
-        row = F.struct(*self.schema.names, _GONE).alias("row")
-        over = [self.spark.read.schema(wide).parquet(f"{self.root}/data/{name}").select(F.col(self.key).alias("k"), F.lit(i).alias("i"), row) for i, name in enumerate(layers[1:])]
-        every = over[0]
-        for one in over[1:]:
-            every = every.union(one)
-        last = every.groupBy("k").agg(F.max_by("row", "i").alias("row"))
-        kept = base.join(last.select(F.col("k").alias(self.key)), self.key, "left_anti").select(*self.schema.names)
-        return kept.union(last.where(~F.col(f"row.{_GONE}")).select(*[F.col(f"row.{c}") for c in self.schema.names]))
+        over = [self._layer(name).select(*cols, _GONE) for name in layers[1:]]
+        last = over[0]  # a key comes once in a layer
+        if len(over) > 1:
+            row = F.struct(*[c for c in names if c != self.key], _GONE).alias("row")
+            every = None
+            for i, one in enumerate(over):
+                part = one.select(self.key, F.lit(i).alias("i"), row)
+                every = part if every is None else every.union(part)
+            last = every.groupBy(self.key).agg(F.max_by("row", "i").alias("row")).select(self.key, "row.*")
+        kept = base.join(last.select(self.key), self.key, "left_anti").select(*names)
+        return kept.union(last.where(~F.col(_GONE)).select(*names))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"layer-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/data/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{name}")
         return name
 
     def replace(self, rows: DataFrame, **what: Any) -> None:
@@ -104,6 +125,15 @@ class LayeredTable(Records):
         layers = now["layers"] or [self._write(self.spark.createDataFrame([], self.schema))]
         self._commit(now["number"] + 1, [*layers, self._write(rows.select(*self.schema.names, F.coalesce(_GONE, F.lit(False)).alias(_GONE)))], what)
 
+    def adopt(self, place: str, column: str, at: dict[str, Any] | None = None, **what: Any) -> None:
+        """``overlay`` by rows that a folder ``place`` under the root has already, so they aren't written twice.
+
+        For tables of a key and one value: ``column`` is the value, null where the key is removed. The folder must stay.
+        """
+        now = at or self.newest()
+        layers = now["layers"] or [self._write(self.spark.createDataFrame([], self.schema))]
+        self._commit(now["number"] + 1, [*layers, f"{place}:{column}"], what)
+
     def merge(self) -> bool:
         """Write a new base if there are more layers than ``LAYERS``; False if there are not, or if another writer came first."""
         now = self.newest()
@@ -130,9 +160,9 @@ class LayeredTable(Records):
             record, before = self._record(n), self._record(n - 1)["layers"] if n > 1 else []
             if "merged" in record:
                 continue
-            if not before or record["layers"][:-1] != before or not self.files.exists(f"data/{record['layers'][-1]}"):
+            if not before or record["layers"][:-1] != before or not self.files.exists(place := self._place(record["layers"][-1])):
                 return None
-            names.append(record["layers"][-1])
+            names.append(place)
         if not names:
             return self.spark.createDataFrame([], f"{self.key} string")
-        return self.spark.read.schema(f"{self.key} string").parquet(*[f"{self.root}/data/{name}" for name in names]).distinct()
+        return self.spark.read.schema(f"{self.key} string").parquet(*[f"{self.root}/{name}" for name in names]).distinct()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from noteloom.errors import EngineError
 from noteloom.operators import merge
 from noteloom.operators.postings import bucket_postings, local_tokens, local_vectors, norms, token_counts
 from noteloom.operators.search import best_notes
+from noteloom.operators.store import OPS, NoteStore
 from noteloom.plans import state_queries
 from noteloom.sources import vault
 from noteloom.streaming.folds import newest
@@ -82,3 +86,30 @@ def test_files_are_written_without_copies_of_whole_batches(spark, tmp_path):
     rows = spark.createDataFrame([("a/ü.md", "tëxt"), ("b.md", ""), ("c.md", None)], "path string, raw string")
     assert vault.write_files(rows, f"file://{tmp_path}") == 3 and (tmp_path / "a/ü.md").read_text() == "tëxt" and (tmp_path / "b.md").read_text() == ""
     assert vault.write_files(rows.selectExpr("path", "cast(null as binary) raw"), f"file://{tmp_path}") == 3 and not list(tmp_path.rglob("*.md"))
+
+
+def test_a_table_of_ops_is_stored_once_and_texts_are_not_shuffled_for_links_or_digests(spark, tmp_path):
+    """Overlays of bulk changes, renames and reverts are columns of the histories; a rename's ops hold no texts but the renamed note's."""
+    s = NoteStore(spark, f"file://{tmp_path}/s")
+    files = {"x/hub": "me [[hub]]", "y/Hub": "no", **{f"n{i}": f"---\nk: {i}\n---\n[[HUB]] and [[x/hub#a|b]] and [[y/Hub]] {i}" for i in range(6)}}
+    s.load(spark.createDataFrame(list(files.items()), "note_id string, raw string"))
+    ops = spark.createDataFrame([(1, "update", "n0", "first", None, None), (2, "setraw", "n0", None, None, "last"), (3, "delete", "n1", None, None, None), (4, "setraw", "new", None, None, "")], OPS)
+    s.apply_many(ops)
+    want = {k: v for k, v in files.items() if k != "n1"} | {"n0": "last", "new": ""}
+    assert {r.note_id: r.raw for r in s.raw().collect()} == want
+    assert {r.note_id: r.n for r in s.each(n=F.length("raw")).collect()} == {k: len(v) for k, v in want.items()}
+    held = s.rename_ops("x/hub", "z").collect()
+    assert {r.note_id: r.content for r in held} == {"z": "me [[z]]", "x/hub": None, "n2": None, "n3": None, "n4": None, "n5": None}
+    done = s.rename("x/hub", "z")
+    assert done["links_updated_in"] == 4
+    moved = {r.note_id: r.raw for r in s.raw().collect()}
+    assert moved == {k: v for k, v in want.items() if k not in ("x/hub", "n2", "n3", "n4", "n5")} | {"z": "me [[z]]\n"} | {f"n{i}": f"---\nk: {i}\n---\n[[z]] and [[z#a|b]] and [[y/Hub]] {i}\n" for i in range(2, 6)}
+    s.revert(done["version_id"])
+    assert {r.note_id: r.raw for r in s.raw().collect()} == want and len(s.files.names("data")) == 1
+    assert {r.note_id for r in s.table.changed_since(2).collect()} == {"x/hub", "z", "n2", "n3", "n4", "n5"}
+    s.vacuum(1)
+    assert s.raw().count() == len(want)
+    # an earlier op of a note that can't be done refuses the set, whatever the last one is
+    with pytest.raises(EngineError) as e:
+        s.apply_many(spark.createDataFrame([(1, "create", "n2", "x", None, None), (2, "update", "n2", "y", None, None)], OPS))
+    assert e.value.code == "CONFLICT" and "'n2'" in str(e.value)
