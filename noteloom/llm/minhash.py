@@ -13,8 +13,8 @@
 4. Components of these links are nearly the classes. Where a bucket still holds several
    components, pairs across components are compared by signature in blocks of bounded size (the members outside its largest
    component with that one and among themselves, so a large group costs a few copies of each member), and those
-   that could reach the threshold are checked by their shingle sets in the same block, without a cap;
-   only links leave the block. So every pair that shares a
+   that could reach the threshold are checked by their shingle sets in the same block, without a cap, in the
+   first band that they share; only links leave the block. So every pair that shares a
    bucket is either linked, in one class already, or refuted.
 
 Nothing is collected: nodes, links and labels stay in tables in the shared folder.
@@ -38,6 +38,7 @@ from noteloom.llm.textvec import mix64, row_hash, sequence_hash, shingles, span_
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+BAND_BITS = 5
 #: Leaders that each node checks before the search across components.
 TRIES = 4
 #: Signature similarity under which a pair is taken as refuted: five standard deviations below 0.8.
@@ -115,13 +116,20 @@ def _throw(h, row, weight, bound, sig, k, seed) -> None:
         flat[spot[first]] = dart[first]
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(n, bands) bucket keys; the band's number is part of the key."""
+def band_keys(small: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) bucket keys of signatures of a byte for each coordinate; a key's lowest bits are the band's number.
+
+    Two texts share a bucket where the bytes of a band agree, so their signatures tell which buckets they share.
+    """
+    if bands > 1 << BAND_BITS:
+        raise ValueError(f"at most {1 << BAND_BITS} bands")
+    band = np.arange(bands, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros((len(sig), bands), np.uint64)
+        out = np.zeros((len(small), bands), np.uint64)
         for r in range(rows):
-            out = mix64(out + sig[:, r::rows][:, :bands] + np.uint64(r + 1))
-        return mix64(out + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            out = mix64(out + small[:, r::rows][:, :bands] + np.uint64(r + 1))
+        out = mix64(out + (band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return (out >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band).view(np.int64)
 
 
 def _weigh(h: np.ndarray, row: np.ndarray, weighting: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +165,9 @@ def signatures(docs: DataFrame, carried: list[str], weighting: str = "set", band
                 h, owner = shingles(words, row, n, shingle)
                 eh, erow, weight = _weigh(h, owner, weighting)
                 sig = dart_signature(eh, erow, weight, n, k)
-                keys = band_keys(sig, bands, rows)
-                empty = np.bincount(erow, minlength=n) == 0
                 small = (mix64(sig) >> np.uint64(56)).astype(np.uint8)
+                keys = band_keys(small, bands, rows)
+                empty = np.bincount(erow, minlength=n) == 0
                 cols = [batch.column(i + 1).slice(lo, n) for i in range(len(carried))]
                 cols += [
                     pa.array(f1.view(np.int64)),
@@ -245,13 +253,43 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _occurrences(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Elements of sorted multisets as (hash, which of its like), so a multiset's similarity is that of a set."""
+    at = np.arange(len(sets))
+    new = np.ones(len(sets), bool)
+    new[1:] = sets[1:] != sets[:-1]
+    new[offs[:-1][np.diff(offs) > 0]] = True
+    return sets.astype(np.uint64) << np.uint64(32) | (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+
+
+def _alike(elements: np.ndarray, offs: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` reach the threshold with ``one``; row r's elements are ``elements[offs[r] : offs[r + 1]]``, sorted, one at least."""
+    mine = elements[offs[one] : offs[one + 1]]
+    n = offs[others + 1] - offs[others]
+    ends = np.cumsum(n)
+    theirs = elements[np.arange(ends[-1]) + np.repeat(offs[others] - (ends - n), n)]
+    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+    common = np.add.reduceat(hit.astype(np.int64), ends - n)
+    return common / (len(mine) + n - common) >= THRESHOLD
+
+
 def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
     """Links across components in one cell of a bucket; after the first between two components, the
-    others between these two add nothing and are not looked for."""
+    others between these two add nothing and are not looked for.
+
+    Texts of two components are compared in each bucket that they share, so they are left to the one of the first band.
+    """
     nid, comp, size, side = (cell[k] for k in ("nid", "comp", "size", "side"))
     cross = cell["j"][0] < 0  # between the bucket's base and other members, so each pair is in one cell only
+    band = int(cell["key"][0]) & (1 << BAND_BITS) - 1
     sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(len(nid), -1)
-    sets = cell["elements"]
+    packed = np.zeros((len(nid), band), np.uint64)  # of each band before this one
+    for r in range(ROWS):
+        packed = packed << np.uint64(8) | sig[:, r::ROWS][:, :band]
+    packed = np.asfortranarray(packed)
+    sets = np.frombuffer(b"".join(cell["elements"]), np.uint32)
+    offs = np.concatenate([[0], np.cumsum([len(e) // 4 for e in cell["elements"]])])
+    elements = _occurrences(sets, offs)
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -264,19 +302,32 @@ def _block_links(cell: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
     rights = np.flatnonzero(side != 0) if (side > 0).any() else lefts
     if not len(rights):
         return a_out, b_out
-    rsig, rcomp, rsize, rnid = sig[rights], comp[rights], size[rights], nid[rights]
+    rsig, rcomp, rsize, rnid, rpacked = sig[rights], comp[rights], size[rights], nid[rights], np.asfortranarray(packed[rights])
     for i in lefts:
-        near = np.flatnonzero((rcomp != comp[i]) & (cross | (rnid > nid[i])) & (np.minimum(rsize, size[i]) >= THRESHOLD * np.maximum(rsize, size[i])))
+        fit = (rcomp != comp[i]) & (cross | (rnid > nid[i])) & (np.minimum(rsize, size[i]) >= THRESHOLD * np.maximum(rsize, size[i]))
+        for b in range(band):
+            if not fit.any():
+                break
+            fit &= rpacked[:, b] != packed[i, b]
+        near = np.flatnonzero(fit)
         if not len(near):
             continue
         est = (rsig[near] == sig[i]).mean(axis=1)
         near, est = near[est >= DOUBT], est[est >= DOUBT]
-        for j in near[np.argsort(-est)]:
-            x, y = find(int(comp[i])), find(int(rcomp[j]))
-            if x != y and set_similarity(sets[i], sets[rights[j]]) >= THRESHOLD:
-                root[max(x, y)] = min(x, y)
-                a_out.append(min(int(nid[i]), int(rnid[j])))
-                b_out.append(max(int(nid[i]), int(rnid[j])))
+        near = near[np.argsort(-est)]
+        lo, step = 0, 4
+        while lo < len(near):
+            some = near[lo : lo + step]
+            lo, step = lo + step, step * 4
+            if root:
+                own = find(int(comp[i]))
+                some = some[[find(int(c)) != own for c in rcomp[some]]]
+            for j in some[_alike(elements, offs, i, rights[some])] if len(some) else ():
+                x, y = find(int(comp[i])), find(int(rcomp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a_out.append(min(int(nid[i]), int(rnid[j])))
+                    b_out.append(max(int(nid[i]), int(rnid[j])))
     return a_out, b_out
 
 
@@ -288,7 +339,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links(part: pa.Table) -> pa.RecordBatch:
         key = np.stack([part.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        cols = {k: part.column(k).to_numpy() for k in ("nid", "comp", "size", "side", "j")} | {k: np.array(part.column(k).to_pylist() + [None], object)[:-1] for k in ("sig", "elements")}
+        cols = {k: part.column(k).to_numpy() for k in ("key", "nid", "comp", "size", "side", "j")} | {k: np.array(part.column(k).to_pylist() + [None], object)[:-1] for k in ("sig", "elements")}
         a_all, b_all = [], []
         for lo, hi in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
             if hi - lo > 1:

@@ -158,3 +158,63 @@ def test_components(spark):
     got = {r.node: r.comp for r in graph.components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(30)}
     assert graph.components(edges.where("false")).count() == 0
+
+
+def _cells(texts):
+    """Rows of the cells of one block of every bucket that holds all ``texts``, each a component of its own."""
+    import pyarrow as pa
+
+    from noteloom.llm.common import text_buffers
+    from noteloom.llm.textvec import mix64, span_hash, word_spans
+    from noteloom.llm.textvec import shingles as hashed
+
+    buf, offs = text_buffers(pa.array(texts))
+    starts, ends, row = word_spans(buf, offs)
+    h, owner = hashed(span_hash(buf, starts, ends), row, len(texts), 5)
+    h, owner, w = minhash._weigh(h, owner, "count")
+    small = (mix64(minhash.dart_signature(h, owner, w, len(texts), minhash.BANDS * minhash.ROWS)) >> np.uint64(56)).astype(np.uint8)
+    keys = minhash.band_keys(small, minhash.BANDS, minhash.ROWS)
+    payload = next(iter(minhash._with_elements("count")(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([x.tobytes() for x in small]), pa.array(texts)], names=["nid", "sig", "text"])])))).to_pylist()
+    rows = []
+    for key in sorted({int(k) for k in keys.ravel()}):
+        inside = [r for r in range(len(texts)) if key in keys[r]]
+        rows += [{"key": key, "i": 0, "j": 0, "side": -1, "comp": r} | payload[r] for r in inside if len(inside) > 1]
+    names = ["key", "i", "j", "side", "nid", "comp", "size", "sig", "elements"]
+    return pa.RecordBatch.from_pylist(rows).select(names), keys
+
+
+def test_pairs_of_many_shared_buckets_are_compared_in_the_first(monkeypatch):
+    """Texts of similarity 0.7 to 0.9 share many buckets; each pair is checked once, and the links are those of brute force."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(40):
+        t = list(base)
+        for _ in range(1 + k % 3):
+            t[r.randrange(120)] = f"z{k}"
+        texts.append(" ".join(t + (["again"] * 9 if k % 5 == 0 else [])))
+    batch, keys = _cells(texts)
+    checked = []
+    plain = minhash._alike
+
+    def counted(elements, offs, one, others):
+        checked.append(len(others))
+        return plain(elements, offs, one, others)
+
+    monkeypatch.setattr(minhash, "_alike", counted)
+    sharing = [(i, j) for i in range(40) for j in range(i) if (keys[i] == keys[j]).any()]
+    assert sum(int((keys[i] == keys[j]).sum()) for i, j in sharing) > 3 * len(sharing)
+    got = {(a, b) for out in minhash._across(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert len(got) > 10 and sum(checked) <= len(sharing)
+    sets = {x["nid"]: x["elements"] for x in batch.to_pylist()}
+    alike = {(j, i) for i, j in sharing if minhash.set_similarity(sets[i], sets[j]) >= minhash.THRESHOLD}
+    assert got <= alike
+
+    def classes(links):
+        label = list(range(40))
+        for _ in range(40):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert classes(got) == classes(alike)
