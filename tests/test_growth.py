@@ -113,3 +113,31 @@ def test_a_table_of_ops_is_stored_once_and_texts_are_not_shuffled_for_links_or_d
     with pytest.raises(EngineError) as e:
         s.apply_many(spark.createDataFrame([(1, "create", "n2", "x", None, None), (2, "update", "n2", "y", None, None)], OPS))
     assert e.value.code == "CONFLICT" and "'n2'" in str(e.value)
+
+
+def test_merged_texts_are_shuffled_once_whatever_the_clients(spark):
+    """Texts move to the ops of four clients once, and stay there for what one of them types after it; differences alone are written."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = state_queries.text_merge(spark, SF)
+        plan = _shuffled(out).split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") <= 3  # ops by note, those by the key of the join, and the notes
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        want = docs.selectExpr("'d/' || doc_id", "'[a ' || substr('.' || coalesce(text, ''), 5) || ' ‹e› ‹b› a]' t").selectExpr("*", "md5(t)", "length(t)").drop("t")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ops_are_received_by_the_notes_that_are_known(spark):
+    notes = merge.opened(spark.createDataFrame([("n1", "one two"), ("n2", None), (None, "three"), ("n4", "four")], "note_id string, text string"))
+    drafts = notes.withColumn("text", F.concat(F.lit("«"), F.col("ops")[0]["text"]))
+    a = merge.sent(merge.typed(drafts, "a", ["note_id"]))
+    b = merge.sent(merge.typed(notes.where("note_id = 'n1'").withColumn("text", F.lit("one 2")), "b", ["note_id"]))
+    assert {r.kind for r in a.collect()} == {"ins"} and max(len(r.text) for r in a.collect()) == 1
+    other = b.withColumn("note_id", F.lit("unknown"))
+    for ops in (a.union(b).union(other), b.union(other).union(a).union(b)):
+        out = merge.shown(merge.received(notes, ops), ["note_id"])
+        assert {r.note_id: r.text for r in out.collect()} == {"n1": "«one 2", "n2": "«", None: "«three", "n4": "«four"}
+    assert {r.text for r in merge.shown(merge.received(notes, a.where("false")), ["note_id"]).collect()} == {"one two", "", "three", "four"}
