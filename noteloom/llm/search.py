@@ -1,20 +1,22 @@
 """Exact top-k search with BM25: sharded inverted indexes, block-max WAND pruning, an exact merge.
 
-A shard holds some thousand whole documents, in an order that puts like ones together. Each term has a posting list in
-that order, cut at every ``BLOCK`` places, so blocks of different lists cover the same documents; of each block the
-index knows the largest impact, of each list too. One query goes over a shard in these steps:
+A shard holds some thousand whole documents, of one kind (as of one language) where a task has enough of it, in an order that puts
+like ones together. Each term has a posting list in that order, cut at every ``BLOCK`` places, so blocks of different lists cover the same
+documents; of each block the index knows the largest impact, of each list and each zone of blocks too. Some queries go over a shard at
+once, each in these steps:
 
 1. List bounds: if the most that the query's lists can give doesn't add up to the threshold, the shard is left out.
-2. Short lists are one block and are read. The few frequent lists are kept as impacts by document, and their part is added for
-   some queries at once by a matrix product.
-3. Block bounds: shallow cursors of the other lists go over the block maxima, without reading postings. A block is entered only
-   if it has a document that can reach the threshold: what it has from step 2 and the maxima of all other lists. This is the
-   pivot test of WAND, made for all blocks at once; the others are skipped in all lists.
-4. The cursors read the postings of the blocks left. Blocks that hold a document at the threshold are scored in full, and the threshold
-   rises to the k-th best score.
-
-Cursors move over blocks as arrays. No document at or above the threshold is passed over, so results are exact. The
-threshold starts from the k-th best score over the shards searched before, a few, then a sixth, then all, which can only be too low.
+2. Short lists are one block and are read. If no zone can reach the threshold with what they give and the maxima of the others, the
+   shard is left out.
+3. The few frequent lists are kept as impacts by document, and their part is added for all these queries by a matrix product.
+4. Block bounds: a block of the other lists is entered only if it has a document that can reach the threshold: what it has from
+   steps 2 and 3 and the maxima of all other lists. This is the pivot test of WAND, made for all blocks at once; the
+   others are skipped in all lists.
+5. The postings of the blocks left are read. What a document has by then is its score up to rounding, so the k-th best of it raises the
+   threshold, and only documents that reach that are scored, by their own postings.
+
+No document at or above the threshold is passed over, so results are exact. The threshold starts from the k-th best score over the shards
+searched before, a few, then a sixth, then all, which can only be too low. A task is a shard and a share of the queries.
 
 Scores use statistics of the whole corpus (documents, mean length, document frequencies), so those of
 shards compare, and the merge of each shard's best is the exact result. Queries are files of bounded size in the shared
@@ -26,6 +28,7 @@ case.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -41,21 +44,25 @@ from noteloom.llm.textvec import span_hash
 K1, B = 1.2, 0.75
 #: Documents of a shard (65,536 at most, as places are 16-bit numbers), and postings from which it is closed before.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 4_000_000, 16
+#: Kinds of documents that a task tells apart, and frequent words by which it does.
+KINDS, MARKS = 4, 128
 #: Share of a shard's documents from which a list is kept as impacts by document, and postings up to which a list is one block.
 FREQUENT, SHORT = 0.07, 256
 #: Queries whose frequent lists are added up in one matrix product.
-TOGETHER = 64
+TOGETHER = 256
 #: Bounds are raised by so much against rounding.
 SLACK = 1 + 1e-4
-#: Blocks of the largest bounds that are scored first where no threshold is known.
-FIRST = 8
+#: Blocks of a zone, postings of documents that are scored at once, and documents that are scored one by one.
+ZONE, AT_ONCE, FEW = 32, 1 << 18, 16
 #: Query terms in one file of queries, about 16 bytes each.
-QUERY_TERMS = 1_000_000
+QUERY_TERMS = 250_000
+#: Tasks for each core, where a wave has fewer shards than that; each then takes a share of the files of queries.
+TASKS = 2
 #: Shards that are searched first, for the first thresholds.
 SEED_SHARDS = 2
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_SHARD = "shard long, n_docs long, length long, path string"
+_SHARD = "shard long, n_docs long, length long, kinds long, path string"
 _ARRAYS = ["ids", "known", "dl", "vocab", "df", "docs", "tfs"]
 
 
@@ -84,38 +91,85 @@ def _counted(terms: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r[at], t[at], np.diff(np.append(at, len(t)))
 
 
+class _Kinds:
+    """Kinds of documents, told by their frequent words as languages are; learned from the first documents of a task.
+
+    A kind only says which documents share a shard, so that few queries have to do with it; hits don't depend on it.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, n: int):
+        vocab, df = np.unique(term, return_counts=True)
+        self.marks = np.sort(vocab[np.argsort(-df, kind="stable")[:MARKS]])
+        x = self._marked(row, term, n)
+        # seeds: documents with the commonest word, then with the commonest one of those without it, and so on
+        left, seeds = x.any(axis=1), []
+        while left.any() and len(seeds) < KINDS:
+            mine = left & (x[:, (x[left] > 0).sum(axis=0).argmax()] > 0)
+            seeds.append(x[mine].mean(axis=0))
+            left &= ~mine
+        self.centres = np.array(seeds) if seeds else np.zeros((1, len(self.marks)))
+        for _ in range(5):
+            near = self._near(x)
+            self.centres = np.array([x[near == c].mean(axis=0) if (near == c).any() else old for c, old in enumerate(self.centres)])
+
+    def _marked(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        x = np.zeros((n, len(self.marks)))
+        hit = np.flatnonzero(np.isin(term, self.marks))
+        x[row[hit], np.searchsorted(self.marks, term[hit])] = 1
+        return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
+    def _near(self, x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((self.centres**2).sum(axis=1))
+        return (x @ self.centres.T / np.maximum(size, 1e-9)).argmax(axis=1)
+
+    def of(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """The kind of each of some documents, by their distinct (row, term)."""
+        return self._near(self._marked(row, term, n))
+
+
 class _Builder:
     """Documents of one shard, gathered slice by slice."""
 
     def __init__(self) -> None:
         self.ids: list[pa.Array] = []
-        self.row, self.term, self.tf, self.dl = [], [], [], []
+        self.row, self.term, self.tf, self.dl, self.kind = [], [], [], [], []
         self.n = self.postings = 0
 
     def add(self, ids: pa.Array, text: pa.Array) -> None:
         t, r = terms_of(text)
-        row, term, tf = _counted(t, r)
+        self.put(ids, *_counted(t, r), np.bincount(r, minlength=len(ids)), np.zeros(len(ids), np.int8))
+
+    def put(self, ids: pa.Array, row: np.ndarray, term: np.ndarray, tf: np.ndarray, dl: np.ndarray, kind: np.ndarray) -> None:
         self.ids.append(ids)
         self.row.append((row + self.n).astype(np.uint32))
         self.term.append(term)
         self.tf.append(tf.astype(np.uint32))
-        self.dl.append(np.bincount(r, minlength=len(ids)))
+        self.dl.append(dl)
+        self.kind.append(kind.astype(np.int8))
         self.n += len(ids)
         self.postings += len(term)
 
+    def join(self, other: _Builder) -> None:
+        """Take the documents of another builder too."""
+        self.row += [r + np.uint32(self.n) for r in other.row]
+        for name in ("ids", "term", "tf", "dl", "kind"):
+            getattr(self, name).extend(getattr(other, name))
+        self.n += other.n
+        self.postings += other.postings
+
     def arrays(self) -> dict[str, np.ndarray]:
         """The shard's arrays: documents in place order, and postings by term, then by place."""
         n, dl = self.n, np.concatenate(self.dl)
         row, term, tf = (np.concatenate(x) for x in (self.row, self.term, self.tf))
         self.row = self.term = self.tf = []
-        # like documents together: by the word that a document has most often, then by length
+        # like documents together: by kind, by the word that a document has most often, then by length
         top = np.zeros(n, np.int64)
         if len(term):
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             most = np.maximum.reduceat(tf, first)
             at = np.flatnonzero(tf == np.repeat(most, np.diff(np.append(first, len(row)))))
             top[row[at]] = term[at]  # of several the greatest hash
-        order = np.lexsort((dl, top))
+        order = np.lexsort((dl, top, np.concatenate(self.kind)))
         place = np.empty(n, np.uint16)
         place[order] = np.arange(n)
         docs = place[row]
@@ -163,27 +217,52 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, k = TaskContext.get().partitionId() << 24, 0
+        first, k = TaskContext.get().partitionId() << 24, itertools.count()
 
         def saved(made: _Builder) -> pa.RecordBatch:
-            path = f"{folder}/{first + k}-{uuid.uuid4().hex}.arrow"
+            number = first + next(k)
+            path = f"{folder}/{number}-{uuid.uuid4().hex}.arrow"
+            kinds = len(np.unique(np.concatenate(made.kind)))
             arrays = made.arrays()
             save_arrays(path, arrays)
-            values = [first + k, made.n, int(arrays["dl"].sum()), path]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["shard", "n_docs", "length", "path"])
+            values = [number, made.n, int(arrays["dl"].sum()), kinds, path]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["shard", "n_docs", "length", "kinds", "path"])
+
+        def full(made: _Builder, n: int, postings: int) -> bool:
+            return made.n + n > shard_docs or made.postings + postings > SHARD_POSTINGS
 
-        made, step = _Builder(), min(1024, shard_docs)
+        kinds, step, made = None, min(1024, shard_docs), {}
         for batch in batches:
             _, offs = text_buffers(batch.column(1))
             for lo, hi in row_slices(offs):
                 for at in range(lo, hi, step):
                     n = min(step, hi - at)
-                    if made.n + n > shard_docs or made.postings >= SHARD_POSTINGS:
-                        yield saved(made)
-                        made, k = _Builder(), k + 1
-                    made.add(batch.column(0).slice(at, n), batch.column(1).slice(at, n))
-        if made.n:
-            yield saved(made)
+                    t, r = terms_of(batch.column(1).slice(at, n))
+                    row, term, tf = _counted(t, r)
+                    dl, ids = np.bincount(r, minlength=n), batch.column(0).slice(at, n)
+                    kinds = kinds or _Kinds(row, term, n)
+                    kind = kinds.of(row, term, n)
+                    for c in np.unique(kind).tolist():
+                        mine = kind == c
+                        some = mine[row]
+                        if c in made and full(made[c], int(mine.sum()), int(some.sum())):
+                            yield saved(made.pop(c))
+                        part = (np.cumsum(mine) - 1)[row[some]], term[some], tf[some], dl[mine], kind[mine]
+                        made.setdefault(c, _Builder()).put(ids.filter(pa.array(mine)), *part)
+                    # what is open is bounded for all kinds together
+                    while len(made) > 1 and sum(b.postings for b in made.values()) > 1.5 * SHARD_POSTINGS:
+                        yield saved(made.pop(max(made, key=lambda c: made[c].postings)))
+        # what is left of the kinds shares shards
+        rest = sorted(made.values(), key=lambda b: -b.postings)
+        while rest:
+            shard, others = rest[0], []
+            for b in rest[1:]:
+                if full(shard, b.n, b.postings):
+                    others.append(b)
+                else:
+                    shard.join(b)
+            yield saved(shard)
+            rest = others
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SHARD)
 
@@ -235,42 +314,57 @@ class Shard:
     def __init__(self, row: dict, mean: float):
         get = lambda k, kind: np.frombuffer(row[k], kind)
         self.ids, self.known, dl, self.vocab = get("ids", np.int64), get("known", bool), get("dl", np.uint32), get("vocab", np.int64)
-        df, self.doc, self.tf = get("df", np.uint32).astype(np.int64), get("docs", np.uint16), get("tfs", np.uint32)
+        df, doc, tf = get("df", np.uint32).astype(np.int64), get("docs", np.uint16), get("tfs", np.uint32)
         self.n, self.read, self.held = len(self.ids), 0, 0
         self.blocks = -(-self.n // BLOCK)
+        self.width = self.blocks * BLOCK
         self.norm = K1 * (1 - B + B * dl / mean)
-        # impacts of half the width are enough for bounds; scores are made from counts
-        self.impact = np.empty(len(self.tf), np.float32)
-        for lo in range(0, len(self.tf), 1 << 19):
-            self.impact[lo : lo + (1 << 19)] = self._impacts(slice(lo, lo + (1 << 19)))
         if not len(df):
             return
+        # postings of the lists: the document above the impact's bits; impacts of half the width are enough for bounds, scores are made from counts
+        self.pairs = np.empty(len(tf), np.int64)
+        impact = self.pairs.view(np.float32)[::2]
+        for lo in range(0, len(tf), 1 << 19):
+            at = slice(lo, lo + (1 << 19))
+            self.pairs[at] = doc[at].astype(np.int64) << 32
+            impact[at] = self._impacts(tf[at], doc[at])
         self.start = np.concatenate([[0], np.cumsum(df)])
-        self.most = np.maximum.reduceat(self.impact, self.start[:-1])
+        self.most = np.maximum.reduceat(impact, self.start[:-1])
         # frequent lists: impacts by document
         often = np.flatnonzero(df >= max(1, FREQUENT * self.n))
         self.often = _numbered(often, len(df))
         place, r = _spread(self.start[often], df[often]), np.repeat(np.arange(len(often)), df[often])
-        self.rows = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        self.rows[r, self.doc[place]] = self.impact[place]
+        self.rows = np.zeros((len(often), self.width), np.float32)
+        self.rows[r, doc[place]] = impact[place]
         # others above SHORT postings: where their blocks begin, and the largest impact of each
-        long = np.flatnonzero(df > SHORT)
-        self.long = _numbered(long, len(df))
-        self.places = np.empty((len(long), self.blocks + 1), np.int32)
-        self.maxima = np.zeros((len(long), self.blocks), np.float32)
-        for lo in range(0, len(long), 256):
-            part = long[lo : lo + 256]
+        middle = np.flatnonzero((df > SHORT) & (self.often < 0))
+        self.middle = _numbered(middle, len(df))
+        self.places = np.empty((len(middle), self.blocks + 1), np.int32)
+        self.maxima = np.zeros((len(middle), self.blocks), np.float32)
+        for lo in range(0, len(middle), 256):
+            part = middle[lo : lo + 256]
             place, r = _spread(self.start[part], df[part]), np.repeat(np.arange(len(part)), df[part])
-            cell = r * self.blocks + self.doc[place] // BLOCK
+            cell = r * self.blocks + doc[place] // BLOCK
             first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            self.maxima[lo + r[first], cell[first] % self.blocks] = np.maximum.reduceat(self.impact[place], first)
+            self.maxima[lo + r[first], cell[first] % self.blocks] = np.maximum.reduceat(impact[place], first)
             size = np.zeros((len(part), self.blocks + 1), np.int32)
             size[r[first], cell[first] % self.blocks + 1] = np.diff(np.append(first, len(cell)))
             self.places[lo : lo + 256] = np.cumsum(size, axis=1) + self.start[part][:, None]
-
-    def _impacts(self, place: np.ndarray | slice) -> np.ndarray:
-        tf = self.tf[place].astype(np.float64)
-        return tf * (K1 + 1) / (tf + self.norm[self.doc[place]])
+        zones = np.arange(0, self.blocks, ZONE)
+        self.zone_rows = np.maximum.reduceat(self.rows, zones * BLOCK, axis=1)
+        self.zone_maxima = np.maximum.reduceat(self.maxima, zones, axis=1)
+        self.zones = zones
+        # the postings of each document, in the order of the lists
+        by = np.argsort(doc, kind="stable")
+        self.words = np.repeat(np.arange(len(df), dtype=np.int32), df)[by]
+        self.tf = tf[by]
+        del by
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
+        self._weight = np.zeros(len(df))
+
+    def _impacts(self, tf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        tf = tf.astype(np.float64)
+        return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """The number of each term's list, -1 where there is none."""
@@ -280,63 +374,115 @@ class Shard:
         spot[spot == len(self.vocab)] = 0
         return np.where(self.vocab[spot] == terms, spot, -1)
 
-    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the frequent lists give each document, for some queries (lists, weights) at once, up to rounding."""
-        w = np.zeros((len(queries), len(self.rows)), np.float32)
+    def top(self, lists: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """``tops`` of one query."""
+        return self.tops([(lists, weights)], k, [floor])[0]
+
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For some queries (lists in order, weights) at once: (places, scores) of documents that may be among the k best with
+        a score of at least its floor."""
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        frequent, heavy = np.zeros((len(queries), len(self.rows)), np.float32), np.zeros((len(queries), len(self.maxima)), np.float32)
+        todo, brief = [], []
         for q, (lists, weights) in enumerate(queries):
-            row = self.often[lists]
-            w[q, row[row >= 0]] = weights[row >= 0]
-        return w @ self.rows
-
-    def top(self, lists: np.ndarray, weights: np.ndarray, k: int, floor: float, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of documents that may be among the k best with a score of at least ``floor``; lists in order."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        limit = max(floor, 1e-9)
-        if not len(lists) or (weights @ self.most[lists]) * SLACK < limit:
-            return none
-        part = (self.frequent([(lists, weights)])[0] if given is None else given).astype(np.float64)
-        c = _Cursors(self, lists, weights)
-        self.held += int(c.size.sum()) - int(c.size[self.often[lists] >= 0].sum())
-        self._add(part, c.short())
-        bound = (part.reshape(-1, BLOCK).max(axis=1) + c.heavy @ self.maxima[c.middle]) * SLACK
-        live, found = bound >= limit, none
+            limit = max(floors[q], 1e-9) / SLACK
+            if not len(lists) or weights @ self.most[lists] < limit:
+                continue
+            i, row, mid = len(todo), self.often[lists], self.middle[lists]
+            first, size = self.start[lists], self.start[lists + 1] - self.start[lists]
+            frequent[i], heavy[i] = 0, 0
+            frequent[i, row[row >= 0]] = weights[row >= 0]
+            heavy[i, mid[mid >= 0]] = weights[mid >= 0]
+            at = np.flatnonzero((row < 0) & (mid < 0))
+            self.held += int(size[row < 0].sum())
+            part = self._sums(first[at], size[at], weights[at])
+            # no document of any zone can reach the threshold: nothing else is made for this query
+            if (frequent[i] @ self.zone_rows + heavy[i] @ self.zone_maxima + np.maximum.reduceat(part, self.zones * BLOCK)).max() >= limit:
+                todo.append(q)
+                brief.append(part)
+        if todo:
+            given, more = frequent[: len(todo)] @ self.rows, heavy[: len(todo)] @ self.maxima
+            for i, q in enumerate(todo):
+                brief[i] += given[i]
+                out[q] = self._best_of(*queries[q], brief[i], more[i], k, floors[q])
+        return out
+
+    def _best_of(self, lists: np.ndarray, weights: np.ndarray, part: np.ndarray, more: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of one query, from what short and frequent lists give each (``part``) and others at most give each block (``more``)."""
+        limit, found = max(floor, 1e-9), (np.zeros(0, np.int64), np.zeros(0))
         if floor <= 0:
-            first = np.zeros(self.blocks, bool)
-            first[np.argsort(-bound)[: max(FIRST, -(-k // BLOCK))]] = True
-            found, limit = self._score(c, first, found, k, limit)
-            live = (bound >= limit) & ~first
+            limit = max(limit, self._least(part, k))
+        live = (part.reshape(-1, BLOCK) >= (limit / SLACK - more)[:, None]).any(axis=1)
         if live.any():
-            self._add(part, c.within(live))
-            live &= part.reshape(-1, BLOCK).max(axis=1) * SLACK >= limit
-            if live.any():
-                found, limit = self._score(c, live, found, k, limit)
+            middle = self.middle[lists]
+            at = np.flatnonzero(middle >= 0)
+            part += self._sums(*self._within(live, middle[at], weights[at]))
+            docs = np.flatnonzero(part >= limit / SLACK)
+            limit = max(limit, self._least(part[docs], k))
+            docs = docs[part[docs] >= limit / SLACK]
+            ends, lo = np.cumsum(self.begin[docs + 1] - self.begin[docs]), 0
+            while lo < len(docs):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+                found, limit = self._score(lists, weights, docs[lo:hi], found, k, limit)
+                lo = hi
         keep = found[1] >= limit
         return found[0][keep], found[1][keep]
 
-    def _add(self, part: np.ndarray, ranges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add what the postings of some ranges give their documents, up to rounding."""
-        first, size, weights = ranges
-        place = _spread(first, size)
-        self.read += len(place)
-        part += np.bincount(self.doc[place], weights=self.impact[place] * np.repeat(weights, size), minlength=len(part))
-
-    def _score(self, c: _Cursors, blocks: np.ndarray, found: tuple[np.ndarray, np.ndarray], k: int, limit: float):
-        """``found`` with the documents of the marked blocks, and the threshold after them.
+    @staticmethod
+    def _least(part: np.ndarray, k: int) -> float:
+        """What the k-th best score is at least, by what is known of each document; 0 if there are fewer."""
+        return float(np.partition(part, len(part) - k)[len(part) - k]) / SLACK if len(part) >= k else 0.0
 
-        A document's terms are added in the order of their hashes, so equal texts have equal scores in any shard.
-        """
-        first, size, weights = c.all_within(blocks)
+    def _sums(self, first: np.ndarray, size: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of some ranges (first place, size, weight) give each document, up to rounding."""
         place = _spread(first, size)
-        inside = blocks[self.doc[place] // BLOCK]
-        place, weights = place[inside], np.repeat(weights, size)[inside]
-        score = np.bincount(self.doc[place], weights=self._impacts(place) * weights, minlength=self.blocks * BLOCK)
-        hit = np.flatnonzero(score > 0)
-        value = np.round(score[hit], 9)
-        keep = value >= limit
-        docs, value = np.concatenate([found[0], hit[keep]]), np.concatenate([found[1], value[keep]])
-        if len(value) >= k:
-            limit = max(limit, float(np.partition(value, len(value) - k)[len(value) - k]))
-        return (docs, value), limit
+        if not len(place):
+            return np.zeros(self.width)
+        self.read += len(place)
+        found = np.take(self.pairs, place, mode="clip")
+        value = np.repeat(weights, size)
+        value *= found.view(np.float32)[::2]
+        found >>= 32
+        return np.bincount(found, weights=value, minlength=self.width)
+
+    def _within(self, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ranges of some lists that neither are short nor frequent, in the marked blocks; blocks side by side are one range."""
+        edges = np.diff(np.concatenate([[0], blocks.view(np.int8), [0]]))
+        begin, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        first = self.places[np.ix_(rows, begin)]
+        return first.ravel(), (self.places[np.ix_(rows, stop)] - first).ravel(), np.repeat(weights, len(begin))
+
+    def _score(self, lists: np.ndarray, weights: np.ndarray, docs: np.ndarray, found: tuple[np.ndarray, np.ndarray], k: int, limit: float):
+        """``found`` with some documents, scored by their own postings, and the threshold after them."""
+        score = np.round(self._scores(lists, weights, docs), 9)
+        keep = score >= limit
+        docs, score = np.concatenate([found[0], docs[keep]]), np.concatenate([found[1], score[keep]])
+        if len(score) >= k:
+            limit = max(limit, float(np.partition(score, len(score) - k)[len(score) - k]))
+        return (docs, score), limit
+
+    def _scores(self, lists: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of some documents. A document's terms are added one by one in the order of their hashes, so equal texts have equal scores in any shard."""
+        if len(docs) <= FEW:
+            out, lists = np.zeros(len(docs)), lists.astype(np.int32)
+            for i, doc in enumerate(docs):
+                words = self.words[self.begin[doc] : self.begin[doc + 1]]
+                if not len(words):
+                    continue
+                at = np.searchsorted(words, lists)
+                at[at == len(words)] = 0
+                hit = np.flatnonzero(words[at] == lists)
+                if len(hit):
+                    out[i] = np.cumsum(self._impacts(self.tf[self.begin[doc] + at[hit]], doc) * weights[hit])[-1]
+            return out
+        size = self.begin[docs + 1] - self.begin[docs]
+        place = _spread(self.begin[docs], size)
+        self._weight[lists] = weights
+        weight = self._weight[self.words[place]]
+        self._weight[lists] = 0
+        hit = np.flatnonzero(weight)
+        place, at = place[hit], np.repeat(np.arange(len(docs)), size)[hit]
+        return np.bincount(at, weights=self._impacts(self.tf[place], docs[at]) * weight[hit], minlength=len(docs))
 
     def best(self, found: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
         """Which k of the found come first: by score, then by id, rows without one last."""
@@ -344,61 +490,33 @@ class Shard:
         return np.lexsort((self.ids[docs], ~self.known[docs], -value))[:k]
 
 
-class _Cursors:
-    """The posting lists of one query in one shard, to be read for chosen blocks only. Ranges are (first place, size, weight)."""
-
-    def __init__(self, shard: Shard, lists: np.ndarray, weights: np.ndarray):
-        self.shard, self.lists, self.weights = shard, lists, weights
-        self.start, self.size = shard.start[lists], shard.start[lists + 1] - shard.start[lists]
-        often, self.row = shard.often[lists] >= 0, shard.long[lists]
-        self.brief = np.flatnonzero((self.row < 0) & ~often)
-        at = np.flatnonzero((self.row >= 0) & ~often)
-        self.middle, self.heavy = self.row[at], weights[at].astype(np.float32)
-
-    def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Short lists, each one block."""
-        return self.start[self.brief], self.size[self.brief], self.weights[self.brief]
-
-    def within(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The marked blocks of the lists that are neither short nor frequent."""
-        return self._blocks(blocks, self.middle, self.heavy)
+def _run(index: DataFrame, queries: str, files: int, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): each shard's candidates for the queries in the folder ``queries``, written as ``files`` files.
 
-    def _blocks(self, blocks: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # blocks side by side are one range
-        edges = np.diff(np.concatenate([[0], blocks.view(np.int8), [0]]))
-        begin, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        first = self.shard.places[np.ix_(rows, begin)]
-        return first.ravel(), (self.shard.places[np.ix_(rows, stop)] - first).ravel(), np.repeat(weights, len(begin))
-
-    def all_within(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists without rows of blocks as a whole, and the marked blocks of the others, in the order of the lists."""
-        plain, long = np.flatnonzero(self.row < 0), np.flatnonzero(self.row >= 0)
-        some = self._blocks(blocks, self.row[long], self.weights[long])
-        names = np.concatenate([plain, np.repeat(long, len(some[0]) // max(1, len(long)))])
-        order = np.argsort(names, kind="stable")
-        whole = self.start[plain], self.size[plain], self.weights[plain]
-        return tuple(np.concatenate([a, b])[order] for a, b in zip(whole, some, strict=True))
-
-
-def _run(index: DataFrame, queries: str, mean: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): each shard's candidates for the queries in the folder ``queries``."""
+    A task is a shard and a share of the files, so a wave of few shards has work for all cores too.
+    """
+    shards = index.count()
+    shares = max(1, min(files, -(-TASKS * index.sparkSession.sparkContext.defaultParallelism // max(1, shards))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(queries)
-        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.path.endswith(".parquet"))
+        names = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.path.endswith(".parquet"))
         for batch in batches:
-            for saved in batch.column(0).to_pylist():
+            for saved, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(load_arrays(saved, _ARRAYS), mean)
-                for path in files:
+                for path in names[share::shares]:
                     with store.open_input_file(path) as source:
                         asked = pq.ParquetFile(source).read(["query_id", "xs", "floor"]).combine_chunks()
                     if asked.num_rows:
                         yield from _answers(shard, asked, k)
 
-    return index.select("path").mapInArrow(run, "query_id long, doc_id long, score double")
+    tasks = index.select("shard", "path", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    # a task for each row, as the rows themselves are tiny
+    tasks = tasks.repartitionByRange(max(1, shards * shares), "shard", "share").select("path", "share")
+    return tasks.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _answers(shard: Shard, asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
@@ -415,9 +533,8 @@ def _answers(shard: Shard, asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(np.diff(cuts))
     for at in range(0, len(some), TOGETHER):
         part = some[at : at + TOGETHER]
-        given = shard.frequent([(lists[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]]) for q in part])
-        for q, row in zip(part, given, strict=True):
-            docs, score = shard.top(lists[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]], k, floors[q], row)
+        found = shard.tops([(lists[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]]) for q in part], k, floors[part].tolist())
+        for q, (docs, score) in zip(part, found, strict=True):
             if len(docs):
                 best = shard.best((docs, score), k)
                 q_out.append(np.full(len(best), ids[q]))
@@ -457,22 +574,20 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
     if not total.n or not total.length:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     n, mean = int(total.n), total.length / total.n
-    # a task for each shard, as the rows themselves are tiny
-    index = index.repartitionByRange(int(total.shards), "shard")
     # written, so that joins know their sizes: what a checkpoint is taken to hold is a guess, by which too much could be broadcast
     asked = staged(query_terms(queries.where("query_id IS NOT NULL")).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")), "query-terms")
-    df = staged(_frequencies(index).join(asked.select("term").distinct(), "term", "left_semi"), "frequencies")
+    df = staged(_frequencies(index.repartitionByRange(int(total.shards), "shard")).join(asked.select("term").distinct(), "term", "left_semi"), "frequencies")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").select("query_id", F.struct("term", (idf * F.col("qtf")).alias("w")).alias("x"))
     packed = staged(weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("xs")), "queries")
     blocks = max(1, -(-(packed.agg(F.sum(F.size("xs"))).first()[0] or 0) // QUERY_TERMS))
     # each wave of shards starts from the k-th best scores over those before
-    few = F.col("shard").isin([r.shard for r in index.orderBy(F.desc("n_docs"), "shard").select("shard").limit(SEED_SHARDS).collect()])
+    few = F.col("shard").isin([r.shard for r in index.orderBy(F.desc("kinds"), F.desc("n_docs"), "shard").select("shard").limit(SEED_SHARDS).collect()])
     sixth = F.pmod(F.xxhash64("shard"), F.lit(6)) == 0
     waves = [few, ~few] if total.shards <= 12 * SEED_SHARDS else [few, ~few & sixth, ~few & ~sixth]
     hits, asked = None, packed.withColumn("floor", F.lit(0.0))
     for wave in waves:
-        found = _run(index.where(wave), _filed(asked, "asked", blocks), mean, k)
+        found = _run(index.where(wave), _filed(asked, "asked", blocks), blocks, mean, k)
         hits = staged(_best(found if hits is None else found.union(hits.select("query_id", "doc_id", "score")), k), "hits")
         floors = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         asked = packed.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))

@@ -276,6 +276,54 @@ def test_search_skips_blocks_and_stays_exact():
     assert shard.held > 20_000 and shard.read < 0.45 * shard.held  # by chance 0.39 of the blocks of one list hold the other too
 
 
+def test_search_shares_queries_among_tasks(spark, monkeypatch):
+    """A wave of one shard has tasks for all cores, each for a part of the queries, and finds the same."""
+    words = [" ".join(f"w{(i * j) % 97}" for j in range(1, 20)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    asked = docs.where("doc_id % 2 = 0").selectExpr("doc_id query_id", "text")
+    want = sorted(map(tuple, search.top_k(docs, asked, k=3).collect()))
+    runs, plain = [], search._run
+    monkeypatch.setattr(search, "_run", lambda *a: runs.append(plain(*a)) or runs[-1])
+    monkeypatch.setattr(search, "QUERY_TERMS", 100)
+    assert sorted(map(tuple, search.top_k(docs.coalesce(1), asked, k=3).collect())) == want
+    assert runs[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_search_shards_hold_documents_of_a_kind(spark):
+    """Documents of two languages go to shards of their own, but for the last ones of a task; none is lost."""
+    import numpy as np
+
+    rows = [(i, " ".join(["the of and" if i % 2 else "der und die", *(f"{'xy'[i % 2]}{(i * j) % 50}" for j in range(8))])) for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (None, "the")], "doc_id long, text string").coalesce(1)
+    made = search.build_index(docs, 128).collect()
+    held = [np.frombuffer(search.load_arrays(r.path, ["ids"])["ids"], np.int64) for r in made]
+    assert sorted(np.concatenate(held).tolist()) == sorted([*range(1002), 0]) and max(r.n_docs for r in made) <= 128
+    pure = [len(set((ids % 2).tolist())) == 1 for ids, r in zip(held, made, strict=True) if r.kinds == 1]
+    assert sum(pure) >= 5 and sum(r.kinds > 1 for r in made) <= 1
+
+
+def test_search_scores_few_documents_where_the_threshold_is_low(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    made = search._Builder()
+    made.add(pa.array(range(3000), pa.int64()), pa.array([" ".join(f"w{i}" for i in rng.zipf(1.3, 60) % 500) for _ in range(3000)]))
+    shard = search.Shard({name: a.tobytes() for name, a in made.arrays().items()}, 60.0)
+    lists = np.unique(shard.find(search.terms_of(pa.array([" ".join(f"w{i}" for i in range(0, 500, 9))]))[0]))
+    lists = lists[lists >= 0]
+    weights = rng.random(len(lists)) + 0.5
+    every = np.sort(np.round(shard._scores(lists, weights, np.arange(3000)), 9))[::-1]
+    one = [shard._scores(lists, weights, np.array([d]))[0] for d in range(0, 3000, 100)]
+    assert one == shard._scores(lists, weights, np.arange(3000))[::100].tolist()  # to the bit, scored alone or together
+    scored, plain = [], search.Shard._scores
+    monkeypatch.setattr(search.Shard, "_scores", lambda self, a, b, docs: scored.append(len(docs)) or plain(self, a, b, docs))
+    for floor in (0.0, every[9] / 2, every[9]):
+        found = shard.top(lists, weights, 10, floor)
+        assert found[1][shard.best(found, 10)].tolist() == every[:10].tolist()
+    assert sum(scored) <= 60
+
+
 def test_search_takes_very_long_texts_ties_and_clashing_names(spark):
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     rows = [(1, long, 1.0, 1), (2, "w1 w2", 1.0, 1), (3, "w1 w2", 2.0, 2), (3, "w1 w2", 2.0, 2), (None, "w1 w2", 0.0, 0)]
