@@ -328,6 +328,7 @@ class Shard:
             at = slice(lo, lo + (1 << 19))
             self.pairs[at] = doc[at].astype(np.int64) << 32
             impact[at] = self._impacts(tf[at], doc[at])
+        self.parts = np.concatenate([[0], np.cumsum(np.bincount(self._upper(self.vocab), minlength=1 << len(df).bit_length()))])
         self.start = np.concatenate([[0], np.cumsum(df)])
         self.most = np.maximum.reduceat(impact, self.start[:-1])
         # frequent lists: impacts by document
@@ -368,11 +369,24 @@ class Shard:
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """The number of each term's list, -1 where there is none."""
+        out = np.full(len(terms), -1, np.int64)
         if not len(self.vocab):
-            return np.full(len(terms), -1, np.int64)
-        spot = np.searchsorted(self.vocab, terms)
-        spot[spot == len(self.vocab)] = 0
-        return np.where(self.vocab[spot] == terms, spot, -1)
+            return out
+        # terms are hashes, so those of one upper part are few: they are tried one after the other
+        part = self._upper(terms)
+        at, end = self.parts[part], self.parts[part + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            spot = at[left]
+            same = self.vocab[spot] == terms[left]
+            out[left[same]] = spot[same]
+            at[left] += 1
+            left = left[~same & (spot + 1 < end[left])]
+        return out
+
+    def _upper(self, terms: np.ndarray) -> np.ndarray:
+        bits = len(self.vocab).bit_length()
+        return (terms >> (64 - bits)) + (1 << (bits - 1))
 
     def top(self, lists: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """``tops`` of one query."""
